@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from subjectlens.llm import exact_dedup, mixing
+from subjectlens.llm import decontaminate, exact_dedup, mixing, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
 }

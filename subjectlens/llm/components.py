@@ -1,0 +1,35 @@
+"""Connected components of an edge table by alternating star contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from subjectlens.llm.shared import stash
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of edges(u, v); root is the smallest node that can be reached.
+
+    Large-star and small-star steps turn each component into a star around its smallest node; the number of rounds
+    grows with the logarithm of the component's size. Minima are taken with partial aggregation and joined back, so a
+    node with very many neighbours is never gathered in one place. Each round starts from files in the shared folder.
+    Loops of a node to itself keep it as its own root; nulls are ignored; an empty table gives an empty result.
+    """
+    e = edges.filter("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    nodes = stash(e.select(F.col("u").alias("node")).union(e.select("v")).distinct(), "graph-nodes")
+    e = stash(e.filter("u <> v"), "graph-edges")
+    before = None
+    while True:
+        both = e.union(e.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "x")
+        large = both.join(low, F.col("u") == F.col("x")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
+        small = large.join(low, F.col("u") == F.col("x")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = stash(small.filter("u <> v").distinct(), "graph-edges")
+        after = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if after == before:
+            break
+        before = after
+    root = e.groupBy("u").agg(F.min("v").alias("root"))
+    return nodes.join(root, F.col("node") == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"))
