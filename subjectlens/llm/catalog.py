@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from subjectlens.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
+from subjectlens.llm import decontaminate, exact_dedup, mixing, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_token_files": token_files.op7_token_files,
     "op9_simhash": simhash.op9_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
