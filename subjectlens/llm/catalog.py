@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from subjectlens.llm import decontaminate, exact_dedup, mixing, simhash, token_files, toxicity
+from subjectlens.llm import decontaminate, exact_dedup, mixing, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_warc": warc.op4_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_token_files": token_files.op7_token_files,
     "op9_simhash": simhash.op9_simhash,
