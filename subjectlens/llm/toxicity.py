@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +17,11 @@ from subjectlens.llm.shared import need, read, stash, text_of
 #: Label columns in the order of the chain.
 CATEGORIES = ("quality", "toxic")
 #: The models are fitted on at most so many labelled documents, chosen by a hash of their id.
-MOST_LABELLED = 20_000
+MOST_LABELLED = 12_000
 #: Folds for the probabilities that later models are trained with.
 FOLDS = 5
 #: Features of each model: the words and word beginnings that tell its category apart best, at least LEAST_Z standard errors.
-MOST_FEATURES, LEAST_Z, LEAST_DOCUMENTS = 4096, 3.0, 2
+MOST_FEATURES, LEAST_Z, LEAST_DOCUMENTS = 2048, 3.5, 2
 #: A word of at least LONG letters also counts by its first STEM bytes.
 LONG, STEM = 6, 4
 
@@ -31,7 +32,7 @@ def features_of(text: str) -> set[bytes]:
     return words | {b" " + w[:STEM] for w in words if len(w) >= LONG}
 
 
-def fit_logistic(rows: Sequence[np.ndarray], extra: np.ndarray, y: np.ndarray, n_features: int, l2: float = 1.0, steps: int = 200) -> np.ndarray:
+def fit_logistic(rows: Sequence[np.ndarray], extra: np.ndarray, y: np.ndarray, n_features: int, l2: float = 1.0, steps: int = 120) -> np.ndarray:
     """Weights of a logistic model: one per binary feature, one per extra column, the intercept last.
 
     Accelerated gradient steps, each coordinate scaled by how often its feature occurs.
@@ -102,8 +103,16 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> Da
     return stash(joined.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("fold"), y.alias("y"), "text").mapInArrow(run, schema), "toxicity-sample")
 
 
-def _feature_counts(sample: DataFrame, n: int) -> list:
-    """(feature, fold, documents, positives by category) for features that some fold's model or the last one may choose."""
+class Counts(NamedTuple):
+    """A feature with the number of documents, and of positives by category, in each fold."""
+
+    f: bytes
+    n: np.ndarray
+    c: np.ndarray
+
+
+def _feature_counts(sample: DataFrame, n: int) -> list[Counts]:
+    """Counts of the features that some fold's model or the last one may choose, the best first."""
     typed = pa.schema([("f", pa.binary()), ("fold", pa.int32()), ("n", pa.int64()), *[(f"c{i}", pa.int64()) for i in range(n)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,23 +142,29 @@ def _feature_counts(sample: DataFrame, n: int) -> list:
 
     whole = by_fold.groupBy("f").agg(F.collect_list(F.struct("fold", "n", *[f"c{i}" for i in range(n)])).alias("folds"), *sums)
     whole = whole.filter(F.col("n") >= LEAST_DOCUMENTS).withColumn("z", F.greatest(*[z(i) for i in range(n)], F.lit(0.0)))
-    return whole.filter(F.col("z") >= LEAST_Z / 2).orderBy(F.desc("z"), "f").limit(4 * MOST_FEATURES).collect()
-
-
-def _chosen(counts: list, sizes: np.ndarray, ones: np.ndarray, i: int, skip: int | None) -> list[bytes]:
-    """The features of category i's model trained without fold `skip`."""
+    out = []
+    for r in whole.filter(F.col("z") >= LEAST_Z / 2).orderBy(F.desc("z"), "f").limit(2 * MOST_FEATURES).select("f", "folds").collect():
+        docs, ones = np.zeros(FOLDS), np.zeros((FOLDS, n))
+        for x in r.folds:
+            docs[x["fold"]] = x["n"]
+            ones[x["fold"]] = [x[f"c{i}"] for i in range(n)]
+        out.append(Counts(bytes(r.f), docs, ones))
+    return out
+
+
+def _chosen(counts: list[Counts], sizes: np.ndarray, ones: np.ndarray, i: int, skip: int | None) -> list[int]:
+    """Numbers of the features of category i's model trained without fold `skip`."""
     use = [k for k in range(FOLDS) if k != skip]
     size, one = sizes[use].sum(), ones[use, i].sum()
     zero = size - one
-    if not one or not zero:
+    if not one or not zero or not counts:
         return []
-    n = np.array([sum(f["n"] for f in r.folds if f["fold"] != skip) for r in counts], float)
-    c = np.array([sum(f[f"c{i}"] for f in r.folds if f["fold"] != skip) for r in counts], float)
+    n = np.array([r.n[use].sum() for r in counts])
+    c = np.array([r.c[use, i].sum() for r in counts])
     p = n / size
     z = np.abs(c / one - (n - c) / zero) / np.maximum(np.sqrt(p * (1 - p) * (1 / one + 1 / zero)), 1e-9)
     z[n < LEAST_DOCUMENTS] = 0
-    best = sorted(np.flatnonzero(z >= LEAST_Z).tolist(), key=lambda k: (-z[k], bytes(counts[k].f)))[:MOST_FEATURES]
-    return [bytes(counts[k].f) for k in best]
+    return sorted(np.flatnonzero(z >= LEAST_Z).tolist(), key=lambda k: (-z[k], counts[k].f))[:MOST_FEATURES]
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES) -> Chain:
@@ -163,31 +178,37 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
     n = len(categories)
     sample = _sample(docs, labels, categories)
     counts = _feature_counts(sample, n)
-    names = {bytes(r.f) for r in counts}
-    known = sample.sparkSession.sparkContext.broadcast(names)
+    names = [r.f for r in counts]
+    known = sample.sparkSession.sparkContext.broadcast({f: k for k, f in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [[f for f in fs if f in known.value] for fs in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(kept, pa.list_(pa.binary()))], names=["doc_id", "fold", "y", "features"])
-
-    rows = sorted(sample.mapInArrow(run, "doc_id long, fold int, y array<int>, features array<binary>").collect(), key=lambda r: (r.doc_id, len(r.features)))
-    fold = np.array([r.fold for r in rows], int)
-    y = np.array([[v > 0 for v in r.y] for r in rows], float).reshape(len(rows), n)
-    fs = [{bytes(f) for f in r.features} for r in rows]
+            at = known.value
+            kept = [np.array(sorted(at[f] for f in fs if f in at), np.int32).tobytes() for fs in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(kept, pa.binary())], names=["doc_id", "fold", "y", "features"])
+
+    # numbers of features only: 4 bytes for each of the few a document has, MOST_LABELLED rows at most
+    got = sample.mapInArrow(run, "doc_id long, fold int, y array<int>, features binary").toArrow()
+    got = got.take(np.argsort(got["doc_id"].to_numpy(), kind="stable")) if got.num_rows else got
+    fold = got["fold"].to_numpy().astype(int)
+    y = (np.array(got["y"].to_pylist(), float).reshape(got.num_rows, n) > 0).astype(float)
+    rows = [np.frombuffer(x, np.int32) for x in got["features"].to_pylist()]
+    del got
     sizes = np.bincount(fold, minlength=FOLDS) if len(rows) else np.zeros(FOLDS, int)
     ones = np.array([[y[fold == k, i].sum() for i in range(n)] for k in range(FOLDS)])
     models, held = [], np.zeros((len(rows), 0))
     for i in range(n):
         out = np.zeros(len(rows))
         for skip in [*range(FOLDS), None]:
-            at = {f: k for k, f in enumerate(_chosen(counts, sizes, ones, i, skip))}
-            sets = [np.array([at[f] for f in s if f in at], np.int64) for s in fs]
+            chosen = _chosen(counts, sizes, ones, i, skip)
+            local = np.full(len(names), -1, np.int64)
+            local[chosen] = np.arange(len(chosen))
+            sets = [x[x >= 0] for x in (local[r] for r in rows)]
             train = np.flatnonzero(fold != skip) if skip is not None else np.arange(len(rows))
             extra = log_odds(held)
-            weights = fit_logistic([sets[k] for k in train], extra[train], y[train, i], len(at)) if len(train) else np.r_[np.zeros(len(at) + i), -30.0]
+            weights = fit_logistic([sets[k] for k in train], extra[train], y[train, i], len(chosen)) if len(train) else np.r_[np.zeros(len(chosen) + i), -30.0]
             if skip is None:
-                models.append((at, weights))
+                models.append(({names[k]: j for j, k in enumerate(chosen)}, weights))
             elif (test := np.flatnonzero(fold == skip)).size:
                 out[test] = probability([sets[k] for k in test], extra[test], weights)
         held = np.c_[held, out]
