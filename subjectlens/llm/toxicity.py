@@ -17,11 +17,13 @@ from subjectlens.llm.shared import need, read, stash, text_of
 #: Label columns in the order of the chain.
 CATEGORIES = ("quality", "toxic")
 #: The models are fitted on at most so many labelled documents, chosen by a hash of their id.
-MOST_LABELLED = 12_000
+MOST_LABELLED = 16_000
 #: Folds for the probabilities that later models are trained with.
 FOLDS = 5
 #: Features of each model: the words and word beginnings that tell its category apart best, at least LEAST_Z standard errors.
-MOST_FEATURES, LEAST_Z, LEAST_DOCUMENTS = 2048, 3.5, 2
+MOST_FEATURES, LEAST_Z, LEAST_DOCUMENTS = 4096, 3.0, 2
+#: A document is toxic from this probability of the last category.
+THRESHOLD = 0.5
 #: A word of at least LONG letters also counts by its first STEM bytes.
 LONG, STEM = 6, 4
 
@@ -32,7 +34,7 @@ def features_of(text: str) -> set[bytes]:
     return words | {b" " + w[:STEM] for w in words if len(w) >= LONG}
 
 
-def fit_logistic(rows: Sequence[np.ndarray], extra: np.ndarray, y: np.ndarray, n_features: int, l2: float = 1.0, steps: int = 120) -> np.ndarray:
+def fit_logistic(rows: Sequence[np.ndarray], extra: np.ndarray, y: np.ndarray, n_features: int, l2: float = 0.2, steps: int = 200) -> np.ndarray:
     """Weights of a logistic model: one per binary feature, one per extra column, the intercept last.
 
     Accelerated gradient steps, each coordinate scaled by how often its feature occurs.
@@ -70,8 +72,8 @@ def log_odds(p: np.ndarray) -> np.ndarray:
 class Chain:
     """The fitted models. A category's rows hold feature numbers; `models` has (features, weights) in chain order."""
 
-    def __init__(self, categories: Sequence[str], models: list[tuple[dict[bytes, int], np.ndarray]], threshold: float):
-        self.categories, self.models, self.threshold = tuple(categories), models, threshold
+    def __init__(self, categories: Sequence[str], models: list[tuple[dict[bytes, int], np.ndarray]]):
+        self.categories, self.models = tuple(categories), models
         self.every = set().union(*(m[0] for m in models))
 
     def predict(self, features: list[set[bytes]]) -> np.ndarray:
@@ -172,7 +174,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
 
     Each model's features are chosen from counts made by Spark. The first category's out-of-fold probabilities (from
     models, features included, that have not seen the document) are inputs when the second model is trained, and so
-    on. The threshold for the last category has the fewest errors out of fold. Without labels, or with labels of one
+    on. Without labels, or with labels of one
     kind only, the probability is the share of that kind.
     """
     n = len(categories)
@@ -199,7 +201,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
     models, held = [], np.zeros((len(rows), 0))
     for i in range(n):
         out = np.zeros(len(rows))
-        for skip in [*range(FOLDS), None]:
+        for skip in [*(range(FOLDS) if i < n - 1 else ()), None]:
             chosen = _chosen(counts, sizes, ones, i, skip)
             local = np.full(len(names), -1, np.int64)
             local[chosen] = np.arange(len(chosen))
@@ -212,14 +214,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
             elif (test := np.flatnonzero(fold == skip)).size:
                 out[test] = probability([sets[k] for k in test], extra[test], weights)
         held = np.c_[held, out]
-    order = np.argsort(-held[:, -1], kind="stable") if len(rows) else np.empty(0, int)
-    p, hit = (held[order, -1], y[order, -1]) if len(rows) else (np.empty(0), np.empty(0))
-    errors = np.r_[hit.sum(), hit.sum() - np.cumsum(hit) + np.cumsum(1 - hit)] if len(rows) else np.zeros(1)
-    cuts = [k for k in range(len(p) + 1) if k in (0, len(p)) or p[k - 1] > p[k]]
-    best = min(cuts, key=lambda k: errors[k])
-    inner = np.clip(np.r_[1.0, p, 0.0], 0, 1)
-    threshold = float(np.clip((inner[best] + inner[best + 1]) / 2, 0.2, 0.8))
-    return Chain(categories, models, threshold)
+    return Chain(categories, models)
 
 
 def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -235,7 +230,7 @@ def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = model.value.predict([features_of(x) for x in b.column(1).to_pylist()])
-            toxic = pa.array(p[:, -1] >= model.value.threshold)
+            toxic = pa.array(p[:, -1] >= THRESHOLD)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, i]) for i in range(p.shape[1])), toxic], names=["doc_id", *names, "toxic"])
 
     schema = "doc_id long, " + ", ".join(f"{c} double" for c in names) + ", toxic boolean"
