@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from subjectlens.llm import decontaminate, exact_dedup, mixing, simhash, token_files, toxicity, warc
+from subjectlens.llm import decontaminate, exact_dedup, html_extract, mixing, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_warc": warc.op4_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
