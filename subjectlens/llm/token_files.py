@@ -7,12 +7,14 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,8 @@ FILE_BYTES = 64 << 20
 TOKENS_A_PARTITION = 8_000_000
 #: Words whose ids a worker remembers.
 REMEMBERED = 500_000
+#: Text that is split and looked up at once.
+TEXT_BYTES = 24 << 20
 MAGIC = b"TOKHUF01"
 HEAD = struct.Struct("<8sIIIQQQI")
 
@@ -60,70 +64,99 @@ class WordCache:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.dtype, self.width = np.dtype(dtype), np.dtype(dtype).itemsize
+        self.code = {2: "H", 4: "I"}[self.width]
         #: Ids by word: "\nword" stands for itself, "word" for " word".
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
-        joined = [self._ids(x) for x in ("\n", " a\n b", " a", " b")]
-        self.line = joined[0][0] if len(joined[0]) == 1 and joined[1] == joined[2] + joined[0] + joined[3] else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        # the tokenizer writes bytes as characters: those that show stand for themselves, the others follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = iter(range(256, 512))
+        self.written = {k: k if k in shown else next(hidden) for k in range(256)}
+        probe = ("word", "Zürich", "ñandú", "x")
+        self.direct = all(self._letters(" " + w) == self._bytes([" " + w])[0] and self._letters(w) == self._bytes([w])[0] for w in probe)
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes new words, many in one call: a line break between two words has an id of its own.
+    def _letters(self, word: str) -> bytes:
+        """Ids of a word of letters, with or without a space before it: one piece of the tokenizer's pattern."""
+        word = "Ġ" + word[1:] if word.isascii() and word[0] == " " else word.encode().decode("latin-1").translate(self.written)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
-        ASCII marks at the end of a word are ids of their own too, so a word that is known without them is not new.
-        """
-        known, new, tails = self.known, set(), {}
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of each text; words of letters skip the cutting."""
+        if not self.direct:
+            return self._bytes(words)
+        rest = [k for k, w in enumerate(words) if not w.strip(" ").isalpha()]
+        other = dict(zip(rest, self._bytes([words[k] for k in rest]), strict=True)) if rest else {}
+        return [other[k] if k in other else self._letters(w) for k, w in enumerate(words)]
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words. ASCII marks at the end of a word are ids of their own, so a word known without them is not new."""
+        known, new, tails = self.known, {}, []
         for w in words:
             core = w.rstrip(self._marks)
-            if core and core != w and core[-1].isalpha() and core[0] != "\n":
-                tails[w] = core, w[len(core) :]
+            if core != w and core.isalpha():
+                tails.append((w, core, w[len(core) :]))
                 if core not in known:
-                    new.add(core)
+                    new[core] = None
             else:
-                new.add(w)
-        self._learn_whole(sorted(new))
-        if lone := sorted({t for _, t in tails.values() if t not in self.tails}):
+                new[w] = None
+        known.update(zip(new, self.ids_of([w if w[0] == "\n" else " " + w for w in new]), strict=True))
+        if lone := list({t for _, _, t in tails if t not in self.tails}):
             self.tails.update(zip(lone, self._bytes(lone), strict=True))
-        known.update({w: known[c] + self.tails[t] for w, (c, t) in tails.items()})
-
-    def _learn_whole(self, words: list[str]) -> None:
-        lone = [w for w in words if w[0] == "\n" or self.line is None]
-        self.known.update(zip(lone, self._bytes([w if w[0] == "\n" else " " + w for w in lone]), strict=True))
-        if self.line is None:
-            return
-        words = [w for w in words if w[0] != "\n"]
-        for i in range(0, len(words), 256):
-            part = words[i : i + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.flatnonzero(ids == self.line)
-            data, w = ids.astype(self.dtype).tobytes(), self.width
-            starts, ends = [0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(data)]
-            self.known.update(zip(part, (data[a:e] for a, e in zip(starts, ends, strict=True)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        for w, core, tail in tails:
+            known[w] = known[core] + self.tails[tail]
+
+    def look_up(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of distinct words, and the numbers of those that hold other white space. Words not met for long are forgotten."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
             self.tails.clear()
-        get, word = self.known.get, self._word
-        parts = [x.replace("\n", " \n").split(" ") for x in texts]
-        found = [list(map(get, ps[1:])) for ps in parts]
-        missing = {p for ps, ids in zip(parts, found, strict=True) if None in ids for p, i in zip(ps[1:], ids, strict=True) if i is None}
-        odd = {p for p in missing if not word(p)}
-        self.learn(sorted(missing - odd))
-        first = self._bytes([ps[0] for ps in parts])
-        out = []
-        for text, ps, ids, head in zip(texts, parts, found, first, strict=True):
-            if len(ps) > 1 and not word(ps[0]) or None in ids and not odd.isdisjoint(p for p, i in zip(ps[1:], ids, strict=True) if i is None):
-                out.append(b"".join(self._bytes(self._cuts.split(text))))
-            elif None in ids:
-                out.append(head + b"".join([i if i is not None else self.known[p] for p, i in zip(ps[1:], ids, strict=True)]))
+        found = list(map(self.known.get, words))
+        missing = [k for k, x in enumerate(found) if x is None]
+        new, odd = [], []
+        for k in missing:
+            w = words[k]
+            if (x := self.older.get(w)) is not None:
+                self.known[w] = x
             else:
-                out.append(head + b"".join(ids))
+                (new if self._word(w) else odd).append(k)
+        self.learn([words[k] for k in new])
+        for k in missing:
+            found[k] = self.known.get(words[k], b"")
+        return found, odd
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (no nulls). Words are looked up once for all texts."""
+        n = len(texts)
+        if not n:
+            return []
+        pieces = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " \n"), " ")
+        coded = pieces.flatten().dictionary_encode()
+        code, at = coded.indices.to_numpy().astype(np.int64), pieces.offsets.to_numpy()
+        words = coded.dictionary.to_pylist()
+        heads = [words[k] for k in code[at[:-1]].tolist()]
+        found, odd = self.look_up(words)
+        code[at[:-1]] = np.arange(len(words), len(words) + n)  # a text's first word has no space before it
+        found += self.ids_of(heads)
+        table = np.frombuffer(b"".join(found), self.dtype)
+        size = np.array([len(x) for x in found]) // self.width
+        start = np.cumsum(size) - size
+        sizes = size[code]
+        ends = np.cumsum(sizes)
+        place = np.repeat(start[code] - ends + sizes, sizes)
+        place += np.arange(len(place))
+        data, bounds = table[place].tobytes(), (np.r_[0, ends][at] * self.width).tolist()
+        out = [data[a:e] for a, e in zip(bounds, bounds[1:], strict=False)]
+        other = {i for i, w in enumerate(heads) if at[i + 1] - at[i] > 1 and not self._word(w)}
+        if odd:
+            is_odd = np.zeros(len(found), bool)
+            is_odd[odd] = True
+            other |= set((np.searchsorted(at, np.flatnonzero(is_odd[code]), side="right") - 1).tolist())
+        for i in other:
+            out[i] = b"".join(self._bytes(self._cuts.split(texts[i].as_py())))
         return out
 
 
@@ -132,6 +165,16 @@ def word_cache(path: str, dtype: str) -> WordCache:
     return WordCache(path, dtype)
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts add up to about so many bytes, or of one row."""
+    total = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty(0)
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def with_ids(docs: DataFrame, path: str, dtype: str, end_id: int) -> DataFrame:
     """(doc_id, n, ids): the ids of each text with the end id, as little-endian unsigned integers."""
     end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
@@ -139,9 +182,8 @@ def with_ids(docs: DataFrame, path: str, dtype: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(path, dtype)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                ids = [x + end for x in cache.encode(part.column(1).to_pylist())]
+            for part in by_bytes(b, 1, TEXT_BYTES):
+                ids = [x + end for x in cache.encode(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
