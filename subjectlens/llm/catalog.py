@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from subjectlens.llm import decontaminate, exact_dedup, html_extract, mixing, simhash, token_files, toxicity, warc
+from subjectlens.llm import chat_tree, decontaminate, exact_dedup, html_extract, mixing, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_token_files": token_files.op7_token_files,
+    "op8_chat_tree": chat_tree.op8_chat_tree,
     "op9_simhash": simhash.op9_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
 }
@@ -19,4 +20,5 @@ SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op8_chat_tree": chat_tree.OP8_SQL,
 }
