@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from subjectlens.llm import chat_tree, decontaminate, exact_dedup, html_extract, mixing, simhash, token_files, toxicity, warc
+from subjectlens.llm import chat_tree, decontaminate, exact_dedup, html_extract, lm_score, mixing, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_html_extract": html_extract.op2_html_extract,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_warc": warc.op4_warc,
+    "op5_lm_score": lm_score.op5_lm_score,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_token_files": token_files.op7_token_files,
     "op8_chat_tree": chat_tree.op8_chat_tree,
