@@ -33,9 +33,9 @@ BLOCK = 256
 FILE_BYTES = 64 << 20
 TOKENS_A_PARTITION = 8_000_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Text that is split and looked up at once.
-TEXT_BYTES = 24 << 20
+TEXT_BYTES = 8 << 20
 MAGIC = b"TOKHUF01"
 HEAD = struct.Struct("<8sIIIQQQI")
 
