@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from subjectlens.plans import registry, requests, text  # noqa: F401  the modules register their queries
+from subjectlens.plans import answers, knowledge, registry, requests, text  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict:

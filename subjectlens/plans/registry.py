@@ -26,6 +26,8 @@ class Tables:
 
 def with_cases(sql: str) -> str:
     sql = sql.strip()
+    if sql[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {CASES_SQL}, {sql[15:].lstrip()}"
     return f"WITH {CASES_SQL}, {sql[4:].lstrip()}" if sql[:5].upper() == "WITH " else f"WITH {CASES_SQL} {sql}"
 
 
