@@ -34,7 +34,7 @@ def _votes(t):
 d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN y >= 3 OR n >= 3 THEN round ELSE 100 - round END) AS k FROM c)
 SELECT id, CASE WHEN y > n THEN 'ACCEPT' WHEN n > y THEN 'REJECT' ELSE 'NEEDS_REVIEW' END AS decision, round FROM d WHERE k = 1""")
 def v02_decisions(t):
-    """Replies parsed, missing ones unknown, rounds until three agree."""
+    """Replies parsed, missing ones unknown, rounds until three agree."""
     return validation.decisions(_votes(t))
 
 
@@ -43,7 +43,7 @@ d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN y >= 3 OR
 i AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'low' ELSE 'High' END AS risk FROM labels)
 SELECT id, risk, CASE WHEN risk = 'low' THEN 'not_required' WHEN y > n THEN 'accepted' ELSE 'needs_review' END AS status FROM i JOIN e USING (id) WHERE risk = 'low' OR NOT n > y""")
 def v05_item_status(t):
-    """Risky items by their decision; rejected ones are dropped."""
+    """Risky items by their decision; rejected ones are dropped."""
     items = t.labels.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "low").otherwise("High").alias("risk"))
     return validation.with_status(items, validation.decisions(_votes(t)))
 
@@ -79,7 +79,7 @@ def _results(t):
 @query(f"""WITH {_RESULTS_SQL}, f AS (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY left(content, 100) ORDER BY score DESC, seq) = 1 ORDER BY score DESC, seq LIMIT 20)
 SELECT content, score, seq, source FROM f""")
 def r04_fused(t):
-    """Results of several searches, each content once."""
+    """Results of several searches, each content once."""
     return retrieval.fused(_results(t))
 
 
@@ -87,7 +87,7 @@ def r04_fused(t):
 b AS (SELECT *, sum(len(content)) OVER (ORDER BY score DESC, seq ROWS UNBOUNDED PRECEDING) AS total FROM f)
 SELECT string_agg('[' || source || '] ' || content, chr(10) ORDER BY score DESC, seq) AS context, count(*) AS n FROM b WHERE total <= 200""")
 def r08_context(t):
-    """A context under a budget of characters."""
+    """A context under a budget of characters."""
     return retrieval.context_text(retrieval.fused(_results(t)), 200)
 
 
@@ -115,7 +115,7 @@ def m04_replace_artifacts(t):
 
 @query("""SELECT company_id, company_name, CASE WHEN company_id % 4 = 0 THEN 'seen' ELSE domain END AS domain, CASE WHEN company_id % 2 = 0 THEN segment ELSE 'new' END AS segment FROM companies""")
 def m05_merge_node(t):
-    """A match changes only some columns, and fills those that were null."""
+    """A match changes only some columns, and fills those that were null."""
     c = companies(t).select("company_id", "company_name", "domain", F.when(F.col("company_id") % 2 == 0, F.col("segment")).alias("segment"))
     delta = c.withColumn("company_name", F.lit("other")).withColumn("domain", F.when(F.col("company_id") % 4 == 0, "seen").otherwise(F.col("domain"))).withColumn("segment", F.lit("new"))
     return M.merge_node(c, delta, ["company_id"], ["domain"], ["segment"])
@@ -129,14 +129,14 @@ def m12_cascade_delete(t):
 
 @query("SELECT id, CASE WHEN id % 10 = 0 THEN 'closed' ELSE status END AS status, volume FROM requests")
 def m13_update_present(t):
-    """M10, M11, M13, M14, M17."""
+    """M13, M17."""
     r = requests(t).select("id", "status", "volume")
     return M.update_present(r, r.filter("id % 10 = 0").select("id", F.lit("closed").alias("status"), F.lit(None).cast("double").alias("volume")), ["id"])
 
 
 @query("SELECT request_id AS thread, arg_max(sender, (ts, id)) AS status, count(*) AS n, string_agg(sender, '>' ORDER BY ts, id) AS history FROM messages GROUP BY 1")
 def m15_thread_states(t):
-    """A fold over each thread's events."""
+    """A fold over each thread's events."""
     return M.thread_states(messages(t).select(F.col("request_id").alias("thread"), "ts", F.col("id").alias("seq"), F.col("sender").alias("action")))
 
 
@@ -176,7 +176,7 @@ def st8_daily_timeline(t):
 
 @query("SELECT request_id, CAST(sum(value > 5) AS BIGINT) AS n FROM messages GROUP BY 1")
 def st1_incremental_scan(t):
-    """ST1, ST2, ST5: the events as a stream of files, handled batch by batch and added up by key."""
+    """ST1: the events as a stream of files, handled batch by batch and added up by key."""
     folder = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='scan-')}"
     base = f"{folder.rstrip('/')}/scan-{uuid.uuid4().hex}"
     stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/events.parquet*")

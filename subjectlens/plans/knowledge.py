@@ -104,7 +104,7 @@ def _messy(t):
 @query(f"""WITH {_MESSY_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(s)), upper(trim(p)), lower(trim(o)) ORDER BY confidence DESC, seq) AS r FROM messy WHERE trim(s) <> '' AND trim(p) <> '' AND trim(o) <> '')
 SELECT s, p, o, confidence, seq FROM k WHERE r = 1""")
 def w03_distinct_triples(t):
-    """Valid triples, each once."""
+    """Valid triples, each once."""
     return E.dedup_triples(_messy(t).filter(E.is_valid()))
 
 
@@ -120,7 +120,7 @@ def e03_canonical_names(t):
 
 @query("""WITH e AS (SELECT *, regexp_replace(lower(s), '[^a-z0-9_]+', ' ', 'g') AS s2 FROM edges) SELECT lower(s) AS s, p, lower(o) AS o, confidence, seq FROM edges""")
 def e05_resolved_triples(t):
-    """Canonical ends."""
+    """Canonical ends."""
     return E.resolve(edges(t))
 
 
@@ -148,7 +148,7 @@ def g03_components(t):
 
 @query("SELECT lower(s) AS node, string_agg(DISTINCT lower(o), ',' ORDER BY lower(o)) AS neighbours FROM edges GROUP BY 1")
 def g01_adjacency(t):
-    """G01, G02, G12."""
+    """G01, G02."""
     return G.adjacency(edges(t)).select("node", F.array_join("neighbours", ",").alias("neighbours"))
 
 
@@ -185,7 +185,7 @@ def g10_paths(t):
 
 @query()
 def g11_chains(t):
-    """Paths as edges."""
+    """Paths as edges."""
     nations = t.nation.select(F.lower("n_name").alias("node"))
     return G.chain_edges(G.paths(edges(t), nations.filter("node like '%1'"), nations, 2))
 
@@ -197,7 +197,7 @@ def g04_communities(t):
 
 @query()
 def g20_eigenvector(t):
-    """Eigenvector centrality and sizes."""
+    """Eigenvector centrality and sizes."""
     return G.node_sizes(G.eigenvector_centrality(edges(t), tolerance=1e-3).withColumn("centrality", F.round("centrality", 6)), "centrality")
 
 
@@ -211,7 +211,7 @@ def j10_accounts_by_company(t):
 
 @query("SELECT a.s, a.o, b.s AS other FROM edges a JOIN edges b ON a.o = b.o AND a.s <> b.s WHERE a.p = 'PART_OF' AND b.p = 'PART_OF'")
 def j11_shared_attribute(t):
-    """Who shares an attribute."""
+    """Who shares an attribute."""
     e = edges(t).filter("p = 'PART_OF'")
     return e.select("s", "o").join(e.select(F.col("s").alias("other"), "o"), "o").filter("s <> other").select("s", "o", "other")
 
@@ -232,7 +232,7 @@ def j16_neighbourhood(t):
 
 @query("""SELECT p AS predicate, count(*) AS n, (SELECT count(*) FROM (SELECT s FROM edges UNION SELECT o FROM edges)) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges FROM edges GROUP BY p ORDER BY n DESC, p LIMIT 10""")
 def a19_graph_stats(t):
-    """Nodes, edges and the ten most frequent predicates."""
+    """Nodes, edges and the ten most frequent predicates."""
     e = edges(t)
     nodes = e.select("s").union(e.select("o")).agg(F.count_distinct("s").alias("n_nodes"))
     by = R.top(e.groupBy(F.col("p").alias("predicate")).agg(F.count("*").alias("n")), 10, F.desc("n"), F.col("predicate"))

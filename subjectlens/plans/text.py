@@ -187,7 +187,7 @@ def d11_size_estimates(t):
 
 @query("""SELECT id, 'b' AS kept, CAST(json_extract(content, '$.k') AS VARCHAR) AS k, CAST(json_extract(content, '$.k') AS BIGINT) AS n, true AS bad_is_null FROM messages""")
 def d16_json_and_maps(t):
-    """Map merge (right wins), JSON fields, and null where JSON does not parse."""
+    """Map merge (right wins), JSON fields, and null where JSON does not parse."""
     merged = V.merged_map(F.create_map(F.lit("x"), F.lit("a"), F.lit("y"), F.lit("c")), F.create_map(F.lit("x"), F.lit("b")))
     doc = V.json_or_null(F.col("content"))
     return messages(t).select("id", F.try_element_at(merged, F.lit("x")).alias("kept"), F.try_variant_get(doc, "$.k", "string").alias("k"), F.try_variant_get(doc, "$.k", "long").alias("n"), V.json_or_null(F.lit("{broken")).isNull().alias("bad_is_null"))
@@ -209,7 +209,7 @@ k AS (SELECT *, unnest(CASE WHEN n <= 100 THEN [0] ELSE CAST(range(0, last + 1)
 s AS (SELECT *, CASE WHEN k < last THEN k * 80 ELSE least(last * 80, n - 20) END AS a, CASE WHEN k < last THEN least(k * 80 + 100, n) ELSE n END AS b FROM k)
 SELECT doc_id, k AS chunk_index, CASE WHEN n <= 100 THEN text ELSE array_to_string(w[a + 1:b], ' ') END AS text, CAST(CASE WHEN n <= 100 THEN n ELSE b - a END AS INT) AS word_count FROM s""")
 def t01_word_chunks(t):
-    """Word chunks of 100 with 20 words in common."""
+    """Word chunks of 100 with 20 words in common."""
     return chunking.word_chunks(t.documents, 100, 20)
 
 
