@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subjectlens.llm.components import components
@@ -241,18 +240,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return marked.join(of_fp, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, of which one stays for each component: the row with the smallest doc_id.
-
-    Rows that repeat this id are told apart by their text, and one of them stays.
-    """
-    stays = near_duplicates(docs, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    number = F.row_number().over(W.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in (["text"] if "text" in rest else rest)]))
-    return kept.withColumn("__number", number).filter("__number = 1").drop("__number")
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
