@@ -173,9 +173,18 @@ def _joined_blocks(docs: DataFrame, finders: list, schema: str) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, without those that hold an item's window."""
-    bad = contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs, all columns, without those that hold an item's window. Each row is judged by its own text, whatever its id."""
+    items, out, at = need(items, "item_id", "text").withColumn("text", text_of()), docs, docs.columns.index("text")
+    for block in _blocks(items):
+        tokens = {w for _, x in block for w in words_of(x)}
+        index = docs.sparkSession.sparkContext.broadcast(WindowIndex([("null" if i is None else i, x) for i, x in block], token_counts(docs, tokens), window))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not index.value.hits(words_of(x or ""))[0] for x in b.column(at).to_pylist()], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

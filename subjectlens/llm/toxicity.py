@@ -238,9 +238,16 @@ def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without those that the chain calls toxic. Rows that repeat an id go together."""
-    bad = toxicity(docs, fit_chain(docs, labels)).filter("toxic").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs, all columns, without those that the chain calls toxic. Each row is judged by its own text, whatever its id."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_chain(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = model.value.predict([features_of(x or "") for x in b.column(at).to_pylist()])
+            yield b.filter(pa.array(p[:, -1] < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

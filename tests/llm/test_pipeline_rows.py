@@ -2,7 +2,7 @@
 
 import random
 
-from subjectlens.llm import near_copies
+from subjectlens.llm import decontaminate, near_copies, toxicity
 
 
 def _words(rng, n):
@@ -39,3 +39,15 @@ def test_one_changed_word_in_a_hundred(spark):
     w = _words(random.Random(1), 100)
     rows = [(i, " ".join([*w[: 5 + i], f"new{i}", *w[6 + i :]])) for i in range(0, 80, 10)]
     assert [r.doc_id for r in near_copies.one_of_each(spark.createDataFrame([(100, " ".join(w)), *rows], "doc_id long, text string")).collect()] == [0]
+
+
+def test_clean_rows_stay_beside_bad_ones_of_their_id(spark):
+    rows = [(i, "you are a horrid idiot" if i % 3 == 0 else f"the weather is fine and mild today {i % 5}") for i in range(300)]
+    more = [(None, "you are a horrid idiot"), (None, "the weather is fine today"), (0, "the weather is mild today"), (None, None)]
+    docs = spark.createDataFrame([*rows, *more], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(1, 200)], "doc_id long, quality int, toxic int")
+    got = toxicity.without_toxic(docs.filter("text is not null"), labels).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in docs.collect() if "horrid" not in (r.text or "horrid"))
+    items = spark.createDataFrame([(1, "horrid idiot"), (2, "fine today"), (3, None)], "item_id long, text string")
+    left = [r for r in docs.collect() if not any(x in (r.text or "") for x in ("horrid idiot", "fine today"))]
+    assert sorted(map(str, decontaminate.decontaminated(docs, items).collect())) == sorted(map(str, left))
