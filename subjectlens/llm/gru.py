@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Units; steps of a training window; lanes trained, and scored, at once.
-HIDDEN, STEPS, LANES, SCORE_LANES, SCORE_STEPS = 32, 16, 128, 256, 32
+HIDDEN, STEPS, LANES, SCORE_LANES, SCORE_STEPS = 32, 16, 256, 256, 32
 RATE = 0.01
 
 
@@ -132,76 +132,82 @@ class Adam:
             p[k] -= fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
 
 
-def train(flat: np.ndarray, layout: Layout, chunks: Iterator[np.ndarray], rate: float = RATE) -> tuple[np.ndarray, int]:
-    """Trains on chunks of equal length, LANES at a time; the state goes on from window to window of a chunk.
+def train(flat: np.ndarray, layout: Layout, docs: Iterator[np.ndarray], rate: float = RATE) -> tuple[np.ndarray, int]:
+    """Trains on all symbols of the documents, each of which ends with the end symbol.
 
-    A chunk is symbols [before, first, ..., last]: -1 before the first symbol of a document. Returns weights and symbols seen.
+    Every lane takes one document after the other; the state goes on from window to window and begins anew with each
+    document. Returns weights and symbols seen.
     """
     p, seen = unpack(flat, layout), 0
-    best = Adam(p, rate)
-    held: list[np.ndarray] = []
-    for chunk in chunks:
-        held.append(chunk)
-        if len(held) == LANES:
-            seen += _train_lanes(p, layout, np.stack(held, 1), best)
-            held = []
-    if held:
-        seen += _train_lanes(p, layout, np.stack(held, 1), best)
-    return pack(p), seen
-
-
-def _train_lanes(p: dict, layout: Layout, x: np.ndarray, best: Adam) -> int:
-    """x: symbols by step and lane, the one before first; -2 after a chunk's end."""
+    best, docs = Adam(p, rate), iter(docs)
+    h, left = np.zeros((LANES, HIDDEN), np.float32), [np.empty(0, np.int32)] * LANES
+    x = np.full((STEPS + 1, LANES), -1, np.int32)
+    while True:
+        x[0], x[1:] = x[-1], -2
+        for k in range(LANES):
+            at = 1
+            while at <= STEPS:
+                if not len(left[k]):
+                    if (doc := next(docs, None)) is None:
+                        break
+                    left[k] = doc
+                part, left[k] = left[k][: STEPS + 1 - at], left[k][STEPS + 1 - at :]
+                x[at : at + len(part), k] = part
+                at += len(part)
+        n, h = _train_window(p, layout, x, h, best)
+        if not n:
+            return pack(p), seen
+        seen += n
+
+
+def _train_window(p: dict, layout: Layout, x: np.ndarray, h: np.ndarray, best: Adam) -> tuple[int, np.ndarray]:
+    """x: symbols by step and lane, the one before first; -2 where a lane has no more. h: the lanes' states. Returns symbols seen and states."""
     n, lanes, hidden = len(x) - 1, x.shape[1], HIDDEN
-    h, seen = np.zeros((lanes, hidden), np.float32), 0
-    for s in range(0, n, STEPS):
-        e = min(s + STEPS, n)
-        states, kept = [], []
-        for t in range(s, e):
-            before = x[t]
-            fresh = (before < 0) | (before == layout.end)
-            nxt, *rest = step(p, h, p["P"][np.maximum(before, 0)])
-            nxt[fresh] = 0
-            kept.append((h, fresh, before, rest))
-            states.append(nxt)
-            h = nxt
-        y = x[s + 1 : e + 1]
-        flat, real = np.concatenate(states), y.ravel() >= 0
-        m = int(real.sum())
-        if not m:
-            break
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        _, d = output(p, layout, flat[real], y.ravel()[real], g)
-        dh_all = np.zeros_like(flat)
-        dh_all[real] = d
-        dh_all = dh_all.reshape(e - s, lanes, hidden)
-        carry = np.zeros((lanes, hidden), np.float32)
-        inputs, dx = [], []
-        for t in range(e - s - 1, -1, -1):
-            before_h, fresh, before, (z, r, un, c) = kept[t]
-            dh = dh_all[t] + carry
-            dh[fresh] = 0
-            dz = dh * (before_h - c) * z * (1 - z)
-            dc = dh * (1 - z) * (1 - c * c)
-            dr = dc * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dc * r], 1)
-            g["U"] += before_h.T @ du
-            g["bn"] += du[:, 2 * hidden :].sum(0)
-            carry = dh * z + du @ p["U"].T
-            inputs.append(before)
-            dx.append(np.concatenate([dz, dr, dc], 1))
-        inputs, dx = np.concatenate(inputs), np.concatenate(dx)
-        ok = inputs >= 0
-        order = np.argsort(inputs[ok], kind="stable")
-        who, dx = inputs[ok][order], dx[ok][order]
-        if len(who):
-            heads = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-            g["P"][who[heads]] = np.add.reduceat(dx, heads)
-        for v in g.values():
-            v /= m
-        best.update(p, g)
-        seen += m
-    return seen
+    states, kept = [], []
+    for t in range(n):
+        before = x[t]
+        fresh = (before < 0) | (before == layout.end)
+        nxt, *rest = step(p, h, p["P"][np.maximum(before, 0)])
+        nxt[fresh] = 0
+        kept.append((h, fresh, before, rest))
+        states.append(nxt)
+        h = nxt
+    y = x[1:]
+    flat, real = np.concatenate(states), y.ravel() >= 0
+    m = int(real.sum())
+    if not m:
+        return 0, h
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    _, d = output(p, layout, flat[real], y.ravel()[real], g)
+    dh_all = np.zeros_like(flat)
+    dh_all[real] = d
+    dh_all = dh_all.reshape(n, lanes, hidden)
+    carry = np.zeros((lanes, hidden), np.float32)
+    inputs, dx = [], []
+    for t in range(n - 1, -1, -1):
+        before_h, fresh, before, (z, r, un, c) = kept[t]
+        dh = dh_all[t] + carry
+        dh[fresh] = 0
+        dz = dh * (before_h - c) * z * (1 - z)
+        dc = dh * (1 - z) * (1 - c * c)
+        dr = dc * un * r * (1 - r)
+        du = np.concatenate([dz, dr, dc * r], 1)
+        g["U"] += before_h.T @ du
+        g["bn"] += du[:, 2 * hidden :].sum(0)
+        carry = dh * z + du @ p["U"].T
+        inputs.append(before)
+        dx.append(np.concatenate([dz, dr, dc], 1))
+    inputs, dx = np.concatenate(inputs), np.concatenate(dx)
+    ok = inputs >= 0
+    order = np.argsort(inputs[ok], kind="stable")
+    who, dx = inputs[ok][order], dx[ok][order]
+    if len(who):
+        heads = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        g["P"][who[heads]] = np.add.reduceat(dx, heads)
+    for v in g.values():
+        v /= m
+    best.update(p, g)
+    return m, h
 
 
 def score(p: dict, layout: Layout, docs: list[np.ndarray]) -> np.ndarray:

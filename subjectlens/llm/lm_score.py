@@ -22,8 +22,6 @@ from subjectlens.llm.token_files import by_bytes
 FOLDS, HELD_OUT = 7, 2
 #: Words with an output of their own; the most words whose counts every worker holds (rarer ones are looked up by a join).
 WORDS, DICTIONARY = 1024, 262_144
-#: The weights are trained on one of SHARE chunks of every document, another one in each of ROUNDS rounds.
-SHARE, ROUNDS, CHUNK = 12, 2, 64
 #: Models averaged in one step.
 FAN_IN = 64
 #: Text bytes that are tokenised, and tokens that are scored, at once.
@@ -173,48 +171,36 @@ def encoded(docs: DataFrame, base) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, ids binary, n long, known long, base double, inner double, rare array<struct<w:string,m:long>>")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[np.ndarray]:
-    """From each document one of SHARE chunks of CHUNK symbols; which one follows from the document and the round."""
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     for b in batches:
-        for uid, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(data, "<u2").astype(np.int32)
-            first = (uid * 7 + turn * (SHARE // ROUNDS)) % SHARE
-            for k in range(first, -(-len(x) // CHUNK), SHARE):
-                out = np.full(CHUNK + 1, -2, np.int32)
-                part = x[k * CHUNK : (k + 1) * CHUNK]
-                out[0] = x[k * CHUNK - 1] if k else -1
-                out[1 : 1 + len(part)] = part
-                yield out
+        for data in b.column(0).to_pylist():
+            yield np.frombuffer(data, "<u2").astype(np.int32)
 
 
 def trained(table: DataFrame, base: Base) -> np.ndarray:
-    """Weights: in each round every partition trains on its own chunks, and the models are averaged, FAN_IN at a time.
+    """Weights: every partition trains on all symbols of its documents, and the models are averaged, FAN_IN at a time.
 
-    So the work is spread over all partitions, its amount is a fixed share of the corpus, and what moves is a model for
-    each partition.
+    So the work is spread over all partitions, and what moves is a model for each partition.
     """
     spark, layout = table.sparkSession, base.layout()
     flat = gru.initial(layout, base.symbol_counts())
-    rows = table.filter(~F.col("held_out")).select("uid", "ids")
+    rows = table.filter(~F.col("held_out")).select("ids")
     n = rows.rdd.getNumPartitions()
-    for turn in range(ROUNDS):
-        now = spark.sparkContext.broadcast(flat)
+    now = spark.sparkContext.broadcast(flat)
 
-        def run(batches: Iterator[pa.RecordBatch], turn=turn, now=now) -> Iterator[pa.RecordBatch]:
-            w, seen = gru.train(now.value, layout, _chunks(batches, turn), gru.RATE / (1 + 2 * turn))
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "w"])
-
-        models = rows.mapInArrow(run, "n long, w binary").filter("n > 0").withColumn("g", F.floor(F.spark_partition_id() / FAN_IN).cast("long"))
-        models, left = stash(models, "lm-models"), n
-        while left > FAN_IN:
-            models, left = stash(_averaged(models), "lm-models"), -(-left // FAN_IN)
-        total, size = None, 0
-        for r in models.toLocalIterator():  # at most FAN_IN models, one at a time
-            w = np.frombuffer(r.w, np.float32).astype(np.float64) * r.n
-            total, size = w if total is None else total + w, size + r.n
-        if size:
-            flat = (total / size).astype(np.float32)
-    return flat
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, seen = gru.train(now.value, layout, _symbols(batches))
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "w"])
+
+    models = rows.mapInArrow(run, "n long, w binary").filter("n > 0").withColumn("g", F.floor(F.spark_partition_id() / FAN_IN).cast("long"))
+    models, left = stash(models, "lm-models"), n
+    while left > FAN_IN:
+        models, left = stash(_averaged(models), "lm-models"), -(-left // FAN_IN)
+    total, size = None, 0
+    for r in models.toLocalIterator():  # at most FAN_IN models, one at a time
+        w = np.frombuffer(r.w, np.float32).astype(np.float64) * r.n
+        total, size = w if total is None else total + w, size + r.n
+    return (total / size).astype(np.float32) if size else flat
 
 
 def _averaged(models: DataFrame) -> DataFrame:
