@@ -55,8 +55,9 @@ def v05_item_status(t):
 SELECT vec_id, label, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10""")
 def r01_vector_search(t):
     """The ten nearest to one vector, which is a query's parameter."""
-    one = t.embeddings.filter("vec_id = 0").first()["embedding"]
-    return retrieval.vector_search(t.embeddings, one, 10).select("vec_id", "label", F.round("score", 6).alias("score"))
+    one = t.embeddings.filter("vec_id = 0").first()
+    found = t.embeddings.limit(0) if one is None else t.embeddings
+    return retrieval.vector_search(found, one["embedding"] if one else [0.0], 10).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT doc_id, least(1.0, 0.3 + 0.2 * 3)::DOUBLE AS score FROM documents WHERE (contains(lower(text), 'that') OR contains(lower(lang), 'that') OR contains(lower(source), 'that'))
@@ -66,6 +67,15 @@ def r07_document_search(t):
     return retrieval.keyword_search(t.documents, ["that", "src1"], ["text", "lang", "source"]).select("doc_id", "score")
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+q AS (SELECT row_number() OVER () AS r, vec_id AS query_id, e FROM v WHERE vec_id % 100 = 0), s AS (SELECT r, query_id, v.vec_id, round(list_cosine_similarity(v.e, q.e), 9) AS score FROM v, q)
+SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY s.score DESC, s.vec_id) <= 10""")
+def r02_vector_searches(t):
+    """The ten nearest to every vector whose id is divisible by 100."""
+    found = retrieval.nearest_of_each(t.embeddings.filter("vec_id % 100 = 0"), t.embeddings, 10)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 _RESULTS_SQL = """results AS (SELECT 'nation ' || n_name AS content, 0.8::DOUBLE AS score, n_nationkey AS seq, 'graph' AS source FROM nation UNION ALL SELECT 'nation ' || n_name, 0.5::DOUBLE, 1000 + n_nationkey, 'vector' FROM nation
 UNION ALL SELECT 'region ' || r_name, 0.9::DOUBLE, 2000 + r_regionkey, 'documents' FROM region)"""
 
