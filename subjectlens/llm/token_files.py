@@ -60,9 +60,12 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.plain = Tokenizer.from_file(path)  # for texts that hold the string of an added token
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # words are encoded without looking for such strings
+        for t in (self.tokenizer, self.plain):
+            t.no_padding()
+            t.no_truncation()
         self.dtype, self.width = np.dtype(dtype), np.dtype(dtype).itemsize
         self.code = {2: "H", 4: "I"}[self.width]
         #: Ids by word: "\nword" stands for itself, "word" for " word".
@@ -129,7 +132,18 @@ class WordCache:
         return found, odd
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text (no nulls). Words are looked up once for all texts."""
+        """The ids of each text (no nulls). Texts that hold the string of an added token are encoded whole."""
+        held = np.zeros(len(texts), bool)
+        for x in self.added:
+            held |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        if not held.any():
+            return self._by_words(texts)
+        rest = iter(self._by_words(texts.filter(pa.array(~held))))
+        whole = iter(texts.filter(pa.array(held)).to_pylist())
+        return [np.array(self.plain.encode(next(whole), add_special_tokens=False).ids, self.dtype).tobytes() if x else next(rest) for x in held.tolist()]
+
+    def _by_words(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text. Words are looked up once for all texts."""
         n = len(texts)
         if not n:
             return []
