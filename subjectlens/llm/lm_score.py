@@ -15,8 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subjectlens.llm import gru
-from subjectlens.llm.shared import need, read, stash, text_of
-from subjectlens.llm.token_files import by_bytes
+from subjectlens.llm.shared import by_bytes, need, read, stash, text_of
 
 #: Documents with crc32(id) mod FOLDS equal to HELD_OUT are not learnt from.
 FOLDS, HELD_OUT = 7, 2

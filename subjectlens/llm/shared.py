@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +21,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local one if all tasks run in this process."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found := f"file://{tempfile.mkdtemp(prefix='corpus-')}")
     return found.rstrip("/")
 
@@ -45,3 +51,13 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df.select(*columns)
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts add up to about so many bytes, or of one row."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty(0)
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, side="right")))
+        yield batch.slice(i, j - i)
+        i = j

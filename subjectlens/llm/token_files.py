@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from subjectlens.llm.shared import fresh_path, need, read, shared_dir, stash, text_of
+from subjectlens.llm.shared import by_bytes, fresh_path, need, read, shared_dir, stash, text_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -179,16 +179,6 @@ def word_cache(path: str, dtype: str) -> WordCache:
     return WordCache(path, dtype)
 
 
-def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose texts add up to about so many bytes, or of one row."""
-    total = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty(0)
-    i = 0
-    while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, side="right")))
-        yield batch.slice(i, j - i)
-        i = j
-
-
 def with_ids(docs: DataFrame, path: str, dtype: str, end_id: int) -> DataFrame:
     """(doc_id, n, ids): the ids of each text with the end id, as little-endian unsigned integers."""
     end, width = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize

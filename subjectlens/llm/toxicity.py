@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subjectlens.llm.decontaminate import words_of
-from subjectlens.llm.shared import need, read, stash, text_of
+from subjectlens.llm.shared import by_bytes, need, read, stash, text_of
 
 #: Label columns in the order of the chain.
 CATEGORIES = ("quality", "toxic")
@@ -24,6 +27,8 @@ FOLDS = 5
 MOST_FEATURES, LEAST_Z, LEAST_DOCUMENTS = 4096, 3.0, 2
 #: A document is toxic from this probability of the last category.
 THRESHOLD = 0.5
+#: Text bytes that become features at once; documents whose features are counted at once.
+TEXT_BYTES, COUNTED = 2 << 20, 1000
 #: A word of at least LONG letters also counts by its first STEM bytes.
 LONG, STEM = 6, 4
 
@@ -70,10 +75,13 @@ def log_odds(p: np.ndarray) -> np.ndarray:
 
 
 class Chain:
-    """The fitted models. A category's rows hold feature numbers; `models` has (features, weights) in chain order."""
+    """The fitted models. A category's rows hold feature numbers; `models` has (features, weights) in chain order.
 
-    def __init__(self, categories: Sequence[str], models: list[tuple[dict[bytes, int], np.ndarray]]):
-        self.categories, self.models = tuple(categories), models
+    `shares`: how many of the labelled documents have each label; the probability for a text without any known feature.
+    """
+
+    def __init__(self, categories: Sequence[str], models: list[tuple[dict[bytes, int], np.ndarray]], shares: np.ndarray):
+        self.categories, self.models, self.shares = tuple(categories), models, shares
         self.every = set().union(*(m[0] for m in models))
 
     def predict(self, features: list[set[bytes]]) -> np.ndarray:
@@ -83,6 +91,7 @@ class Chain:
         for at, weights in self.models:
             rows = [np.fromiter((at[f] for f in fs if f in at), np.int64) for fs in features]
             out = np.c_[out, probability(rows, log_odds(out), weights)]
+        out[[not f for f in features]] = self.shares
         return out
 
 
@@ -97,7 +106,7 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> Da
     schema = "doc_id long, fold int, y array<int>, features array<binary>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 3, TEXT_BYTES)):
             found = [sorted(features_of(x)) for x in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.list_(pa.binary()))], names=["doc_id", "fold", "y", "features"])
 
@@ -114,11 +123,11 @@ class Counts(NamedTuple):
 
 
 def _feature_counts(sample: DataFrame, n: int) -> list[Counts]:
-    """Counts of the features that some fold's model or the last one may choose, the best first."""
+    """Counts of the features that some model may choose: for each model the best MOST_FEATURES by what its own folds say."""
     typed = pa.schema([("f", pa.binary()), ("fold", pa.int32()), ("n", pa.int64()), *[(f"c{i}", pa.int64()) for i in range(n)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, COUNTED) for whole in batches for i in range(0, whole.num_rows, COUNTED)):
             counts = [Counter() for _ in range(n + 1)]
             for fold, y, fs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 keys = [(f, fold) for f in fs]
@@ -131,26 +140,30 @@ def _feature_counts(sample: DataFrame, n: int) -> list[Counts]:
 
     sums = [F.sum(c).alias(c) for c in ("n", *[f"c{i}" for i in range(n)])]
     parts = sample.select("fold", "y", "features").mapInArrow(run, "f binary, fold int, n long, " + ", ".join(f"c{i} long" for i in range(n)))
-    by_fold = parts.groupBy("f", "fold").agg(*sums)
-    sized = sample.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.get("y", F.lit(i))).alias(f"c{i}") for i in range(n)]).collect()
-    total = np.array([[r[f"c{i}"] or 0 for i in range(n)] for r in sized]).sum(0), sum(r.n for r in sized)
-
-    def z(i: int):
-        ones, size = float(total[0][i]), float(total[1])
-        zeros, hits = size - ones, F.col(f"c{i}")
-        p = F.col("n") / size
-        spread = F.sqrt(p * (1 - p) * (1 / max(ones, 0.5) + 1 / max(zeros, 0.5)))
-        return F.abs(hits / max(ones, 0.5) - (F.col("n") - hits) / max(zeros, 0.5)) / F.greatest(spread, F.lit(1e-9))
-
-    whole = by_fold.groupBy("f").agg(F.collect_list(F.struct("fold", "n", *[f"c{i}" for i in range(n)])).alias("folds"), *sums)
-    whole = whole.filter(F.col("n") >= LEAST_DOCUMENTS).withColumn("z", F.greatest(*[z(i) for i in range(n)], F.lit(0.0)))
+    sized = {r.fold: r for r in sample.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.get("y", F.lit(i))).alias(f"c{i}") for i in range(n)]).collect()}
+    known = lambda c, use: float(sum(sized[k][c] or 0 for k in use if k in sized))
+    counted = lambda c, use: reduce(add, [F.coalesce(F.try_element_at(c, F.lit(k)), F.lit(0)) for k in use])
+
+    def z(i: int, skip: int | None):
+        use = [k for k in range(FOLDS) if k != skip]
+        size, one = known("n", use), known(f"c{i}", use)
+        zero = size - one
+        if not one or not zero:
+            return F.lit(0.0)
+        docs, hits = counted("n", use), counted(f"c{i}", use)
+        p = docs / size
+        spread = F.greatest(F.sqrt(p * (1 - p) * (1 / one + 1 / zero)), F.lit(1e-9))
+        return F.when(docs >= LEAST_DOCUMENTS, F.abs(hits / one - (docs - hits) / zero) / spread).otherwise(0.0)
+
+    by_fold = parts.groupBy("f", "fold").agg(*sums).groupBy("f")
+    whole = by_fold.agg(*[F.map_from_entries(F.collect_list(F.struct("fold", c))).alias(c) for c in ("n", *[f"c{i}" for i in range(n)])])
+    models = [(i, skip) for i in range(n) for skip in [*(range(FOLDS) if i < n - 1 else ()), None]]
+    rated = F.filter(F.array(*[F.struct(F.lit(m).alias("m"), z(*k).alias("z")) for m, k in enumerate(models)]), lambda x: x["z"] >= LEAST_Z)
+    best = whole.select("*", F.explode(rated).alias("r")).withColumn("place", F.row_number().over(W.partitionBy("r.m").orderBy(F.desc("r.z"), "f")))
+    kept = best.filter(F.col("place") <= MOST_FEATURES).groupBy("f").agg(*[F.first(c).alias(c) for c in ("n", *[f"c{i}" for i in range(n)])])
     out = []
-    for r in whole.filter(F.col("z") >= LEAST_Z / 2).orderBy(F.desc("z"), "f").limit(2 * MOST_FEATURES).select("f", "folds").collect():
-        docs, ones = np.zeros(FOLDS), np.zeros((FOLDS, n))
-        for x in r.folds:
-            docs[x["fold"]] = x["n"]
-            ones[x["fold"]] = [x[f"c{i}"] for i in range(n)]
-        out.append(Counts(bytes(r.f), docs, ones))
+    for r in kept.orderBy("f").collect():  # MOST_FEATURES rows at most for each of the models
+        out.append(Counts(bytes(r.f), np.array([r.n.get(k, 0) for k in range(FOLDS)], float), np.array([[r[f"c{i}"].get(k, 0) for i in range(n)] for k in range(FOLDS)], float)))
     return out
 
 
@@ -174,8 +187,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
 
     Each model's features are chosen from counts made by Spark. The first category's out-of-fold probabilities (from
     models, features included, that have not seen the document) are inputs when the second model is trained, and so
-    on. Without labels, or with labels of one
-    kind only, the probability is the share of that kind.
+    on. Without labels, or with labels of one kind only, the probability is the share of that kind. A document whose
+    labels contradict each other has a label if one of them says so.
     """
     n = len(categories)
     sample = _sample(docs, labels, categories)
@@ -214,13 +227,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
             elif (test := np.flatnonzero(fold == skip)).size:
                 out[test] = probability([sets[k] for k in test], extra[test], weights)
         held = np.c_[held, out]
-    return Chain(categories, models)
+    return Chain(categories, models, y.mean(0) if len(rows) else np.zeros(n))
 
 
 def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, p_<category> for each category of the chain, and toxic.
 
-    Null text counts as empty and has no features; rows that repeat an id are rated one by one; a null doc_id is kept;
+    Null text counts as empty. A text without a feature of the models, such as an empty one, has the shares of the labels
+    among the documents learnt from as its probabilities. Rows that repeat an id are rated one by one; a null doc_id is kept;
     an empty table gives an empty result; further columns are ignored.
     """
     docs = need(docs, "doc_id", "text")
@@ -228,7 +242,7 @@ def toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 1, TEXT_BYTES)):
             p = model.value.predict([features_of(x) for x in b.column(1).to_pylist()])
             toxic = pa.array(p[:, -1] >= THRESHOLD)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(p[:, i]) for i in range(p.shape[1])), toxic], names=["doc_id", *names, "toxic"])
@@ -243,7 +257,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, at, TEXT_BYTES)):
             p = model.value.predict([features_of(x or "") for x in b.column(at).to_pylist()])
             yield b.filter(pa.array(p[:, -1] < THRESHOLD))
 
