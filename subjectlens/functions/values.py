@@ -5,12 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Progress of a request by status, and the status that a message's class leads to.
-PROGRESS = {"draft": 0, "sent": 10, "action_required": 40, "processing": 60, "completed": 100}
+ISO_DATE = r"\b(\d{4}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?Z?)?)\b"
+COMMON_DATE = r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b"
+
+# ---- fixed values: progress of a request by status, and the status that a message's class leads to
+
+PROGRESS = {"draft": 0, "scheduled": 10, "processing": 40, "action_required": 60, "completed": 100}
 STATUS_OF_CLASS = {
-    "ACKNOWLEDGED": "processing", "DATA_RECEIVED": "completed", "COMPLETED": "completed", "ID_REQUIRED": "action_required", "CLARIFICATION": "action_required",
-    "REJECTED": "action_required", "EXTENSION": "processing", "IN_PROGRESS": "processing", "PORTAL": "action_required", "BOUNCED": "action_required",
-}
+    "ACKNOWLEDGMENT": "processing",
+    "VERIFICATION_NEEDED": "action_required",
+    "PROCESSING": "processing",
+    "DATA_READY": "data_available",
+    "DATA_ATTACHED": "data_received",
+    "PARTIAL_DATA": "partial_data",
+    "REJECTION": "rejected",
+    "EXTENSION": "extended",
+    "CLARIFICATION": "action_required",
+    "COMPLETION": "completed",
+}
+#: Lists that a JSON value is cut to, and places around a date that make its context.
+MOST_ROWS, BEFORE_DATE, AFTER_DATE = 250, 80, 140
+
+# ---- end of fixed values
+
+
+def progress(status: Column) -> Column:
+    """0 for any other status."""
+    pairs = F.create_map(*[F.lit(x) for kv in PROGRESS.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, status), F.lit(0))
+
+
+def status_of_class(label: Column) -> Column:
+    """Null where the class does not change the status."""
+    pairs = F.create_map(*[F.lit(x) for kv in STATUS_OF_CLASS.items() for x in kv])
+    return F.try_element_at(pairs, label)
+
+
+def day_or_null(text: Column) -> Column:
+    """The day of a date or ISO time, null where the text is neither."""
+    plain = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")))
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.try_to_timestamp(text))
+    return F.to_date(F.coalesce(plain, iso))
+
+
+def noted(notes: Column, time: Column, text: Column) -> Column:
+    """Notes with one more, after a blank line, its time in brackets."""
+    return F.concat(F.coalesce(notes, F.lit("")), F.lit("\n\n["), time, F.lit("] "), text)
+
+
+def timeline(text: Column, most: int = 1000) -> Column:
+    """(date, label) of the dates in a text, ISO dates first, each at its first place with what stands around it."""
+    most_before = F.lit(BEFORE_DATE)
+
+    def around(at: Column) -> Column:
+        first = F.greatest(at - most_before, F.lit(0))
+        return F.regexp_replace(F.substring(text, first + 1, at + AFTER_DATE - first), r"\s+", " ")
+
+    def found(pattern: str) -> Column:
+        values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.transform(F.split(text, pattern), F.length)
+        before = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n) + F.aggregate(F.slice(values, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+        return F.transform(values, lambda v, i: F.struct(v.alias("date"), around(before(i)).alias("label")))
+
+    both = F.concat(found(ISO_DATE), found(COMMON_DATE))
+    names = F.transform(both, lambda x: x["date"])
+    return F.slice(F.filter(both, lambda x, i: F.array_position(names, x["date"]) == i + 1), 1, most)
 
 
 def deadline(created: Column, days: int = 30) -> Column:
@@ -56,8 +114,8 @@ def coordinates(text: Column, most: int = 1000) -> Column:
 
 def dates(text: Column) -> Column:
     """ISO dates, then day/month/year dates, each once."""
-    iso = F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?Z?)?)\b"), F.lit(1))
-    common = F.regexp_extract_all(text, F.lit(r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b"), F.lit(1))
+    iso = F.regexp_extract_all(text, F.lit(ISO_DATE), F.lit(1))
+    common = F.regexp_extract_all(text, F.lit(COMMON_DATE), F.lit(1))
     return F.array_distinct(F.concat(iso, common))
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,45 +21,71 @@ def check_sizes(size: int, overlap: int) -> int:
     return size - overlap
 
 
+def check_bounds(size: int, overlap: int, most: int) -> None:
+    """Sizes of 50 to 2000 words, overlaps of 0 to 500, chunks of at least 100 words at most."""
+    check_sizes(size, overlap)
+    if not (50 <= size <= 2000 and overlap <= 500 and most >= 100):
+        raise ValueError("size must be 50 to 2000, overlap 0 to 500, most at least 100")
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def _numbers(n: Column) -> Column:
+    """0 .. n - 1."""
+    return F.sequence(F.lit(0), n.cast("int") - 1)
+
+
 def word_chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """(doc_id, chunk_index, text, word_count). A short text is one chunk as it is; a blank one has none.
 
-    Chunk k starts at word k * step; the last one ends with the text. Starts are a sequence, so nothing is searched.
+    Chunk k starts at word k * step; the last one ends with the text. Chunks are built inside the row, so no row carries
+    the whole text once for each of them.
     """
     step = check_sizes(size, overlap)
-    n = F.size("w")
-    last = F.greatest(F.lit(1), F.ceil(n / step) - 1)
-    start = F.when(F.col("k") < last, F.col("k") * step).otherwise(F.least(last * step, n - overlap))
-    stop = F.when(F.col("k") < last, F.least(start + size, n)).otherwise(n)
     rows = docs.select("doc_id", "text", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    rows = rows.select("doc_id", "text", "w", F.explode(F.when(n <= size, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last))).alias("k"))
-    body = F.array_join(F.slice("w", (start + 1).cast("int"), (stop - start).cast("int")), " ")
-    short = n <= size
-    return rows.select("doc_id", F.col("k").cast("int").alias("chunk_index"), F.when(short, F.col("text")).otherwise(body).alias("text"), F.when(short, n).otherwise(stop - start).cast("int").alias("word_count"))
+    n = F.size("w")
+    last = F.greatest(F.lit(1), F.ceil(n / step) - 1).cast("int")
+
+    def chunk(k: Column) -> Column:
+        start = F.when(k < last, k * step).otherwise(F.least(last * step, n - overlap))
+        stop = F.when(k < last, F.least(k * step + size, n)).otherwise(n)
+        return F.struct(F.array_join(F.slice("w", start + 1, stop - start), " ").alias("text"), (stop - start).alias("word_count"))
+
+    whole = F.array(F.struct(F.col("text").alias("text"), n.alias("word_count")))
+    chunks = F.when(n <= size, whole).otherwise(F.transform(_numbers(last + 1), chunk))
+    return rows.select("doc_id", F.posexplode(chunks).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.text", "c.word_count")
 
 
 def offset_chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """(doc_id, chunk_index, start_offset, end_offset, text, word_count); offsets in code points.
 
-    Pieces are words with the white space before them, so an offset is the length of the pieces before.
+    Pieces are words with the white space before them. Lengths are added up once for each step, then over the steps, so
+    the work grows with the text and not with its square.
     """
     step = check_sizes(size, overlap)
     pieces = F.regexp_extract_all("text", F.lit(r"\s*\S+"), F.lit(0))
     rows = docs.select("doc_id", "text", pieces.alias("w")).filter(F.size("w") > 0)
     n = F.size("w")
-    rows = rows.select("doc_id", "text", "w", F.explode(F.when(n <= size, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.ceil((n - size) / step)))).alias("k"))
-    short = n <= size
-    first, stop = (F.col("k") * step).cast("int"), F.least(F.col("k") * step + size, n).cast("int")
-    length = lambda to: F.length(F.array_join(F.slice("w", F.lit(1), to), ""))
-    gap = F.length(F.regexp_extract(F.get("w", first), r"^(\s*)", 1))
-    start = F.when(short, 0).otherwise(length(first) + gap)
-    end = F.when(short, F.length("text")).otherwise(length(stop))
-    text = F.when(short, F.regexp_replace("text", r"^\s+|\s+$", "")).otherwise(F.substring(F.col("text"), start + 1, end - start))
-    return rows.select("doc_id", F.col("k").cast("int").alias("chunk_index"), start.cast("int").alias("start_offset"), end.cast("int").alias("end_offset"), text.alias("text"), F.when(short, n).otherwise(stop - first).cast("int").alias("word_count"))
+    total = lambda first, k: F.aggregate(F.slice("w", first, k), F.lit(0), lambda a, x: a + F.length(x))
+    count = F.ceil((n - size) / step).cast("int") + 1
+    steps = F.when(n > size, F.transform(_numbers(count - 1), lambda k: total(k * step + 1, F.lit(step))))
+    before = F.aggregate(F.when(count > 1, steps).otherwise(F.array().cast("array<int>")), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    rows = rows.select("doc_id", "text", "w", F.when(n > size, before).alias("before"))
+
+    def chunk(start: Column, k: Column) -> Column:
+        first, held = k * step + 1, F.least(F.lit(size), n - k * step)
+        raw = F.array_join(F.slice("w", first, held), "")
+        body = F.regexp_replace(raw, r"^\s+", "")
+        end = start + F.length(raw)
+        return F.struct((end - F.length(body)).alias("start_offset"), end.alias("end_offset"), body.alias("text"), held.alias("word_count"))
+
+    trimmed = F.regexp_replace("text", r"^\s+|\s+$", "")
+    whole = F.array(F.struct(F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"), trimmed.alias("text"), n.alias("word_count")))
+    chunks = F.when(n <= size, whole).otherwise(F.transform("before", chunk))
+    out = rows.select("doc_id", F.posexplode(chunks).alias("chunk_index", "c"))
+    return out.select("doc_id", "chunk_index", "c.start_offset", "c.end_offset", "c.text", "c.word_count")
 
 
 def sentences(text: Column) -> Column:
@@ -82,10 +109,21 @@ def packed(lengths: list[int], size: int, overlap: int, most: int) -> list[tuple
         while k - 1 > i and back + lengths[k - 1] <= overlap:
             k -= 1
             back += lengths[k]
+        while k < j and back + lengths[j] > most:  # so the next chunk has room for a sentence that is new
+            back -= lengths[k]
+            k += 1
         i = k
     return out
 
 
+def word_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """T02 for one text: start and end offsets of its chunks."""
+    spans, step = [m.span() for m in re.finditer(r"\S+", text)], size - overlap
+    if len(spans) <= size:
+        return [(0, len(text))] if spans else []
+    return [(spans[k][0], spans[min(k + size, len(spans)) - 1][1]) for k in range(0, -(-(len(spans) - size) // step) * step + 1, step)]
+
+
 def packed_lines(lengths: list[int], most: int) -> list[tuple[int, int]]:
     """Line ranges of at most `most` characters with their line breaks; a longer line is alone."""
     out, i = [], 0
@@ -99,38 +137,48 @@ def packed_lines(lengths: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
-def _ranges(docs: DataFrame, cut) -> DataFrame:
-    """(doc_id, chunk_index, text, word_count): cut(text) gives the chunks of one text. Batches go through one by one."""
+def _spans(docs: DataFrame, cut: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+    """(doc_id, chunk_index, start_offset, end_offset, text, word_count): cut(text) gives the chunks of one text as offsets."""
+    typed = pa.schema([("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("text", pa.string()), ("word_count", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                rows = [(d, k, c, len(c.split())) for d, t in zip(b.column(0).slice(i, 256).to_pylist(), b.column(1).slice(i, 256).to_pylist(), strict=True) for k, c in enumerate(cut(t or ""))]
-                cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32())], names=["doc_id", "chunk_index", "text", "word_count"])
+                ids, texts = (b.column(c).slice(i, 256).to_pylist() for c in (0, 1))
+                rows = [(d, k, a, e, t[a:e], len(t[a:e].split())) for d, t in zip(ids, texts, strict=True) if t for k, (a, e) in enumerate(cut(t))]
+                columns = list(zip(*rows, strict=True)) or [[]] * len(typed)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, typed, strict=True)], schema=typed)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, chunk_index int, text string, word_count int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, chunk_index int, start_offset int, end_offset int, text string, word_count int")
 
 
-def sentence_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, most: int = 800) -> DataFrame:
-    """T04."""
-    check_sizes(size, overlap)
+def sentence_spans(text: str, size: int, overlap: int, most: int) -> list[tuple[int, int]]:
+    """T04 for one text; one of two sentences or fewer is cut by words."""
+    found, at = [], 0
+    for m in re.finditer(SENTENCE_END, text):
+        found.append((at, m.start()))
+        at = m.end()
+    found.append((at, len(text)))
+    if len(found) <= 2:
+        return word_spans(text, size, overlap)
+    return [(found[a][0], found[b - 1][1]) for a, b in packed([len(text[x:y].split()) for x, y in found], size, overlap, most)]
 
-    def cut(text: str) -> list[str]:
-        found = [s for s in (x.strip() for x in re.split(SENTENCE_END, text)) if s]
-        return [" ".join(found[a:b]) for a, b in packed([len(s.split()) for s in found], size, overlap, most)]
 
-    return _ranges(docs, cut)
+def sentence_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, most: int = 800) -> DataFrame:
+    """Sentences packed into chunks with offsets. Null and empty texts have none."""
+    check_bounds(size, overlap, most)
+    return _spans(docs, lambda text: sentence_spans(text, size, overlap, most))
 
 
 def line_chunks(docs: DataFrame, most: int = 3000) -> DataFrame:
-    """T08."""
+    """Lines packed into chunks of at most `most` characters."""
 
-    def cut(text: str) -> list[str]:
-        lines = text.split("\n")
-        return ["\n".join(lines[a:b]) for a, b in packed_lines([len(x) for x in lines], most)]
+    def cut(text: str) -> list[tuple[int, int]]:
+        ends = list(itertools.accumulate(len(x) + 1 for x in text.split("\n")))
+        starts = [0, *ends]
+        return [(starts[a], ends[b - 1] - 1) for a, b in packed_lines([e - s - 1 for s, e in zip(starts, ends, strict=False)], most)]
 
-    return _ranges(docs, cut)
+    return _spans(docs, cut)
 
 
 def token_chunks(docs: DataFrame, tokens: int = 400, overlap: int = 40) -> DataFrame:

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subjectlens.functions.text import short_predicate
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir): rounds start from files that outlive executors."""
-    spark: SparkSession = df.sparkSession
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        spark.conf.set("spark.checkpoint.dir", folder := f"file://{tempfile.mkdtemp(prefix='graph-')}")
-    df.write.parquet(path := f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+from subjectlens.operators.tables import written
 
 
 def adjacency(triples: DataFrame, directed: bool = True) -> DataFrame:
@@ -29,15 +18,17 @@ def adjacency(triples: DataFrame, directed: bool = True) -> DataFrame:
     return links.groupBy("node").agg(F.array_sort(F.collect_set("other")).alias("neighbours"))
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for edges(s, o): the smallest name that can be reached.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of edges(u, v); root is the smallest node that can be reached.
 
     Star contraction: each round links every node to the smallest in reach, so rounds grow with the logarithm of the
-    largest component. Minima are partial aggregates; no node's neighbours are gathered.
+    largest component, and each starts from files in the shared folder. Minima are partial aggregates joined back, one
+    row a node, so a node with very many neighbours is never gathered; the join's partitions that it makes large are
+    split by adaptive execution. Nulls are ignored; a loop of a node to itself keeps it as its own root.
     """
-    e = edges.select(F.lower("s").alias("u"), F.lower("o").alias("v"))
+    e = edges.filter("u is not null and v is not null").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     nodes = written(e.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
-    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    e = written(e.filter("u <> v"), "edges")
     before = None
     while True:
         both = e.union(e.select("v", "u"))
@@ -51,7 +42,12 @@ def weak_components(edges: DataFrame) -> DataFrame:
             break
         before = after
     root = e.groupBy("u").agg(F.min("v").alias("root"))
-    return nodes.join(root, F.col("node") == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("component"))
+    return nodes.join(root, F.col("node") == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for edges(s, o): the smallest name that can be reached."""
+    return components(edges.select(F.lower("s").alias("u"), F.lower("o").alias("v"))).withColumnRenamed("root", "component")
 
 
 def transitive(triples: DataFrame, confidence: float = 0.6) -> DataFrame:
@@ -69,21 +65,34 @@ def transitive(triples: DataFrame, confidence: float = 0.6) -> DataFrame:
 def similar_names(names: DataFrame, existing: DataFrame, least: float = 0.8) -> DataFrame:
     """(s, o, confidence): pairs of names(name) whose word sets have a Jaccard similarity of at least `least`, s < o.
 
-    Prefix filter: words are ordered by rarity, and similar names share one among the first n - ceil(least n) + 1, so
-    only rare words make candidates. Pairs that existing(s, o) links either way are left out.
+    Prefix filter: words are numbered by rarity, and similar names share words among their first, rarest ones. Above a
+    similarity of one half two words at least are shared, so names meet under pairs of words, which are far rarer than
+    words. Sizes are compared before names meet, candidates are numbers, and the words come back once to verify them.
+    Pairs that existing(s, o) links either way are left out.
     """
     words = F.array_distinct(F.filter(F.split(F.lower("name"), r"\s+"), lambda w: w != ""))
     rows = names.select("name", words.alias("w")).filter(F.size("w") > 0).distinct()
     flat = rows.select("name", F.explode("w").alias("x"))
     counts = flat.groupBy("x").agg(F.count("*").alias("c"))
-    ordered = flat.join(counts, "x").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("w"))
-    n = F.size("w")
-    prefix = ordered.select("name", "w", F.explode(F.slice("w", F.lit(1), (n - F.ceil(least * n) + 1).cast("int"))).alias("t"))
-    left = prefix.select(F.col("name").alias("s"), F.transform("w", lambda x: x["x"]).alias("a"), F.col("t.x").alias("t"))
-    right = prefix.select(F.col("name").alias("o"), F.transform("w", lambda x: x["x"]).alias("b"), F.col("t.x").alias("t"))
-    pairs = left.join(right, "t").filter((F.col("s") < F.col("o")) & (F.size("b") >= least * F.size("a")) & (F.size("a") >= least * F.size("b")))
-    jaccard = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
-    pairs = pairs.withColumn("confidence", jaccard).filter(F.col("confidence") >= least).select("s", "o", "confidence").distinct()
+    ordered = flat.join(counts, "x").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", F.xxhash64("x").alias("h")))), lambda x: x["h"]).alias("w"))
+    ordered = written(ordered.select(F.xxhash64("name", F.lit("name")).alias("id"), "name", "w"), "names")
+    n, share = F.size("w"), 2 if least > 0.5 else 1
+    head = F.slice("w", F.lit(1), F.least(n, (n - F.ceil(least * n) + share).cast("int")))
+    if share == 2:
+        pairs_of = F.flatten(F.transform(head, lambda a, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda b: F.xxhash64(F.least(a, b), F.greatest(a, b)))))
+        keys = F.when(n == 1, head).otherwise(pairs_of)
+    else:
+        keys = head
+    keyed = ordered.select("id", n.alias("n"), F.explode(keys).alias("key"))
+    left = keyed.select("key", F.col("id").alias("i"), F.col("n").alias("m"))
+    right = keyed.select("key", F.col("id").alias("j"), "n")
+    met = left.join(right, "key").filter((F.col("i") < F.col("j")) & (F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n")))
+    met = met.select("i", "j").distinct()
+    of = lambda i, name, w: ordered.select(F.col("id").alias(i), F.col("name").alias(name), F.col("w").alias(w))
+    both = met.join(of("i", "x", "a"), "i").join(of("j", "y", "b"), "j")
+    shared = F.size(F.array_intersect("a", "b"))
+    both = both.withColumn("confidence", shared / (F.size("a") + F.size("b") - shared)).filter(F.col("confidence") >= least)
+    pairs = both.select(F.least("x", "y").alias("s"), F.greatest("x", "y").alias("o"), "confidence")
     known = existing.select(F.lower("s").alias("s"), F.lower("o").alias("o"))
     return pairs.join(known.union(known.select("o", "s")).distinct(), ["s", "o"], "left_anti")
 
@@ -120,20 +129,26 @@ def degree_centrality(triples: DataFrame) -> DataFrame:
     return degree.join(F.broadcast(n)).select(F.col("u").alias("node"), "degree", F.try_divide(F.col("degree").cast("double"), F.col("n") - 1).alias("centrality"))
 
 
-def eigenvector_centrality(triples: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """Power iteration by joins; stops when the mean change is below the tolerance, 0 for all if it never is."""
+def eigenvector_centrality(triples: DataFrame, rounds: int = 100, tolerance: float = 1e-6, together: int = 4) -> DataFrame:
+    """Power iteration by joins; stops when the mean change is below the tolerance, 0 for all if it never is.
+
+    `together` rounds make one job, which writes its result; one more reads the norm and the change of the last round.
+    """
     e = triples.select(F.lower("s").alias("u"), F.lower("o").alias("v")).filter("u <> v")
     both = written(e.union(e.select("v", "u")).distinct(), "eigen")
     x = both.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0))
     n = x.count()
-    for i in range(rounds):
-        sent = both.join(x, F.col("v") == F.col("node")).groupBy("u").agg(F.sum("x").alias("got"))
-        y = x.join(sent, F.col("node") == F.col("u"), "left").select("node", "x", (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("y"))
+    for _ in range(0, rounds, together):
+        y = x.withColumn("y", F.col("x"))
+        for _ in range(together):
+            sent = both.join(y.select("node", F.col("y").alias("x")), F.col("v") == F.col("node")).groupBy("u").agg(F.sum("x").alias("got"))
+            y = y.join(sent, F.col("node") == F.col("u"), "left").select("node", F.col("y").alias("x"), (F.col("y") + F.coalesce("got", F.lit(0.0))).alias("y"))
         y = written(y, "eigen")
-        norm = (y.agg(F.sum(F.col("y") * F.col("y"))).first()[0] or 1.0) ** 0.5
-        off = y.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0] or 0.0
+        norms = F.broadcast(y.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("a"), F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("b")))  # one row
+        last = y.join(norms).agg(F.first("b").alias("norm"), F.sum(F.abs(F.col("y") / F.col("b") - F.col("x") / F.col("a"))).alias("off")).first()
+        norm = last.norm or 1.0
         x = y.select("node", (F.col("y") / norm).alias("x"))
-        if i and off < n * tolerance:
+        if (last.off or 0.0) < n * tolerance:
             return x.withColumnRenamed("x", "centrality")
     return x.select("node", F.lit(0.0).alias("centrality"))
 
@@ -150,6 +165,142 @@ def label_propagation(triples: DataFrame, rounds: int = 5) -> DataFrame:
     return label
 
 
+# ---- fixed values
+
+COMMUNITY_COLORS = ("#1f77b4", "#ff7f0e", "#2ca02c", "#d62728", "#9467bd", "#8c564b", "#e377c2", "#7f7f7f", "#bcbd22", "#17becf")
+#: Weights of degree, betweenness and eigenvector centrality.
+CENTRALITY_WEIGHTS = (0.4, 0.4, 0.2)
+
+# ---- end of fixed values
+
+
+def betweenness_centrality(triples: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(node, centrality): the share of shortest paths between other nodes that run through a node, undirected.
+
+    Breadth-first levels from all nodes at once, each with its number of shortest paths, then the levels back: what a
+    node passes on is its share of the paths of the nodes after it. Every step is a join and a sum over (source, node)
+    pairs, so the work is spread over all pairs; no graph is gathered anywhere.
+    """
+    e = triples.select(F.lower("s").alias("u"), F.lower("o").alias("v"))
+    nodes = written(e.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "between")
+    e = e.filter("u <> v")
+    both = written(e.union(e.select("v", "u")).distinct(), "between")
+    levels = [written(nodes.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "between")]
+    seen = levels[0].select("source", "node")
+    for _ in range(rounds):
+        step = levels[-1].join(both, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
+        front = written(step.join(seen, ["source", "node"], "left_anti"), "between")
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = seen.unionByName(front.select("source", "node"))
+    passed = None
+    total = None
+    for depth in range(len(levels) - 1, 0, -1):
+        front = levels[depth]
+        own = front.withColumn("part", F.lit(0.0)) if passed is None else front.join(passed, ["source", "node"], "left").withColumn("part", F.coalesce("got", F.lit(0.0)))
+        own = written(own.select("source", "node", "paths", "part"), "between")
+        total = own.select("node", "part") if total is None else total.unionByName(own.select("node", "part"))
+        before = levels[depth - 1].select(F.col("source").alias("from"), F.col("node").alias("near"), F.col("paths").alias("less"))
+        back = own.join(both, F.col("node") == F.col("v")).join(before, (F.col("source") == F.col("from")) & (F.col("u") == F.col("near")))
+        passed = back.groupBy("source", F.col("u").alias("node")).agg(F.sum(F.col("less") / F.col("paths") * (1 + F.col("part"))).alias("got"))
+    n = nodes.count()
+    found = total.groupBy("node").agg(F.sum("part").alias("part")) if total is not None else nodes.limit(0).withColumn("part", F.lit(0.0))
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return nodes.join(found, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * scale).alias("centrality"))
+
+
+def combined_centrality(triples: DataFrame) -> DataFrame:
+    """(node, centrality) from degree, betweenness and eigenvector centrality."""
+    parts = degree_centrality(triples), betweenness_centrality(triples), eigenvector_centrality(triples)
+    out = parts[1].select("node", F.col("centrality").alias("c1"))
+    for k in (0, 2):
+        out = out.join(parts[k].select("node", F.col("centrality").alias(f"c{k}")), "node", "left")
+    weighted = sum((w * F.coalesce(f"c{k}", F.lit(0.0)) for k, w in enumerate(CENTRALITY_WEIGHTS)), F.lit(0.0))
+    return out.select("node", weighted.alias("centrality"))
+
+
+def colored(members: DataFrame) -> DataFrame:
+    """members(node, community) with a color by the community's place in the order of communities."""
+    number = members.select("community").distinct().withColumn("number", F.dense_rank().over(W.orderBy("community")) - 1)
+    color = F.element_at(F.array(*map(F.lit, COMMUNITY_COLORS)), (F.col("number") % len(COMMUNITY_COLORS) + 1).cast("int"))
+    return members.join(number, "community").select("node", "community", color.alias("color"))
+
+
+def entity_groups(triples: DataFrame, entities: DataFrame, most: int = 3, connections: int = 5) -> DataFrame:
+    """(entity, related, confidence, connections) for entities(entity).
+
+    related: up to `most` neighbours, the first by name; confidence 0.8 with some, else 0.4; connections: the first of
+    the triples with both ends in the group, in input order, as text.
+    """
+    e = triples.select(F.lower("s").alias("x"), F.lower("o").alias("y"))
+    both = e.union(e.select("y", "x"))
+    named = entities.select("entity", F.lower("entity").alias("low")).distinct()
+    near = named.join(both, F.col("low") == F.col("x"), "left").groupBy("entity", "low").agg(F.slice(F.array_sort(F.collect_set("y")), 1, most).alias("related"))
+    members = near.select("entity", F.explode(F.array_union("related", F.array("low"))).alias("m"))
+    inner = members.withColumnRenamed("m", "m1").join(triples, F.col("m1") == F.lower("s")).join(members.select(F.col("entity").alias("same"), F.col("m").alias("m2")), (F.col("entity") == F.col("same")) & (F.lower("o") == F.col("m2")))
+    first = F.row_number().over(W.partitionBy("entity").orderBy("seq"))
+    inner = inner.withColumn("r", first).filter(F.col("r") <= connections)
+    shown = F.concat("s", F.lit(" --["), "p", F.lit("]--> "), "o")
+    lines = inner.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", shown.alias("x")))), lambda z: z["x"]).alias("connections"))
+    confidence = F.when(F.size("related") > 0, 0.8).otherwise(0.4)
+    return near.join(lines, "entity", "left").select("entity", "related", confidence.alias("confidence"), F.coalesce("connections", F.array().cast("array<string>")).alias("connections"))
+
+
+def probes(sources: DataFrame, targets: DataFrame, relations: list[str], ends: int = 2, most: int = 3) -> DataFrame:
+    """(source, relation, target) to ask about: the first entities of each pair of groups, equal ones left out.
+
+    sources and targets: groups (pair, entity, related); groups with one `pair` are asked about together.
+    """
+    members = lambda df, name: df.select("pair", F.posexplode(F.slice(F.concat(F.array("entity"), "related"), 1, ends)).alias(f"{name}_at", name))
+    grid = members(sources, "source").join(members(targets, "target"), "pair").filter(F.lower("source") != F.lower("target"))
+    return grid.select("pair", "source", F.explode(F.array(*map(F.lit, relations[:most]))).alias("relation"), "target")
+
+
+def veracity(verdict) -> tuple:
+    """A reply's verdict as yes, no or maybe, and whether the edge is factual or counterfactual."""
+    low = F.lower(F.coalesce(verdict, F.lit("maybe")))
+    label = F.when(low.isin("yes", "no"), low).otherwise("maybe")
+    return label, label == "yes", label == "no"
+
+
+def within_communities(members: DataFrame, replies: DataFrame, triples: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
+    """A model's replies(community, place, s, p, o, confidence) as inferred triples.
+
+    Only communities of at least `least` members are asked; the first `most` replies of each count, and those whose ends
+    a triple links either way are dropped.
+    """
+    asked = members.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("community")
+    known = triples.select(F.lower("s").alias("a"), F.lower("o").alias("b"))
+    known = known.union(known.select("b", "a")).distinct()
+    whole = F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull()
+    kept = replies.filter(F.col("place") < most).filter(whole).join(asked, "community", "left_semi")
+    fresh = kept.join(known, (F.lower("s") == F.col("a")) & (F.lower("o") == F.col("b")), "left_anti")
+    return fresh.select("s", short_predicate(F.col("p")).alias("p"), "o", F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.lit(True).alias("inferred"))
+
+
+def asked_members(members: DataFrame, least: int = 3, most: int = 10) -> DataFrame:
+    """The members, up to `most` of each community of at least `least`, that a model is asked about."""
+    placed = members.withColumn("r", F.row_number().over(W.partitionBy("community").orderBy("node")))
+    sizes = members.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return placed.filter(F.col("r") <= most).join(sizes, "community").groupBy("community").agg(F.array_sort(F.collect_list("node")).alias("entities"))
+
+
+def fully_inferred(triples: DataFrame, replies: DataFrame, least: float = 0.8) -> DataFrame:
+    """Direct triples(s, p, o, confidence, seq) and what follows from them, from alike names and from a model's
+    replies(s, p, o, confidence): each once, predicates in short form, without self-references."""
+    direct = triples.select("s", "p", "o", "confidence", F.lit(False).alias("inferred"), F.lit(0).alias("rank"), "seq")
+    none = F.lit(0).cast("long").alias("seq")
+    added = lambda df, rank: df.select("s", "p", "o", "confidence", F.lit(True).alias("inferred"), F.lit(rank).alias("rank"), none)
+    names = triples.select(F.explode(F.array(F.lower("s"), F.lower("o"))).alias("name"))
+    alike = similar_names(names, triples, least).withColumn("p", F.lit("SIMILAR_TO"))
+    every = direct.unionByName(added(replies, 1)).unionByName(added(transitive(triples), 2)).unionByName(added(alike, 3))
+    columns = ["s", "p", "o", "confidence", "inferred"]
+    best = F.max_by(F.struct(*columns), F.struct("confidence", -F.col("rank"), -F.col("seq"), F.col("s"), F.col("o"))).alias("x")
+    once = every.groupBy(F.lower("s").alias("a"), F.upper("p").alias("b"), F.lower("o").alias("c")).agg(best).select("x.*")
+    return once.withColumn("p", short_predicate(F.col("p"))).filter(F.lower("s") != F.lower("o"))
+
+
 def node_sizes(scores: DataFrame, score: str, low: int = 10, high: int = 50) -> DataFrame:
     """Scores scaled to whole sizes between low and high."""
     ends = scores.agg(F.min(score).alias("__low"), F.max(score).alias("__high"))

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 
 from subjectlens.functions.text import entropy, luhn
 
+class Pattern(NamedTuple):
+    """contains: a text without this pattern of plain classes can't match, so the costly one is skipped."""
+
+    name: str
+    regex: str
+    kind: str
+    risk: str
+    contains: str | None = None
+
+
 # ---- fixed values: the patterns in order of precedence, in Java's dialect
 
 _PUNCTUATION = r"[\.\?>\"'\)!,}:;”’＞＜\]]*"
@@ -19,12 +29,25 @@ BRACKET_URL = r"\b([\.:\\/\w\[\]\(\)-]+(?:\x20?[\(\[]\x20?\.\x20?[\]\)]\x20?\S*?
 BACKSLASH_URL = r"\b([:\\/\w\[\]\(\)-]+(?:\x20?\\?\.\x20?\S*?)*?(?:\x20?\\\.\x20?\S*?)(?:\x20?\\?\.\x20?\S*?)*)" + _PUNCTUATION + r"(?=\s|$)"
 HEXENCODED_URL = r"(?i)([46][86](?:[57]4)?[57]4[57]0(?:[57]3)?3a2f2f(?:[2356def]|3[0-9adf]|[46][0-9a-f]|[57][0-9af])+)(?:[046]0|2[0-2489a-c]|3[bce]|[57][b-e]|[8-f][0-9a-f]|0a|0d|09|[\x5b-\x5d\x7b\x7d\x0a\x0d\x20]|$)"
 URLENCODED_URL = r"(?i)(s?[hf]t?tps?%3A%2F%2F\w[\w%-]*?)(?:[^\w%-]|$)"
-B64ENCODED_URL = r"((?:aHR0c[HDF]|SFRUUD|ZnRwOi8v|RlRQOi8v)[A-Za-z0-9+/=\s]{1,357})(?=[^A-Za-z0-9+/=\s]|$)"
+_B64_ANY, _B64_THIRD, _B64_LAST = r"[\x2b\x2f-\x39A-Za-z]\s*", r"[\x31\x35\x39BFJNRVZdhlptx]\s*", r"[\x2b\x2f\x38-\x39]\s*"
+B64ENCODED_URL = (
+    r"((?:"
+    + _B64_ANY + _B64_ANY + _B64_THIRD + r"[Gm]\s*[Vd]\s*[FH]\s*[A]\s*\x36\s*L\s*y\s*" + _B64_LAST + r"|"
+    + _B64_ANY + _B64_ANY + _B64_THIRD + r"[Io]\s*[Vd]\s*[FH]\s*[R]\s*[Qw]\s*[O]\s*i\s*\x38\s*v\s*" + _B64_ANY + r"|"
+    + _B64_ANY + _B64_ANY + _B64_THIRD + r"[Io]\s*[Vd]\s*[FH]\s*[R]\s*[Qw]\s*[Uc]\s*[z]\s*o\s*v\s*L\s*[\x2b\x2f-\x39w-z]\s*|"
+    + r"[RZ]\s*[ln]\s*[R]\s*[Qw]\s*[O]\s*i\s*\x38\s*v\s*" + _B64_ANY + r"|"
+    + r"[Sa]\s*[FH]\s*[R]\s*[\x30U]\s*[Uc]\s*[D]\s*o\s*v\s*L\s*[\x2b\x2f-\x39w-z]\s*|"
+    + r"[Sa]\s*[FH]\s*[R]\s*[\x30U]\s*[Uc]\s*[FH]\s*[M]\s*\x36\s*L\s*y\s*" + _B64_LAST
+    + r")[A-Za-z0-9+/=\s]{1,357})(?=[^A-Za-z0-9+/=\s]|$)"
+)
 IPV4 = r"(?:^|(?![^\d\.]))((?:(?:[1-9]?\d|1\d\d|2[0-4]\d|25[0-5])[\[\(\\]*?\.[\]\)]*?){3}(?:[1-9]?\d|1\d\d|2[0-4]\d|25[0-5]))(?:(?=[^\d\.])|$)"
 IPV6 = r"(?i)(\b(?:[a-f0-9]{1,4}:|:){2,7}(?:[a-f0-9]{1,4}|:)\b)"
 EMAIL = r"(?i)([a-z0-9_.+-]+[\(\[\{\x20]*(?:@|\Wat\W)[\)\]\}\x20]*[a-z0-9-]+(?:(?:(?:\x20*" + _DEFANG + r"\x20*)*\.(?:\x20*" + _DEFANG + r"\x20*)*|\W+dot\W+)[a-z0-9-]+?)+)" + _PUNCTUATION + r"(?=\s|$)"
 CREDIT_CARD = r"([0-9]{4}[ ]?[-]?[0-9]{4}[ ]?[-]?[0-9]{4}[ ]?[-]?[0-9]{4})"
-YARA = r"(?ms)(?:^|\s)((?:\s*?import\s+?\"[^\r\n]*?[\r\n]+|\s*?include\s+?\"[^\r\n]*?[\r\n]+)*(?:\s*?private\s+|\s*?global\s+)*rule\s*?\w+\s*?(?::[\s\w]+)?\s+\{.*?condition\s*?:.*?\s*\})(?:$|\s)"
+YARA = (
+    r"(?ms)(?:^|\s)((?:\s*?import\s+?\"[^\r\n]*?[\r\n]+|\s*?include\s+?\"[^\r\n]*?[\r\n]+|\s*?//[^\r\n]*[\r\n]+|\s*?/\*.*?\*/\s*?)*"
+    r"(?:\s*?private\s+|\s*?global\s+)*rule\s*?\w+\s*?(?::[\s\w]+)?\s+\{.*?condition\s*?:.*?\s*\})(?:$|\s)"
+)
 SECRET = r"([\w-]{16,45})"
 
 
@@ -32,26 +55,13 @@ def hex_run(n: int) -> str:
     return r"(?:[^a-fA-F\d]|\b)([a-fA-F\d]{" + str(n) + r"})(?:[^a-fA-F\d]|\b)"
 
 
-# ---- end of fixed values
-
-
-class Pattern(NamedTuple):
-    """contains: a text without this pattern of plain classes can't match, so the costly one is skipped."""
-
-    name: str
-    regex: str
-    kind: str
-    risk: str
-    contains: str | None = None
-
-
 PATTERNS = (
     Pattern("GENERIC_URL", GENERIC_URL, "URL", "low", r"://|:\\\\|__"),
     Pattern("BRACKET_URL", BRACKET_URL, "URL", "low", r"[(\[] ?\. ?[\])]"),
     Pattern("BACKSLASH_URL", BACKSLASH_URL, "URL", "low", r"\\\."),
     Pattern("HEXENCODED_URL", HEXENCODED_URL, "URL", "medium", r"(?i)3a2f2f"),
     Pattern("URLENCODED_URL", URLENCODED_URL, "URL", "medium", r"(?i)%3A%2F%2F"),
-    Pattern("B64ENCODED_URL", B64ENCODED_URL, "URL", "medium", r"aHR0c|SFRUUD|ZnRwOi8v|RlRQOi8v"),
+    Pattern("B64ENCODED_URL", B64ENCODED_URL, "URL", "medium", r"6\s*L\s*y|i\s*8\s*v|o\s*v\s*L"),
     Pattern("IPV4", IPV4, "IP", "low", r"\d[\[\(\\]*\.[\]\)]*\d"),
     Pattern("IPV6", IPV6, "IP", "low", r"(?i)[a-f0-9]*:[a-f0-9]*:"),
     Pattern("EMAIL", EMAIL, "Email", "medium", r"(?i)@|\Wat\W"),
@@ -64,6 +74,15 @@ PATTERNS = (
     Pattern("HIGH_ENTROPY", SECRET, "Credential", "high", r"[\w-]{23}"),
 )
 
+SENSITIVE = ("health", "medical", "biometric", "precise location", "gps", "financial", "passport", "national insurance")
+
+# ---- end of fixed values
+
+
+def once(value: Column, use) -> Column:
+    """use(value) with value bound to a name: it is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
 def matches(text: Column, p: Pattern) -> Column:
     """Trimmed matches of one pattern in order; validated where the pattern asks for it."""
@@ -81,16 +100,14 @@ def findings(docs: DataFrame, patterns: Sequence[Pattern] = PATTERNS, key: str =
     """(key, finding_type, value, risk_level, pattern, position) per distinct value of a text.
 
     A value found by several patterns counts for the first one; position is its place among the text's findings. All
-    happens within the row: one scan of the text column, no shuffle.
+    happens within the row: one scan of the text column, no shuffle. `once` binds an array to a name, so that it is
+    found once however often it is used.
     """
-    found = F.array().cast("array<struct<value:string,p:int>>")
-    tagged = lambda i: lambda v: F.struct(v.alias("value"), F.lit(i).alias("p"))
-    for i, p in enumerate(patterns):
-        found = F.concat(found, F.transform(matches(F.col(text), p), tagged(i)))
-    rows = docs.select(key, found.alias("found")).filter(F.size("found") > 0)
-    values = F.transform("found", lambda x: x["value"])
-    first = F.filter("found", lambda x, i: F.array_position(values, x["value"]) == i + 1)
-    rows = rows.select(key, F.posexplode(first).alias("position", "x"))
+    tagged = lambda i: lambda v, k: F.struct(v.alias("value"), F.lit(i).alias("p"), k.alias("k"))
+    found = F.concat(*[F.transform(matches(F.col(text), p), tagged(i)) for i, p in enumerate(patterns)])
+    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["value"] != x["value"]))
+    placed = once(once(found, lambda x: F.array_sort(x)), lambda s: F.array_sort(F.transform(firsts(s), lambda x: F.struct(x["p"].alias("p"), x["k"].alias("k"), x["value"].alias("value")))))
+    rows = docs.select(key, F.posexplode(placed).alias("position", "x"))
     pick = lambda attribute: F.element_at(F.array(*[F.lit(getattr(p, attribute)) for p in patterns]), F.col("x.p") + 1)
     return rows.select(key, pick("kind").alias("finding_type"), F.col("x.value").alias("value"), pick("risk").alias("risk_level"), pick("name").alias("pattern"), "position")
 
@@ -119,9 +136,6 @@ def masked(value: Column) -> Column:
     return F.concat(F.left(value, F.lit(4)), F.lit("..."), F.left(F.sha2(value, 256), F.lit(8)))
 
 
-SENSITIVE = ("health", "medical", "biometric", "precise location", "gps", "financial", "passport", "national insurance")
-
-
 def risk_signals(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, count, confidence, source) for e-mails, IPs and sensitive terms of a text."""
     text, low = F.col("text"), F.lower("text")

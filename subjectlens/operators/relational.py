@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from subjectlens.operators.tables import written
+
 
 def count_where(df: DataFrame, *by: str, **conditions: Column) -> DataFrame:
     """One pass over df: a count per named condition (nulls don't count), by group if `by` is given."""
@@ -67,8 +69,12 @@ def budgeted(df: DataFrame, size: Column, most: int, *order: Column) -> DataFram
 
 
 def batched(df: DataFrame, size: int, *order: Column) -> DataFrame:
-    """Adds batch: rows in order, `size` at a time, numbered by sorted partitions so no task sees all rows."""
+    """Adds batch: rows in order, `size` at a time, numbered by sorted partitions so no task sees all rows.
+
+    The sorted rows are written before they are counted, so both uses see the same partitions.
+    """
     cut = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    cut = written(cut, "batches")
     starts = cut.groupBy("__part").agg(F.count("*").alias("__n"))
     starts = starts.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(W.partitionBy("__part").orderBy("__at")) - 1
@@ -81,3 +87,19 @@ def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = df.agg(*[F.count_if(F.trim(F.col(c).cast("string")) != "").alias(c) for c in columns])
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("filled")) for c in columns])
     return counts.select(F.explode(pairs).alias("x")).select("x.field", "x.filled")
+
+
+def aggregated(results: DataFrame, key: str) -> DataFrame:
+    """(key, articles, findings, n_sources, compliance) of results(key, seq, articles, findings).
+
+    Articles are sorted and distinct; findings are distinct in the order in which they come; each finding costs ten points of a hundred.
+    """
+    articles = F.array_sort(F.array_distinct(F.flatten(F.collect_list("articles"))))
+    findings = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "findings"))), lambda x: x["findings"])))
+    by = results.groupBy(key).agg(articles.alias("articles"), findings.alias("findings"), F.count("*").alias("n_sources"))
+    return by.withColumn("compliance", F.greatest(F.lit(0), 100 - 10 * F.size("findings")))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Rows left joined to a lookup table (records of names, addresses or breaches) that was gathered elsewhere."""
+    return rows.join(table, key, "left")

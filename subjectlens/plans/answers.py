@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from subjectlens.functions import text as X
 from subjectlens.operators import merge as M
-from subjectlens.operators import relational as R
 from subjectlens.operators import retrieval, validation
+from subjectlens.operators.tables import fresh_path
 from subjectlens.plans.cases import companies, edges, files, messages, requests
 from subjectlens.plans.registry import query
 from subjectlens.streaming import incremental
@@ -38,14 +35,34 @@ def v02_decisions(t):
     return validation.decisions(_votes(t))
 
 
-@query(f"""WITH {_VOTES_SQL}, c AS (SELECT id, round, count(*) FILTER (verdict = 'CORRECT') AS y, count(*) FILTER (verdict = 'INCORRECT') AS n FROM votes GROUP BY 1, 2),
+@query("""
+SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'INCORRECT' ELSE 'UNKNOWN' END AS verdict, CASE p_partkey % 6 WHEN 0 THEN 7.5 WHEN 1 THEN 5 WHEN 2 THEN 9 ELSE 5 END::DOUBLE AS confidence FROM part""")
+def v01_verdicts(t):
+    """Verdicts of replies: whole ones, without confidence, unheard ones, broken ones, with words for numbers, without JSON."""
+    replies = (
+        'I say {"verdict": "correct", "confidence": 7.5} so', '{"verdict": "Incorrect"}', '{"verdict": "perhaps", "confidence": 9}', '{"verdict": "CORRECT", "confidence": 8',
+        '{"verdict": "CORRECT", "confidence": "high"}', "CORRECT",
+    )
+    reply = F.element_at(F.array(*map(F.lit, replies)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return t.part.select(F.col("p_partkey").alias("id"), validation.verdict_of(reply).alias("v")).select("id", "v.verdict", "v.confidence")
+
+
+@query(f"""
+WITH {_VOTES_SQL}, c AS (SELECT id, round, count(*) FILTER (verdict = 'CORRECT') AS y, count(*) FILTER (verdict = 'INCORRECT') AS n FROM votes GROUP BY 1, 2),
 d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN y >= 3 OR n >= 3 THEN round ELSE 100 - round END) AS k FROM c), e AS (SELECT id, y, n FROM d WHERE k = 1),
-i AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'low' ELSE 'High' END AS risk FROM labels)
-SELECT id, risk, CASE WHEN risk = 'low' THEN 'not_required' WHEN y > n THEN 'accepted' ELSE 'needs_review' END AS status FROM i JOIN e USING (id) WHERE risk = 'low' OR NOT n > y""")
+i AS (
+  SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'High' ELSE 'HIGH RISK' END AS risk, CASE WHEN doc_id % 5 = 0 THEN 'sensitive data' WHEN doc_id % 5 = 1 THEN 'Inferred' ELSE 'CONTACT' END AS category,
+    CASE WHEN doc_id % 7 = 0 THEN 'inference' ELSE 'email' END AS kind FROM labels
+), r AS (SELECT *, risk = 'High' OR doc5 OR kind = 'inference' AS risky FROM (SELECT *, category <> 'CONTACT' AS doc5 FROM i))
+SELECT id, risk, CASE WHEN NOT risky THEN 'not_required' WHEN id % 11 = 0 THEN 'not_configured' WHEN y > n THEN 'accepted' ELSE 'needs_review' END AS status FROM r JOIN e USING (id) WHERE NOT risky OR id % 11 = 0 OR NOT n > y""")
 def v05_item_status(t):
-    """Risky items by their decision; rejected ones are dropped."""
-    items = t.labels.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "low").otherwise("High").alias("risk"))
-    return validation.with_status(items, validation.decisions(_votes(t)))
+    """Items by their decision where risk, category or type call for one; rejected ones are dropped."""
+    k = F.col("doc_id")
+    risk = X.choose((k % 3 == 0, "low"), (k % 3 == 1, "High"), otherwise="HIGH RISK")
+    category = X.choose((k % 5 == 0, "sensitive data"), (k % 5 == 1, "Inferred"), otherwise="CONTACT")
+    items = t.labels.select(k.alias("id"), risk.alias("risk"), category.alias("category"), F.when(k % 7 == 0, "inference").otherwise("email").alias("kind"))
+    decided = validation.decisions(_votes(t)).filter("id % 11 <> 0")
+    return validation.with_status(items, decided).select("id", "risk", "status")
 
 
 # ---------------------------------------------------------------- retrieval
@@ -60,13 +77,6 @@ def r01_vector_search(t):
     return retrieval.vector_search(found, one["embedding"] if one else [0.0], 10).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT doc_id, least(1.0, 0.3 + 0.2 * 3)::DOUBLE AS score FROM documents WHERE (contains(lower(text), 'that') OR contains(lower(lang), 'that') OR contains(lower(source), 'that'))
-AND (contains(lower(text), 'src1') OR contains(lower(lang), 'src1') OR contains(lower(source), 'src1')) ORDER BY score DESC, doc_id LIMIT 20""")
-def r07_document_search(t):
-    """Every keyword in some column."""
-    return retrieval.keyword_search(t.documents, ["that", "src1"], ["text", "lang", "source"]).select("doc_id", "score")
-
-
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
 q AS (SELECT row_number() OVER () AS r, vec_id AS query_id, e FROM v WHERE vec_id % 100 = 0), s AS (SELECT r, query_id, v.vec_id, round(list_cosine_similarity(v.e, q.e), 9) AS score FROM v, q)
 SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY s.score DESC, s.vec_id) <= 10""")
@@ -93,14 +103,6 @@ def r04_fused(t):
     return retrieval.fused(_results(t))
 
 
-@query(f"""WITH {_RESULTS_SQL}, f AS (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY left(content, 100) ORDER BY score DESC, seq) = 1 ORDER BY score DESC, seq LIMIT 20),
-b AS (SELECT *, sum(len(content)) OVER (ORDER BY score DESC, seq ROWS UNBOUNDED PRECEDING) AS total FROM f)
-SELECT string_agg('[' || source || '] ' || content, chr(10) ORDER BY score DESC, seq) AS context, count(*) AS n FROM b WHERE total <= 200""")
-def r08_context(t):
-    """A context under a budget of characters."""
-    return retrieval.context_text(retrieval.fused(_results(t)), 200)
-
-
 # ---------------------------------------------------------------- upserts
 
 
@@ -150,11 +152,15 @@ def m15_thread_states(t):
     return M.thread_states(messages(t).select(F.col("request_id").alias("thread"), "ts", F.col("id").alias("seq"), F.col("sender").alias("action")))
 
 
-@query("SELECT company_id, array_to_string(list_sort(list_distinct([segment, 'vip'])), ',') AS tags FROM companies")
+@query("""
+WITH c AS (SELECT company_id, CASE WHEN company_id % 3 = 0 THEN NULL WHEN company_id % 3 = 1 THEN [segment, 'old'] ELSE ['vip', segment] END AS tags FROM companies)
+SELECT company_id, array_to_string([x FOR x IN CASE WHEN tags IS NULL THEN ['vip'] WHEN list_contains(tags, 'vip') THEN tags ELSE list_append(tags, 'vip') END IF x <> 'old'], ',') AS tags FROM c""")
 def u09_tags(t):
-    """Tags added and removed."""
-    tags = F.array_remove(F.array_union(F.array(F.col("segment"), F.lit("old")), F.array(F.lit("vip"))), "old")
-    return companies(t).select("company_id", F.array_join(F.array_sort(tags), ",").alias("tags"))
+    """A tag added where it is not there yet, another removed."""
+    k, segment = F.col("company_id"), F.col("segment")
+    old = F.when(k % 3 == 1, F.array(segment, F.lit("old"))).when(k % 3 == 2, F.array(F.lit("vip"), segment))
+    tags = F.array_remove(F.array_union(F.coalesce(old, F.array().cast("array<string>")), F.array(F.lit("vip"))), "old")
+    return companies(t).select("company_id", F.array_join(tags, ",").alias("tags"))
 
 
 # ---------------------------------------------------------------- profiles
@@ -167,14 +173,6 @@ def c01_metrics(t):
     return t.documents.select("doc_id", F.length(text).alias("chars"), F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("words"))
 
 
-@query()
-def c10_artifacts(t):
-    """Artifacts of pages and documents as typed rows."""
-    html = t.pages.select(F.col("page_id").alias("file_id"), F.lit("html_preview").alias("artifact_type"), F.to_json(F.struct(F.left(X.strip_html(F.col("html")), F.lit(8000)).alias("text"), X.headings(F.col("html")).alias("headings"))).alias("payload"), F.lit(0.9).alias("confidence"))
-    outline = t.documents.select(F.col("doc_id").alias("file_id"), F.lit("document_outline").alias("artifact_type"), X.outline(F.col("text")).alias("o")).filter("size(o) > 0")
-    return html.unionByName(outline.select("file_id", "artifact_type", F.to_json(F.struct("o")).alias("payload"), F.lit(0.85).alias("confidence")))
-
-
 # ---------------------------------------------------------------- streams
 
 
@@ -187,8 +185,7 @@ def st8_daily_timeline(t):
 @query("SELECT request_id, CAST(sum(value > 5) AS BIGINT) AS n FROM messages GROUP BY 1")
 def st1_incremental_scan(t):
     """ST1: the events as a stream of files, handled batch by batch and added up by key."""
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='scan-')}"
-    base = f"{folder.rstrip('/')}/scan-{uuid.uuid4().hex}"
+    base = fresh_path(t.spark, "scan")
     stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{t.folder}/events.parquet*")
 
     def each(batch, number):
@@ -198,18 +195,28 @@ def st1_incremental_scan(t):
     return t.spark.read.parquet(base).groupBy("request_id").agg(F.sum("n").alias("n"))
 
 
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM messages GROUP BY 1")
+def st8_streamed_timeline(t):
+    """ST8: the timeline as a stream with a watermark; days are written once they are closed, the last ones at the end of the data."""
+    base = fresh_path(t.spark, "days")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
+    days = incremental.daily_timeline(stream.select(F.col("ts").cast("timestamp").alias("ts")))
+    incremental.run_updates(days, f"{base}-state", ["day"], base)
+    return t.spark.read.parquet(f"{base}/*").groupBy("day").agg(F.max("n").alias("n"))
+
+
+@query("SELECT request_id AS thread, arg_max(sender, (ts, id)) AS status, count(*) AS n FROM messages GROUP BY 1")
+def st9_streamed_threads(t):
+    """ST9: thread states kept up to date by a stream; each batch of events changes the states of its threads."""
+    base = fresh_path(t.spark, "threads")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
+    events = stream.select(F.col("user_id").alias("thread"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("action"))
+    incremental.run_available(events, f"{base}-state", incremental.keep_states(t.spark, base))
+    return incremental.latest_states(t.spark, base).select("thread", "status", "n")
+
+
 @query("""WITH l AS (SELECT lower(s) AS src, lower(o) AS dst FROM edges), a AS (SELECT DISTINCT lower(s_name) AS url FROM supplier), b AS (SELECT DISTINCT dst AS url FROM l JOIN a ON src = url), c AS (SELECT DISTINCT dst AS url FROM l JOIN b ON src = url)
 SELECT url, 0 AS depth FROM a UNION ALL SELECT url, 1 FROM b WHERE url NOT IN (SELECT url FROM a) UNION ALL SELECT url, 2 FROM c WHERE url NOT IN (SELECT url FROM b) AND url NOT IN (SELECT url FROM a)""")
 def st3_frontier(t):
     """ST3, ST4: what can be reached in two steps."""
     return incremental.frontier(edges(t).select(F.lower("s").alias("src"), F.lower("o").alias("dst")), t.supplier.select(F.lower("s_name").alias("url")), 2)
-
-
-@query("SELECT id, company_name, first_value(company_id) OVER (PARTITION BY id ORDER BY company_id) AS company_id FROM (SELECT m.id, c.company_name, c.company_id FROM messages m JOIN companies c ON m.request_id = c.company_id)")
-def j18_inbox_match(t):
-    """Mail to companies by the root of the sender's domain, as an equi join on the extracted root; roots of two letters or fewer never match."""
-    mail = messages(t).select("id", F.concat(F.lit("x@mail.customer-"), F.lpad(F.col("request_id").cast("string"), 9, "0"), F.lit(".example.com")).alias("sender"))
-    root = lambda v: F.regexp_extract(v, r"(customer-\d+)", 1)
-    right = companies(t).select("company_id", "company_name", root(F.col("domain")).alias("root"))
-    found = mail.withColumn("root", root(F.col("sender"))).filter(F.length("root") > 2).join(right, "root")
-    return R.first_per(found, ["id"], F.col("company_id")).select("id", "company_name", "company_id")

@@ -131,15 +131,15 @@ def j07_not_contacted(t):
     return companies(t).join(requests(t).filter("status = 'processing'"), "company_id", "left_anti").select("company_id", "company_name")
 
 
-@query("""WITH s AS (SELECT 'sent' AS outcome, count(*) AS n FROM companies c SEMI JOIN requests USING (company_id)
-UNION ALL SELECT 'skipped', count(*) FROM companies c ANTI JOIN requests USING (company_id)) SELECT * FROM s""")
+@query("""
+WITH o AS (SELECT CASE WHEN company_id % 13 = 0 THEN 'failed' WHEN company_id IN (SELECT company_id FROM requests) THEN 'sent' ELSE 'skipped' END AS outcome FROM companies)
+SELECT count(*) FILTER (outcome = 'sent') AS sent, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'skipped') AS skipped FROM o""")
 def a28_bulk_outcome(t):
-    """Outcomes of a bulk mailing."""
+    """Outcomes of a bulk mailing: sent, failed or skipped."""
     seen = requests(t).select("company_id").distinct().withColumn("seen", F.lit(True))
-    outcome = F.when(F.col("seen"), "sent").otherwise("skipped").alias("outcome")
-    found = companies(t).join(seen, "company_id", "left").groupBy(outcome).agg(F.count("*").alias("n"))
-    both = t.spark.createDataFrame([("sent",), ("skipped",)], "outcome string")
-    return both.join(found, "outcome", "left").select("outcome", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    outcome = F.when(F.col("company_id") % 13 == 0, "failed").when(F.col("seen"), "sent").otherwise("skipped")
+    found = companies(t).join(seen, "company_id", "left").withColumn("outcome", outcome)
+    return R.count_where(found, sent=F.col("outcome") == "sent", failed=F.col("outcome") == "failed", skipped=F.col("outcome") == "skipped")
 
 
 @query("SELECT m.id, m.sender FROM messages m ANTI JOIN (SELECT id FROM messages WHERE content LIKE '%1%') r ON r.id = m.id")
@@ -206,19 +206,33 @@ def a08_response_days(t):
     return d.agg(F.round(F.avg("days"), 4).alias("avg_days"), F.min("days").alias("min_days"), F.count_if(F.col("days") > 30).alias("late"), F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed FROM requests),
+@query("""
+WITH a AS (SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed FROM requests),
 h AS (SELECT least(5, count(DISTINCT company_id)) AS holders FROM requests),
-s AS (SELECT least(100, greatest(0, floor(0.3 * least(100, greatest(0, 100 - 10 * holders)) + 0.7 * (completed / CASE WHEN total = 0 THEN 1 ELSE total END * 100) + 0.5))) AS v, completed, total FROM a, h)
-SELECT CAST(v AS BIGINT) AS score, CASE WHEN v >= 80 THEN 'excellent' WHEN v >= 60 THEN 'good' WHEN v >= 40 THEN 'fair' ELSE 'poor' END AS label,
-round(completed / CASE WHEN total = 0 THEN 1 ELSE total END * 100, 4) AS compliance_rate FROM s""")
+s AS (SELECT least(100, greatest(0, floor(0.3 * least(100, greatest(0, 100 - 10 * holders)) + 0.7 * (completed / CASE WHEN total = 0 THEN 1 ELSE total END * 100) + 0.5))) AS v FROM a, h)
+SELECT CAST(v AS BIGINT) AS score, CASE WHEN v >= 80 THEN 'excellent' WHEN v >= 60 THEN 'good' WHEN v >= 40 THEN 'fair' ELSE 'poor' END AS label FROM s""")
 def a09_privacy_score(t):
-    """Score from holders and success, its label, and the compliance rate. Halves round up."""
+    """Score from holders and success, and its label. Halves round up."""
     a = requests(t).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"), F.least(F.lit(5), F.count_distinct("company_id")).alias("holders"))
     rate = F.col("completed") / F.greatest(F.col("total"), F.lit(1)) * 100
     clamp = lambda c: F.least(F.lit(100), F.greatest(F.lit(0), c))
     v = clamp(F.floor(0.3 * clamp(100 - 10 * F.col("holders")) + 0.7 * rate + 0.5))
     label = F.when(F.col("score") >= 80, "excellent").when(F.col("score") >= 60, "good").when(F.col("score") >= 40, "fair").otherwise("poor")
-    return a.select(v.cast("long").alias("score"), F.round(rate, 4).alias("compliance_rate")).withColumn("label", label)
+    return a.select(v.cast("long").alias("score")).withColumn("label", label)
+
+
+@query("""
+WITH d AS (SELECT request_type, epoch(done - created_at) / 86400 AS days FROM requests r JOIN (SELECT request_id, max(received_at) AS done FROM files GROUP BY request_id) f ON f.request_id = r.id WHERE done >= created_at),
+m AS (SELECT request_type, count(*) FILTER (days <= 30) AS met, count(*) FILTER (days > 30) AS missed, avg(floor(days)) AS avg_days FROM d GROUP BY 1)
+SELECT request_type, round(met * 100.0 / CASE WHEN met + missed = 0 THEN 1 ELSE met + missed END, 6)::DOUBLE AS compliance_rate, round(30 - avg_days, 6) AS days_remaining FROM m""")
+def a10_compliance(t):
+    """A10: the share of deadlines met, and the days that the average answer leaves of thirty."""
+    done = files(t).groupBy("request_id").agg(F.max("received_at").alias("done"))
+    rows = requests(t).join(done, F.col("id") == F.col("request_id")).filter("done >= created_at")
+    days = (F.unix_micros(F.col("done").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 86_400_000_000
+    by = rows.withColumn("days", days).groupBy("request_type").agg(F.count_if(F.col("days") <= 30).alias("met"), F.count_if(F.col("days") > 30).alias("missed"), F.avg(F.floor("days")).alias("avg_days"))
+    rate = F.col("met") * 100.0 / F.greatest(F.col("met") + F.col("missed"), F.lit(1))
+    return by.select("request_type", F.round(rate, 6).alias("compliance_rate"), F.round(30 - F.col("avg_days"), 6).alias("days_remaining"))
 
 
 @query("SELECT status, count(*) AS n FROM files GROUP BY status")
@@ -246,17 +260,21 @@ def a33_volume_of_holders(t):
     return requests(t).groupBy("company_id").agg(F.sum("volume").alias("v")).filter("v > 0").agg(F.round(F.sum("v"), 2).alias("total"), F.count("*").alias("n_companies"))
 
 
-@query("""SELECT 'created_at' AS field, count(created_at) AS filled FROM requests UNION ALL SELECT 'category', count(*) FROM files WHERE trim(category) <> ''
-UNION ALL SELECT 'in_graph', count(in_graph) FROM files UNION ALL SELECT 'file_name', count(*) FROM files WHERE trim(file_name) <> ''""")
+@query("""
+SELECT field, filled FROM (
+  SELECT 'request_id' AS field, count(request_id) AS filled FROM files UNION ALL SELECT 'line', count(line) FROM files UNION ALL SELECT 'file_name', count(*) FROM files WHERE trim(file_name) <> ''
+  UNION ALL SELECT 'size_mb', count(size_mb) FROM files UNION ALL SELECT 'received_at', count(received_at) FROM files UNION ALL SELECT 'quantity', count(quantity) FROM files UNION ALL SELECT 'status', count(status) FROM files
+  UNION ALL SELECT 'in_graph', count(in_graph) FROM files UNION ALL SELECT 'category', count(*) FROM files WHERE trim(category) <> '') ORDER BY filled DESC, field LIMIT 8""")
 def a24_field_coverage(t):
-    """Non-blank values per column."""
-    return R.coverage(requests(t), ["created_at"]).unionByName(R.coverage(files(t), ["category", "in_graph", "file_name"]))
+    """Non-blank values per column, the fullest columns first."""
+    return R.top(R.coverage(files(t), files(t).columns), 8, F.desc("filled"), F.col("field"))
 
 
-@query("SELECT sender, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM (SELECT *, sender AS event_type FROM messages) GROUP BY sender ORDER BY n DESC, sender")
+@query("SELECT user_id % 20 AS bucket, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM events GROUP BY 1 ORDER BY n DESC, bucket")
 def a31_by_type(t):
-    """Types present, by count."""
-    return messages(t).groupBy("sender").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("sender")), ",").alias("types")).orderBy(F.desc("n"), "sender")
+    """Counts, most first, with the types that are present."""
+    by = messages(t).groupBy((F.col("request_id") % 20).alias("bucket")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("sender")), ",").alias("types"))
+    return by.orderBy(F.desc("n"), "bucket")
 
 
 @query("""SELECT segment, count(*) AS n, CASE WHEN segment IN ('BUILDING', 'MACHINERY') THEN 'goods' ELSE 'other' END AS family, CAST(sum(count(*)) OVER () AS BIGINT) AS total,
@@ -269,12 +287,16 @@ def a32_legend(t):
     return by.withColumn("family", F.when(goods, "goods").otherwise("other")).withColumn("total", F.sum("n").over(every)).withColumn("selected", F.sum(F.when(goods, F.col("n")).otherwise(F.lit(0))).over(every))
 
 
-@query("""SELECT batch, count(*) AS executed, count(*) FILTER (status = 'error') AS errored FROM
-(SELECT status, (row_number() OVER (ORDER BY request_id, line, file_name, size_mb) - 1) // 5000 AS batch FROM files) GROUP BY batch""")
+@query("""
+WITH b AS (SELECT status, 'e' || request_id || '-' || line AS error, (row_number() OVER (ORDER BY request_id, line, file_name, size_mb) - 1) // 5000 AS batch FROM files)
+SELECT batch, count(*) AS executed, count(*) FILTER (status = 'error') AS errored, array_to_string((list(error ORDER BY error) FILTER (status = 'error'))[1:10], ',') AS errors FROM b GROUP BY batch""")
 def a30_batches(t):
-    """Rows in batches of a size, with totals by batch."""
+    """Rows in batches of a size, with totals and up to ten errors by batch."""
     order = [F.col(c) for c in ("request_id", "line", "file_name", "size_mb")]
-    return R.count_where(R.batched(files(t), 5000, *order), "batch", executed=F.lit(True), errored=F.col("status") == "error")
+    failed = F.col("status") == "error"
+    error = F.when(failed, F.concat(F.lit("e"), "request_id", F.lit("-"), "line"))
+    by = R.batched(files(t), 5000, *order).groupBy("batch")
+    return by.agg(F.count("*").alias("executed"), F.count_if(failed).alias("errored"), F.array_join(F.slice(F.array_sort(F.collect_list(error)), 1, 10), ",").alias("errors"))
 
 
 # ---------------------------------------------------------------- ranking, order, paging
@@ -345,14 +367,14 @@ def l13_longest_first(t):
 
 
 @query("""WITH feed AS (
-  SELECT 'request' AS source, CAST(id AS VARCHAR) AS ref, created_at AS happened_at, status AS label FROM requests WHERE created_at >= TIMESTAMP '2001-07-01'
-  UNION ALL SELECT 'file', file_name, received_at, status FROM files WHERE status <> 'pending' AND received_at >= TIMESTAMP '2001-07-01'
+  SELECT 'request' AS source, CAST(id AS VARCHAR) AS ref, created_at AS happened_at, status AS label FROM requests
+  UNION ALL SELECT 'file', file_name, received_at, status FROM files WHERE status <> 'pending'
   UNION ALL SELECT 'message', CAST(id AS VARCHAR), ts, upper(left(sender, 1)) || substr(sender, 2) FROM messages WHERE sender = 'error')
 SELECT * FROM feed ORDER BY happened_at DESC, source, ref""")
 def u02_activity_feed(t):
     """Three sources in one shape, newest first; pending files are left out."""
-    a = requests(t).filter("created_at >= TIMESTAMP '2001-07-01'").select(F.lit("request").alias("source"), F.col("id").cast("string").alias("ref"), F.col("created_at").alias("happened_at"), F.col("status").alias("label"))
-    b = files(t).filter("status <> 'pending' AND received_at >= TIMESTAMP '2001-07-01'").select(F.lit("file").alias("source"), F.col("file_name").alias("ref"), F.col("received_at").alias("happened_at"), F.col("status").alias("label"))
+    a = requests(t).select(F.lit("request").alias("source"), F.col("id").cast("string").alias("ref"), F.col("created_at").alias("happened_at"), F.col("status").alias("label"))
+    b = files(t).filter("status <> 'pending'").select(F.lit("file").alias("source"), F.col("file_name").alias("ref"), F.col("received_at").alias("happened_at"), F.col("status").alias("label"))
     c = messages(t).filter("sender = 'error'").select(F.lit("message").alias("source"), F.col("id").cast("string").alias("ref"), F.col("ts").alias("happened_at"), F.initcap(F.replace("sender", F.lit("_"), F.lit(" "))).alias("label"))
     return a.unionByName(b).unionByName(c).orderBy(F.desc("happened_at"), "source", "ref")
 

@@ -43,12 +43,19 @@ def f03_entities(t):
     return t.part.select("p_partkey", X.entity(F.concat(F.lit("The "), "p_name", F.lit(", of "), "p_brand", F.lit(" with An"))).alias("entity"))
 
 
-@query(f"""WITH {ADDRESSES_SQL}, k AS (SELECT *, CASE company_id % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' WHEN 2 THEN 'url' WHEN 3 THEN 'domain' ELSE 'text' END AS kind FROM addresses)
-SELECT company_id, kind, CASE kind WHEN 'email' THEN 'user' || company_id || '@gmail.com' WHEN 'phone' THEN '+4420' || (1000 + company_id) WHEN 'url' THEN 'www.shop' || company_id || '.example.com:8080'
-WHEN 'domain' THEN lower(v) ELSE array_to_string([w FOR w IN regexp_extract_all(lower(v), '\\w+') IF w NOT IN {_WORDS}], ' ') END AS key,
-CASE kind WHEN 'url' THEN 'shop' || company_id || '.example.com:8080' ELSE '' END AS domain,
-CASE kind WHEN 'url' THEN 'Shop' || company_id || ' example.com:8080' ELSE '' END AS company,
-CASE WHEN kind = 'url' OR kind = 'email' THEN CASE kind WHEN 'url' THEN 'example' ELSE '+news@gmail' END END AS root FROM k""")
+@query(f"""
+WITH {ADDRESSES_SQL},
+k AS (
+  SELECT *, CASE company_id % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' WHEN 2 THEN 'url' WHEN 3 THEN 'domain' ELSE 'text' END AS kind FROM addresses
+)
+SELECT company_id, kind,
+  CASE kind WHEN 'email' THEN 'user' || company_id || '@gmail.com' WHEN 'phone' THEN '+4420' || (1000 + company_id)
+    WHEN 'url' THEN 'www.shop' || company_id || '.example.com:8080' WHEN 'domain' THEN lower(v)
+    ELSE array_to_string([w FOR w IN regexp_extract_all(lower(v), '\\w+') IF w NOT IN {_WORDS}], ' ') END AS key,
+  CASE kind WHEN 'url' THEN 'shop' || company_id || '.example.com:8080' ELSE '' END AS domain,
+  CASE kind WHEN 'url' THEN 'Shop' || company_id || ' example' ELSE '' END AS company,
+  CASE kind WHEN 'url' THEN 'example' WHEN 'email' THEN '+news@gmail' END AS root
+FROM k""")
 def f04_addresses(t):
     """Kind of an address, the key of its spellings, its domain, company and root."""
     v = F.col("v")
@@ -68,51 +75,152 @@ def f13_entropy_luhn(t):
     return t.supplier.select("s_suppkey", entropy.alias("entropy"), (entropy > 4.5).alias("high"), X.luhn(card).alias("luhn"))
 
 
-@query(f"""WITH {ADDRESSES_SQL} SELECT company_id, replace(replace(v, 'http', 'hxxp'), '.', '[.]') AS defanged, v AS refanged, regexp_replace(replace(v, '.', '[.]'), '\\[\\.\\]', '.', 'g').replace(' ', '').replace('(', '') AS tidy,
-CASE WHEN contains(v, ':') THEN 6 ELSE 4 END AS version, 'https://www.gravatar.com/avatar/' || md5(lower(v)) AS gravatar, 'Email: ' || left(v, 50) AS label,
-CASE WHEN company_id % 5 IN (3) THEN lower(v) END AS valid_domain, split_part(v, '@', 2) AS provider, lower(replace(v, ' ', '_')) AS slug,
-CASE WHEN len(v) > 12 THEN left(v, 12) || '...' ELSE v END AS short FROM addresses""")
+@query(f"""
+WITH {ADDRESSES_SQL}
+SELECT company_id, replace(replace(v, 'http', 'hxxp'), '.', '[.]') AS defanged, v AS refanged,
+  replace(replace(replace(v, ' ', ''), '(', ''), ')', '') AS tidy,
+  CASE WHEN contains(v, ':') THEN 6 ELSE 4 END AS version, 'https://www.gravatar.com/avatar/' || md5(lower(v)) AS gravatar,
+  CASE company_id % 6 WHEN 0 THEN 'u' || company_id || '@github' WHEN 1 THEN 'u' || company_id WHEN 2 THEN 'AS' || company_id
+    WHEN 3 THEN 'btc:' || left(v, 12) || '...' WHEN 4 THEN 'Email: ' || left(v, 50) ELSE v END AS label,
+  CASE WHEN company_id % 5 IN (3) THEN lower(v) END AS valid_domain, split_part(v, '@', 2) AS provider, lower(replace(v, ' ', '_')) AS slug,
+  CASE WHEN len(v) > 12 THEN left(v, 12) || '...' ELSE v END AS short
+FROM addresses""")
 def f15_address_scalars(t):
-    """F15-F21, F35, F50."""
-    v = F.col("v")
+    """F15-F21, F35, F50. Labels (F17) of six classes in turn."""
+    v, k = F.col("v"), F.col("company_id")
+    name = F.concat(F.lit("u"), k)
+    kind = X.choose((k % 6 < 2, "username"), (k % 6 == 2, "asn"), (k % 6 == 3, "wallet"), (k % 6 == 4, "finding"), otherwise="domain")
+    platform = X.choose((k % 6 == 0, "github"), (k % 6 == 1, ""), (k % 6 == 3, "btc"), (k % 6 == 4, "Email"), otherwise=None)
+    label = X.entity_label(kind, X.choose((k % 6 < 2, name), (k % 6 == 2, k.cast("string")), otherwise=v), platform)
     return _addresses(t).select(
         "company_id", X.defang(v).alias("defanged"), X.refang(X.defang(v)).alias("refanged"), X.tidy_address(F.replace(v, F.lit("."), F.lit("[.]"))).alias("tidy"),
-        X.ip_version(v).alias("version"), X.gravatar(v).alias("gravatar"), X.finding_label(F.lit("Email"), v).alias("label"), X.valid_domain(v).alias("valid_domain"),
+        X.ip_version(v).alias("version"), X.gravatar(v).alias("gravatar"), label.alias("label"), X.valid_domain(v).alias("valid_domain"),
         F.split_part(v, F.lit("@"), F.lit(2)).alias("provider"), X.slug(v).alias("slug"), X.ellipsis(v, 12).alias("short"),
     )
 
 
-@query("""SELECT file_name, regexp_extract(file_name, '\\.([a-z0-9]+)$', 1) AS extension,
-CASE regexp_extract(file_name, '\\.([a-z0-9]+)$', 1) WHEN 'pdf' THEN 'document' WHEN 'txt' THEN 'document' WHEN 'csv' THEN 'data' WHEN 'json' THEN 'data' WHEN 'png' THEN 'image' WHEN 'mp3' THEN 'audio' WHEN 'zip' THEN 'archive' END AS kind,
-CASE regexp_extract(file_name, '\\.([a-z0-9]+)$', 1) WHEN 'pdf' THEN 'application/pdf' WHEN 'txt' THEN 'text/plain' WHEN 'csv' THEN 'text/csv' WHEN 'json' THEN 'application/json' WHEN 'png' THEN 'image/png' WHEN 'mp3' THEN 'audio/mpeg' WHEN 'zip' THEN 'application/zip' END AS mime FROM files""")
-def f24_file_kinds(t):
-    """F24, F25."""
-    f = F.col("file_name")
-    return files(t).select("file_name", X.extension(f).alias("extension"), X.file_category(f).alias("kind"), X.mime_type(f).alias("mime"))
+#: Names whose endings are all those of the tables, one of none, and one in capitals.
+_ENDINGS = tuple(X.MIME_OF) + ("webp", "bmp", "ods", "ogg", "flac", "aac", "avi", "mkv", "mov", "webm", "rtf", "md", "html", "htm", "zip", "PDF", "svg", "tsv", "3gp", "odt", "yml")
 
 
-@query("""SELECT p_partkey, regexp_replace(p_brand, '[^A-Za-z0-9_]', '', 'g') AS label, CASE WHEN p_partkey % 2 = 0 THEN 'IPAddress' ELSE 'PublicDocument' END AS mapped,
-regexp_replace(upper(p_name), '[^A-Z0-9_]', '_', 'g') AS relation, regexp_replace(upper(p_brand), '[^A-Z_]', '_', 'g') AS letters,
-CASE p_size % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'low' END AS risk, CASE p_size % 2 WHEN 0 THEN 'Email' ELSE 'Company' END AS shown_type,
-CASE p_size % 2 WHEN 0 THEN p_name ELSE 'Company' END AS shown_label, CASE p_size % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'medium' END AS inferred, 'Data Point' AS spaced, 'Data Point NAME' AS title FROM part""")
+def _in(endings) -> str:
+    return "(" + ", ".join(f"'{e}'" for e in endings) + ")"
+
+
+@query(f"""
+WITH f AS (SELECT file_name || '.' || [{", ".join(f"'{e}'" for e in _ENDINGS)}][1 + (request_id + line) % {len(_ENDINGS)}] AS file_name FROM files),
+e AS (SELECT file_name, lower(regexp_extract(file_name, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM f)
+SELECT file_name, e AS extension,
+  CASE WHEN e = 'pdf' THEN 'pdf' WHEN e IN ('jpg', 'jpeg', 'png', 'gif', 'webp', 'bmp') THEN 'image' WHEN e IN ('xlsx', 'xls', 'csv', 'ods') THEN 'spreadsheet'
+    WHEN e IN ('mp3', 'wav', 'ogg', 'm4a', 'flac', 'aac') THEN 'audio' WHEN e IN ('mp4', 'avi', 'mkv', 'mov', 'webm') THEN 'video'
+    WHEN e IN ('doc', 'docx', 'txt', 'rtf', 'md') THEN 'document' WHEN e IN ('json', 'xml', 'html', 'htm') THEN 'data' ELSE 'other' END AS kind,
+  CASE WHEN e = 'svg' THEN 'image' WHEN e = 'tsv' THEN 'spreadsheet' WHEN e = '3gp' THEN 'video' WHEN e = 'odt' THEN 'document' WHEN e = 'yml' THEN 'data'
+    WHEN e = 'zip' THEN 'other' ELSE 'as above' END AS member_kind,
+  CASE e WHEN 'pdf' THEN 'application/pdf' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'gif' THEN 'image/gif'
+    WHEN 'csv' THEN 'text/csv' WHEN 'xlsx' THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' WHEN 'xls' THEN 'application/vnd.ms-excel'
+    WHEN 'txt' THEN 'text/plain' WHEN 'json' THEN 'application/json' WHEN 'xml' THEN 'application/xml' WHEN 'mp3' THEN 'audio/mpeg' WHEN 'wav' THEN 'audio/wav'
+    WHEN 'm4a' THEN 'audio/mp4' WHEN 'mp4' THEN 'video/mp4' WHEN 'doc' THEN 'application/msword'
+    WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' ELSE 'application/octet-stream' END AS mime
+FROM e""")
+def f24_file_kinds(t):
+    """category and type by the ending, and the category of an archive's member."""
+    endings = F.element_at(F.array(*map(F.lit, _ENDINGS)), ((F.col("request_id") + F.col("line")) % len(_ENDINGS) + 1).cast("int"))
+    f = F.col("file_name")
+    wide = F.when(X.member_category(f) == X.file_category(f), F.when(X.extension(f) == "zip", "other").otherwise("as above")).otherwise(X.member_category(f))
+    names = files(t).select(F.concat_ws(".", "file_name", endings).alias("file_name"))
+    return names.select("file_name", X.extension(f).alias("extension"), X.file_category(f).alias("kind"), wide.alias("member_kind"), X.mime_type(f).alias("mime"))
+
+
+@query("""
+WITH p AS (
+  SELECT p_partkey, p_name, p_brand, p_size, ['email', 'username', 'social_profile', 'breach_record', 'domain', 'ip', 'phone', 'website', 'credential', 'document', 'Wallet'][1 + p_partkey % 11] AS kind,
+    ['Data Point', '9 lives!', '', 'RELATES TO', 'a-b'][1 + p_partkey % 5] AS raw, ['crawl', 'breach db', 'leaked', ''][1 + p_partkey % 4] AS source FROM part
+)
+SELECT p_partkey, CASE raw WHEN 'Data Point' THEN 'DataPoint' WHEN '9 lives!' THEN 'Entity9lives' WHEN '' THEN 'Entity' WHEN 'RELATES TO' THEN 'RELATESTO' ELSE 'ab' END AS label,
+  CASE WHEN kind = 'email' THEN 'Email' WHEN kind = 'username' THEN 'Username' WHEN kind = 'social_profile' THEN 'SocialProfile' WHEN kind = 'breach_record' THEN 'BreachRecord'
+    WHEN kind = 'domain' THEN 'Domain' WHEN kind = 'ip' THEN 'IP' WHEN kind = 'phone' THEN 'Phone' WHEN kind = 'website' THEN 'Website' WHEN kind = 'credential' THEN 'Credential'
+    WHEN kind = 'document' THEN 'PublicDocument' ELSE 'Wallet' END AS mapped,
+  CASE raw WHEN 'Data Point' THEN 'DATA_POINT' WHEN 'RELATES TO' THEN 'RELATES_TO' WHEN 'a-b' THEN 'A_B' ELSE 'RELATES_TO' END AS relation,
+  regexp_replace(upper(p_brand), '[^A-Z_]', '_', 'g') AS letters,
+  CASE p_size % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'low' END AS risk,
+  CASE p_size % 4 WHEN 0 THEN 'Email' WHEN 1 THEN 'Company' WHEN 2 THEN 'Thing' ELSE 'Unknown' END AS shown_type,
+  CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN 'at ' || p_size WHEN 2 THEN 'user' ELSE 'Company' END AS shown_label,
+  CASE WHEN kind IN ('breach_record', 'credential') THEN 'critical' WHEN kind IN ('social_profile', 'phone') THEN 'medium' WHEN source IN ('breach db', 'leaked') THEN 'high' ELSE 'low' END AS inferred,
+  CASE kind WHEN 'email' THEN 'Email address found: ' || p_name WHEN 'username' THEN 'Username "' || p_name || '" found on social platforms' WHEN 'social_profile' THEN 'Social media profile discovered'
+    WHEN 'breach_record' THEN 'Found in data breach' WHEN 'domain' THEN 'Domain ' || p_name || ' analyzed' WHEN 'ip' THEN 'IP address ' || p_name || ' associated' WHEN 'phone' THEN 'Phone number ' || p_name || ' found'
+    WHEN 'website' THEN 'Website ' || p_name || ' crawled' WHEN 'credential' THEN 'Credential exposure detected' WHEN 'document' THEN 'Public document found' ELSE 'Wallet: ' || p_name END AS description,
+  CASE p_size % 2 WHEN 0 THEN 'Social Profile' ELSE 'Data Point' END AS spaced, CASE p_size % 2 WHEN 0 THEN 'Policy Analyzed' ELSE 'Data Point NAME' END AS title
+FROM p""")
 def f26_labels(t):
-    """F26-F34, F47, F52."""
-    size = F.col("p_size")
-    labels = F.when(size % 2 == 0, F.array(F.lit("Thing"), F.lit("Email"))).otherwise(F.array(F.lit("Email"), F.lit("Company")))
-    props = F.create_map(F.lit("name"), F.when(size % 2 == 0, F.col("p_name")).otherwise(F.lit("")))
-    kind = X.choose((size % 3 == 0, "Credential"), (size % 3 == 1, "phone"), otherwise="Email")
+    """Labels, relations, risks, descriptions and what is shown of a node."""
+    size, key, name = F.col("p_size"), F.col("p_partkey"), F.col("p_name")
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    kind = pick(("email", "username", "social_profile", "breach_record", "domain", "ip", "phone", "website", "credential", "document", "Wallet"), key)
+    raw, source = pick(("Data Point", "9 lives!", "", "RELATES TO", "a-b"), key), pick(("crawl", "breach db", "leaked", ""), key)
+    labels = X.choose(
+        (size % 4 == 0, F.array(F.lit("Thing"), F.lit("Email"))), (size % 4 == 1, F.array(F.lit("Email"), F.lit("Company"))),
+        (size % 4 == 2, F.array(F.lit("Thing"), F.lit("Other"))), otherwise=F.array().cast("array<string>"),
+    )
+    props = X.choose(
+        (size % 4 == 0, F.create_map(F.lit("address"), F.lit("no"), F.lit("name"), name)), (size % 4 == 1, F.create_map(F.lit("name"), F.lit(""), F.lit("address"), F.concat(F.lit("at "), size))),
+        (size % 4 == 2, F.create_map(F.lit("number"), F.lit("7"), F.lit("username"), F.lit("user"))), otherwise=F.create_map(F.lit("title"), F.lit("x")),
+    )
     return t.part.select(
-        "p_partkey", X.clean_label(F.col("p_brand")).alias("label"), X.label_of(F.when(F.col("p_partkey") % 2 == 0, "IP_Address").otherwise("Document")).alias("mapped"),
-        X.relation_type(F.col("p_name")).alias("relation"), X.relation_letters(F.col("p_brand")).alias("letters"),
+        "p_partkey", X.clean_label(raw).alias("label"), X.label_of(F.initcap(kind)).alias("mapped"), X.relation_type(raw).alias("relation"), X.relation_letters(F.col("p_brand")).alias("letters"),
         X.risk_level(X.choose((size % 3 == 0, "CRITICAL"), (size % 3 == 1, "High"), otherwise="unheard")).alias("risk"), X.display_type(labels).alias("shown_type"),
-        X.display_label(props, F.lit("Company")).alias("shown_label"), X.inferred_risk(kind, F.lit("scan")).alias("inferred"), X.spaced_words(F.lit("DataPoint")).alias("spaced"), X.title_case(F.lit("data_point_NAME")).alias("title"),
+        X.display_label(props, F.lit("Company")).alias("shown_label"), X.inferred_risk(kind, source).alias("inferred"), X.description(kind, name).alias("description"),
+        X.spaced_words(F.when(size % 2 == 0, "SocialProfile").otherwise("DataPoint")).alias("spaced"), X.title_case(F.when(size % 2 == 0, "policy_analyzed").otherwise("data_point_NAME")).alias("title"),
     )
 
 
-@query("""SELECT conv_id, turn, array_to_string([w FOR w IN regexp_split_to_array(replace(lower(text), '?', ''), '[ \\t\\n\\r\\f\\v]+') IF len(w) > 2 AND w NOT IN
-('what','who','where','when','why','how','does','do','is','are','the','a','an','my','me','about','have','has','which','and','or','of','to','in','for','with')], ' ') AS keywords FROM conversations WHERE role = 'user'""")
+_SEARCH_WORDS = "('" + "', '".join(X.SEARCH_STOPWORDS) + "')"
+_ORACLE_WORDS = "('" + "', '".join(X.ORACLE_STOPWORDS) + "')"
+
+
+@query(f"""
+WITH w AS (SELECT conv_id, turn, regexp_split_to_array(replace(lower(text), '?', ''), '[ \\t\\n\\r\\f\\v]+') AS w FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, array_to_string([x FOR x IN w IF len(x) > 2 AND x NOT IN {_SEARCH_WORDS}], ' ') AS keywords,
+  array_to_string([x FOR x IN w IF len(x) > 2 AND x NOT IN {_ORACLE_WORDS}], ' ') AS oracle_keywords FROM w""")
 def f36_keywords(t):
-    return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.array_join(X.keywords(F.col("text")), " ").alias("keywords"))
+    """with the stop words of the hybrid search, and with those of the oracle."""
+    text = F.col("text")
+    rows = t.conversations.filter("role = 'user'")
+    return rows.select("conv_id", "turn", F.array_join(X.keywords(text), " ").alias("keywords"), F.array_join(X.keywords(text, X.ORACLE_STOPWORDS), " ").alias("oracle_keywords"))
+
+
+@query("""
+WITH RECURSIVE o AS (
+  SELECT doc_id, text, 0 AS k, 1 AS start, instr(lower(text), 'the') AS pos FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, text, k + 1, pos + 3, CASE WHEN instr(substr(lower(text), pos + 3), 'the') = 0 THEN 0 ELSE pos + 2 + instr(substr(lower(text), pos + 3), 'the') END FROM o WHERE pos > 0 AND k < 5
+),
+x AS (
+  SELECT doc_id, k, substr(text, pos, 3) AS said, trim(substr(text, greatest(pos - 1 - 150, 0) + 1, pos + 152 - greatest(pos - 1 - 150, 0)), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS part
+  FROM o WHERE pos > 0 AND k < 5
+)
+SELECT doc_id, count(*) AS n, string_agg(regexp_replace(part, '(?i)the', '**' || said || '**', 'g'), '|' ORDER BY k) AS excerpts FROM x GROUP BY doc_id""")
+def f38_excerpts(t):
+    """up to five excerpts around a term, with the term in bold."""
+    found = X.excerpts(F.col("text"), "the")
+    return t.documents.select("doc_id", found.alias("x")).filter("size(x) > 0").select("doc_id", F.size("x").cast("long").alias("n"), F.array_join("x", "|").alias("excerpts"))
+
+
+@query("""
+WITH q AS (
+  SELECT p_partkey, ['Consent', 'how do children give consent', 'transfer data', 'the right to have it erased', 'zebra', 'breach notification rules'][1 + p_partkey % 6] AS q,
+    CASE WHEN p_partkey % 2 = 0 THEN 'see Article 5 and article 12.' ELSE 'nothing' END AS found FROM part
+)
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Article 6(1)(a), Article 7, Recital 32' WHEN 1 THEN 'Article 6(1)(a), Article 7, Recital 32' WHEN 2 THEN 'Article 20 GDPR'
+    WHEN 3 THEN 'Article 17 GDPR' WHEN 5 THEN 'Article 33, Article 34' END AS reference,
+  CASE p_partkey % 6 WHEN 0 THEN '5,6,7,12' WHEN 1 THEN '6,7,8' WHEN 2 THEN '5,12,20' WHEN 3 THEN '15,17' WHEN 4 THEN '5,12' ELSE '15,17' END AS articles
+FROM q""")
+def f40_topics(t):
+    """the reference text that a question is about, and the articles that it and found texts name."""
+    key = F.col("p_partkey")
+    questions = ("Consent", "how do children give consent", "transfer data", "the right to have it erased", "zebra", "breach notification rules")
+    q = F.element_at(F.array(*map(F.lit, questions)), (key % 6 + 1).cast("int"))
+    found = F.array(F.when(key % 2 == 0, "see Article 5 and article 12.").otherwise("nothing"))
+    return t.part.select("p_partkey", X.topic_articles(q).alias("reference"), F.array_join(X.articles(q, found), ",").alias("articles"))
 
 
 @query("""SELECT doc_id, substr(text, greatest(instr(lower(text), 'that') - 1 - 250, 0) + 1, 500) AS excerpt,
@@ -125,21 +233,21 @@ def f37_excerpts(t):
 
 @query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS plain,
 array_to_string([h FOR h IN [trim(regexp_replace(regexp_replace(x, '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) FOR x IN regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)] IF h <> ''][1:50], '|') AS headings,
-regexp_matches(html, '(?i)<!doctype html|<html[\\s>]') OR regexp_matches(html, '(?i)<(body|div|p|table|section|article)[\\s>]') AS looks_html FROM pages""")
+regexp_matches(html, '(?i)</?[a-z][\\s\\S]*>') AND regexp_matches(html, '(?i)</(html|body|div|table|p|section|article|script)>') AS looks_html FROM pages""")
 def f42_html(t):
     """text, headings and a test for HTML."""
     h = F.col("html")
     return t.pages.select("page_id", X.strip_html(h).alias("plain"), F.array_join(X.headings(h), "|").alias("headings"), X.is_html(h).alias("looks_html"))
 
 
-@query("""SELECT page_id, array_to_string(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=["'']([^"''>]+)["'']', 1), ' ') AS links, CAST(len(regexp_extract_all(html, '(?i)<script[^>]*?src=["'']?([^\\s>"'']+)', 1)) AS INT) AS n_scripts FROM pages""")
+@query("""SELECT page_id, array_to_string(regexp_extract_all(html, '(?i)<(?:a|link)\\s[^>]*?href=["'']([^"''>]*)["'']', 1), ' ') AS links, CAST(len(regexp_extract_all(html, '(?i)<script[^>]*?src=["'']?([^\\s>"'']+)', 1)) AS INT) AS n_scripts FROM pages""")
 def f46_links(t):
     h = F.col("html")
     return t.pages.select("page_id", F.array_join(X.hrefs(h), " ").alias("links"), F.size(X.script_sources(h)).alias("n_scripts"))
 
 
 @query(f"""WITH s AS (SELECT id, CAST(epoch(TIMESTAMP '{EVENT_NOW}' - ts) AS DOUBLE) AS s FROM messages WHERE ts < TIMESTAMP '{EVENT_NOW}')
-SELECT id, CASE WHEN floor(s / 60) < 60 THEN CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR) || 'm ago' WHEN floor(s / 3600) < 24 THEN CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR) || 'h ago'
+SELECT id, CASE WHEN floor(s / 60) < 60 THEN CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR) || ' minutes ago' WHEN floor(s / 3600) < 24 THEN CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR) || ' hours ago'
 WHEN floor(s / 86400) = 1 THEN 'Yesterday' ELSE CAST(CAST(floor(s / 86400) AS BIGINT) AS VARCHAR) || ' days ago' END AS ago FROM s""")
 def f48_relative_time(t):
     now = F.lit(EVENT_NOW).cast("timestamp_ntz")
@@ -155,14 +263,14 @@ def f22_mail_policies(t):
     return companies(t).select("company_id", F.array_join(X.spf_targets(spf), ",").alias("spf"), F.array_join(X.dmarc_emails(dmarc), ",").alias("dmarc"), X.default_domain(F.concat("company_name", F.lit(" Ltd"))).alias("default_domain"))
 
 
-@query("SELECT id, CASE upper(status) WHEN 'PROCESSING' THEN 60 WHEN 'COMPLETED' THEN 100 ELSE 40 END AS progress, strftime(CAST(created_at AS DATE) + 30, '%Y-%m-%d') AS deadline, d AS days_passed, CAST(least(100, floor(d * 100 / 30)) AS BIGINT) AS share, CAST(greatest(0, 30 - d) AS BIGINT) AS days_left "
+@query("SELECT id, CASE status WHEN 'processing' THEN 40 WHEN 'completed' THEN 100 WHEN 'action_required' THEN 60 ELSE 0 END AS progress, strftime(CAST(created_at AS DATE) + 30, '%Y-%m-%d') AS deadline, d AS days_passed, CAST(least(100, floor(d * 100 / 30)) AS BIGINT) AS share, CAST(greatest(0, 30 - d) AS BIGINT) AS days_left "
        f"FROM (SELECT *, CAST(floor(epoch(TIMESTAMP '{REQUEST_NOW}' - created_at) / 86400) AS BIGINT) AS d FROM requests)")
 def d02_deadlines(t):
     """D01-D03, D13, D27."""
     now = F.lit(REQUEST_NOW).cast("timestamp_ntz")
     days = V.days_between(F.col("created_at"), now)
     share, left = V.progress_of(days)
-    progress = F.coalesce(*[F.when(F.col("status") == k, v) for k, v in V.PROGRESS.items()])
+    progress = V.progress(F.col("status"))
     return requests(t).select("id", progress.alias("progress"), F.date_format(V.deadline(F.col("created_at")), "yyyy-MM-dd").alias("deadline"), days.alias("days_passed"), share.alias("share"), left.alias("days_left"))
 
 

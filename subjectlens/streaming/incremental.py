@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from subjectlens.operators.graph import written
-from subjectlens.operators.merge import thread_states
+from subjectlens.functions.values import status_of_class
+from subjectlens.operators.merge import matched_mail, thread_states
+from subjectlens.operators.tables import written
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, files_a_batch: int = 100) -> DataFrame:
@@ -38,12 +40,57 @@ def merge_states(old: DataFrame | None, batch: DataFrame) -> DataFrame:
     return joined.select("thread", F.coalesce("status", "s0").alias("status"), (F.coalesce("n", F.lit(0)) + F.coalesce("n0", F.lit(0))).cast("long").alias("n"), F.concat_ws(">", "h0", "history").alias("history"))
 
 
-def frontier(links: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
-    """ST3, ST4: (url, depth) of what links(src, dst) reach from seeds(url) in at most `depth` steps, each at its first depth."""
+def run_updates(stream: DataFrame, checkpoint: str, key: list[str], path: str) -> None:
+    """Writes what each batch changes to path/batch=n; a batch that is run again replaces itself."""
+    each = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    stream.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(each).start().awaitTermination()
+
+
+def keep_states(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+    """ST9: a handler of batches that writes all states after batch n to path/version=n, from those of the batch before.
+
+    A batch that is run again starts from the same version and replaces its own.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        old = spark.read.parquet(f"{path}/version={n - 1}") if n else None
+        merge_states(old, batch).write.mode("overwrite").parquet(f"{path}/version={n}")
+
+    return each
+
+
+def latest_states(spark: SparkSession, path: str) -> DataFrame:
+    """The states of the last version."""
+    every = spark.read.parquet(path)
+    last = every.agg(F.max("version").alias("v"))
+    return every.join(F.broadcast(last), F.col("version") == F.col("v")).drop("version", "v")
+
+
+def inbox_updates(mail: DataFrame, requests: DataFrame) -> DataFrame:
+    """ST2: (mail_id, request_id, status) of mail(id, sender, label): matched to requests, with the status its class leads to.
+
+    Mail that matches nothing has no row. For a stream of mail this runs on each batch, by run_available.
+    """
+    found = matched_mail(mail, requests).join(mail.select(F.col("id").alias("mail_id"), "label"), "mail_id")
+    return found.select("mail_id", "request_id", status_of_class(F.col("label")).alias("status"))
+
+
+def progress_of(items: DataFrame, key: str, done: Column, *order: Column) -> DataFrame:
+    """ST5: items with the share of their key's items that are done up to each, in order."""
+    whole = F.count("*").over(W.partitionBy(key))
+    upto = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return items.withColumn("progress", F.count_if(done).over(upto) / whole)
+
+
+def frontier(links: DataFrame, seeds: DataFrame, depth: int = 2, most: int | None = None) -> DataFrame:
+    """ST3, ST4: (url, depth) of what links(src, dst) reach from seeds(url) in at most `depth` steps, each at its first depth.
+
+    With `most`, the crawl stops after so many pages: the first ones by depth and address.
+    """
     seen = seeds.select("url", F.lit(0).alias("depth")).distinct()
     front = seen
     for d in range(1, depth + 1):
         step = links.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
         front = written(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(front)
-    return seen
+    return seen if most is None else seen.orderBy("depth", "url").limit(most)

@@ -6,6 +6,7 @@ python tests/oracle.py [--sf DIR] [PREFIX ...] prints what differs.
 from __future__ import annotations
 
 import datetime
+import os
 import sys
 import time
 from collections import Counter
@@ -21,7 +22,7 @@ def session():
     from pyspark.sql import SparkSession
 
     spark = (
-        SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]")).config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
