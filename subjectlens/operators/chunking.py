@@ -181,11 +181,14 @@ def line_chunks(docs: DataFrame, most: int = 3000) -> DataFrame:
     return _spans(docs, cut)
 
 
-def token_chunks(docs: DataFrame, tokens: int = 400, overlap: int = 40) -> DataFrame:
-    """Word chunks for a token limit (0.8 words a token); those above the limit are cut again at half the size."""
+def token_chunks(docs: DataFrame, tokens: int = 400, overlap: int = 40, count: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Word chunks for a token limit (0.8 words a token); those above the limit are cut again at half the size.
+
+    count gives the tokens of a text, such as a tokenizer's; without it four characters are one.
+    """
     size, over = int(tokens * 0.8), int(overlap * 0.8)
     first = offset_chunks(docs, size, over)
-    large = F.floor(F.length("text") / 4) > tokens
+    large = (count(F.col("text")) if count else F.floor(F.length("text") / 4)) > tokens
     small = first.filter(~large).select("doc_id", F.col("chunk_index").alias("a"), F.lit(0).alias("b"), "start_offset", "end_offset", "text", "word_count")
     again = offset_chunks(first.filter(large).select(F.struct("doc_id", "chunk_index", "start_offset").alias("doc_id"), "text"), max(2, size // 2), over // 2)
     base = F.col("doc_id.start_offset")

@@ -243,3 +243,13 @@ def s14_graph_page(t):
     """Nodes and links of a graph page as JSON; inferred links are dashed."""
     nodes = t.nation.select(F.col("n_name").alias("node"), F.lit("#1f77b4").alias("color"), (10 + F.col("n_nationkey") % 5).cast("int").alias("size"))
     return writers.graph_elements(nodes, edges(t).filter("p = 'PART_OF'").withColumn("inferred", F.col("seq") % 2 == 0))
+
+
+@query("""
+WITH p AS (SELECT page_id, html, ['text/html; charset=utf-8', 'application/xhtml+xml', 'image/png', 'TEXT/HTML', NULL][1 + page_id % 5] AS kind FROM pages)
+SELECT page_id, CAST(len(html) AS INT) AS chars FROM p WHERE contains(kind, 'text/html') OR contains(kind, 'application/xhtml+xml')""")
+def s09_fetched_pages(t):
+    """Of fetched pages those whose content type is HTML."""
+    kinds = ("text/html; charset=utf-8", "application/xhtml+xml", "image/png", "TEXT/HTML", None)
+    kind = F.element_at(F.array(*[F.lit(k).cast("string") for k in kinds]), (F.col("page_id") % 5 + 1).cast("int"))
+    return readers.html_pages(t.pages.withColumn("content_type", kind)).select("page_id", F.length("html").alias("chars"))

@@ -21,11 +21,48 @@ def x20_findings(t):
     return I.findings(t.documents)
 
 
-@query()
+#: Texts with findings of every kind, one after another, and what is found in them.
+_KINDS = (
+    "see http://a.example.com/x?y=1, hxxp://b[.]example[.]com and c[.]d[.]org end",
+    "mail me at a.b@c.org or joe [at] x.org, ip 10.1.2.3 and 8[.]8[.]8[.]8 end",
+    "aHR0cDovL2V4YW1wbGUuY29tL2E= and SFRUUDovL0VYQU1QTEUuQ09N ;",
+    " ".join(("a" * 32, "0f" * 20, "ab" * 32, "c" * 128)),
+    "fe80::1:2 and 2001:db8::ff00:42:8329 end",
+    "4111 1111 1111 1111 no 4111 1111 1111 1112",
+    '/* c */ import "pe"\nrule x : tag { meta: a = "b" condition: true }\n',
+    "http%3A%2F%2Fexample.com%2Fa end",
+    "687474703a2f2f6578616d706c652e636f6d end",
+    "key Zx9Qw3Lk7Vb2Nm5Tr8Yp4Hd6 end c\\.d\\.net x",
+)
+_KINDS_SQL = """found(k, finding_type, value, risk_level, pattern, position) AS (VALUES
+  (0, 'URL', 'http://a.example.com/x?y=1', 'low', 'GENERIC_URL', 0), (0, 'URL', 'hxxp://b[.]example[.]com', 'low', 'GENERIC_URL', 1), (0, 'URL', 'c[.]d[.]org', 'low', 'BRACKET_URL', 2),
+  (1, 'URL', '8[.]8[.]8[.]8', 'low', 'BRACKET_URL', 0), (1, 'IP', '10.1.2.3', 'low', 'IPV4', 1), (1, 'Email', 'a.b@c.org', 'medium', 'EMAIL', 2), (1, 'Email', 'joe [at] x.org', 'medium', 'EMAIL', 3),
+  (2, 'URL', 'aHR0cDovL2V4YW1wbGUuY29tL2E= and SFRUUDovL0VYQU1QTEUuQ09N', 'medium', 'B64ENCODED_URL', 0),
+  (3, 'Credential', repeat('a', 32), 'high', 'MD5', 0), (3, 'Credential', repeat('0f', 20), 'high', 'SHA1', 1), (3, 'Credential', repeat('ab', 32), 'high', 'SHA256', 2), (3, 'Credential', repeat('c', 128), 'high', 'SHA512', 3),
+  (4, 'IP', 'fe80::1:2', 'low', 'IPV6', 0), (4, 'IP', '2001:db8::ff00:42:8329', 'low', 'IPV6', 1), (5, 'CreditCard', '4111 1111 1111 1111', 'critical', 'CREDIT_CARD', 0),
+  (6, 'File', '/* c */ import "pe"' || chr(10) || 'rule x : tag { meta: a = "b" condition: true }', 'low', 'YARA', 0), (7, 'URL', 'http%3A%2F%2Fexample', 'medium', 'URLENCODED_URL', 0),
+  (8, 'URL', '687474703a2f2f6578616d706', 'medium', 'HEXENCODED_URL', 0), (9, 'URL', 'c\\.d\\.net', 'low', 'BACKSLASH_URL', 0), (9, 'Credential', 'Zx9Qw3Lk7Vb2Nm5Tr8Yp4Hd6', 'high', 'HIGH_ENTROPY', 1)
+), all_found AS (SELECT p_partkey AS doc_id, finding_type, value, risk_level, pattern, CAST(position AS INT) AS position FROM part JOIN found ON k = p_partkey % 10)"""
+
+
+def _kinds(t):
+    text = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("p_partkey") % len(_KINDS) + 1).cast("int"))
+    return t.part.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+@query(f"WITH {_KINDS_SQL} SELECT doc_id, finding_type, value, risk_level, pattern, position FROM all_found")
+def x01_findings_of_kinds(t):
+    """Findings by all patterns, each value once by the first pattern that finds it."""
+    return I.findings(_kinds(t))
+
+
+@query(f"""
+WITH {_KINDS_SQL} SELECT count(*) AS total, count(*) FILTER (risk_level = 'critical') AS critical, count(*) FILTER (risk_level = 'high') AS high, count(*) FILTER (risk_level = 'medium') AS medium, count(*) FILTER (risk_level = 'low') AS low,
+  count(*) FILTER (doc_id % 2 <> 0) AS not_in_graph FROM all_found""")
 def a16_risk_summary(t):
     """Findings by risk, and how many are not in the graph yet."""
     risk = F.col("risk_level")
-    found = I.findings(t.documents).withColumn("in_graph", F.col("doc_id") % 2 == 0)
+    found = I.findings(_kinds(t)).withColumn("in_graph", F.col("doc_id") % 2 == 0)
     return R.count_where(found, total=F.lit(True), critical=risk == "critical", high=risk == "high", medium=risk == "medium", low=risk == "low", not_in_graph=~F.col("in_graph"))
 
 
@@ -293,6 +330,14 @@ def g11_chains(t):
     return G.chain_edges(_paths(t))
 
 
+@query("""
+WITH m AS (SELECT c_name AS node, 'c' || c_nationkey AS community FROM customer), s AS (SELECT community, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, community LIMIT 5)
+SELECT community, node, n, CAST(row_number() OVER (PARTITION BY community ORDER BY node) AS INT) AS rank FROM m JOIN s USING (community) QUALIFY rank <= 3""")
+def g06_representatives(t):
+    """Three members of each of the five largest communities, for a model to relate."""
+    return G.cross_pairs(t.customer.select(F.col("c_name").alias("node"), F.concat(F.lit("c"), "c_nationkey").alias("community")))
+
+
 @query()
 def g04_communities(t):
     """Label propagation by weight; tested on two groups with one edge between."""

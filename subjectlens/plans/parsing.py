@@ -103,6 +103,16 @@ def d17_appended_json(t):
     return by.select("thread", F.concat(F.lit("["), F.array_join(F.transform("h", lambda x: x["x"]), ","), F.lit("]")).alias("history"))
 
 
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name ELSE 'default' END AS model, 'eu' AS region, CASE WHEN p_size % 2 = 0 THEN p_brand END AS note FROM part""")
+def d28_settings(t):
+    """Given settings over the defaults; blank ones keep the default, further ones are added."""
+    size = F.col("p_size")
+    given = F.map_from_arrays(F.array(F.lit("model"), F.lit("note")), F.array(F.when(size % 3 == 0, F.col("p_name")).when(size % 3 == 1, " "), F.when(size % 2 == 0, F.col("p_brand"))))
+    m = V.defaults_with(F.create_map(F.lit("model"), F.lit("default"), F.lit("region"), F.lit("eu")), given)
+    return t.part.select("p_partkey", m.alias("m")).select("p_partkey", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("model", "region", "note")])
+
+
 @query("""
 SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN 'old' END, '') || chr(10) || chr(10) || '[2024-01-30 00:00:00] ' || status AS notes FROM requests""")
 def m14_notes(t):

@@ -80,6 +80,11 @@ def extracted(files: DataFrame) -> DataFrame:
     return files.select("id", "file_name", F.coalesce(known, read).alias("text"))
 
 
+def html_pages(responses: DataFrame) -> DataFrame:
+    """responses(content_type, ...) that hold HTML or XHTML."""
+    return responses.filter(F.contains("content_type", F.lit("text/html")) | F.contains("content_type", F.lit("application/xhtml+xml")))
+
+
 def robots_rules(robots: DataFrame) -> DataFrame:
     """(host, disallowed, crawl_delay) of robots(host, text).
 
