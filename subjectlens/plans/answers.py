@@ -36,7 +36,8 @@ def v02_decisions(t):
 
 
 @query("""
-SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'INCORRECT' ELSE 'UNKNOWN' END AS verdict, CASE p_partkey % 6 WHEN 0 THEN 7.5 WHEN 1 THEN 5 WHEN 2 THEN 9 ELSE 5 END::DOUBLE AS confidence FROM part""")
+SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'INCORRECT' ELSE 'UNKNOWN' END AS verdict, CASE p_partkey % 6 WHEN 0 THEN 7.5 WHEN 1 THEN 5
+  WHEN 2 THEN 9 ELSE 5 END::DOUBLE AS confidence FROM part""")
 def v01_verdicts(t):
     """Verdicts of replies: whole ones, without confidence, unheard ones, broken ones, with words for numbers, without JSON."""
     replies = (
@@ -51,10 +52,12 @@ def v01_verdicts(t):
 WITH {_VOTES_SQL}, c AS (SELECT id, round, count(*) FILTER (verdict = 'CORRECT') AS y, count(*) FILTER (verdict = 'INCORRECT') AS n FROM votes GROUP BY 1, 2),
 d AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN y >= 3 OR n >= 3 THEN round ELSE 100 - round END) AS k FROM c), e AS (SELECT id, y, n FROM d WHERE k = 1),
 i AS (
-  SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'High' ELSE 'HIGH RISK' END AS risk, CASE WHEN doc_id % 5 = 0 THEN 'sensitive data' WHEN doc_id % 5 = 1 THEN 'Inferred' ELSE 'CONTACT' END AS category,
+  SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'High' ELSE 'HIGH RISK' END AS risk, CASE WHEN doc_id % 5 = 0 THEN 'sensitive data'
+    WHEN doc_id % 5 = 1 THEN 'Inferred' ELSE 'CONTACT' END AS category,
     CASE WHEN doc_id % 7 = 0 THEN 'inference' ELSE 'email' END AS kind FROM labels
 ), r AS (SELECT *, risk = 'High' OR doc5 OR kind = 'inference' AS risky FROM (SELECT *, category <> 'CONTACT' AS doc5 FROM i))
-SELECT id, risk, CASE WHEN NOT risky THEN 'not_required' WHEN id % 11 = 0 THEN 'not_configured' WHEN y > n THEN 'accepted' ELSE 'needs_review' END AS status FROM r JOIN e USING (id) WHERE NOT risky OR id % 11 = 0 OR NOT n > y""")
+SELECT id, risk, CASE WHEN NOT risky THEN 'not_required' WHEN id % 11 = 0 THEN 'not_configured' WHEN y > n THEN 'accepted' ELSE 'needs_review' END AS status FROM r
+  JOIN e USING (id) WHERE NOT risky OR id % 11 = 0 OR NOT n > y""")
 def v05_item_status(t):
     """Items by their decision where risk, category or type call for one; rejected ones are dropped."""
     k = F.col("doc_id")
@@ -68,7 +71,8 @@ def v05_item_status(t):
 # ---------------------------------------------------------------- retrieval
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS score FROM embeddings, q)
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
+  CAST(e AS DOUBLE[])) AS score FROM embeddings, q)
 SELECT vec_id, label, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10""")
 def r01_vector_search(t):
     """The ten nearest to one vector, which is a query's parameter."""
@@ -77,8 +81,10 @@ def r01_vector_search(t):
     return retrieval.vector_search(found, one["embedding"] if one else [0.0], 10).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
-q AS (SELECT row_number() OVER () AS r, vec_id AS query_id, e FROM v WHERE vec_id % 100 = 0), s AS (SELECT r, query_id, v.vec_id, round(list_cosine_similarity(v.e, q.e), 9) AS score FROM v, q)
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL
+  AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+q AS (SELECT row_number() OVER () AS r, vec_id AS query_id, e FROM v WHERE vec_id % 100 = 0), s AS (SELECT r, query_id, v.vec_id, round(list_cosine_similarity(v.e,
+  q.e), 9) AS score FROM v, q)
 SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY s.score DESC, s.vec_id) <= 10""")
 def r02_vector_searches(t):
     """The ten nearest to every vector whose id is divisible by 100."""
@@ -96,7 +102,8 @@ def _results(t):
     return row(t.nation, n, 0.8, F.col("n_nationkey"), "graph").unionByName(row(t.nation, n, 0.5, 1000 + F.col("n_nationkey"), "vector")).unionByName(row(t.region, F.concat(F.lit("region "), "r_name"), 0.9, 2000 + F.col("r_regionkey"), "documents"))
 
 
-@query(f"""WITH {_RESULTS_SQL}, f AS (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY left(content, 100) ORDER BY score DESC, seq) = 1 ORDER BY score DESC, seq LIMIT 20)
+@query(f"""WITH {_RESULTS_SQL}, f AS (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY left(content, 100) ORDER BY score DESC, seq) = 1
+  ORDER BY score DESC, seq LIMIT 20)
 SELECT content, score, seq, source FROM f""")
 def r04_fused(t):
     """Results of several searches, each content once."""
@@ -106,7 +113,8 @@ def r04_fused(t):
 # ---------------------------------------------------------------- upserts
 
 
-@query("""SELECT id, CASE WHEN id % 10 = 0 THEN 'closed' ELSE status END AS status, created_at FROM requests WHERE id % 10 <> 1 UNION ALL SELECT id, 'closed', created_at FROM requests WHERE id % 10 = 1""")
+@query("""SELECT id, CASE WHEN id % 10 = 0 THEN 'closed' ELSE status END AS status, created_at FROM requests WHERE id % 10 <> 1 UNION ALL
+  SELECT id, 'closed', created_at FROM requests WHERE id % 10 = 1""")
 def m01_upsert(t):
     """Changed rows replace, new rows are added."""
     r = requests(t).select("id", "status", "created_at")
@@ -125,7 +133,8 @@ def m04_replace_artifacts(t):
     return M.replace_groups(f, f.filter("request_id % 10 = 0").select("request_id", F.lit(0).alias("line"), F.lit("again").alias("file_name")).distinct(), "request_id")
 
 
-@query("""SELECT company_id, company_name, CASE WHEN company_id % 4 = 0 THEN 'seen' ELSE domain END AS domain, CASE WHEN company_id % 2 = 0 THEN segment ELSE 'new' END AS segment FROM companies""")
+@query("""SELECT company_id, company_name, CASE WHEN company_id % 4 = 0 THEN 'seen' ELSE domain END AS domain, CASE WHEN company_id % 2 = 0 THEN segment
+  ELSE 'new' END AS segment FROM companies""")
 def m05_merge_node(t):
     """A match changes only some columns, and fills those that were null."""
     c = companies(t).select("company_id", "company_name", "domain", F.when(F.col("company_id") % 2 == 0, F.col("segment")).alias("segment"))
@@ -154,7 +163,8 @@ def m15_thread_states(t):
 
 @query("""
 WITH c AS (SELECT company_id, CASE WHEN company_id % 3 = 0 THEN NULL WHEN company_id % 3 = 1 THEN [segment, 'old'] ELSE ['vip', segment] END AS tags FROM companies)
-SELECT company_id, array_to_string([x FOR x IN CASE WHEN tags IS NULL THEN ['vip'] WHEN list_contains(tags, 'vip') THEN tags ELSE list_append(tags, 'vip') END IF x <> 'old'], ',') AS tags FROM c""")
+SELECT company_id, array_to_string([x FOR x IN CASE WHEN tags IS NULL THEN ['vip'] WHEN list_contains(tags, 'vip') THEN tags
+  ELSE list_append(tags, 'vip') END IF x <> 'old'], ',') AS tags FROM c""")
 def u09_tags(t):
     """A tag added where it is not there yet, another removed."""
     k, segment = F.col("company_id"), F.col("segment")
@@ -215,8 +225,10 @@ def st9_streamed_threads(t):
     return incremental.latest_states(t.spark, base).select("thread", "status", "n")
 
 
-@query("""WITH l AS (SELECT lower(s) AS src, lower(o) AS dst FROM edges), a AS (SELECT DISTINCT lower(s_name) AS url FROM supplier), b AS (SELECT DISTINCT dst AS url FROM l JOIN a ON src = url), c AS (SELECT DISTINCT dst AS url FROM l JOIN b ON src = url)
-SELECT url, 0 AS depth FROM a UNION ALL SELECT url, 1 FROM b WHERE url NOT IN (SELECT url FROM a) UNION ALL SELECT url, 2 FROM c WHERE url NOT IN (SELECT url FROM b) AND url NOT IN (SELECT url FROM a)""")
+@query("""WITH l AS (SELECT lower(s) AS src, lower(o) AS dst FROM edges), a AS (SELECT DISTINCT lower(s_name) AS url FROM supplier), b AS (SELECT DISTINCT dst AS url
+  FROM l JOIN a ON src = url), c AS (SELECT DISTINCT dst AS url FROM l JOIN b ON src = url)
+SELECT url, 0 AS depth FROM a UNION ALL SELECT url, 1 FROM b WHERE url NOT IN (SELECT url FROM a) UNION ALL SELECT url, 2 FROM c WHERE url NOT IN (SELECT url FROM b)
+  AND url NOT IN (SELECT url FROM a)""")
 def st3_frontier(t):
     """ST3, ST4: what can be reached in two steps."""
     return incremental.frontier(edges(t).select(F.lower("s").alias("src"), F.lower("o").alias("dst")), t.supplier.select(F.lower("s_name").alias("url")), 2)

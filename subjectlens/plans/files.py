@@ -98,7 +98,8 @@ def s10_robots_rules(t):
 
 @query("""
 WITH p AS (SELECT c_custkey, 'host' || (c_custkey % 7) AS host, ['/private1/a', '/tmp', '/', '', '/open?x=/tmp', '/private'][1 + c_custkey % 6] AS path FROM customer)
-SELECT c_custkey, host FROM p WHERE NOT EXISTS (SELECT 1 FROM region WHERE p.host = 'host' || r_regionkey AND (starts_with(path, '/private' || r_regionkey) OR starts_with(path, '/tmp')))""")
+SELECT c_custkey, host FROM p WHERE NOT EXISTS (SELECT 1 FROM region WHERE p.host = 'host' || r_regionkey AND (starts_with(path, '/private' || r_regionkey)
+  OR starts_with(path, '/tmp')))""")
 def p18_allowed_pages(t):
     """Pages that the rules of their host allow; a host without rules allows all."""
     host = F.concat(F.lit("host"), F.col("c_custkey") % 7)
@@ -174,8 +175,10 @@ def s11_json_lines(t):
 
 
 @query("""
-WITH f AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN s_name || ', Ltd' ELSE 'the "' || s_name || '"' END AS value FROM supplier WHERE s_suppkey % 28 + 1 BETWEEN 3 AND 20)
-SELECT id || ',Email,' || CASE WHEN contains(value, ',') OR contains(value, '"') THEN '"' || replace(value, '"', '""') || '"' ELSE value END || ',scan,low,2024-01-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0') AS line FROM f""")
+WITH f AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN s_name || ', Ltd' ELSE 'the "' || s_name || '"' END AS value FROM supplier
+  WHERE s_suppkey % 28 + 1 BETWEEN 3 AND 20)
+SELECT id || ',Email,' || CASE WHEN contains(value, ',') OR contains(value, '"') THEN '"' || replace(value, '"', '""') || '"'
+  ELSE value END || ',scan,low,2024-01-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0') AS line FROM f""")
 def s12_csv_export(t):
     """Findings between two days as CSV lines, written and read back."""
     k = F.col("s_suppkey")
@@ -238,7 +241,8 @@ def j24_files_to_members(t):
 @query("""
 WITH n AS (SELECT n_name AS node, n_nationkey AS k FROM nation)
 SELECT 'node' AS kind, '{"id":"' || node || '","color":"#1f77b4","size":' || CAST(10 + k % 5 AS INT) || '}' AS line FROM n
-UNION ALL SELECT 'link', '{"from":"' || s || '","to":"' || o || '","label":"' || p || '","dashes":' || CASE WHEN seq % 2 = 0 THEN 'true' ELSE 'false' END || '}' FROM edges WHERE p = 'PART_OF'""")
+UNION ALL SELECT 'link', '{"from":"' || s || '","to":"' || o || '","label":"' || p || '","dashes":' || CASE WHEN seq % 2 = 0 THEN 'true' ELSE 'false' END || '}'
+  FROM edges WHERE p = 'PART_OF'""")
 def s14_graph_page(t):
     """Nodes and links of a graph page as JSON; inferred links are dashed."""
     nodes = t.nation.select(F.col("n_name").alias("node"), F.lit("#1f77b4").alias("color"), (10 + F.col("n_nationkey") % 5).cast("int").alias("size"))

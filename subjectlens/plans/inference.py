@@ -19,7 +19,8 @@ from subjectlens.streaming import incremental
 
 @query("""
 WITH m AS (SELECT c_name AS node, 'c' || c_nationkey AS community FROM customer), big AS (SELECT community FROM m GROUP BY 1 HAVING count(*) >= 3)
-SELECT community, string_agg(node, ',' ORDER BY node) AS entities FROM (SELECT * FROM m SEMI JOIN big USING (community) QUALIFY row_number() OVER (PARTITION BY community ORDER BY node) <= 10) GROUP BY 1""")
+SELECT community, string_agg(node, ',' ORDER BY node) AS entities FROM (SELECT * FROM m SEMI JOIN big USING (community)
+  QUALIFY row_number() OVER (PARTITION BY community ORDER BY node) <= 10) GROUP BY 1""")
 def g07_asked_members(t):
     """The members of larger communities that a model is asked about, ten at most."""
     members = t.customer.select(F.col("c_name").alias("node"), F.concat(F.lit("c"), "c_nationkey").alias("community"))
@@ -62,9 +63,10 @@ _SHARING_SQL = """own AS (SELECT 'Firm ' || n_nationkey AS s, 'SHARES_WITH' AS p
 shared AS (SELECT s, p, o, confidence, seq FROM edges UNION ALL SELECT * FROM own UNION ALL SELECT s, lower(p), upper(o), 0.4::DOUBLE, seq + 1000 FROM own),
 pairs AS (SELECT lower(s) AS s, lower(o) AS o, arg_max(p, seq) AS p FROM shared GROUP BY 1, 2),
 via AS (
-  SELECT a.s, CASE WHEN a.p = b.p THEN 'INDIRECTLY_' || upper(a.p) ELSE 'VIA_' || replace(upper(left(a.o, 10)), ' ', '_') END AS raw, b.o, a.o AS via FROM pairs a JOIN pairs b ON a.o = b.s
+  SELECT a.s, CASE WHEN a.p = b.p THEN 'INDIRECTLY_' || upper(a.p) ELSE 'VIA_' || replace(upper(left(a.o, 10)), ' ', '_') END AS raw, b.o, a.o AS via FROM pairs a
+    JOIN pairs b ON a.o = b.s
   WHERE a.s <> b.o AND NOT EXISTS (SELECT 1 FROM pairs c WHERE c.s = a.s AND c.o = b.o)
-), inferred AS (SELECT s, CASE WHEN raw = 'INDIRECTLY_SHARES_WITH' THEN 'INDIRECTLY_SHARES' || '_WITH' ELSE raw END AS p, o, via FROM via)"""
+), inferred AS (SELECT s, raw AS p, o, via FROM via)"""
 
 
 @query(f"WITH {_SHARING_SQL} SELECT s, p, o, 0.6::DOUBLE AS confidence, via FROM inferred")
@@ -75,13 +77,17 @@ def g05_transitive(t):
 
 @query(f"""
 WITH {_SHARING_SQL}, {_WITHIN_SQL},
-names AS (SELECT DISTINCT lower(x) AS name FROM (SELECT s AS x FROM shared UNION ALL SELECT o FROM shared)), w AS (SELECT name, list_distinct(string_split(name, ' ')) AS w FROM names WHERE name LIKE 'firm %'),
+names AS (SELECT DISTINCT lower(x) AS name FROM (SELECT s AS x FROM shared UNION ALL SELECT o
+  FROM shared)), w AS (SELECT name, list_distinct(string_split(name, ' ')) AS w FROM names WHERE name LIKE 'firm %'),
 alike AS (SELECT a.name AS s, b.name AS o FROM w a JOIN w b ON a.name < b.name WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.3),
 every AS (
-  SELECT s, p, o, confidence, false AS inferred, 0 AS rank, seq FROM shared UNION ALL SELECT s, 'MIGHT_SHARE', o, confidence, true, 1, 0 FROM within_ UNION ALL SELECT s, p, o, 0.6, true, 2, 0 FROM inferred
-  UNION ALL SELECT s, 'SIMILAR_TO', o, 1 / 3, true, 3, 0 FROM alike WHERE NOT EXISTS (SELECT 1 FROM pairs c WHERE (c.s = alike.s AND c.o = alike.o) OR (c.s = alike.o AND c.o = alike.s))
+  SELECT s, p, o, confidence, false AS inferred, 0 AS rank, seq FROM shared UNION ALL SELECT s, 'MIGHT_SHARE', o, confidence, true, 1, 0 FROM within_ UNION ALL
+    SELECT s, p, o, 0.6, true, 2, 0 FROM inferred
+  UNION ALL SELECT s, 'SIMILAR_TO', o, 1 / 3, true, 3, 0 FROM alike WHERE NOT EXISTS (SELECT 1 FROM pairs c WHERE (c.s = alike.s AND c.o = alike.o) OR (c.s = alike.o
+    AND c.o = alike.s))
 )
-SELECT s, upper(p) AS p, o, round(confidence, 6)::DOUBLE AS confidence, inferred FROM every WHERE lower(s) <> lower(o) QUALIFY row_number() OVER (PARTITION BY lower(s), upper(p), lower(o) ORDER BY confidence DESC, rank, seq) = 1""")
+SELECT s, upper(p) AS p, o, round(confidence, 6)::DOUBLE AS confidence, inferred FROM every WHERE lower(s) <> lower(o)
+  QUALIFY row_number() OVER (PARTITION BY lower(s), upper(p), lower(o) ORDER BY confidence DESC, rank, seq) = 1""")
 def g09_full_inference(t):
     """Direct triples and all that is inferred, each once."""
     members, replies = _within(t)
@@ -90,11 +96,15 @@ def g09_full_inference(t):
 
 
 @query("""
-WITH b AS (SELECT lower(s) AS x, lower(o) AS y FROM edges UNION SELECT lower(o), lower(s) FROM edges), e AS (SELECT DISTINCT n_name AS entity FROM nation UNION ALL SELECT 'Nobody'),
+WITH b AS (SELECT lower(s) AS x, lower(o) AS y FROM edges UNION SELECT lower(o), lower(s) FROM edges), e AS (SELECT DISTINCT n_name AS entity FROM nation UNION ALL
+  SELECT 'Nobody'),
 r AS (SELECT entity, y FROM e LEFT JOIN b ON x = lower(entity) QUALIFY row_number() OVER (PARTITION BY entity ORDER BY y) <= 3),
 g AS (SELECT entity, y AS m FROM r WHERE y IS NOT NULL UNION SELECT entity, lower(entity) FROM e),
-i AS (SELECT g1.entity, t.s || ' --[' || t.p || ']--> ' || t.o AS line, t.seq FROM edges t JOIN g g1 ON g1.m = lower(t.s) JOIN g g2 ON g2.m = lower(t.o) AND g2.entity = g1.entity QUALIFY row_number() OVER (PARTITION BY g1.entity ORDER BY t.seq) <= 5)
-SELECT entity, coalesce(string_agg(y, ',' ORDER BY y), '') AS related, CASE WHEN count(y) > 0 THEN 0.8 ELSE 0.4 END::DOUBLE AS confidence, coalesce((SELECT string_agg(line, '|' ORDER BY seq) FROM i WHERE i.entity = r.entity), '') AS connections FROM r GROUP BY entity""")
+i AS (SELECT g1.entity, t.s || ' --[' || t.p || ']--> ' || t.o AS line, t.seq FROM edges t JOIN g g1 ON g1.m = lower(t.s) JOIN g g2 ON g2.m = lower(t.o)
+  AND g2.entity = g1.entity QUALIFY row_number() OVER (PARTITION BY g1.entity ORDER BY t.seq) <= 5)
+SELECT entity, coalesce(string_agg(y, ',' ORDER BY y), '') AS related, CASE WHEN count(y) > 0 THEN 0.8
+  ELSE 0.4 END::DOUBLE AS confidence, coalesce((SELECT string_agg(line, '|' ORDER BY seq) FROM i WHERE i.entity = r.entity), '') AS connections FROM r
+  GROUP BY entity""")
 def g12_entity_groups(t):
     """Entities with up to three neighbours and the triples among them."""
     entities = t.nation.select(F.col("n_name").alias("entity")).union(t.spark.range(1).select(F.lit("Nobody")))
@@ -103,7 +113,8 @@ def g12_entity_groups(t):
 
 
 @query("""
-WITH p AS (SELECT n_nationkey AS pair, n_name, n_regionkey FROM nation), s AS (SELECT pair, unnest([n_name, 'x' || pair, 'y']) AS m, unnest([0, 1, 2]) AS i FROM p), g AS (SELECT pair, unnest(['X' || pair, 'z']) AS m FROM p)
+WITH p AS (SELECT n_nationkey AS pair, n_name, n_regionkey FROM nation), s AS (SELECT pair, unnest([n_name, 'x' || pair, 'y']) AS m, unnest([0, 1, 2]) AS i
+  FROM p), g AS (SELECT pair, unnest(['X' || pair, 'z']) AS m FROM p)
 SELECT s.pair, s.m AS source, r AS relation, g.m AS target, ['yes', 'maybe', 'no'][1 + s.pair % 3] AS veracity, s.pair % 3 = 0 AS factual, s.pair % 3 = 2 AS counterfactual
 FROM s JOIN g USING (pair), (SELECT unnest(['USES', 'SELLS', 'KEEPS']) AS r) WHERE i < 2 AND lower(s.m) <> lower(g.m)""")
 def g14_probes(t):
@@ -143,7 +154,8 @@ _VOTES = ("CORRECT", "incorrect", "UNKNOWN")
 
 
 @query("""
-WITH v AS (SELECT p_partkey AS id, a, p_brand, CASE (p_partkey + a * (1 + p_partkey % 3)) % 3 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'INCORRECT' ELSE 'UNKNOWN' END AS v FROM part, (SELECT unnest([0, 1, 2, 3]) AS a)),
+WITH v AS (SELECT p_partkey AS id, a, p_brand, CASE (p_partkey + a * (1 + p_partkey % 3)) % 3 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'INCORRECT' ELSE 'UNKNOWN' END AS v
+  FROM part, (SELECT unnest([0, 1, 2, 3]) AS a)),
 c AS (SELECT id, p_brand, 1 + id % 3 AS round, count(*) FILTER (v = 'CORRECT') AS y, count(*) FILTER (v = 'INCORRECT') AS n FROM v GROUP BY ALL),
 d AS (SELECT *, CASE WHEN y >= 3 OR n >= 3 THEN CASE WHEN y > n THEN 'ACCEPT' ELSE 'REJECT' END WHEN y = 2 AND n = 2 THEN 'TIE' ELSE 'CONTINUE' END AS decision FROM c)
 SELECT id, CAST(round AS INT) AS round, decision, NOT (y >= 3 OR n >= 3) AND round < 3 AS go_on, CASE decision WHEN 'TIE' THEN 'NEEDS_REVIEW' ELSE decision END AS final,
@@ -158,7 +170,8 @@ def v04_council(t):
 
 
 _RELATIONS_SQL = """rel AS (
-  SELECT o_orderkey AS id, 'f' || (o_custkey % 3) AS file_id, CASE o_orderkey % 5 WHEN 0 THEN '' ELSE 's' || (o_custkey % 7) END AS s, 'USES' AS p, CASE o_orderkey % 7 WHEN 1 THEN NULL ELSE 'o' END AS o FROM orders
+  SELECT o_orderkey AS id, 'f' || (o_custkey % 3) AS file_id, CASE o_orderkey % 5 WHEN 0 THEN '' ELSE 's' || (o_custkey % 7) END AS s, 'USES' AS p, CASE o_orderkey % 7
+    WHEN 1 THEN NULL ELSE 'o' END AS o FROM orders
 ), dec AS (
   SELECT *, CASE WHEN s = '' OR o IS NULL THEN 'NEEDS_REVIEW' WHEN id % 4 = 0 THEN 'ACCEPT' WHEN id % 4 = 1 THEN 'REJECT' ELSE 'NEEDS_REVIEW' END AS decision FROM rel
 )"""
@@ -178,7 +191,8 @@ def v07_relation_decisions(t):
 
 
 @query(f"""
-WITH {_RELATIONS_SQL} SELECT file_id, s AS source_value, p AS predicate, coalesce(o, '') AS target_value, arg_max(decision, id) AS decision, arg_max(CASE WHEN s = '' OR o IS NULL THEN 'Incomplete relationship' ELSE 'MAKGED did not accept inferred relationship' END, id) AS reason,
+WITH {_RELATIONS_SQL} SELECT file_id, s AS source_value, p AS predicate, coalesce(o, '') AS target_value, arg_max(decision, id) AS decision, arg_max(CASE WHEN s = ''
+  OR o IS NULL THEN 'Incomplete relationship' ELSE 'MAKGED did not accept inferred relationship' END, id) AS reason,
   'high' AS risk_level, 'makged_review' AS alert_type FROM dec WHERE decision <> 'ACCEPT' GROUP BY ALL""")
 def v06_review_alerts(t):
     """An alert for each relation of a file that was not accepted, as it was decided last."""
@@ -199,9 +213,11 @@ def _items(t):
 
 
 _ITEMS_SQL = """items AS (
-  SELECT o_orderkey AS seq, 'c' || (o_custkey % 5) AS company, ['email', 'phone', 'handle', 'datapoint'][1 + o_orderkey % 4] AS type, CASE WHEN o_orderkey % 4 = 0 THEN 'User' || (o_custkey % 20) || '@X.org' ELSE 'v' || (o_custkey % 30) END AS value,
+  SELECT o_orderkey AS seq, 'c' || (o_custkey % 5) AS company, ['email', 'phone', 'handle', 'datapoint'][1 + o_orderkey % 4] AS type, CASE
+    WHEN o_orderkey % 4 = 0 THEN 'User' || (o_custkey % 20) || '@X.org' ELSE 'v' || (o_custkey % 30) END AS value,
     CASE WHEN o_orderkey % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk, 'r' || (o_custkey % 5) AS request_id FROM orders
-), pts AS (SELECT *, 'IDENTITY|' || value || '|' || request_id AS point, CASE type WHEN 'email' THEN 'Email' WHEN 'phone' THEN 'Phone' WHEN 'handle' THEN 'Username' END AS kind, CASE type WHEN 'email' THEN lower(value) ELSE value END AS ident FROM items)"""
+), pts AS (SELECT *, 'IDENTITY|' || value || '|' || request_id AS point, CASE type WHEN 'email' THEN 'Email' WHEN 'phone' THEN 'Phone'
+  WHEN 'handle' THEN 'Username' END AS kind, CASE type WHEN 'email' THEN lower(value) ELSE value END AS ident FROM items)"""
 
 
 @query(f"""
@@ -233,18 +249,24 @@ def _accounts(t):
 
 
 @query("""
-WITH a AS (SELECT 'p' || (c_custkey % 6) AS persona, lower(c_mktsegment) || '/' || CASE WHEN c_custkey % 5 = 0 THEN 'unknown_user' ELSE c_name END AS account, CASE WHEN c_custkey % 4 <> 0 THEN 'user' || (c_custkey % 10) || '@x.org' END AS email,
-  CASE WHEN c_custkey % 3 = 0 THEN '+44 ' || (c_custkey % 10) END AS phone, CASE WHEN c_custkey % 2 = 0 THEN '10.0.0.1' END AS ip, 'handle:h' || (c_custkey % 3) AS handle FROM customer)
-SELECT DISTINCT persona AS src, 'OWNS_ACCOUNT' AS type, account AS dst FROM a UNION ALL SELECT DISTINCT account, 'REGISTERED_WITH', email FROM a WHERE email IS NOT NULL UNION ALL SELECT DISTINCT persona, 'USES_EMAIL', email FROM a WHERE email IS NOT NULL
-UNION ALL SELECT DISTINCT account, 'VERIFIED_BY', phone FROM a WHERE phone IS NOT NULL UNION ALL SELECT DISTINCT account, 'ACCESSED_FROM', ip FROM a WHERE ip IS NOT NULL UNION ALL SELECT DISTINCT account, 'HAS_IDENTIFIER', handle FROM a""")
+WITH a AS (SELECT 'p' || (c_custkey % 6) AS persona, lower(c_mktsegment) || '/' || CASE WHEN c_custkey % 5 = 0 THEN 'unknown_user' ELSE c_name END AS account, CASE
+  WHEN c_custkey % 4 <> 0 THEN 'user' || (c_custkey % 10) || '@x.org' END AS email,
+  CASE WHEN c_custkey % 3 = 0 THEN '+44 ' || (c_custkey % 10) END AS phone, CASE
+    WHEN c_custkey % 2 = 0 THEN '10.0.0.1' END AS ip, 'handle:h' || (c_custkey % 3) AS handle FROM customer)
+SELECT DISTINCT persona AS src, 'OWNS_ACCOUNT' AS type, account AS dst FROM a UNION ALL SELECT DISTINCT account, 'REGISTERED_WITH', email FROM a WHERE email IS NOT NULL
+  UNION ALL SELECT DISTINCT persona, 'USES_EMAIL', email FROM a WHERE email IS NOT NULL
+UNION ALL SELECT DISTINCT account, 'VERIFIED_BY', phone FROM a WHERE phone IS NOT NULL UNION ALL SELECT DISTINCT account, 'ACCESSED_FROM', ip FROM a
+  WHERE ip IS NOT NULL UNION ALL SELECT DISTINCT account, 'HAS_IDENTIFIER', handle FROM a""")
 def m08_account_edges(t):
     """An account's owner, e-mail, phone, address and handles as edges."""
     return M.account_graph(_accounts(t))[1]
 
 
 @query("""
-SELECT 'p' || c_custkey AS src, 'HAS_NAME' AS type, trim(CASE WHEN c_custkey % 2 = 0 THEN 'Ann ' ELSE '' END || c_name) AS dst FROM customer UNION ALL SELECT 'p' || c_custkey, 'USES_EMAIL', 'a' || c_custkey || '@b.org' FROM customer
-UNION ALL SELECT 'p' || c_custkey, 'HAS_PHONE', c_phone FROM (SELECT c_custkey, '+1 ' || c_custkey AS c_phone FROM customer) UNION ALL SELECT 'p' || c_custkey, 'HAS_IDENTIFIER', 'nick' FROM customer WHERE c_custkey % 3 = 0
+SELECT 'p' || c_custkey AS src, 'HAS_NAME' AS type, trim(CASE WHEN c_custkey % 2 = 0 THEN 'Ann ' ELSE '' END || c_name) AS dst FROM customer UNION ALL
+  SELECT 'p' || c_custkey, 'USES_EMAIL', 'a' || c_custkey || '@b.org' FROM customer
+UNION ALL SELECT 'p' || c_custkey, 'HAS_PHONE', c_phone FROM (SELECT c_custkey, '+1 ' || c_custkey AS c_phone FROM customer) UNION ALL
+  SELECT 'p' || c_custkey, 'HAS_IDENTIFIER', 'nick' FROM customer WHERE c_custkey % 3 = 0
 UNION ALL SELECT 'root', 'HAS_PERSONA', 'p' || c_custkey FROM customer""")
 def m09_identity_edges(t):
     """Names, e-mails, phones and user names of a persona; blanks are left out."""
@@ -259,8 +281,10 @@ def m09_identity_edges(t):
 
 
 @query("""
-WITH b AS (SELECT n_nationkey AS seq, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'node ' || (n_nationkey % 8) END AS label, CASE WHEN n_nationkey % 2 = 0 THEN 'ip_address' END AS type, CASE n_nationkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'odd' END AS risk FROM nation)
-SELECT label, 'onsit' AS source, CASE type WHEN 'ip_address' THEN 'IPAddress' ELSE 'Entity' END AS kind, arg_min(CASE risk WHEN 'HIGH' THEN 'high' ELSE 'low' END, seq) AS risk, NULL AS error FROM b WHERE label <> '' GROUP BY 1, 3
+WITH b AS (SELECT n_nationkey AS seq, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'node ' || (n_nationkey % 8) END AS label, CASE
+  WHEN n_nationkey % 2 = 0 THEN 'ip_address' END AS type, CASE n_nationkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'odd' END AS risk FROM nation)
+SELECT label, 'onsit' AS source, CASE type WHEN 'ip_address' THEN 'IPAddress' ELSE 'Entity' END AS kind, arg_min(CASE risk WHEN 'HIGH' THEN 'high'
+  ELSE 'low' END, seq) AS risk, NULL AS error FROM b WHERE label <> '' GROUP BY 1, 3
 UNION ALL SELECT 'unknown', NULL, NULL, NULL, 'Label is required' FROM b WHERE label = ''""")
 def m10_bulk_nodes(t):
     """Nodes of a bulk upload, and an error for each row without a label."""
@@ -275,8 +299,11 @@ def m10_bulk_nodes(t):
 
 @query("""
 WITH e AS (SELECT user_id AS id, ts AS t, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'start' END AS action FROM events),
-l AS (SELECT id, min(t) FILTER (action = 'start') AS started_at, arg_max(action, (t, seq)) FILTER (action <> 'start') AS a, max(t) FILTER (action <> 'start') AS completed_at, arg_max('e' || seq, (t, seq)) FILTER (action = 'fail') AS error_message, arg_max(seq, (t, seq)) AS last, count(*) AS n FROM e GROUP BY id)
-SELECT id, CASE WHEN a IS NULL THEN 'running' WHEN a = 'complete' THEN 'completed' ELSE 'error' END AS status, started_at, completed_at, error_message, CAST(last AS VARCHAR) AS last FROM l WHERE started_at IS NOT NULL""")
+l AS (SELECT id, min(t) FILTER (action = 'start') AS started_at, arg_max(action, (t, seq)) FILTER (action <> 'start') AS a,
+  max(t) FILTER (action <> 'start') AS completed_at, arg_max('e' || seq, (t, seq)) FILTER (action = 'fail') AS error_message, arg_max(seq, (t, seq)) AS last,
+  count(*) AS n FROM e GROUP BY id)
+SELECT id, CASE WHEN a IS NULL THEN 'running' WHEN a = 'complete' THEN 'completed'
+  ELSE 'error' END AS status, started_at, completed_at, error_message, CAST(last AS VARCHAR) AS last FROM l WHERE started_at IS NOT NULL""")
 def m16_workflow_logs(t):
     """Starts and ends of workflows as one row each, details merged in order."""
     action = F.when(F.col("sender") == "purchase", "complete").when(F.col("sender") == "error", "fail").otherwise("start")
@@ -304,12 +331,14 @@ def _open_requests(t):
 
 
 _MAIL_SQL = """mail AS (
-  SELECT id, ['dpo@mail.Customer-' || lpad(CAST(request_id % 40 AS VARCHAR), 9, '0') || '.example.com', 'Team <x@customer-' || lpad(CAST(request_id % 40 AS VARCHAR), 9, '0') || '>', 'a@cust.org', 'b@elsewhere.net', 'no address'][1 + id % 5] AS sender,
+  SELECT id, ['dpo@mail.Customer-' || lpad(CAST(request_id % 40 AS VARCHAR), 9, '0') || '.example.com', 'Team <x@customer-' || lpad(CAST(request_id % 40 AS VARCHAR), 9,
+    '0') || '>', 'a@cust.org', 'b@elsewhere.net', 'no address'][1 + id % 5] AS sender,
     ['DATA_READY', 'UNRELATED', 'EXTENSION'][1 + id % 3] AS label FROM messages
 ), open_ AS (SELECT r.id, 'customer-' || lpad(CAST(r.company_id AS VARCHAR), 9, '0') AS root, created_at FROM requests r WHERE status <> 'completed'),
 roots AS (SELECT root, id, created_at FROM open_ QUALIFY row_number() OVER (PARTITION BY root ORDER BY created_at DESC, id) = 1),
 dom AS (SELECT DISTINCT coalesce(split_part(split_part(sender, '@', 2), '>', 1), '') AS domain FROM mail),
-hit AS (SELECT domain, id FROM dom JOIN roots ON contains(lower(domain), root) OR contains(root, split_part(domain, '.', 1)) QUALIFY row_number() OVER (PARTITION BY domain ORDER BY created_at DESC, id) = 1),
+hit AS (SELECT domain, id FROM dom JOIN roots ON contains(lower(domain), root) OR contains(root, split_part(domain, '.', 1))
+  QUALIFY row_number() OVER (PARTITION BY domain ORDER BY created_at DESC, id) = 1),
 matched AS (SELECT m.id AS mail_id, h.id AS request_id, label FROM mail m JOIN hit h ON h.domain = coalesce(split_part(split_part(m.sender, '@', 2), '>', 1), ''))"""
 
 
@@ -326,8 +355,10 @@ def st2_inbox_updates(t):
 
 
 @query("""
-WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS domain FROM pages), r AS (SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN domain WHEN 1 THEN split_part(domain, '.', 1) ELSE 'none.such' END AS company_url FROM p WHERE page_id % 10 = 0)
-SELECT r.id, r.company_url, p.url AS policy_url, 'policy ' || p.page_id AS summary FROM r LEFT JOIN p ON p.domain = r.company_url OR (r.company_url <> '' AND contains(p.url, r.company_url))""")
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS domain FROM pages), r AS (SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN domain
+  WHEN 1 THEN split_part(domain, '.', 1) ELSE 'none.such' END AS company_url FROM p WHERE page_id % 10 = 0)
+SELECT r.id, r.company_url, p.url AS policy_url, 'policy ' || p.page_id AS summary FROM r LEFT JOIN p ON p.domain = r.company_url OR (r.company_url <> ''
+  AND contains(p.url, r.company_url))""")
 def j26_policies_of_requests(t):
     """Requests with the policies of their domain, or whose address holds the company's."""
     domain = F.regexp_extract("url", r"^https?://([^/?#]*)", 1)
@@ -347,7 +378,8 @@ def st5_progress(t):
 
 
 @query("""
-SELECT n_name AS company, e.value FROM nation, (SELECT DISTINCT c_mktsegment AS value, CASE c_mktsegment WHEN 'BUILDING' THEN 'PERSON' WHEN 'MACHINERY' THEN 'EMAIL' ELSE 'OTHER' END AS type, CASE c_mktsegment WHEN 'FURNITURE' THEN 'IDENTITY' ELSE 'X' END AS category FROM customer) e
+SELECT n_name AS company, e.value FROM nation, (SELECT DISTINCT c_mktsegment AS value, CASE c_mktsegment WHEN 'BUILDING' THEN 'PERSON' WHEN 'MACHINERY' THEN 'EMAIL'
+  ELSE 'OTHER' END AS type, CASE c_mktsegment WHEN 'FURNITURE' THEN 'IDENTITY' ELSE 'X' END AS category FROM customer) e
 WHERE n_nationkey = 3 AND (type IN ('PERSON', 'EMAIL') OR category = 'IDENTITY')""")
 def j17_company_links(t):
     """A company linked to the persons, e-mails and identities of its file; the company is a parameter."""
@@ -360,7 +392,8 @@ def j17_company_links(t):
 
 
 @query("""
-SELECT type, n, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM edges WHERE p = 'LOCATED_IN' AND (seq % 10 = 0 OR confidence > 0.8)) AS high_risk FROM (SELECT 'Account' AS type, count(*) AS n FROM supplier UNION ALL SELECT 'Company', count(*) FROM nation)""")
+SELECT type, n, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM edges WHERE p = 'LOCATED_IN' AND (seq % 10 = 0 OR confidence > 0.8)) AS high_risk
+  FROM (SELECT 'Account' AS type, count(*) AS n FROM supplier UNION ALL SELECT 'Company', count(*) FROM nation)""")
 def a14_graph_counts(t):
     """Nodes by their first label, edges, and inferences of high risk or score."""
     label = lambda df, *names: df.select(F.array(*map(F.lit, names)).alias("labels"))
@@ -373,7 +406,8 @@ def a14_graph_counts(t):
 @query("""
 WITH r AS (SELECT n_regionkey AS key, n_nationkey AS seq, [n_nationkey % 7, 15] AS articles, ['f' || (n_nationkey % 4), 'g' || n_regionkey] AS findings FROM nation),
 f AS (SELECT key, x, min(seq * 10 + i) AS pos FROM (SELECT key, seq, unnest(findings) AS x, unnest([0, 1]) AS i FROM r) GROUP BY 1, 2)
-SELECT key, (SELECT string_agg(DISTINCT CAST(a AS VARCHAR), ',' ORDER BY lpad(CAST(a AS VARCHAR), 3, '0')) FROM (SELECT r2.key AS k2, unnest(articles) AS a FROM r r2) WHERE k2 = f.key) AS articles, string_agg(x, ',' ORDER BY pos) AS findings,
+SELECT key, (SELECT string_agg(DISTINCT CAST(a AS VARCHAR), ',' ORDER BY lpad(CAST(a AS VARCHAR), 3, '0')) FROM (SELECT r2.key AS k2, unnest(articles) AS a FROM r r2)
+  WHERE k2 = f.key) AS articles, string_agg(x, ',' ORDER BY pos) AS findings,
   (SELECT count(*) FROM r r3 WHERE r3.key = f.key) AS n_sources, CAST(greatest(0, 100 - 10 * count(*)) AS INT) AS compliance FROM f GROUP BY key""")
 def a21_aggregated(t):
     """Sub-results as one: sorted articles, distinct findings in order, the score they leave."""
@@ -384,7 +418,8 @@ def a21_aggregated(t):
 
 
 @query("""
-WITH f AS (SELECT 'Email' AS type, 'label ' || (o_custkey % 50) AS label, o_orderkey AS seq, o_custkey AS seed FROM orders) SELECT type, label, min(seq) AS seq, arg_min(seed, seq) AS seed FROM f GROUP BY 1, 2""")
+WITH f AS (SELECT 'Email' AS type, 'label ' || (o_custkey % 50) AS label, o_orderkey AS seq, o_custkey AS seed FROM orders)
+  SELECT type, label, min(seq) AS seq, arg_min(seed, seq) AS seed FROM f GROUP BY 1, 2""")
 def w08_entities_across_seeds(t):
     """Entities that several seeds bring, each once, as the first one brought it."""
     rows = t.orders.select(F.lit("Email").alias("type"), F.concat(F.lit("label "), F.col("o_custkey") % 50).alias("label"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("seed"))
@@ -393,8 +428,10 @@ def w08_entities_across_seeds(t):
 
 
 @query("""
-WITH s AS (SELECT c_custkey AS id, [' a' || c_custkey || '@b.org', 'https://u:p@www.Shop' || c_custkey || '.com:80/x', 'shop' || c_custkey || '.org', 'nick' || c_custkey, 'two words', 'a@b', ''][1 + c_custkey % 7] AS seed FROM customer)
-SELECT id, CASE id % 7 WHEN 0 THEN 'email' WHEN 1 THEN 'domain' WHEN 2 THEN 'domain' WHEN 3 THEN 'username' WHEN 5 THEN 'username' END AS kind, CASE id % 7 WHEN 0 THEN trim(seed) WHEN 1 THEN 'www.shop' || id || '.com' WHEN 2 THEN seed WHEN 3 THEN seed WHEN 5 THEN seed END AS value FROM s""")
+WITH s AS (SELECT c_custkey AS id, [' a' || c_custkey || '@b.org', 'https://u:p@www.Shop' || c_custkey || '.com:80/x', 'shop' || c_custkey || '.org',
+  'nick' || c_custkey, 'two words', 'a@b', ''][1 + c_custkey % 7] AS seed FROM customer)
+SELECT id, CASE id % 7 WHEN 0 THEN 'email' WHEN 1 THEN 'domain' WHEN 2 THEN 'domain' WHEN 3 THEN 'username' WHEN 5 THEN 'username' END AS kind, CASE id % 7
+  WHEN 0 THEN trim(seed) WHEN 1 THEN 'www.shop' || id || '.com' WHEN 2 THEN seed WHEN 3 THEN seed WHEN 5 THEN seed END AS value FROM s""")
 def p22_seed_kinds(t):
     """What a seed is: an e-mail, a domain or URL, a user name, or nothing."""
     k = F.col("c_custkey")
@@ -411,9 +448,11 @@ def p22_seed_kinds(t):
 
 
 @query("""
-WITH r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'a@b.org' ELSE '' END AS email, CASE WHEN c_custkey % 3 = 0 THEN ['nick', ''] END AS users, CASE WHEN c_custkey % 5 = 0 THEN ['b.org'] ELSE [] END AS domains, ['quick', 'standard', 'deep'][1 + c_custkey % 3] AS depth FROM customer)
+WITH r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'a@b.org' ELSE '' END AS email, CASE WHEN c_custkey % 3 = 0 THEN ['nick', ''] END AS users, CASE
+  WHEN c_custkey % 5 = 0 THEN ['b.org'] ELSE [] END AS domains, ['quick', 'standard', 'deep'][1 + c_custkey % 3] AS depth FROM customer)
 SELECT id, array_to_string([x FOR x IN list_concat([email], coalesce(users, []), ['+1'], domains) IF x <> ''], ',') AS seeds,
-  array_to_string([x FOR x IN [CASE WHEN email <> '' THEN 'email' END, CASE WHEN users IS NOT NULL THEN 'username' END, CASE WHEN id % 7 <> 0 THEN 'breach' END, CASE WHEN depth <> 'quick' THEN 'social' END, CASE WHEN depth <> 'quick' AND len(domains) > 0 THEN 'domain,dns,whois' END,
+  array_to_string([x FOR x IN [CASE WHEN email <> '' THEN 'email' END, CASE WHEN users IS NOT NULL THEN 'username' END, CASE WHEN id % 7 <> 0 THEN 'breach' END, CASE
+    WHEN depth <> 'quick' THEN 'social' END, CASE WHEN depth <> 'quick' AND len(domains) > 0 THEN 'domain,dns,whois' END,
     CASE WHEN depth = 'deep' THEN 'subdomain,technology,crawler' END] IF x IS NOT NULL], ',') AS enrichers FROM r""")
 def p24_seed_lists(t):
     """The seeds of a search, blanks left out, and the lookups that its depth calls for."""

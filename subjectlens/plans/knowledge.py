@@ -35,13 +35,18 @@ _KINDS = (
     "key Zx9Qw3Lk7Vb2Nm5Tr8Yp4Hd6 end c\\.d\\.net x",
 )
 _KINDS_SQL = """found(k, finding_type, value, risk_level, pattern, position) AS (VALUES
-  (0, 'URL', 'http://a.example.com/x?y=1', 'low', 'GENERIC_URL', 0), (0, 'URL', 'hxxp://b[.]example[.]com', 'low', 'GENERIC_URL', 1), (0, 'URL', 'c[.]d[.]org', 'low', 'BRACKET_URL', 2),
-  (1, 'URL', '8[.]8[.]8[.]8', 'low', 'BRACKET_URL', 0), (1, 'IP', '10.1.2.3', 'low', 'IPV4', 1), (1, 'Email', 'a.b@c.org', 'medium', 'EMAIL', 2), (1, 'Email', 'joe [at] x.org', 'medium', 'EMAIL', 3),
+  (0, 'URL', 'http://a.example.com/x?y=1', 'low', 'GENERIC_URL', 0), (0, 'URL', 'hxxp://b[.]example[.]com', 'low', 'GENERIC_URL', 1), (0, 'URL', 'c[.]d[.]org', 'low',
+    'BRACKET_URL', 2),
+  (1, 'URL', '8[.]8[.]8[.]8', 'low', 'BRACKET_URL', 0), (1, 'IP', '10.1.2.3', 'low', 'IPV4', 1), (1, 'Email', 'a.b@c.org', 'medium', 'EMAIL', 2), (1, 'Email',
+    'joe [at] x.org', 'medium', 'EMAIL', 3),
   (2, 'URL', 'aHR0cDovL2V4YW1wbGUuY29tL2E= and SFRUUDovL0VYQU1QTEUuQ09N', 'medium', 'B64ENCODED_URL', 0),
-  (3, 'Credential', repeat('a', 32), 'high', 'MD5', 0), (3, 'Credential', repeat('0f', 20), 'high', 'SHA1', 1), (3, 'Credential', repeat('ab', 32), 'high', 'SHA256', 2), (3, 'Credential', repeat('c', 128), 'high', 'SHA512', 3),
+  (3, 'Credential', repeat('a', 32), 'high', 'MD5', 0), (3, 'Credential', repeat('0f', 20), 'high', 'SHA1', 1), (3, 'Credential', repeat('ab', 32), 'high', 'SHA256',
+    2), (3, 'Credential', repeat('c', 128), 'high', 'SHA512', 3),
   (4, 'IP', 'fe80::1:2', 'low', 'IPV6', 0), (4, 'IP', '2001:db8::ff00:42:8329', 'low', 'IPV6', 1), (5, 'CreditCard', '4111 1111 1111 1111', 'critical', 'CREDIT_CARD', 0),
-  (6, 'File', '/* c */ import "pe"' || chr(10) || 'rule x : tag { meta: a = "b" condition: true }', 'low', 'YARA', 0), (7, 'URL', 'http%3A%2F%2Fexample', 'medium', 'URLENCODED_URL', 0),
-  (8, 'URL', '687474703a2f2f6578616d706', 'medium', 'HEXENCODED_URL', 0), (9, 'URL', 'c\\.d\\.net', 'low', 'BACKSLASH_URL', 0), (9, 'Credential', 'Zx9Qw3Lk7Vb2Nm5Tr8Yp4Hd6', 'high', 'HIGH_ENTROPY', 1)
+  (6, 'File', '/* c */ import "pe"' || chr(10) || 'rule x : tag { meta: a = "b" condition: true }', 'low', 'YARA', 0), (7, 'URL', 'http%3A%2F%2Fexample', 'medium',
+    'URLENCODED_URL', 0),
+  (8, 'URL', '687474703a2f2f6578616d706', 'medium', 'HEXENCODED_URL', 0), (9, 'URL', 'c\\.d\\.net', 'low', 'BACKSLASH_URL', 0), (9, 'Credential',
+    'Zx9Qw3Lk7Vb2Nm5Tr8Yp4Hd6', 'high', 'HIGH_ENTROPY', 1)
 ), all_found AS (SELECT p_partkey AS doc_id, finding_type, value, risk_level, pattern, CAST(position AS INT) AS position FROM part JOIN found ON k = p_partkey % 10)"""
 
 
@@ -57,7 +62,8 @@ def x01_findings_of_kinds(t):
 
 
 @query(f"""
-WITH {_KINDS_SQL} SELECT count(*) AS total, count(*) FILTER (risk_level = 'critical') AS critical, count(*) FILTER (risk_level = 'high') AS high, count(*) FILTER (risk_level = 'medium') AS medium, count(*) FILTER (risk_level = 'low') AS low,
+WITH {_KINDS_SQL} SELECT count(*) AS total, count(*) FILTER (risk_level = 'critical') AS critical, count(*) FILTER (risk_level = 'high') AS high,
+  count(*) FILTER (risk_level = 'medium') AS medium, count(*) FILTER (risk_level = 'low') AS low,
   count(*) FILTER (doc_id % 2 <> 0) AS not_in_graph FROM all_found""")
 def a16_risk_summary(t):
     """Findings by risk, and how many are not in the graph yet."""
@@ -67,8 +73,10 @@ def a16_risk_summary(t):
 
 
 @query("""
-WITH f AS (SELECT p_partkey AS doc_id, ['Email', 'URL', 'Credential', 'CreditCard'][1 + p_partkey % 4] AS finding_type, p_name AS value, ['medium', 'low', 'high', 'critical', 'high'][1 + p_partkey % 5] AS risk_level, p_size AS position FROM part)
-SELECT doc_id, finding_type, left(value, 4) || '...' || left(sha256(value), 8) AS value, risk_level, CASE risk_level WHEN 'critical' THEN 4 ELSE 3 END AS rank FROM f WHERE risk_level IN ('critical', 'high') AND finding_type <> 'URL' AND contains(lower(value), 'a')
+WITH f AS (SELECT p_partkey AS doc_id, ['Email', 'URL', 'Credential', 'CreditCard'][1 + p_partkey % 4] AS finding_type, p_name AS value, ['medium', 'low', 'high',
+  'critical', 'high'][1 + p_partkey % 5] AS risk_level, p_size AS position FROM part)
+SELECT doc_id, finding_type, left(value, 4) || '...' || left(sha256(value), 8) AS value, risk_level, CASE risk_level WHEN 'critical' THEN 4 ELSE 3 END AS rank FROM f
+  WHERE risk_level IN ('critical', 'high') AND finding_type <> 'URL' AND contains(lower(value), 'a')
 ORDER BY rank DESC, doc_id, position LIMIT 200""")
 def p03_filtered_findings(t):
     """Findings by text, risk and type, worst first, masked, the first two hundred."""
@@ -80,7 +88,8 @@ def p03_filtered_findings(t):
     return R.top(out.withColumn("rank", rank), 200, F.desc("rank"), F.col("doc_id"), F.col("position")).select("doc_id", "finding_type", I.masked(F.col("value")).alias("value"), "risk_level", "rank")
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(list_distinct([regexp_replace(x, '[^0-9. \\[\\]()\\\\]', '', 'g') FOR x IN regexp_extract_all(text, '(?:^|[^\\d.])((?:(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d))(?:[^\\d.]|$)', 1)])), ' ') AS ips
+@query("""SELECT doc_id, array_to_string(list_sort(list_distinct([regexp_replace(x, '[^0-9. \\[\\]()\\\\]', '', 'g') FOR x IN regexp_extract_all(text,
+  '(?:^|[^\\d.])((?:(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d))(?:[^\\d.]|$)', 1)])), ' ') AS ips
 FROM documents WHERE regexp_matches(text, '(?:^|[^\\d.])((?:(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d))(?:[^\\d.]|$)')""")
 def x07_ip_addresses(t):
     """One pattern of the table."""
@@ -89,7 +98,8 @@ def x07_ip_addresses(t):
 
 
 @query("""
-SELECT s_suppkey AS doc_id, md5(s_name) AS md5, CASE WHEN s_suppkey % 2 = 0 THEN sha1(s_name) ELSE '' END AS sha1, upper(sha256(s_name)) || ' ' || sha256(s_name) AS sha256, md5('a') || md5('b') || md5('c') || md5(s_name) AS sha512 FROM supplier""")
+SELECT s_suppkey AS doc_id, md5(s_name) AS md5, CASE WHEN s_suppkey % 2 = 0 THEN sha1(s_name)
+  ELSE '' END AS sha1, upper(sha256(s_name)) || ' ' || sha256(s_name) AS sha256, md5('a') || md5('b') || md5('c') || md5(s_name) AS sha512 FROM supplier""")
 def x10_hashes(t):
     """Hashes by length; longer runs of digits are no hashes."""
     name = F.col("s_name")
@@ -99,15 +109,19 @@ def x10_hashes(t):
     return t.supplier.select(F.col("s_suppkey").alias("doc_id"), I.hashes(text).alias("h")).select("doc_id", *shown)
 
 
-@query("""WITH c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]{4}[ ]?[-]?[0-9]{4}[ ]?[-]?[0-9]{4}[ ]?[-]?[0-9]{4}')) AS v FROM documents), d AS (SELECT *, regexp_replace(v, '\\D', '', 'g') AS g FROM c)
-SELECT doc_id, v AS value FROM d WHERE (SELECT sum(CASE WHEN i % 2 = 1 THEN CASE WHEN x * 2 > 9 THEN x * 2 - 9 ELSE x * 2 END ELSE x END) % 10 = 0 FROM (SELECT i, CAST(substr(g, 16 - CAST(i AS INT), 1) AS INT) AS x FROM range(16) r(i)))""")
+@query("""WITH c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]{4}[ ]?[-]?[0-9]{4}[ ]?[-]?[0-9]{4}[ ]?[-]?[0-9]{4}')) AS v
+  FROM documents), d AS (SELECT *, regexp_replace(v, '\\D', '', 'g') AS g FROM c)
+SELECT doc_id, v AS value FROM d WHERE (SELECT sum(CASE WHEN i % 2 = 1 THEN CASE WHEN x * 2 > 9 THEN x * 2 - 9 ELSE x * 2 END ELSE x END) % 10 = 0
+  FROM (SELECT i, CAST(substr(g, 16 - CAST(i AS INT), 1) AS INT) AS x FROM range(16) r(i)))""")
 def x14_credit_cards(t):
     return I.findings(t.documents, I.named("CREDIT_CARD")).select("doc_id", "value")
 
 
-@query("""WITH c AS (SELECT doc_id, len(list_distinct(regexp_extract_all(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b'))) AS e, len(list_distinct(regexp_extract_all(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b'))) AS i,
+@query("""WITH c AS (SELECT doc_id, len(list_distinct(regexp_extract_all(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b'))) AS e,
+  len(list_distinct(regexp_extract_all(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b'))) AS i,
 [x FOR x IN ['health', 'medical', 'biometric', 'precise location', 'gps', 'financial', 'passport', 'national insurance'] IF contains(lower(text), x)] AS s FROM documents)
-SELECT doc_id, 'email' AS kind, CAST(e AS INT) AS count, 0.9::DOUBLE AS confidence, '' AS source FROM c WHERE e > 0 UNION ALL SELECT doc_id, 'ip', CAST(i AS INT), 0.85::DOUBLE, '' FROM c WHERE i > 0
+SELECT doc_id, 'email' AS kind, CAST(e AS INT) AS count, 0.9::DOUBLE AS confidence, '' AS source FROM c WHERE e > 0 UNION ALL
+  SELECT doc_id, 'ip', CAST(i AS INT), 0.85::DOUBLE, '' FROM c WHERE i > 0
 UNION ALL SELECT doc_id, 'sensitive_terms', CAST(len(s) AS INT), 0.7::DOUBLE, array_to_string(s, ', ') FROM c WHERE len(s) > 0""")
 def x23_risk_signals(t):
     """X23, C09, A25."""
@@ -132,7 +146,8 @@ _HREFS_SQL = ", ".join(f"('{h}', " + (f"'{u}', '{k}')" if u else "NULL, NULL)")
 
 @query(f"""
 WITH h(href, link, kind) AS (VALUES {_HREFS_SQL})
-SELECT n_nationkey AS page_id, link, kind, regexp_matches(lower(link), '\\.(pdf|docx?|xlsx?|zip|rar|tar|gz|jpe?g|png|gif|svg|mp[34]|avi|mov)$') AS downloadable, count(*) * 1 AS n FROM nation, h WHERE link IS NOT NULL GROUP BY ALL""")
+SELECT n_nationkey AS page_id, link, kind, regexp_matches(lower(link), '\\.(pdf|docx?|xlsx?|zip|rar|tar|gz|jpe?g|png|gif|svg|mp[34]|avi|mov)$') AS downloadable,
+  count(*) * 1 AS n FROM nation, h WHERE link IS NOT NULL GROUP BY ALL""")
 def x25_links(t):
     """Links of pages, resolved, without fragments, internal or external, and whether they are downloads."""
     tags = [f'<a class="x" href="{h}">go</a>' if i % 2 else f"<link rel=x href='{h}'>" for i, (h, _, _) in enumerate(_HREFS)]
@@ -159,8 +174,10 @@ def linked(pages):
 
 @query("""
 WITH n AS (SELECT s_suppkey, lower(replace(s_name, '#', '')) AS u FROM supplier)
-SELECT s_suppkey, platform, replace(url, '{}', u) AS url, 'supplier' || s_suppkey || '.example.org' AS domain FROM n, (VALUES ('github', 'https://github.com/{}'), ('twitter', 'https://twitter.com/{}'), ('instagram', 'https://instagram.com/{}'),
-('linkedin', 'https://linkedin.com/in/{}'), ('facebook', 'https://facebook.com/{}'), ('tiktok', 'https://tiktok.com/@{}'), ('youtube', 'https://youtube.com/@{}'), ('reddit', 'https://reddit.com/user/{}'), ('pinterest', 'https://pinterest.com/{}'), ('medium', 'https://medium.com/@{}')) p(platform, url)""")
+SELECT s_suppkey, platform, replace(url, '{}', u) AS url, 'supplier' || s_suppkey || '.example.org' AS domain
+  FROM n, (VALUES ('github', 'https://github.com/{}'), ('twitter', 'https://twitter.com/{}'), ('instagram', 'https://instagram.com/{}'),
+('linkedin', 'https://linkedin.com/in/{}'), ('facebook', 'https://facebook.com/{}'), ('tiktok', 'https://tiktok.com/@{}'), ('youtube', 'https://youtube.com/@{}'),
+  ('reddit', 'https://reddit.com/user/{}'), ('pinterest', 'https://pinterest.com/{}'), ('medium', 'https://medium.com/@{}')) p(platform, url)""")
 def x27_enrichments(t):
     """Enrichments without a network: an address's domain and the profile URLs of a name on ten platforms."""
     name = F.lower(F.replace("s_name", F.lit("#"), F.lit("")))
@@ -193,7 +210,8 @@ def _messy(t):
     return a.unionByName(b).unionByName(b.filter("(seq div 2) % 7 = 0").withColumn("s", F.lit("")))
 
 
-@query(f"""WITH {_MESSY_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(s)), upper(trim(p)), lower(trim(o)) ORDER BY confidence DESC, seq) AS r FROM messy WHERE trim(s) <> '' AND trim(p) <> '' AND trim(o) <> '')
+@query(f"""WITH {_MESSY_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(s)), upper(trim(p)), lower(trim(o)) ORDER BY confidence DESC, seq) AS r
+  FROM messy WHERE trim(s) <> '' AND trim(p) <> '' AND trim(o) <> '')
 SELECT s, p, o, confidence, seq FROM k WHERE r = 1""")
 def w03_distinct_triples(t):
     """Valid triples, each once."""
@@ -202,15 +220,18 @@ def w03_distinct_triples(t):
 
 _SPELLED_SQL = """spelled AS (
   SELECT CASE k WHEN 0 THEN 'The ' || s || ' Group' WHEN 1 THEN upper(s) || ' group' WHEN 2 THEN s || ' of Group' ELSE s || ' Group Holding' END AS s, p,
-    CASE k WHEN 0 THEN 'Info.' || replace(replace(o, '_', ''), ' ', '') || '@gmail.com' WHEN 1 THEN 'info' || lower(replace(replace(o, '_', ''), ' ', '')) || '+x@gmail.com' WHEN 2 THEN 'of the' ELSE 'No ' || o END AS o, confidence, seq * 4 + k AS seq
+    CASE k WHEN 0 THEN 'Info.' || replace(replace(o, '_', ''), ' ', '') || '@gmail.com'
+      WHEN 1 THEN 'info' || lower(replace(replace(o, '_', ''), ' ', '')) || '+x@gmail.com' WHEN 2 THEN 'of the' ELSE 'No ' || o END AS o, confidence, seq * 4 + k AS seq
   FROM edges, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE k < 2 OR seq % 2 = 0
 ), uses AS (SELECT lower(x) AS name, count(*) AS n FROM (SELECT s AS x FROM spelled UNION ALL SELECT o FROM spelled) GROUP BY 1),
 keyed AS (
   SELECT *, CASE WHEN contains(name, '@') THEN replace(split_part(split_part(name, '@', 1), '+', 1), '.', '') || '@' || split_part(name, '@', 2)
-    ELSE array_to_string([w FOR w IN regexp_extract_all(name, '\\w+') IF w NOT IN ('the','a','an','of','and','or','in','on','at','to','for','with','by','as','is','are','was','were')], ' ') END AS key FROM uses
+    ELSE array_to_string([w FOR w IN regexp_extract_all(name,
+      '\\w+') IF w NOT IN ('the','a','an','of','and','or','in','on','at','to','for','with','by','as','is','are','was','were')], ' ') END AS key FROM uses
 ), canon AS (SELECT name, first_value(name) OVER (PARTITION BY key ORDER BY n DESC, len(name), name) AS canonical FROM keyed WHERE key <> ''),
 rooted AS (SELECT *, CASE WHEN len(split_part(canonical, ' ', 1)) >= 4 THEN split_part(canonical, ' ', 1) ELSE canonical END AS root FROM canon),
-mapping AS (SELECT name, CASE WHEN len(root) >= 4 THEN first_value(canonical) OVER (PARTITION BY root ORDER BY len(canonical), canonical) ELSE canonical END AS canonical FROM rooted)"""
+mapping AS (SELECT name, CASE WHEN len(root) >= 4 THEN first_value(canonical) OVER (PARTITION BY root ORDER BY len(canonical), canonical)
+  ELSE canonical END AS canonical FROM rooted)"""
 
 
 def _spelled(t):
@@ -230,15 +251,18 @@ def e03_canonical_names(t):
 
 
 @query(f"""
-WITH {_SPELLED_SQL} SELECT coalesce(a.canonical, s) AS s, p, coalesce(b.canonical, o) AS o, confidence, seq FROM spelled LEFT JOIN mapping a ON a.name = lower(s) LEFT JOIN mapping b ON b.name = lower(o)""")
+WITH {_SPELLED_SQL} SELECT coalesce(a.canonical, s) AS s, p, coalesce(b.canonical, o) AS o, confidence, seq FROM spelled LEFT JOIN mapping a ON a.name = lower(s) LEFT
+  JOIN mapping b ON b.name = lower(o)""")
 def e05_resolved_triples(t):
     """Canonical ends; what has no key keeps its own spelling."""
     return E.resolve(_spelled(t))
 
 
 @query(f"""
-WITH {_SPELLED_SQL}, given AS (SELECT lower('The ' || n_name || ' Group') AS name, 'given ' || n_nationkey AS canonical FROM nation), every AS (SELECT coalesce(m.name, g.name) AS name, coalesce(g.canonical, m.canonical) AS canonical FROM mapping m FULL JOIN given g ON g.name = m.name)
-SELECT coalesce(a.canonical, s) AS s, p, coalesce(b.canonical, o) AS o, confidence, seq FROM spelled LEFT JOIN every a ON a.name = lower(s) LEFT JOIN every b ON b.name = lower(o)""")
+WITH {_SPELLED_SQL}, given AS (SELECT lower('The ' || n_name || ' Group') AS name, 'given ' || n_nationkey AS canonical
+  FROM nation), every AS (SELECT coalesce(m.name, g.name) AS name, coalesce(g.canonical, m.canonical) AS canonical FROM mapping m FULL JOIN given g ON g.name = m.name)
+SELECT coalesce(a.canonical, s) AS s, p, coalesce(b.canonical, o) AS o, confidence, seq FROM spelled LEFT JOIN every a ON a.name = lower(s) LEFT
+  JOIN every b ON b.name = lower(o)""")
 def e06_overridden_names(t):
     """A model's groups come before the rules."""
     given = t.nation.select(F.lower(F.concat(F.lit("The "), "n_name", F.lit(" Group"))).alias("name"), F.concat(F.lit("given "), "n_nationkey").alias("canonical"))
@@ -258,7 +282,8 @@ def _merging(t):
 
 @query("""
 WITH m AS (SELECT n_regionkey AS r, min('n' || n_nationkey) AS first, string_agg('n' || n_nationkey, ',' ORDER BY 'n' || n_nationkey) AS merged_from FROM nation GROUP BY 1)
-SELECT 'r' || r_regionkey AS id, 'region' AS own, 'region' AS kind, n_name AS name, merged_from FROM region LEFT JOIN m ON r = r_regionkey LEFT JOIN nation ON 'n' || n_nationkey = first""")
+SELECT 'r' || r_regionkey AS id, 'region' AS own, 'region' AS kind, n_name AS name, merged_from FROM region LEFT JOIN m ON r = r_regionkey LEFT
+  JOIN nation ON 'n' || n_nationkey = first""")
 def e08_merged_nodes(t):
     """Nations go into their regions: a region keeps its own properties and gains those that it lacks, from the first by id."""
     merged, _ = E.merge_nodes(*_merging(t))
@@ -267,7 +292,8 @@ def e08_merged_nodes(t):
 
 
 @query("""
-SELECT 'r' || n_regionkey AS src, 's' || (n_nationkey % 3) AS dst, 'HOLDS' AS type, CAST(min(n_nationkey) + 100 AS BIGINT) AS seq FROM nation GROUP BY 1, 2 UNION ALL SELECT 's' || (n_nationkey % 2), 'r' || n_regionkey, 'SEES', CAST(min(n_nationkey) + 200 AS BIGINT) FROM nation GROUP BY 1, 2""")
+SELECT 'r' || n_regionkey AS src, 's' || (n_nationkey % 3) AS dst, 'HOLDS' AS type, CAST(min(n_nationkey) + 100 AS BIGINT) AS seq FROM nation GROUP BY 1, 2 UNION ALL
+  SELECT 's' || (n_nationkey % 2), 'r' || n_regionkey, 'SEES', CAST(min(n_nationkey) + 200 AS BIGINT) FROM nation GROUP BY 1, 2""")
 def e08_moved_edges(t):
     """Edges move to the target; those between the two go, of equal ones the first stays."""
     return E.merge_nodes(*_merging(t))[1]
@@ -276,7 +302,8 @@ def e08_moved_edges(t):
 # ---------------------------------------------------------------- graphs
 
 
-@query("""WITH RECURSIVE b AS (SELECT lower(s) AS u, lower(o) AS v FROM edges UNION SELECT lower(o), lower(s) FROM edges), r AS (SELECT u AS node, u AS c FROM b UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.node)
+@query("""WITH RECURSIVE b AS (SELECT lower(s) AS u, lower(o) AS v FROM edges UNION SELECT lower(o), lower(s) FROM edges), r AS (SELECT u AS node, u AS c FROM b UNION
+  SELECT b.v, r.c FROM r JOIN b ON b.u = r.node)
 SELECT node, min(c) AS component FROM r GROUP BY node""")
 def g03_components(t):
     return G.weak_components(edges(t))
@@ -288,14 +315,17 @@ def g01_adjacency(t):
     return G.adjacency(edges(t)).select("node", F.array_join("neighbours", ",").alias("neighbours"))
 
 
-@query("""WITH n AS (SELECT DISTINCT lower(s) AS s FROM edges UNION SELECT lower(o) FROM edges), d AS (SELECT DISTINCT lower(s) AS u, lower(o) AS v FROM edges UNION SELECT lower(o), lower(s) FROM edges)
+@query("""WITH n AS (SELECT DISTINCT lower(s) AS s FROM edges UNION SELECT lower(o) FROM edges), d AS (SELECT DISTINCT lower(s) AS u, lower(o) AS v FROM edges UNION
+  SELECT lower(o), lower(s) FROM edges)
 SELECT u AS node, count(*) AS degree, round(count(*) / ((SELECT count(*) FROM n) - 1.0), 8)::DOUBLE AS centrality FROM d GROUP BY u""")
 def g18_degree(t):
     return G.degree_centrality(edges(t)).withColumn("centrality", F.round("centrality", 8))
 
 
-@query("""WITH w AS (SELECT DISTINCT lower(p_name || ' ' || p_type || ' ' || p_brand || ' s' || (p_size % 5)) AS name FROM part), x AS (SELECT name, list_distinct(string_split(name, ' ')) AS w FROM w)
-SELECT a.name AS s, b.name AS o, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6)::DOUBLE AS confidence FROM x a JOIN x b ON a.name < b.name
+@query("""WITH w AS (SELECT DISTINCT lower(p_name || ' ' || p_type || ' ' || p_brand || ' s' || (p_size % 5)) AS name
+  FROM part), x AS (SELECT name, list_distinct(string_split(name, ' ')) AS w FROM w)
+SELECT a.name AS s, b.name AS o, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6)::DOUBLE AS confidence FROM x a
+  JOIN x b ON a.name < b.name
 WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.6""")
 def g08_similar_names(t):
     """Names of parts that share most of their words."""
@@ -307,9 +337,11 @@ _PATHS_SQL = """b AS (SELECT lower(s) AS x, lower(o) AS y FROM edges UNION SELEC
 p0 AS (SELECT node AS start, node AS pos, [node] AS path FROM st),
 p1 AS (SELECT start, y AS pos, min(list_append(path, y)) AS path FROM p0 JOIN b ON x = pos WHERE y <> start GROUP BY 1, 2),
 p2 AS (SELECT start, y AS pos, min(list_append(path, y)) AS path FROM p1 JOIN b ON x = pos WHERE y <> start AND (start, y) NOT IN (SELECT start, pos FROM p1) GROUP BY 1, 2),
-p3 AS (SELECT start, y AS pos, min(list_append(path, y)) AS path FROM p2 JOIN b ON x = pos WHERE y <> start AND (start, y) NOT IN (SELECT start, pos FROM p1) AND (start, y) NOT IN (SELECT start, pos FROM p2) GROUP BY 1, 2),
+p3 AS (SELECT start, y AS pos, min(list_append(path, y)) AS path FROM p2 JOIN b ON x = pos WHERE y <> start AND (start, y) NOT IN (SELECT start, pos FROM p1)
+  AND (start, y) NOT IN (SELECT start, pos FROM p2) GROUP BY 1, 2),
 goals AS (SELECT lower(n_name) AS node FROM nation UNION SELECT lower(s_name) FROM supplier),
-found AS (SELECT start, pos AS goal, CAST(len(path) - 1 AS INT) AS hops, path FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) SEMI JOIN goals ON node = pos)"""
+found AS (SELECT start, pos AS goal, CAST(len(path) - 1 AS INT) AS hops, path FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) SEMI
+  JOIN goals ON node = pos)"""
 
 
 def _paths(t):
@@ -324,7 +356,8 @@ def g10_paths(t):
 
 
 @query(f"""
-WITH {_PATHS_SQL} SELECT start, goal, CAST(k - 1 AS INT) AS step, path[k] AS s, path[k + 1] AS o, 0.8::DOUBLE AS confidence FROM (SELECT *, unnest(range(1, len(path))) AS k FROM found)""")
+WITH {_PATHS_SQL} SELECT start, goal, CAST(k - 1 AS INT) AS step, path[k] AS s, path[k + 1] AS o, 0.8::DOUBLE AS confidence
+  FROM (SELECT *, unnest(range(1, len(path))) AS k FROM found)""")
 def g11_chains(t):
     """Paths as edges."""
     return G.chain_edges(_paths(t))
@@ -365,7 +398,8 @@ def j11_shared_attribute(t):
     return by.filter("size(m) > 1").select("attribute", F.array_join("m", ",").alias("shared_by"), F.size("m").cast("long").alias("n"))
 
 
-@query("""WITH keep AS (SELECT n_name AS node FROM nation WHERE n_nationkey < 10 UNION SELECT r_name FROM region) SELECT s, p, o FROM edges SEMI JOIN keep k ON k.node = s SEMI JOIN keep k2 ON k2.node = o""")
+@query("""WITH keep AS (SELECT n_name AS node FROM nation WHERE n_nationkey < 10 UNION SELECT r_name FROM region) SELECT s, p, o FROM edges SEMI
+  JOIN keep k ON k.node = s SEMI JOIN keep k2 ON k2.node = o""")
 def j15_visible_links(t):
     """Links with both ends among the shown nodes."""
     keep = t.nation.filter("n_nationkey < 10").select(F.col("n_name").alias("node")).union(t.region.select("r_name"))
@@ -380,7 +414,8 @@ def j16_neighbourhood(t):
 
 
 @query("""
-SELECT p AS predicate, count(*) AS n, (SELECT count(*) FROM (SELECT s FROM edges UNION SELECT o FROM edges)) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM edges WHERE seq % 3 = 0) AS inferred,
+SELECT p AS predicate, count(*) AS n, (SELECT count(*) FROM (SELECT s FROM edges UNION SELECT o FROM edges)) AS n_nodes, (SELECT count(*)
+  FROM edges) AS n_edges, (SELECT count(*) FROM edges WHERE seq % 3 = 0) AS inferred,
   (SELECT count(*) FROM edges WHERE seq % 3 <> 0) AS original FROM edges GROUP BY p ORDER BY n DESC, p LIMIT 10""")
 def a19_graph_stats(t):
     """Nodes, edges, inferred and original ones, and the ten most frequent predicates."""

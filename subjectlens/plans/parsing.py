@@ -34,15 +34,18 @@ def _reply(t):
 
 
 @query("""
-SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '[{"subject": "' || p_name || '", "predicate": "USES", "object": "data", "confidence": 0.9}]' WHEN 1 THEN '[{"head": "' || p_name || '", "relation": "HAS", "tail": ""}]'
-  WHEN 2 THEN '[{"subject": "' || p_name || '", "list": [1, [2]]}]' WHEN 3 THEN '[{"subject": "' || p_name || '", "predicate": "USES", "object": "x"}]' WHEN 5 THEN '{"a": 1}' END AS json FROM part""")
+SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '[{"subject": "' || p_name || '", "predicate": "USES", "object": "data", "confidence": 0.9}]'
+  WHEN 1 THEN '[{"head": "' || p_name || '", "relation": "HAS", "tail": ""}]'
+  WHEN 2 THEN '[{"subject": "' || p_name || '", "list": [1, [2]]}]' WHEN 3 THEN '[{"subject": "' || p_name || '", "predicate": "USES", "object": "x"}]'
+    WHEN 5 THEN '{"a": 1}' END AS json FROM part""")
 def d23_json_in_replies(t):
     """The JSON of a reply: fenced, whole, bracketed in prose, or repaired."""
     return _reply(t).select("id", P.json_of(F.col("reply")).alias("json"))
 
 
 @query("""
-SELECT p_partkey AS id, p_name AS s, CASE p_partkey % 6 WHEN 0 THEN 'USES' WHEN 1 THEN 'HAS' WHEN 2 THEN 'UNKNOWN' ELSE 'USES' END AS p, CASE p_partkey % 6 WHEN 0 THEN 'data' WHEN 3 THEN 'x' ELSE 'Unknown' END AS o,
+SELECT p_partkey AS id, p_name AS s, CASE p_partkey % 6 WHEN 0 THEN 'USES' WHEN 1 THEN 'HAS' WHEN 2 THEN 'UNKNOWN' ELSE 'USES' END AS p, CASE p_partkey % 6
+  WHEN 0 THEN 'data' WHEN 3 THEN 'x' ELSE 'Unknown' END AS o,
   CASE p_partkey % 6 WHEN 0 THEN 0.9::DOUBLE END AS confidence FROM part WHERE p_partkey % 6 < 4""")
 def d25_triples_of_replies(t):
     """Triples of replies, under other key names too."""
@@ -50,7 +53,8 @@ def d25_triples_of_replies(t):
     return found.select("id", "x.s", "x.p", "x.o", "x.confidence")
 
 
-@query("""SELECT id, CASE WHEN id % 2 = 0 THEN '{"subject": "S' || id || '", "to": "dpo"}' ELSE '{"subject":"GDPR Request","to":"dpo' || id || '"}' END AS draft, CASE WHEN id % 2 = 0 THEN 'S' || id ELSE 'GDPR Request' END AS subject FROM requests""")
+@query("""SELECT id, CASE WHEN id % 2 = 0 THEN '{"subject": "S' || id || '", "to": "dpo"}' ELSE '{"subject":"GDPR Request","to":"dpo' || id || '"}' END AS draft, CASE
+  WHEN id % 2 = 0 THEN 'S' || id ELSE 'GDPR Request' END AS subject FROM requests""")
 def d29_draft_or_default(t):
     """A drafted letter as the model wrote it, else the default one."""
     k = F.col("id")
@@ -62,7 +66,8 @@ def d29_draft_or_default(t):
 @query("""
 WITH r AS (SELECT id, request_type FROM requests WHERE id % 4 = 0)
 SELECT id, 'datapoint' AS type, 'CONTACT' AS category, 'mail ' || id AS value, 'HIGH' AS risk FROM r UNION ALL SELECT id, 'datapoint', 'CONTACT', 'phone', 'HIGH' FROM r
-UNION ALL SELECT id, 'datapoint', 'OTHER', request_type, 'MEDIUM' FROM r UNION ALL SELECT id, 'email', 'IDENTITY', 'x@y', 'MEDIUM' FROM r UNION ALL SELECT id, 'entity', 'UNKNOWN', '', 'low' FROM r""")
+UNION ALL SELECT id, 'datapoint', 'OTHER', request_type, 'MEDIUM' FROM r UNION ALL SELECT id, 'email', 'IDENTITY', 'x@y', 'MEDIUM' FROM r UNION ALL
+  SELECT id, 'entity', 'UNKNOWN', '', 'low' FROM r""")
 def d24_flattened_categories(t):
     """Examples of categories and extracted entities as items."""
     entry = lambda values, risk: F.struct(F.array(*values).alias("examples"), F.lit(risk).cast("string").alias("riskLevel"))
@@ -73,7 +78,8 @@ def d24_flattened_categories(t):
 
 
 @query("""
-SELECT id, ['processing', 'action_required', 'processing', 'data_available', 'data_received', 'partial_data', 'rejected', 'extended', 'action_required', 'completed', NULL, NULL][1 + id % 12] AS status,
+SELECT id, ['processing', 'action_required', 'processing', 'data_available', 'data_received', 'partial_data', 'rejected', 'extended', 'action_required', 'completed',
+  NULL, NULL][1 + id % 12] AS status,
   CASE WHEN id % 3 = 0 THEN CAST(DATE '2024-01-01' + CAST(id % 28 AS INT) AS VARCHAR) WHEN id % 3 = 1 THEN '2024-02-03' END AS day FROM messages""")
 def d14_status_of_class(t):
     """The status that a message's class leads to, and dates of breaches, null where they are none."""
@@ -84,7 +90,8 @@ def d14_status_of_class(t):
 
 
 @query("""
-SELECT p_partkey, p_name AS name, '{"a":1}' AS inner_json, '[{"b":2}]' AS list_json, '[1,2]' AS numbers, CASE WHEN p_size % 2 = 0 THEN '[{"source":"scan","text":"' || p_brand || '"}]' ELSE '[]' END AS evidence FROM part""")
+SELECT p_partkey, p_name AS name, '{"a":1}' AS inner_json, '[{"b":2}]' AS list_json, '[1,2]' AS numbers, CASE
+  WHEN p_size % 2 = 0 THEN '[{"source":"scan","text":"' || p_brand || '"}]' ELSE '[]' END AS evidence FROM part""")
 def f51_plain_properties(t):
     """Properties without nulls, inner objects as JSON text; evidence as JSON."""
     doc = F.concat(F.lit('{"name": "'), "p_name", F.lit('", "none": null, "inner": {"a": 1}, "list": [{"b": 2}], "numbers": [1, 2]}'))
@@ -134,7 +141,8 @@ def _contents(t):
 
 @query("""
 WITH k AS (SELECT p_partkey AS id, p_name FROM part)
-SELECT id, 0 AS row, CASE id % 5 WHEN 2 THEN 'name=' || p_name || ',deep.er.k=1.5' ELSE 'id=' || id || ',who.name=' || p_name || ',who.tags=2,gone=' END AS fields FROM k WHERE id % 5 < 3
+SELECT id, 0 AS row, CASE id % 5 WHEN 2 THEN 'name=' || p_name || ',deep.er.k=1.5' ELSE 'id=' || id || ',who.name=' || p_name || ',who.tags=2,gone=' END AS fields
+  FROM k WHERE id % 5 < 3
 UNION ALL SELECT id, 1, 'id=2,x=true' FROM k WHERE id % 5 < 2""")
 def d19_json_rows(t):
     """Rows of JSON contents with dotted names, arrays as their lengths."""
@@ -183,7 +191,8 @@ _NOTES_SQL = """n AS (
 
 @query(f"""
 WITH {_NOTES_SQL}, e AS (
-  SELECT id, 0 AS k, '2024-01-' || day || 'T10:00Z' AS date, text, instr(text, '2024-01-') - 1 AS pos FROM x UNION ALL SELECT id, 1, '2024-03-01', text, instr(text, '2024-03-01') - 1 FROM x
+  SELECT id, 0 AS k, '2024-01-' || day || 'T10:00Z' AS date, text, instr(text, '2024-01-') - 1 AS pos FROM x UNION ALL
+    SELECT id, 1, '2024-03-01', text, instr(text, '2024-03-01') - 1 FROM x
   UNION ALL SELECT id, 2, '5/6/2023', text, instr(text, '5/6/2023') - 1 FROM x)
 SELECT id, CAST(k AS INT) AS k, date, regexp_replace(substr(text, greatest(pos - 80, 0) + 1, pos + 140 - greatest(pos - 80, 0)), '\\s+', ' ', 'g') AS label FROM e""")
 def c08_timeline_events(t):
@@ -194,7 +203,8 @@ def c08_timeline_events(t):
 
 @query(f"""
 WITH {_NOTES_SQL}
-SELECT id, CAST('51.' || a AS DOUBLE) AS lat, CAST('-0.' || b AS DOUBLE) AS lon, printf('%.5f', CAST('51.' || a AS DOUBLE)) || ', ' || printf('%.5f', CAST('-0.' || b AS DOUBLE)) AS label FROM x""")
+SELECT id, CAST('51.' || a AS DOUBLE) AS lat, CAST('-0.' || b AS DOUBLE) AS lon, printf('%.5f', CAST('51.' || a AS DOUBLE)) || ', ' || printf('%.5f',
+  CAST('-0.' || b AS DOUBLE)) AS label FROM x""")
 def c07_geo_points(t):
     """Points in range with a label."""
     found = _notes(t).select("id", F.explode(V.coordinates(F.col("text"))).alias("p"))
@@ -202,8 +212,10 @@ def c07_geo_points(t):
 
 
 _CONTENTS_SQL = """contents AS (
-  SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 0 THEN '[{"id": ' || p_partkey || ', "name": "' || p_name || '"}]' WHEN 1 THEN 'id;name' || chr(10) || p_partkey || ';"' || p_name || '"'
-    WHEN 2 THEN '<html><body><h1>' || p_name || '</h1><p>about health and 10.1.2.3</p></body></html>' ELSE '# ' || p_name || chr(10) || 'On 2024-05-06 at 51.12345, 0.12345 write to a' || p_partkey || '@b.org' END AS text
+  SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 0 THEN '[{"id": ' || p_partkey || ', "name": "' || p_name || '"}]'
+    WHEN 1 THEN 'id;name' || chr(10) || p_partkey || ';"' || p_name || '"'
+    WHEN 2 THEN '<html><body><h1>' || p_name || '</h1><p>about health and 10.1.2.3</p></body></html>'
+      ELSE '# ' || p_name || chr(10) || 'On 2024-05-06 at 51.12345, 0.12345 write to a' || p_partkey || '@b.org' END AS text
   FROM part
 )"""
 
@@ -254,14 +266,21 @@ def _files_of_kinds(t):
 
 @query(f"""
 WITH {_CONTENTS_SQL}, p AS (SELECT file_id, text, p_name FROM contents JOIN part ON p_partkey = file_id)
-SELECT file_id, 'metric' AS artifact_type, 'File Processing Summary' AS title, '{{"characters":' || len(text) || ',"words":' || len(regexp_extract_all(text, '\\S+')) || '}}' AS payload, 1.0::DOUBLE AS confidence FROM p
-UNION ALL SELECT file_id, 'json_schema', 'JSON Structure', '{{"type":"array","count":1,"item":{{"type":"object","fields":{{"id":{{"type":"number"}},"name":{{"type":"string"}}}}}}}}', 1.0 FROM p WHERE file_id % 4 = 0
-UNION ALL SELECT file_id, 'table', CASE file_id % 4 WHEN 0 THEN 'JSON Table' ELSE 'Parsed Table' END, '{{"columns":["id","name"],"rows":[{{"id":"' || file_id || '","name":"' || p_name || '"}}]}}', 0.9 FROM p WHERE file_id % 4 < 2
-UNION ALL SELECT file_id, 'chart_spec', CASE file_id % 4 WHEN 0 THEN 'JSON Field Coverage' ELSE 'Table Field Coverage' END, '{{"kind":"bar","x":["id","name"],"y":[1,1]}}', 0.82 FROM p WHERE file_id % 4 < 2
-UNION ALL SELECT file_id, 'html_preview', 'HTML Preview', '{{"text":"' || p_name || ' about health and 10.1.2.3","headings":["' || p_name || '"]}}', 0.9 FROM p WHERE file_id % 4 = 2
+SELECT file_id, 'metric' AS artifact_type, 'File Processing Summary' AS title,
+  '{{"characters":' || len(text) || ',"words":' || len(regexp_extract_all(text, '\\S+')) || '}}' AS payload, 1.0::DOUBLE AS confidence FROM p
+UNION ALL SELECT file_id, 'json_schema', 'JSON Structure',
+  '{{"type":"array","count":1,"item":{{"type":"object","fields":{{"id":{{"type":"number"}},"name":{{"type":"string"}}}}}}}}', 1.0 FROM p WHERE file_id % 4 = 0
+UNION ALL SELECT file_id, 'table', CASE file_id % 4 WHEN 0 THEN 'JSON Table'
+  ELSE 'Parsed Table' END, '{{"columns":["id","name"],"rows":[{{"id":"' || file_id || '","name":"' || p_name || '"}}]}}', 0.9 FROM p WHERE file_id % 4 < 2
+UNION ALL SELECT file_id, 'chart_spec', CASE file_id % 4 WHEN 0 THEN 'JSON Field Coverage'
+  ELSE 'Table Field Coverage' END, '{{"kind":"bar","x":["id","name"],"y":[1,1]}}', 0.82 FROM p WHERE file_id % 4 < 2
+UNION ALL SELECT file_id, 'html_preview', 'HTML Preview', '{{"text":"' || p_name || ' about health and 10.1.2.3","headings":["' || p_name || '"]}}', 0.9 FROM p
+  WHERE file_id % 4 = 2
 UNION ALL SELECT file_id, 'document_outline', 'Document Outline', '{{"headings":[{{"level":1,"text":"' || p_name || '"}}]}}', 0.85 FROM p WHERE file_id % 4 = 3
 UNION ALL SELECT file_id, 'geo_points', 'Location Points', '{{"points":[{{"lat":51.12345,"lon":0.12345}}]}}', 0.78 FROM p WHERE file_id % 4 = 3
-UNION ALL SELECT file_id, 'timeline_events', 'Timeline Events', '{{"events":[{{"date":"2024-05-06","label":"# ' || p_name || ' On 2024-05-06 at 51.12345, 0.12345 write to a' || file_id || '@b.org"}}]}}', 0.75 FROM p WHERE file_id % 4 = 3
+UNION ALL SELECT file_id, 'timeline_events', 'Timeline Events',
+  '{{"events":[{{"date":"2024-05-06","label":"# ' || p_name || ' On 2024-05-06 at 51.12345, 0.12345 write to a' || file_id || '@b.org"}}]}}', 0.75 FROM p
+  WHERE file_id % 4 = 3
 UNION ALL SELECT file_id, 'risk_signal', 'Email Addresses Found', '{{"kind":"email","count":1,"source":""}}', 0.9 FROM p WHERE file_id % 4 = 3
 UNION ALL SELECT file_id, 'risk_signal', 'IP Addresses Found', '{{"kind":"ip","count":1,"source":""}}', 0.85 FROM p WHERE file_id % 4 = 2
 UNION ALL SELECT file_id, 'risk_signal', 'Sensitive Data Terms Found', '{{"kind":"sensitive_terms","count":1,"source":"health"}}', 0.7 FROM p WHERE file_id % 4 = 2""")

@@ -209,7 +209,8 @@ def a08_response_days(t):
 @query("""
 WITH a AS (SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed FROM requests),
 h AS (SELECT least(5, count(DISTINCT company_id)) AS holders FROM requests),
-s AS (SELECT least(100, greatest(0, floor(0.3 * least(100, greatest(0, 100 - 10 * holders)) + 0.7 * (completed / CASE WHEN total = 0 THEN 1 ELSE total END * 100) + 0.5))) AS v FROM a, h)
+s AS (SELECT least(100, greatest(0, floor(0.3 * least(100, greatest(0, 100 - 10 * holders)) + 0.7 * (completed / CASE WHEN total = 0 THEN 1
+  ELSE total END * 100) + 0.5))) AS v FROM a, h)
 SELECT CAST(v AS BIGINT) AS score, CASE WHEN v >= 80 THEN 'excellent' WHEN v >= 60 THEN 'good' WHEN v >= 40 THEN 'fair' ELSE 'poor' END AS label FROM s""")
 def a09_privacy_score(t):
     """Score from holders and success, and its label. Halves round up."""
@@ -222,9 +223,11 @@ def a09_privacy_score(t):
 
 
 @query("""
-WITH d AS (SELECT request_type, epoch(done - created_at) / 86400 AS days FROM requests r JOIN (SELECT request_id, max(received_at) AS done FROM files GROUP BY request_id) f ON f.request_id = r.id WHERE done >= created_at),
+WITH d AS (SELECT request_type, epoch(done - created_at) / 86400 AS days FROM requests r JOIN (SELECT request_id, max(received_at) AS done FROM files
+  GROUP BY request_id) f ON f.request_id = r.id WHERE done >= created_at),
 m AS (SELECT request_type, count(*) FILTER (days <= 30) AS met, count(*) FILTER (days > 30) AS missed, avg(floor(days)) AS avg_days FROM d GROUP BY 1)
-SELECT request_type, round(met * 100.0 / CASE WHEN met + missed = 0 THEN 1 ELSE met + missed END, 6)::DOUBLE AS compliance_rate, round(30 - avg_days, 6) AS days_remaining FROM m""")
+SELECT request_type, round(met * 100.0 / CASE WHEN met + missed = 0 THEN 1 ELSE met + missed END, 6)::DOUBLE AS compliance_rate, round(30 - avg_days,
+  6) AS days_remaining FROM m""")
 def a10_compliance(t):
     """A10: the share of deadlines met, and the days that the average answer leaves of thirty."""
     done = files(t).groupBy("request_id").agg(F.max("received_at").alias("done"))
@@ -262,8 +265,10 @@ def a33_volume_of_holders(t):
 
 @query("""
 SELECT field, filled FROM (
-  SELECT 'request_id' AS field, count(request_id) AS filled FROM files UNION ALL SELECT 'line', count(line) FROM files UNION ALL SELECT 'file_name', count(*) FROM files WHERE trim(file_name) <> ''
-  UNION ALL SELECT 'size_mb', count(size_mb) FROM files UNION ALL SELECT 'received_at', count(received_at) FROM files UNION ALL SELECT 'quantity', count(quantity) FROM files UNION ALL SELECT 'status', count(status) FROM files
+  SELECT 'request_id' AS field, count(request_id) AS filled FROM files UNION ALL SELECT 'line', count(line) FROM files UNION ALL SELECT 'file_name', count(*) FROM files
+    WHERE trim(file_name) <> ''
+  UNION ALL SELECT 'size_mb', count(size_mb) FROM files UNION ALL SELECT 'received_at', count(received_at) FROM files UNION ALL SELECT 'quantity', count(quantity)
+    FROM files UNION ALL SELECT 'status', count(status) FROM files
   UNION ALL SELECT 'in_graph', count(in_graph) FROM files UNION ALL SELECT 'category', count(*) FROM files WHERE trim(category) <> '') ORDER BY filled DESC, field LIMIT 8""")
 def a24_field_coverage(t):
     """Non-blank values per column, the fullest columns first."""
@@ -289,7 +294,8 @@ def a32_legend(t):
 
 @query("""
 WITH b AS (SELECT status, 'e' || request_id || '-' || line AS error, (row_number() OVER (ORDER BY request_id, line, file_name, size_mb) - 1) // 5000 AS batch FROM files)
-SELECT batch, count(*) AS executed, count(*) FILTER (status = 'error') AS errored, array_to_string((list(error ORDER BY error) FILTER (status = 'error'))[1:10], ',') AS errors FROM b GROUP BY batch""")
+SELECT batch, count(*) AS executed, count(*) FILTER (status = 'error') AS errored, array_to_string((list(error
+  ORDER BY error) FILTER (status = 'error'))[1:10], ',') AS errors FROM b GROUP BY batch""")
 def a30_batches(t):
     """Rows in batches of a size, with totals and up to ten errors by batch."""
     order = [F.col(c) for c in ("request_id", "line", "file_name", "size_mb")]
@@ -331,7 +337,8 @@ def l01_sorted_requests(t):
 
 
 @query("""WITH n AS (SELECT company_id, company_name, domain, count(*) OVER () AS total FROM companies)
-SELECT company_id, company_name, total, total > 150 AS has_more, CASE WHEN total > 150 THEN 150 END::BIGINT AS next_cursor FROM n ORDER BY company_name, company_id LIMIT 50 OFFSET 100""")
+SELECT company_id, company_name, total, total > 150 AS has_more, CASE WHEN total > 150 THEN 150 END::BIGINT AS next_cursor FROM n
+  ORDER BY company_name, company_id LIMIT 50 OFFSET 100""")
 def l04_page(t):
     """Page 2 of 50 rows, with total, has_more and next_cursor."""
     return R.page(companies(t).select("company_id", "company_name"), 50, 2, F.col("company_name"), F.col("company_id"))

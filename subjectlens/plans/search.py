@@ -33,7 +33,8 @@ def _links(t):
 
 @query(f"""
 WITH {NODES_SQL}, k AS (SELECT *, CASE WHEN contains(lower(hay), 'nation_1') THEN 0 END AS a, CASE WHEN contains(lower(hay), 'region') THEN 1 END AS b FROM nodes),
-h AS (SELECT id, label, name, props, a AS i FROM (SELECT * FROM k WHERE a IS NOT NULL ORDER BY id LIMIT 8) UNION ALL SELECT id, label, name, props, b FROM (SELECT * FROM k WHERE b IS NOT NULL ORDER BY id LIMIT 8))
+h AS (SELECT id, label, name, props, a AS i FROM (SELECT * FROM k WHERE a IS NOT NULL ORDER BY id LIMIT 8) UNION ALL SELECT id, label, name, props, b FROM (SELECT *
+  FROM k WHERE b IS NOT NULL ORDER BY id LIMIT 8))
 SELECT 'graph' AS source, label AS type, name AS title, props AS content, 0.7::DOUBLE AS score FROM h QUALIFY row_number() OVER (PARTITION BY id ORDER BY i) = 1""")
 def r06_graph_search(t):
     """Nodes that hold one of the first three long words, each once."""
@@ -43,7 +44,8 @@ def r06_graph_search(t):
 @query(f"""
 WITH {NODES_SQL}, few AS (SELECT count(*) AS n FROM nodes WHERE contains(lower(hay), 'supplier#000000007'))
 SELECT 'graph' AS source, label AS type, name AS title, props AS content, 1.0::DOUBLE AS score FROM nodes WHERE contains(lower(hay), 'supplier#000000007')
-UNION ALL SELECT * FROM (SELECT 'graph', 'Relationship', a.name || ' —[' || l.type || ']→ ' || b.name, 'Account (' || a.props || ') -[' || l.type || ']-> Company ({{"embedding":"nation_1",' || substr(b.props, 2) || ')', 0.5::DOUBLE
+UNION ALL SELECT * FROM (SELECT 'graph', 'Relationship', a.name || ' —[' || l.type || ']→ ' || b.name,
+  'Account (' || a.props || ') -[' || l.type || ']-> Company ({{"embedding":"nation_1",' || substr(b.props, 2) || ')', 0.5::DOUBLE
   FROM links l JOIN nodes a ON a.id = l.src JOIN nodes b ON b.id = l.dst, few WHERE few.n < 5 AND contains(lower(a.hay), 'supplier#000000007') ORDER BY l.seq LIMIT 10)""")
 def r06_graph_search_edges(t):
     """Where few nodes are found, edges of those that hold the word; a word that is the whole question scores full."""
@@ -52,7 +54,8 @@ def r06_graph_search_edges(t):
 
 @query(f"""
 WITH {NODES_SQL}, b AS (SELECT src, dst, type FROM links UNION ALL SELECT dst, src, type FROM links),
-x AS (SELECT w AS keyword, n.id, b.type AS relationship, b.dst AS connected FROM nodes n LEFT JOIN b ON b.src = n.id, (SELECT unnest(['nation_2', 'region']) AS w) WHERE contains(lower(n.hay), w))
+x AS (SELECT w AS keyword, n.id, b.type AS relationship, b.dst AS connected FROM nodes n LEFT JOIN b ON b.src = n.id, (SELECT unnest(['nation_2', 'region']) AS w)
+  WHERE contains(lower(n.hay), w))
 SELECT keyword, id, relationship, connected, 0.8::DOUBLE AS score FROM x QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY id, connected NULLS FIRST, relationship) <= 10""")
 def r03_expanded_search(t):
     """Nodes by keyword with their neighbours; each keyword brings a third of the rows."""
@@ -77,11 +80,14 @@ _SEARCHED_SQL = """searched AS (
 
 @query(f"""
 WITH {_SEARCHED_SQL}, h AS (
-  SELECT * FROM searched WHERE (contains(lower(extracted_text), 'the') OR contains(lower(coalesce(ai_summary, '')), 'the')) AND (contains(lower(extracted_text), 'src') OR contains(lower(coalesce(ai_summary, '')), 'src'))
+  SELECT * FROM searched WHERE (contains(lower(extracted_text), 'the') OR contains(lower(coalesce(ai_summary, '')), 'the')) AND (contains(lower(extracted_text), 'src')
+    OR contains(lower(coalesce(ai_summary, '')), 'src'))
   AND lower(category) = 'en' ORDER BY ai_summary IS NULL, extracted_text IS NULL, created_at DESC, id LIMIT 10
 ), p AS (SELECT *, instr(lower(extracted_text), 'the') AS a, instr(lower(extracted_text), 'src') AS b FROM h)
-SELECT id, file_name AS title, category AS type, CASE WHEN ai_summary IS NULL THEN '' ELSE 'AI Summary: ' || ai_summary || CASE WHEN extracted_text = '' THEN '' ELSE chr(10) || chr(10) END END
-  || CASE WHEN extracted_text = '' THEN '' ELSE 'Extracted Text: ...' || substr(extracted_text, greatest(CASE WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE 1 END - 1 - 250, 0) + 1, 500) || '...' END AS content,
+SELECT id, file_name AS title, category AS type, CASE WHEN ai_summary IS NULL THEN '' ELSE 'AI Summary: ' || ai_summary || CASE WHEN extracted_text = '' THEN ''
+  ELSE chr(10) || chr(10) END END
+  || CASE WHEN extracted_text = '' THEN '' ELSE 'Extracted Text: ...' || substr(extracted_text, greatest(CASE WHEN a > 0 THEN a WHEN b > 0 THEN b
+    ELSE 1 END - 1 - 250, 0) + 1, 500) || '...' END AS content,
   least(1.0, 0.3 + 0.2 * (CASE WHEN ai_summary IS NULL THEN 0 ELSE 1 END + CASE WHEN extracted_text = '' THEN 0 ELSE 1 END))::DOUBLE AS score FROM p""")
 def r07_document_search(t):
     """Documents of a type of which some text holds every long word; summaries first, then the newest."""
@@ -90,7 +96,8 @@ def r07_document_search(t):
 
 @query(f"""
 WITH {_SEARCHED_SQL}, f AS (SELECT * FROM searched WHERE contains(file_name, 'doc-1') ORDER BY created_at DESC, id LIMIT 5)
-SELECT id, file_name, '### ' || file_name || chr(10) || CASE WHEN contains(lower(coalesce(ai_summary, '')), 'summary') THEN chr(10) || '**In AI Summary:**' || chr(10) || '> ...' || replace(ai_summary, 'summary', '**summary**') || '...' || chr(10) || chr(10)
+SELECT id, file_name, '### ' || file_name || chr(10) || CASE WHEN contains(lower(coalesce(ai_summary, '')),
+  'summary') THEN chr(10) || '**In AI Summary:**' || chr(10) || '> ...' || replace(ai_summary, 'summary', '**summary**') || '...' || chr(10) || chr(10)
   ELSE 'No matches for "Summary" found in this document''s content.' END AS answer FROM f WHERE NOT contains(lower(extracted_text), 'summary')""")
 def r11_found_in_documents(t):
     """Where a term stands in the newest documents of a name. Those whose long text holds it are compared by f38 and left out here."""
@@ -98,7 +105,8 @@ def r11_found_in_documents(t):
     return found.filter(~F.contains("answer", F.lit("**In Extracted Text:**")))
 
 
-@query("""SELECT n_name AS company, 'HELD_BY' AS relationship, s_name AS data FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(n_name, 'NATION_1') ORDER BY s_suppkey LIMIT 20""")
+@query("""SELECT n_name AS company, 'HELD_BY' AS relationship, s_name AS data FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(n_name, 'NATION_1')
+  ORDER BY s_suppkey LIMIT 20""")
 def j14_company_relations(t):
     """Relations of companies whose name holds the filter, if there is one."""
     name = F.lit("NATION_1")
@@ -108,7 +116,8 @@ def j14_company_relations(t):
 
 
 @query("""
-WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS score FROM embeddings, q)
+WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
+  CAST(e AS DOUBLE[])) AS score FROM embeddings, q)
 SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0.5 ORDER BY s.score DESC, vec_id LIMIT 8""")
 def p15_vector_threshold(t):
     """Hits from a score on."""
@@ -118,8 +127,10 @@ def p15_vector_threshold(t):
 
 
 @query("""
-WITH q AS (SELECT p_partkey, ['MATCH (n) RETURN n', 'match (n) set n.x = 1', 'MERGE (a)', 'MATCH (n) RETURN n.settings', ' optional match (x) detach delete x', 'SHOW x'][1 + p_partkey % 6] AS q, CASE WHEN p_partkey % 4 = 0 THEN 'write' ELSE 'read' END AS mode FROM part)
-SELECT p_partkey, regexp_matches(q, '(?i)\\b(CREATE|MERGE|DELETE|SET|REMOVE|DETACH)\\b') AS writes, p_partkey % 6 IN (0, 1, 3, 4) AS starts_safe, NOT (mode = 'read' AND p_partkey % 6 IN (1, 2, 4)) AS allowed FROM q""")
+WITH q AS (SELECT p_partkey, ['MATCH (n) RETURN n', 'match (n) set n.x = 1', 'MERGE (a)', 'MATCH (n) RETURN n.settings', ' optional match (x) detach delete x',
+  'SHOW x'][1 + p_partkey % 6] AS q, CASE WHEN p_partkey % 4 = 0 THEN 'write' ELSE 'read' END AS mode FROM part)
+SELECT p_partkey, regexp_matches(q, '(?i)\\b(CREATE|MERGE|DELETE|SET|REMOVE|DETACH)\\b') AS writes, p_partkey % 6 IN (0, 1, 3, 4) AS starts_safe, NOT (mode = 'read'
+  AND p_partkey % 6 IN (1, 2, 4)) AS allowed FROM q""")
 def p16_statement_guard(t):
     """Whether ad-hoc statements write, and whether their mode allows it."""
     k = F.col("p_partkey")
@@ -150,7 +161,8 @@ def _results(t):
 
 
 @query(f"""
-WITH {_RESULTS_SQL}, e AS (SELECT *, '[' || upper(source) || ': ' || type || '] ' || title || chr(10) || content || chr(10) || chr(10) AS entry FROM results ORDER BY score DESC, seq LIMIT 20),
+WITH {_RESULTS_SQL}, e AS (SELECT *, '[' || upper(source) || ': ' || type || '] ' || title || chr(10) || content || chr(10) || chr(10) AS entry FROM results
+  ORDER BY score DESC, seq LIMIT 20),
 b AS (SELECT *, sum(len(entry)) OVER (ORDER BY score DESC, seq ROWS UNBOUNDED PRECEDING) AS total FROM e)
 SELECT string_agg(entry, '' ORDER BY score DESC, seq) AS context, count(*) AS n, CAST(max(total) AS BIGINT) AS chars FROM b WHERE total <= 400""")
 def r08_context(t):
@@ -165,7 +177,8 @@ def r08_context_of_nothing(t):
 
 
 @query(f"""
-WITH {_RESULTS_SQL} SELECT content, score, seq, source FROM (SELECT * FROM results WHERE source = 'vector' QUALIFY row_number() OVER (PARTITION BY left(content, 100) ORDER BY score DESC, seq) = 1) ORDER BY score DESC, seq LIMIT 7""")
+WITH {_RESULTS_SQL} SELECT content, score, seq, source FROM (SELECT * FROM results WHERE source = 'vector' QUALIFY row_number() OVER (PARTITION BY left(content, 100)
+  ORDER BY score DESC, seq) = 1) ORDER BY score DESC, seq LIMIT 7""")
 def r05_hybrid_search(t):
     """The hybrid search without its graph part."""
     return retrieval.hybrid(_results(t), graph=False, k=7).select("content", "score", "seq", "source")
@@ -173,17 +186,21 @@ def r05_hybrid_search(t):
 
 @query(f"""
 WITH {_RESULTS_SQL}, v AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, seq) AS r FROM results WHERE source IN ('vector', 'graph'))
-SELECT string_agg(printf('%.1f', score * 100) || '% ' || content, chr(10) ORDER BY r) FILTER (source = 'vector' AND r <= 5) AS vector_context, string_agg(content, chr(10) ORDER BY r) FILTER (source = 'graph' AND r <= 10) AS graph_context FROM v""")
+SELECT string_agg(printf('%.1f', score * 100) || '% ' || content, chr(10) ORDER BY r) FILTER (source = 'vector'
+  AND r <= 5) AS vector_context, string_agg(content, chr(10) ORDER BY r) FILTER (source = 'graph' AND r <= 10) AS graph_context FROM v""")
 def r10_prompt_context(t):
     """The first five vector hits with their percentage and the first ten graph rows."""
     return retrieval.prompt_context(_results(t), 5, 10, True)
 
 
 @query("""
-WITH c AS (SELECT n_name AS company, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS categories, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY n_name LIMIT 10),
-a AS (SELECT c_mktsegment AS value, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS shared FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY 1 LIMIT 20),
+WITH c AS (SELECT n_name AS company, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS categories, count(c_custkey) AS n FROM nation LEFT
+  JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY n_name LIMIT 10),
+a AS (SELECT c_mktsegment AS value, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS shared FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1
+  ORDER BY 1 LIMIT 20),
 k AS (SELECT n_name FROM nation WHERE contains(n_name, 'NATION_2') ORDER BY n_name LIMIT 5)
-SELECT 'company_data' AS type, company AS name, coalesce(categories, '') AS detail, n FROM c UNION ALL SELECT 'shared_attribute', value, shared, NULL FROM a UNION ALL SELECT 'keyword_match', n_name, 'NATION_2', NULL FROM k""")
+SELECT 'company_data' AS type, company AS name, coalesce(categories, '') AS detail, n FROM c UNION ALL SELECT 'shared_attribute', value, shared, NULL FROM a UNION ALL
+  SELECT 'keyword_match', n_name, 'NATION_2', NULL FROM k""")
 def r09_oracle_context(t):
     """What companies hold, what attributes are shared by, and nodes that hold a keyword, as tagged rows."""
     row = lambda df, kind, name, detail, n: df.select(F.lit(kind).alias("type"), name.alias("name"), detail.alias("detail"), n.cast("long").alias("n"))
@@ -210,9 +227,11 @@ PATHS = (("email", "emails"), ("company", "companies"), ("companies", "companies
 @query("""
 WITH q AS (SELECT r_regionkey AS id, ['Which EMAIL does my company know?', 'list companies', 'what has Google', 'all', 'a company of amazon'][1 + r_regionkey % 5] AS q FROM region)
 SELECT id, path, company, account FROM (
-  SELECT id, 'companies' AS path, n_name AS company, s_name AS account FROM q, nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE NOT contains(lower(q), 'email') AND (contains(lower(q), 'company') OR contains(lower(q), 'companies'))
+  SELECT id, 'companies' AS path, n_name AS company, s_name AS account FROM q, nation LEFT JOIN supplier ON s_nationkey = n_nationkey
+    WHERE NOT contains(lower(q), 'email') AND (contains(lower(q), 'company') OR contains(lower(q), 'companies'))
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY n_name, s_name NULLS FIRST) <= 50)
-UNION ALL SELECT id, 'emails', c_name, NULL FROM (SELECT id, c_name FROM q, customer WHERE contains(lower(q), 'email') QUALIFY row_number() OVER (PARTITION BY id ORDER BY c_name) <= 50)
+UNION ALL SELECT id, 'emails', c_name, NULL FROM (SELECT id, c_name FROM q, customer WHERE contains(lower(q), 'email') QUALIFY row_number() OVER (PARTITION BY id
+  ORDER BY c_name) <= 50)
 UNION ALL SELECT id, 'one company', 'Google', NULL FROM q WHERE contains(lower(q), 'google')
 UNION ALL SELECT id, 'any node', n_name, NULL FROM (SELECT id, n_name FROM q, nation WHERE q = 'all' QUALIFY row_number() OVER (PARTITION BY id ORDER BY n_name) <= 50)""")
 def g23_question_paths(t):
@@ -235,7 +254,8 @@ def g23_question_paths(t):
     return out.unionByName(asked.filter("path = 'one company'").select("id", "path", F.col("known").alias("company"), none.alias("account")))
 
 
-@query("""SELECT 'policy' AS tool, company_name AS answer FROM (SELECT company_name FROM companies ORDER BY company_id LIMIT 1) UNION ALL SELECT 'documents', file_name FROM (SELECT file_name FROM files ORDER BY received_at DESC, file_name LIMIT 1)
+@query("""SELECT 'policy' AS tool, company_name AS answer FROM (SELECT company_name FROM companies ORDER BY company_id LIMIT 1) UNION ALL SELECT 'documents', file_name
+  FROM (SELECT file_name FROM files ORDER BY received_at DESC, file_name LIMIT 1)
 UNION ALL SELECT 'graph', s FROM (SELECT s FROM edges ORDER BY s LIMIT 1) UNION ALL SELECT 'reference', 'Article 6(1)(a), Article 7, Recital 32'""")
 def r16_fallback_context(t):
     """What four fixed tools say, for an agent without a tool call of its own."""
@@ -256,7 +276,8 @@ def _told(t):
 
 
 @query("""
-SELECT s_suppkey AS doc_id, s_suppkey AS triple_id, 2 AS place, s_name || ' sells data to Partner.' AS sentence, CAST(25 + len(s_name) AS INT) AS start, CAST(48 + 2 * len(s_name) AS INT) AS "end",
+SELECT s_suppkey AS doc_id, s_suppkey AS triple_id, 2 AS place, s_name || ' sells data to Partner.' AS sentence, CAST(25 + len(s_name) AS INT) AS start,
+  CAST(48 + 2 * len(s_name) AS INT) AS "end",
   s_name || ' is named. The Partner of ' || s_name || ' shares data.' AS context FROM supplier""")
 def r14_restored_context(t):
     """Triples with the sentence that fits best and those beside it; the score is tested on its own."""
@@ -270,7 +291,8 @@ def r14_restored_context(t):
 
 @query("""
 WITH g AS (SELECT n_nationkey AS gap_id, 'what of ' || n_name || '?' AS question, CASE WHEN n_nationkey % 3 = 0 THEN 'high' ELSE 'low' END AS priority, n_name FROM nation)
-SELECT gap_id, n_name AS s, 'SHARES_WITH' AS p, 'o' || k AS o, CASE k WHEN 0 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence, question AS source_text, true AS inferred FROM g, (SELECT unnest([0, 2]) AS k) WHERE priority = 'high'""")
+SELECT gap_id, n_name AS s, 'SHARES_WITH' AS p, 'o' || k AS o, CASE k WHEN 0 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence, question AS source_text, true AS inferred
+  FROM g, (SELECT unnest([0, 2]) AS k) WHERE priority = 'high'""")
 def r15_gap_triples(t):
     """Triples for gaps of high priority: the first three replies, incomplete ones left out."""
     gaps = t.nation.select(F.col("n_nationkey").alias("gap_id"), F.concat(F.lit("what of "), "n_name", F.lit("?")).alias("question"), F.when(F.col("n_nationkey") % 3 == 0, "high").otherwise("low").alias("priority"))

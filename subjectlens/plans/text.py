@@ -15,7 +15,8 @@ _WORDS = "('the','a','an','of','and','or','in','on','at','to','for','with','by',
 
 #: Addresses of five kinds made from customers, for the functions on addresses.
 ADDRESSES_SQL = """addresses AS (SELECT company_id, CASE company_id % 5 WHEN 0 THEN 'User.' || company_id || '+news@Gmail.com' WHEN 1 THEN '+44 20 ' || (1000 + company_id)
-WHEN 2 THEN 'https://www.Shop' || company_id || '.example.com:8080/p?q=1' WHEN 3 THEN 'Shop' || company_id || '.Example.org' ELSE 'The Office of ' || company_name END AS v FROM companies)"""
+WHEN 2 THEN 'https://www.Shop' || company_id || '.example.com:8080/p?q=1' WHEN 3 THEN 'Shop' || company_id || '.Example.org'
+  ELSE 'The Office of ' || company_name END AS v FROM companies)"""
 
 
 def _addresses(t):
@@ -64,7 +65,8 @@ def f04_addresses(t):
 
 
 @query("""WITH v AS (SELECT s_suppkey, md5(s_name) || upper(md5(s_name || 'x')) AS v, lpad(CAST(s_suppkey * 7919 + 4785380592391139 AS VARCHAR), 16, '0') AS card FROM supplier),
-c AS (SELECT s_suppkey, c, count(*) / 64.0 AS p FROM (SELECT s_suppkey, unnest(string_split(v, '')) AS c FROM v) GROUP BY 1, 2), e AS (SELECT s_suppkey, round(-sum(p * log2(p)), 6)::DOUBLE AS entropy FROM c GROUP BY 1)
+c AS (SELECT s_suppkey, c, count(*) / 64.0 AS p FROM (SELECT s_suppkey, unnest(string_split(v, '')) AS c FROM v)
+  GROUP BY 1, 2), e AS (SELECT s_suppkey, round(-sum(p * log2(p)), 6)::DOUBLE AS entropy FROM c GROUP BY 1)
 SELECT s_suppkey, entropy, entropy > 4.5 AS high, (SELECT sum(CASE WHEN i % 2 = 1 THEN CASE WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END ELSE d END) % 10 = 0
 FROM (SELECT i, CAST(substr(card, 16 - CAST(i AS INT), 1) AS INT) AS d FROM range(16) r(i))) AS luhn FROM v JOIN e USING (s_suppkey)""")
 def f13_entropy_luhn(t):
@@ -133,7 +135,8 @@ def f24_file_kinds(t):
 
 @query("""
 WITH p AS (
-  SELECT p_partkey, p_name, p_brand, p_size, ['email', 'username', 'social_profile', 'breach_record', 'domain', 'ip', 'phone', 'website', 'credential', 'document', 'Wallet'][1 + p_partkey % 11] AS kind,
+  SELECT p_partkey, p_name, p_brand, p_size, ['email', 'username', 'social_profile', 'breach_record', 'domain', 'ip', 'phone', 'website', 'credential', 'document',
+    'Wallet'][1 + p_partkey % 11] AS kind,
     ['Data Point', '9 lives!', '', 'RELATES TO', 'a-b'][1 + p_partkey % 5] AS raw, ['crawl', 'breach db', 'leaked', ''][1 + p_partkey % 4] AS source FROM part
 )
 SELECT p_partkey, CASE raw WHEN 'Data Point' THEN 'DataPoint' WHEN '9 lives!' THEN 'Entity9lives' WHEN '' THEN 'Entity' WHEN 'RELATES TO' THEN 'RELATESTO' ELSE 'ab' END AS label,
@@ -145,10 +148,14 @@ SELECT p_partkey, CASE raw WHEN 'Data Point' THEN 'DataPoint' WHEN '9 lives!' TH
   CASE p_size % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'low' END AS risk,
   CASE p_size % 4 WHEN 0 THEN 'Email' WHEN 1 THEN 'Company' WHEN 2 THEN 'Thing' ELSE 'Unknown' END AS shown_type,
   CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN 'at ' || p_size WHEN 2 THEN 'user' ELSE 'Company' END AS shown_label,
-  CASE WHEN kind IN ('breach_record', 'credential') THEN 'critical' WHEN kind IN ('social_profile', 'phone') THEN 'medium' WHEN source IN ('breach db', 'leaked') THEN 'high' ELSE 'low' END AS inferred,
-  CASE kind WHEN 'email' THEN 'Email address found: ' || p_name WHEN 'username' THEN 'Username "' || p_name || '" found on social platforms' WHEN 'social_profile' THEN 'Social media profile discovered'
-    WHEN 'breach_record' THEN 'Found in data breach' WHEN 'domain' THEN 'Domain ' || p_name || ' analyzed' WHEN 'ip' THEN 'IP address ' || p_name || ' associated' WHEN 'phone' THEN 'Phone number ' || p_name || ' found'
-    WHEN 'website' THEN 'Website ' || p_name || ' crawled' WHEN 'credential' THEN 'Credential exposure detected' WHEN 'document' THEN 'Public document found' ELSE 'Wallet: ' || p_name END AS description,
+  CASE WHEN kind IN ('breach_record', 'credential') THEN 'critical' WHEN kind IN ('social_profile', 'phone') THEN 'medium'
+    WHEN source IN ('breach db', 'leaked') THEN 'high' ELSE 'low' END AS inferred,
+  CASE kind WHEN 'email' THEN 'Email address found: ' || p_name WHEN 'username' THEN 'Username "' || p_name || '" found on social platforms'
+    WHEN 'social_profile' THEN 'Social media profile discovered'
+    WHEN 'breach_record' THEN 'Found in data breach' WHEN 'domain' THEN 'Domain ' || p_name || ' analyzed' WHEN 'ip' THEN 'IP address ' || p_name || ' associated'
+      WHEN 'phone' THEN 'Phone number ' || p_name || ' found'
+    WHEN 'website' THEN 'Website ' || p_name || ' crawled' WHEN 'credential' THEN 'Credential exposure detected' WHEN 'document' THEN 'Public document found'
+      ELSE 'Wallet: ' || p_name END AS description,
   CASE p_size % 2 WHEN 0 THEN 'Social Profile' ELSE 'Data Point' END AS spaced, CASE p_size % 2 WHEN 0 THEN 'Policy Analyzed' ELSE 'Data Point NAME' END AS title
 FROM p""")
 def f26_labels(t):
@@ -192,10 +199,12 @@ def f36_keywords(t):
 WITH RECURSIVE o AS (
   SELECT doc_id, text, 0 AS k, 1 AS start, instr(lower(text), 'the') AS pos FROM documents WHERE text IS NOT NULL
   UNION ALL
-  SELECT doc_id, text, k + 1, pos + 3, CASE WHEN instr(substr(lower(text), pos + 3), 'the') = 0 THEN 0 ELSE pos + 2 + instr(substr(lower(text), pos + 3), 'the') END FROM o WHERE pos > 0 AND k < 5
+  SELECT doc_id, text, k + 1, pos + 3, CASE WHEN instr(substr(lower(text), pos + 3), 'the') = 0 THEN 0 ELSE pos + 2 + instr(substr(lower(text), pos + 3), 'the') END
+    FROM o WHERE pos > 0 AND k < 5
 ),
 x AS (
-  SELECT doc_id, k, substr(text, pos, 3) AS said, trim(substr(text, greatest(pos - 1 - 150, 0) + 1, pos + 152 - greatest(pos - 1 - 150, 0)), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS part
+  SELECT doc_id, k, substr(text, pos, 3) AS said, trim(substr(text, greatest(pos - 1 - 150, 0) + 1, pos + 152 - greatest(pos - 1 - 150, 0)),
+    chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS part
   FROM o WHERE pos > 0 AND k < 5
 )
 SELECT doc_id, count(*) AS n, string_agg(regexp_replace(part, '(?i)the', '**' || said || '**', 'g'), '|' ORDER BY k) AS excerpts FROM x GROUP BY doc_id""")
@@ -224,15 +233,18 @@ def f40_topics(t):
 
 
 @query("""SELECT doc_id, substr(text, greatest(instr(lower(text), 'that') - 1 - 250, 0) + 1, 500) AS excerpt,
-round((CAST(contains(lower(text), 'that') AS INT) + CAST(contains(lower(text), 'with') AS INT) + CAST(contains(lower(text), 'privacy') AS INT)) / 3.0, 6)::DOUBLE AS ratio FROM documents""")
+round((CAST(contains(lower(text), 'that') AS INT) + CAST(contains(lower(text), 'with') AS INT) + CAST(contains(lower(text), 'privacy') AS INT)) / 3.0,
+  6)::DOUBLE AS ratio FROM documents""")
 def f37_excerpts(t):
     """F37, F39."""
     text = F.col("text")
     return t.documents.select("doc_id", X.excerpt(text, "that").alias("excerpt"), F.round(X.match_ratio(text, F.array(*map(F.lit, ("that", "with", "privacy")))), 6).alias("ratio"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS plain,
-array_to_string([h FOR h IN [trim(regexp_replace(regexp_replace(x, '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) FOR x IN regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)] IF h <> ''][1:50], '|') AS headings,
+@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ',
+  'g'), '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS plain,
+array_to_string([h FOR h IN [trim(regexp_replace(regexp_replace(x, '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) FOR x IN regexp_extract_all(html,
+  '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)] IF h <> ''][1:50], '|') AS headings,
 regexp_matches(html, '(?i)</?[a-z][\\s\\S]*>') AND regexp_matches(html, '(?i)</(html|body|div|table|p|section|article|script)>') AS looks_html FROM pages""")
 def f42_html(t):
     """text, headings and a test for HTML."""
@@ -240,14 +252,16 @@ def f42_html(t):
     return t.pages.select("page_id", X.strip_html(h).alias("plain"), F.array_join(X.headings(h), "|").alias("headings"), X.is_html(h).alias("looks_html"))
 
 
-@query("""SELECT page_id, array_to_string(regexp_extract_all(html, '(?i)<(?:a|link)\\s[^>]*?href=["'']([^"''>]*)["'']', 1), ' ') AS links, CAST(len(regexp_extract_all(html, '(?i)<script[^>]*?src=["'']?([^\\s>"'']+)', 1)) AS INT) AS n_scripts FROM pages""")
+@query("""SELECT page_id, array_to_string(regexp_extract_all(html, '(?i)<(?:a|link)\\s[^>]*?href=["'']([^"''>]*)["'']', 1), ' ') AS links,
+  CAST(len(regexp_extract_all(html, '(?i)<script[^>]*?src=["'']?([^\\s>"'']+)', 1)) AS INT) AS n_scripts FROM pages""")
 def f46_links(t):
     h = F.col("html")
     return t.pages.select("page_id", F.array_join(X.hrefs(h), " ").alias("links"), F.size(X.script_sources(h)).alias("n_scripts"))
 
 
 @query(f"""WITH s AS (SELECT id, CAST(epoch(TIMESTAMP '{EVENT_NOW}' - ts) AS DOUBLE) AS s FROM messages WHERE ts < TIMESTAMP '{EVENT_NOW}')
-SELECT id, CASE WHEN floor(s / 60) < 60 THEN CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR) || ' minutes ago' WHEN floor(s / 3600) < 24 THEN CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR) || ' hours ago'
+SELECT id, CASE WHEN floor(s / 60) < 60 THEN CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR) || ' minutes ago'
+  WHEN floor(s / 3600) < 24 THEN CAST(CAST(floor(s / 3600) AS BIGINT) AS VARCHAR) || ' hours ago'
 WHEN floor(s / 86400) = 1 THEN 'Yesterday' ELSE CAST(CAST(floor(s / 86400) AS BIGINT) AS VARCHAR) || ' days ago' END AS ago FROM s""")
 def f48_relative_time(t):
     now = F.lit(EVENT_NOW).cast("timestamp_ntz")
@@ -255,7 +269,8 @@ def f48_relative_time(t):
     return messages(t).filter(F.col("ts") < now).select("id", X.relative_time(seconds).alias("ago"))
 
 
-@query("""SELECT company_id, 'mail.' || domain || ',10.0.0.1' AS spf, 'dmarc@' || domain || ',b@' || domain AS dmarc, lower(regexp_replace(company_name || ' Ltd', '\\s+', '', 'g')) || '.com' AS default_domain FROM companies""")
+@query("""SELECT company_id, 'mail.' || domain || ',10.0.0.1' AS spf, 'dmarc@' || domain || ',b@' || domain AS dmarc, lower(regexp_replace(company_name || ' Ltd',
+  '\\s+', '', 'g')) || '.com' AS default_domain FROM companies""")
 def f22_mail_policies(t):
     """F11, F22, F23."""
     spf = F.concat(F.lit("v=spf1 include:mail."), "domain", F.lit(" a:10.0.0.1 ~all"))
@@ -274,8 +289,10 @@ def d02_deadlines(t):
     return requests(t).select("id", progress.alias("progress"), F.date_format(V.deadline(F.col("created_at")), "yyyy-MM-dd").alias("deadline"), days.alias("days_passed"), share.alias("share"), left.alias("days_left"))
 
 
-@query("""WITH m AS (SELECT id, 'seen 2024-01-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0') || 'T10:00Z and 3/' || (id % 9 + 1) || '/2024, at 51.' || (1000 + id % 9000) || ', -0.' || (1000 + id % 7000) || ' ; 95.123, 10.123' AS x FROM messages)
-SELECT id, '2024-01-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0') || 'T10:00Z|3/' || (id % 9 + 1) || '/2024' AS dates, 1 AS n_points, printf('%.5f', CAST('51.' || (1000 + id % 9000) AS DOUBLE)) || ',' || printf('%.5f', CAST('-0.' || (1000 + id % 7000) AS DOUBLE)) AS points FROM m""")
+@query("""WITH m AS (SELECT id, 'seen 2024-01-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2,
+  '0') || 'T10:00Z and 3/' || (id % 9 + 1) || '/2024, at 51.' || (1000 + id % 9000) || ', -0.' || (1000 + id % 7000) || ' ; 95.123, 10.123' AS x FROM messages)
+SELECT id, '2024-01-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0') || 'T10:00Z|3/' || (id % 9 + 1) || '/2024' AS dates, 1 AS n_points, printf('%.5f',
+  CAST('51.' || (1000 + id % 9000) AS DOUBLE)) || ',' || printf('%.5f', CAST('-0.' || (1000 + id % 7000) AS DOUBLE)) AS points FROM m""")
 def d04_dates_coordinates(t):
     """Dates and coordinates in text; coordinates out of range are left out."""
     k = F.col("id")
@@ -285,7 +302,8 @@ def d04_dates_coordinates(t):
     return messages(t).select("id", F.array_join(V.dates(text), "|").alias("dates"), F.size(points).alias("n_points"), F.array_join(shown, " ").alias("points"))
 
 
-@query("""SELECT doc_id, CAST(len(text) // 4 AS BIGINT) AS tokens, CAST(n AS BIGINT) AS words, CAST(CASE WHEN n <= 100 THEN 1 ELSE greatest(1, floor((n - 20) / 80) + 1) END AS BIGINT) AS chunks, least(1.0, 0.3 + 0.2 * (n % 5))::DOUBLE AS score
+@query("""SELECT doc_id, CAST(len(text) // 4 AS BIGINT) AS tokens, CAST(n AS BIGINT) AS words, CAST(CASE WHEN n <= 100 THEN 1
+  ELSE greatest(1, floor((n - 20) / 80) + 1) END AS BIGINT) AS chunks, least(1.0, 0.3 + 0.2 * (n % 5))::DOUBLE AS score
 FROM (SELECT doc_id, text, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)""")
 def d11_size_estimates(t):
     """D10-D12, T06."""
@@ -301,7 +319,8 @@ def d16_json_and_maps(t):
     return messages(t).select("id", F.try_element_at(merged, F.lit("x")).alias("kept"), F.try_variant_get(doc, "$.k", "string").alias("k"), F.try_variant_get(doc, "$.k", "long").alias("n"), V.json_or_null(F.lit("{broken")).isNull().alias("bad_is_null"))
 
 
-@query("""SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) - 1 AS row, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation""")
+@query("""SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey
+  ORDER BY n_nationkey) AS INT) - 1 AS row, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation""")
 def d22_delimited_text(t):
     """Delimited text as rows; the delimiter is found in the header."""
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(x["n_nationkey"].cast("string"), F.lit(' ; "'), x["n_name"], F.lit('"'))), "\n")
@@ -312,10 +331,12 @@ def d22_delimited_text(t):
 # ---------------------------------------------------------------- chunks
 
 
-@query("""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS w FROM documents), n AS (SELECT *, len(w) AS n, greatest(1, CAST(ceil(len(w) / 80) AS INT) - 1) AS last FROM w WHERE len(w) > 0),
+@query("""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS w
+  FROM documents), n AS (SELECT *, len(w) AS n, greatest(1, CAST(ceil(len(w) / 80) AS INT) - 1) AS last FROM w WHERE len(w) > 0),
 k AS (SELECT *, unnest(CASE WHEN n <= 100 THEN [0] ELSE CAST(range(0, last + 1) AS INT[]) END) AS k FROM n),
 s AS (SELECT *, CASE WHEN k < last THEN k * 80 ELSE least(last * 80, n - 20) END AS a, CASE WHEN k < last THEN least(k * 80 + 100, n) ELSE n END AS b FROM k)
-SELECT doc_id, k AS chunk_index, CASE WHEN n <= 100 THEN text ELSE array_to_string(w[a + 1:b], ' ') END AS text, CAST(CASE WHEN n <= 100 THEN n ELSE b - a END AS INT) AS word_count FROM s""")
+SELECT doc_id, k AS chunk_index, CASE WHEN n <= 100 THEN text ELSE array_to_string(w[a + 1:b], ' ') END AS text, CAST(CASE WHEN n <= 100 THEN n
+  ELSE b - a END AS INT) AS word_count FROM s""")
 def t01_word_chunks(t):
     """Word chunks of 100 with 20 words in common."""
     return chunking.word_chunks(t.documents, 100, 20)
@@ -323,8 +344,10 @@ def t01_word_chunks(t):
 
 @query("""WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '\\s*\\S+') AS w FROM documents), n AS (SELECT *, len(w) AS n FROM w WHERE len(w) > 0),
 k AS (SELECT *, unnest(CASE WHEN n <= 100 THEN [0] ELSE CAST(range(0, CAST(ceil((n - 100) / 80) AS INT) + 1) AS INT[]) END) AS k FROM n),
-s AS (SELECT *, CASE WHEN n <= 100 THEN 0 ELSE len(array_to_string(w[1:k * 80], '')) + len(regexp_extract(w[k * 80 + 1], '^\\s*')) END AS a, CASE WHEN n <= 100 THEN len(text) ELSE len(array_to_string(w[1:least(k * 80 + 100, n)], '')) END AS b FROM k)
-SELECT doc_id, k AS chunk_index, CAST(a AS INT) AS start_offset, CAST(b AS INT) AS end_offset, CASE WHEN n <= 100 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE substr(text, a + 1, b - a) END AS text,
+s AS (SELECT *, CASE WHEN n <= 100 THEN 0 ELSE len(array_to_string(w[1:k * 80], '')) + len(regexp_extract(w[k * 80 + 1], '^\\s*')) END AS a, CASE
+  WHEN n <= 100 THEN len(text) ELSE len(array_to_string(w[1:least(k * 80 + 100, n)], '')) END AS b FROM k)
+SELECT doc_id, k AS chunk_index, CAST(a AS INT) AS start_offset, CAST(b AS INT) AS end_offset, CASE WHEN n <= 100 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g')
+  ELSE substr(text, a + 1, b - a) END AS text,
 CAST(CASE WHEN n <= 100 THEN n ELSE least(k * 80 + 100, n) - k * 80 END AS INT) AS word_count FROM s""")
 def t02_offset_chunks(t):
     return chunking.offset_chunks(t.documents, 100, 20)
@@ -352,7 +375,8 @@ def t08_line_chunks(t):
     return chunking.line_chunks(t.documents, 600)
 
 
-@query("""WITH c AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), ' ') AS context FROM c""")
+@query("""WITH c AS (SELECT conv_id, turn, text FROM conversations) SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id
+  ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), ' ') AS context FROM c""")
 def t07_context(t):
     """A chunk with its neighbours."""
     chunks = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "text")
@@ -379,10 +403,13 @@ def t09_sections(t):
     return chunking.sections(_regulations(t))
 
 
-@query(f"""WITH {_REGULATIONS_SQL}, c AS (SELECT *, array_to_string(list(text) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), chr(10)) AS context,
+@query(f"""WITH {_REGULATIONS_SQL}, c AS (SELECT *, array_to_string(list(text) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 5 PRECEDING
+  AND 5 FOLLOWING), chr(10)) AS context,
 (CAST(contains(lower(text), 'that') AS INT) + CAST(contains(lower(text), 'with') AS INT)) / 2.0 AS score FROM s),
-f AS (SELECT *, greatest(line - 5, 0) // 10 AS a, (line + 5) // 10 AS b FROM c WHERE score >= 0.5), d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, a, b ORDER BY score DESC, line) = 1)
-SELECT doc_id, CAST(line AS INT) AS line, section, score::DOUBLE AS score, context, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) AS INT) AS rank FROM d QUALIFY rank <= 10""")
+f AS (SELECT *, greatest(line - 5, 0) // 10 AS a, (line + 5) // 10 AS b FROM c WHERE score >= 0.5), d AS (SELECT * FROM f
+  QUALIFY row_number() OVER (PARTITION BY doc_id, a, b ORDER BY score DESC, line) = 1)
+SELECT doc_id, CAST(line AS INT) AS line, section, score::DOUBLE AS score, context, CAST(row_number() OVER (PARTITION BY doc_id
+  ORDER BY score DESC, line) AS INT) AS rank FROM d QUALIFY rank <= 10""")
 def t10_line_search(t):
     """T10, W06."""
     return chunking.line_search(_regulations(t), ["that", "with"])
