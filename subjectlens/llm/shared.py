@@ -41,6 +41,23 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than 1 / PIECES of all rows are cut into pieces, so there are fewer than PIECES of them.
+PIECES = 256
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], size: str, total: int) -> DataFrame:
+    """left joined to right, which has one row for each key with its number of rows on the left in `size`; total: all rows on the left.
+
+    A key with many rows is dealt out by a hash of the columns `spread`, and its row on the right is repeated for each
+    piece. Only the keys that are cut are broadcast, fewer than PIECES of them.
+    """
+    pieces = F.greatest(F.lit(1), F.ceil(F.col(size) * PIECES / F.lit(max(1, total)))).cast("int")
+    cut = F.broadcast(right.select(*on, pieces.alias("__pieces")).filter("__pieces > 1"))
+    dealt = left.join(cut, on, "left").withColumn("__piece", F.pmod(F.xxhash64(*spread), F.coalesce("__pieces", F.lit(1))).cast("int")).drop("__pieces")
+    copies = right.withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return dealt.join(copies, [*on, "__piece"]).drop("__piece")
+
+
 def text_of(column: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -374,22 +374,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, lim
 
     total = ids.agg(F.sum("n")).first()[0] or 0
     n_parts = max(-(-total // TOKENS_A_PARTITION), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n_parts for i in range(1, n_parts)], 20 * n_parts)).first()[0] if n_parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 128):
-                s = b.slice(i, 128)
-                n = s.column(1).to_numpy()
-                flat = np.frombuffer(b"".join(s.column(2).to_pylist()), dtype)
-                data, length, offsets, blocks = code.value.encode(flat, np.cumsum(n))
-                ends, marks, offsets = np.cumsum(length).tolist(), (8 * np.cumsum(blocks)).tolist(), offsets.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [s.column(0), s.column(1), pa.array([data[a:e] for a, e in zip([0, *ends], ends, strict=False)], pa.binary()), pa.array([offsets[a:e] for a, e in zip([0, *marks], marks, strict=False)], pa.binary())],
-                    names=["doc_id", "n", "code", "blocks"],
-                )
+    def encoded(b: pa.RecordBatch) -> Iterator[tuple]:
+        for i in range(0, b.num_rows, 128):
+            s = b.slice(i, 128)
+            n = s.column(1).to_numpy()
+            flat = np.frombuffer(b"".join(s.column(2).to_pylist()), dtype)
+            data, length, offsets, blocks = code.value.encode(flat, np.cumsum(n))
+            ends, marks, offsets = np.cumsum(length).tolist(), (8 * np.cumsum(blocks)).tolist(), offsets.astype("<u8").tobytes()
+            for k, doc_id in enumerate(s.column(0).to_pylist()):
+                yield doc_id, int(n[k]), data[ends[k] - int(length[k]) : ends[k]], offsets[marks[k] - 8 * int(blocks[k]) : marks[k]]
 
     folder = fresh_path(spark, "token-files")
     shared_dir(spark)
@@ -403,7 +397,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, lim
             done.append((path, number, len(done), len(docs_), sum(d[1] for d in docs_)))
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in encoded(b):
                 docs_.append(row)
                 size += len(row[2])
                 if size >= FILE_BYTES:
@@ -413,9 +407,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, lim
             close()
         yield pa.RecordBatch.from_pylist([dict(zip(("path", "part", "seq", "n_docs", "n_tokens"), d, strict=True)) for d in done], schema=pa.schema([("path", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    coded = ids.mapInArrow(encode, "doc_id long, n long, code binary, blocks binary")
-    placed = coded.withColumn("part", part.cast("int")).repartitionById(n_parts, "part").drop("part")
-    placed = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "n", "code")
+    order = F.col("doc_id").asc_nulls_last(), F.col("n").asc()
+    placed = ids.repartitionByRange(n_parts, *order).sortWithinPartitions(*order, "ids")
     return stash(placed.mapInArrow(write, "path string, part long, seq long, n_docs long, n_tokens long"), "token-manifest")
 
 
