@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Units; steps of a training window; lanes trained, and scored, at once.
-HIDDEN, STEPS, LANES, SCORE_LANES, SCORE_STEPS = 32, 16, 256, 256, 32
+HIDDEN, STEPS, LANES, SCORE_LANES, SCORE_STEPS = 24, 16, 512, 512, 16
 RATE = 0.01
 
 
@@ -61,57 +61,79 @@ def initial(layout: Layout, counts: np.ndarray, seed: int = 1) -> np.ndarray:
     return pack(p)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
-def step(p: dict, h: np.ndarray, x: np.ndarray) -> tuple:
-    """Next state from state h and projected input x, with what backpropagation needs."""
+def step(p: dict, h: np.ndarray, x: np.ndarray, fresh: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """Next state from state h and projected input x, zero where fresh; what backpropagation needs is added to keep."""
     n = HIDDEN
     u = h @ p["U"]
-    g = _sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
+    g = x[:, : 2 * n] + u[:, : 2 * n]  # the sigmoid of g is (1 + tanh(g / 2)) / 2
+    g *= 0.5
+    np.tanh(g, out=g)
+    g += 1
+    g *= 0.5
     z, r = g[:, :n], g[:, n:]
-    un = u[:, 2 * n :] + p["bn"]
-    c = np.tanh(x[:, 2 * n :] + r * un)
-    return c + z * (h - c), z, r, un, c
+    un = u[:, 2 * n :]
+    un += p["bn"]
+    c = r * un
+    c += x[:, 2 * n :]
+    np.tanh(c, out=c)
+    out = h - c
+    out *= z
+    out += c
+    out[fresh] = 0
+    if keep is not None:
+        keep.append((h, z, r, un, c))
+    return out
+
+
+def _softmax(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The log-probability of each row's own column; x becomes the probabilities.
+
+    One shift for all rows is enough unless a row lies far below the others; then each row has its own.
+    """
+    x -= x.max()
+    mine, ones = x[np.arange(len(x)), own], np.ones(x.shape[1], np.float32)
+    e = np.exp(x)
+    total = e @ ones
+    if total.min() < 1e-20:
+        x -= x.max(1, keepdims=True)
+        mine = x[np.arange(len(x)), own]
+        e = np.exp(x)
+        total = e @ ones
+    np.divide(e, total[:, None], out=x)
+    return mine - np.log(total)
 
 
 def output(p: dict, layout: Layout, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """log P(y | h) for each row; with grads, adds the loss's gradients and returns dh too."""
-    cls = layout.class_of[y]
-    logit = h @ p["Wc"] + p["bc"]
-    logit -= logit.max(1, keepdims=True)
-    e = np.exp(logit)
-    total = e.sum(1)
-    rows = np.arange(len(y))
-    out = logit[rows, cls] - np.log(total)
-    dh = None
+    cls, k, dh = layout.class_of[y], layout.per_class, None
+    x = h @ p["Wc"]
+    x += p["bc"]
+    out = _softmax(x, cls)
     if grads is not None:
-        d = e / total[:, None]
-        d[rows, cls] -= 1
-        grads["Wc"] += h.T @ d
-        grads["bc"] += d.sum(0)
-        dh = d @ p["Wc"].T
+        x[np.arange(len(y)), cls] -= 1
+        grads["Wc"] += h.T @ x
+        grads["bc"] += np.ones(len(x), np.float32) @ x
+        dh = x @ p["Wc"].T
     frequent = np.flatnonzero(y < layout.words)
-    order = frequent[np.argsort(cls[frequent], kind="stable")]
+    order = frequent[np.argsort(cls[frequent].astype(np.int16), kind="stable")]
     cuts = np.searchsorted(cls[order], np.arange(layout.word_classes + 1))
-    k = layout.per_class
+    hs, inside, found = h[order], y[order] % k, np.empty(len(order), np.float32)
+    back = np.empty_like(hs) if grads is not None else None
     for c in range(layout.word_classes):
-        at = order[cuts[c] : cuts[c + 1]]
-        if not len(at):
+        a, b, rows = cuts[c], cuts[c + 1], slice(c * k, (c + 1) * k)
+        if a == b:
             continue
-        W, inside = p["Ww"][c * k : (c + 1) * k], y[at] - c * k
-        x = h[at] @ W.T + p["bw"][c * k : (c + 1) * k]
-        x -= x.max(1, keepdims=True)
-        e = np.exp(x)
-        total, own = e.sum(1), np.arange(len(at))
-        out[at] += x[own, inside] - np.log(total)
+        x = hs[a:b] @ p["Ww"][rows].T
+        x += p["bw"][rows]
+        found[a:b] = _softmax(x, inside[a:b])
         if grads is not None:
-            e /= total[:, None]
-            e[own, inside] -= 1
-            grads["Ww"][c * k : (c + 1) * k] += e.T @ h[at]
-            grads["bw"][c * k : (c + 1) * k] += e.sum(0)
-            dh[at] += e @ W
+            x[np.arange(b - a), inside[a:b]] -= 1
+            grads["Ww"][rows] += x.T @ hs[a:b]
+            grads["bw"][rows] += np.ones(b - a, np.float32) @ x
+            np.matmul(x, p["Ww"][rows], out=back[a:b])
+    out[order] += found
+    if grads is not None:
+        dh[order] += back
     return out, dh
 
 
@@ -163,47 +185,51 @@ def train(flat: np.ndarray, layout: Layout, docs: Iterator[np.ndarray], rate: fl
 def _train_window(p: dict, layout: Layout, x: np.ndarray, h: np.ndarray, best: Adam) -> tuple[int, np.ndarray]:
     """x: symbols by step and lane, the one before first; -2 where a lane has no more. h: the lanes' states. Returns symbols seen and states."""
     n, lanes, hidden = len(x) - 1, x.shape[1], HIDDEN
-    states, kept = [], []
+    states, kept = np.empty((n, lanes, hidden), np.float32), []
+    before = x[:-1]
+    fresh = (before < 0) | (before == layout.end)
+    given = np.where(before < 0, 0, before)
     for t in range(n):
-        before = x[t]
-        fresh = (before < 0) | (before == layout.end)
-        nxt, *rest = step(p, h, p["P"][np.maximum(before, 0)])
-        nxt[fresh] = 0
-        kept.append((h, fresh, before, rest))
-        states.append(nxt)
-        h = nxt
-    y = x[1:]
-    flat, real = np.concatenate(states), y.ravel() >= 0
+        states[t] = h = step(p, h, p["P"][given[t]], fresh[t], kept)
+    y = x[1:].ravel()
+    real = y >= 0
     m = int(real.sum())
     if not m:
         return 0, h
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    _, d = output(p, layout, flat[real], y.ravel()[real], g)
-    dh_all = np.zeros_like(flat)
-    dh_all[real] = d
+    dh_all = np.zeros((n * lanes, hidden), np.float32)
+    if m == len(y):
+        _, dh_all = output(p, layout, states.reshape(-1, hidden), y, g)
+    else:
+        _, dh_all[real] = output(p, layout, states.reshape(-1, hidden)[real], y[real], g)
     dh_all = dh_all.reshape(n, lanes, hidden)
     carry = np.zeros((lanes, hidden), np.float32)
-    inputs, dx = [], []
+    du, dc_all = np.empty((n, lanes, 3 * hidden), np.float32), np.empty((n, lanes, hidden), np.float32)
     for t in range(n - 1, -1, -1):
-        before_h, fresh, before, (z, r, un, c) = kept[t]
+        before_h, z, r, un, c = kept[t]
         dh = dh_all[t] + carry
-        dh[fresh] = 0
-        dz = dh * (before_h - c) * z * (1 - z)
-        dc = dh * (1 - z) * (1 - c * c)
-        dr = dc * un * r * (1 - r)
-        du = np.concatenate([dz, dr, dc * r], 1)
-        g["U"] += before_h.T @ du
-        g["bn"] += du[:, 2 * hidden :].sum(0)
-        carry = dh * z + du @ p["U"].T
-        inputs.append(before)
-        dx.append(np.concatenate([dz, dr, dc], 1))
-    inputs, dx = np.concatenate(inputs), np.concatenate(dx)
-    ok = inputs >= 0
-    order = np.argsort(inputs[ok], kind="stable")
-    who, dx = inputs[ok][order], dx[ok][order]
-    if len(who):
+        dh[fresh[t]] = 0
+        less = 1 - z
+        part = dh * z
+        d, dc = du[t], dc_all[t]
+        np.multiply(part * less, before_h - c, out=d[:, :hidden])
+        np.multiply(dh * less, 1 - c * c, out=dc)
+        rest = dc * r
+        d[:, 2 * hidden :] = rest
+        np.multiply(rest * un, 1 - r, out=d[:, hidden : 2 * hidden])
+        carry = d @ p["U"].T
+        carry += part
+    flat = du.reshape(-1, 3 * hidden)
+    g["U"] += np.concatenate([k[0] for k in kept]).T @ flat
+    g["bn"] += flat[:, 2 * hidden :].sum(0)
+    du[:, :, 2 * hidden :] = dc_all
+    who = np.where(before < 0, -1, before).ravel().astype(np.int16)
+    order = np.argsort(who, kind="stable")
+    order = order[np.searchsorted(who[order], 0) :]
+    if len(order):
+        who = who[order]
         heads = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-        g["P"][who[heads]] = np.add.reduceat(dx, heads)
+        g["P"][who[heads]] = np.add.reduceat(flat[order], heads)
     for v in g.values():
         v /= m
     best.update(p, g)
@@ -245,9 +271,7 @@ def score(p: dict, layout: Layout, docs: list[np.ndarray]) -> np.ndarray:
         h, before = h[:lanes], before[:lanes]
         states = np.empty((e - s, lanes, HIDDEN), np.float32)
         for t in range(s, e):
-            h = step(p, h, p["P"][before])[0]
-            h[before == layout.end] = 0
-            states[t - s] = h
+            states[t - s] = h = step(p, h, p["P"][before], before == layout.end)
             before = np.maximum(x[t, :lanes], 0)
         y, who = x[s:e, :lanes].ravel(), owner[s:e, :lanes].ravel()
         real = y >= 0

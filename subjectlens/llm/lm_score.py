@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +22,8 @@ from subjectlens.llm.shared import by_bytes, need, read, stash, text_of
 FOLDS, HELD_OUT = 7, 2
 #: Words with an output of their own; the most words whose counts every worker holds (rarer ones are looked up by a join).
 WORDS, DICTIONARY = 1024, 262_144
-#: Models averaged in one step.
-FAN_IN = 64
+#: Models averaged in one step; shards that train a model each: SHARDS, unless they would have fewer or more tokens than this.
+FAN_IN, SHARDS, LEAST_SHARD, MOST_SHARD = 64, 64, 1_000_000, 16_000_000
 #: Text bytes that are tokenised, and tokens that are scored, at once.
 TEXT_BYTES, TOKENS = 16 << 20, 4_000_000
 END = "\n"  # no word holds white space, so the end can be counted beside the words
@@ -37,9 +38,19 @@ def shape(word: str) -> int:
 SHAPES = 6
 
 
-def words_of(text: str) -> list[str]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").lower().split()]
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text, word, distinct words): for each word of the texts, in order, the text and the word by number.
+
+    Words stand between ASCII white space, A-Z in lower case.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts).cast(pa.large_string()))  # in this order: a cast slice is lowered wrongly
+    coded = lists.flatten().dictionary_encode()
+    word, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    if "" in distinct:  # before and after white space at the ends
+        kept = word != distinct.index("")
+        word, text = word[kept], text[kept]
+    return text, word, distinct
 
 
 class Base(NamedTuple):
@@ -70,12 +81,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in by_bytes(b, 0, TEXT_BYTES):
-                total: Counter = Counter()
-                for x in part.column(0).to_pylist():
-                    total.update(x.encode("utf-8", "surrogatepass").lower().split())
-                words = [w.decode("utf-8", "surrogatepass") for w in total]
+                _, word, distinct = split_words(part.column(0))
+                counts = np.bincount(word, minlength=len(distinct))
+                used = np.flatnonzero(counts)
+                words = [distinct[k] for k in used.tolist()]
                 kind = [shape(w) for w in words]
-                yield pa.RecordBatch.from_arrays([pa.array([*words, END]), pa.array([*kind, -1], pa.int32()), pa.array([*total.values(), part.num_rows], pa.int64())], names=["w", "s", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.string()), pa.array([*kind, -1], pa.int32()), pa.array([*counts[used].tolist(), part.num_rows], pa.int64())], names=["w", "s", "c"])
 
     return docs.select(text_of().alias("text")).mapInArrow(run, "w string, s int, c long").groupBy("w", "s").agg(F.sum("c").alias("c"))
 
@@ -106,38 +117,41 @@ class Coder:
     def __init__(self, base: Base):
         self.base, self.layout = base, base.layout()
         k = self.layout.words
-        group = [k + 1 + shape(w) for w in base.words[k:]]
-        self.symbol = dict(zip(base.words, [*range(k), *group], strict=True))
-        self.count = dict(zip(base.words, np.log10(base.counts + 1.0).tolist(), strict=True))
-        self.inside = dict(zip(base.words[k:], (np.log10(base.counts[k:]) - np.log10(np.maximum(base.group_tokens[[g - k - 1 for g in group]], 1))).tolist(), strict=True)) if group else {}
+        group = np.array([shape(w) for w in base.words[k:]], np.int64)
+        self.place = {w: i for i, w in enumerate(base.words)}
+        self.symbol = np.r_[np.arange(k), k + 1 + group].astype(np.int64)
+        self.count = np.log10(base.counts + 1.0)
+        self.inside = np.r_[np.zeros(k), np.log10(base.counts[k:]) - np.log10(np.maximum(base.group_tokens[group], 1))]
         self.end_count = math.log10(base.ends + 1.0)
         self.unit = math.log10(base.tokens + base.types + 1.0)
-        self.tail = [-math.log10(t + v) for t, v in zip(base.group_tokens[SHAPES:].tolist(), base.group_types[SHAPES:].tolist(), strict=True)]
+        self.tail = -np.log10(base.group_tokens[SHAPES:] + base.group_types[SHAPES:])
 
-    def encode(self, text: str) -> tuple[np.ndarray, int, int, float, float, dict[str, int]]:
-        """Symbols; tokens; known dictionary tokens; base score and inner score so far; words to look up with their number.
+    def encode(self, texts: pa.Array) -> tuple:
+        """For each text: symbols; tokens; known dictionary tokens; base score and inner score so far; words to look up with their number.
 
         Words to look up add log10(count + 1) to both scores.
         """
-        words = words_of(text)
-        ids = list(map(self.symbol.get, words))
-        rare: dict[str, int] = {}
-        inner, first = 0.0, self.layout.words + 1 + SHAPES
-        base = self.end_count - self.unit * (len(words) + 1)
-        base += sum(map(self.count.get, words, [0.0] * len(words))) if words else 0.0
-        known = len(words) + (self.base.ends > 0)
-        if None in ids:
-            unknown = [k for k, i in enumerate(ids) if i is None]
-            known -= len(unknown)
-            for k in unknown:
-                w = words[k]
-                s = shape(w)
-                ids[k] = first + s
-                inner += self.tail[s]
-                rare[w] = rare.get(w, 0) + 1
-        inner += sum(map(self.inside.get, words, [0.0] * len(words))) if words else 0.0
-        ids.append(self.layout.end)
-        return np.array(ids, "<u2"), len(ids), known, base, inner, rare
+        n, (text, word, distinct) = len(texts), split_words(texts)
+        place = np.fromiter((self.place.get(w, -1) for w in distinct), np.int64, len(distinct))
+        unknown = np.flatnonzero(place < 0)
+        kinds = np.array([shape(distinct[k]) if distinct[k] else 0 for k in unknown.tolist()], np.int64)
+        symbol, count, inside = (np.zeros(len(distinct), x.dtype) for x in (self.symbol, self.count, self.inside))
+        known = place >= 0
+        for out, table in ((symbol, self.symbol), (count, self.count), (inside, self.inside)):
+            out[known] = table[place[known]]
+        symbol[unknown], inside[unknown] = self.layout.words + 1 + SHAPES + kinds, self.tail[kinds]
+        size = np.bincount(text, minlength=n)
+        ends = np.cumsum(size + 1)
+        ids = np.full(int(ends[-1]) if n else 0, self.layout.end, "<u2")
+        ids[np.arange(len(word)) + text] = symbol[word]
+        data, cuts = ids.tobytes(), (2 * np.r_[0, ends]).tolist()
+        new = ~known[word]
+        pairs, times = np.unique(text[new] * max(1, len(distinct)) + word[new], return_counts=True)
+        rare = pairs // max(1, len(distinct)), [distinct[k] for k in (pairs % max(1, len(distinct))).tolist()], times
+        return (
+            [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], size + 1, size - np.bincount(text[new], minlength=n) + (self.base.ends > 0),
+            np.bincount(text, count[word], n) + self.end_count - self.unit * (size + 1), np.bincount(text, inside[word], n), rare,
+        )
 
 
 _coders: dict[str, Coder] = {}
@@ -160,43 +174,46 @@ def encoded(docs: DataFrame, base) -> DataFrame:
         coder = _coder(key, base)
         for b in batches:
             for part in by_bytes(b, 2, TEXT_BYTES // 2):
-                ids, n, known, score, inner, rare = zip(*map(coder.encode, part.column(2).to_pylist()), strict=True)
-                ends = np.cumsum([len(r) for r in rare])
-                flat = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.string()), pa.array([m for r in rare for m in r.values()], pa.int64())], names=["w", "m"])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(score), pa.array(inner), lists], schema=typed)
+                ids, n, known, score, inner, (owner, words, times) = coder.encode(part.column(2))
+                flat = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["w", "m"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(score), pa.array(inner), lists], schema=typed)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, ids binary, n long, known long, base double, inner double, rare array<struct<w:string,m:long>>")
 
 
-def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    for b in batches:
-        for data in b.column(0).to_pylist():
-            yield np.frombuffer(data, "<u2").astype(np.int32)
+def shards_for(tokens: int) -> int:
+    """How many shards so many training tokens are cut into; nothing but the corpus decides."""
+    return max(1, min(SHARDS, tokens // LEAST_SHARD), -(-tokens // MOST_SHARD))
 
 
 def trained(table: DataFrame, base: Base) -> np.ndarray:
-    """Weights: every partition trains on all symbols of its documents, and the models are averaged, FAN_IN at a time.
+    """Weights: documents are dealt into shards by a hash of id and symbols, each shard trains on all symbols of its
+    documents in the order of that hash, and the models are averaged by their size, FAN_IN at a time in the order of the
+    shards.
 
-    So the work is spread over all partitions, and what moves is a model for each partition.
+    So the same corpus gives the same weights on any cluster, and what moves is symbols once and a model for each shard.
     """
     spark, layout = table.sparkSession, base.layout()
     flat = gru.initial(layout, base.symbol_counts())
-    rows = table.filter(~F.col("held_out")).select("ids")
-    n = rows.rdd.getNumPartitions()
+    n = shards_for(base.tokens)
     now = spark.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, seen = gru.train(now.value, layout, _symbols(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "w"])
-
-    models = rows.mapInArrow(run, "n long, w binary").filter("n > 0").withColumn("g", F.floor(F.spark_partition_id() / FAN_IN).cast("long"))
-    models, left = stash(models, "lm-models"), n
+        rows = ((shard, np.frombuffer(data, "<u2").astype(np.int32)) for b in batches for shard, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for shard, docs in itertools.groupby(rows, lambda r: r[0]):
+            w, seen = gru.train(now.value, layout, (ids for _, ids in docs))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["shard", "n", "w"])
+
+    place = F.xxhash64("doc_id", "ids")
+    rows = table.filter(~F.col("held_out")).select(F.pmod(place, F.lit(n)).cast("int").alias("shard"), place.alias("place"), "ids")
+    rows = rows.repartitionById(n, "shard").sortWithinPartitions("shard", "place", "ids").select(F.col("shard").cast("long").alias("shard"), "ids")
+    models, left = stash(rows.mapInArrow(run, "shard long, n long, w binary"), "lm-models"), n
     while left > FAN_IN:
         models, left = stash(_averaged(models), "lm-models"), -(-left // FAN_IN)
     total, size = None, 0
-    for r in models.toLocalIterator():  # at most FAN_IN models, one at a time
+    for r in models.orderBy("shard").toLocalIterator():  # at most FAN_IN models, one at a time
         w = np.frombuffer(r.w, np.float32).astype(np.float64) * r.n
         total, size = w if total is None else total + w, size + r.n
     return (total / size).astype(np.float32) if size else flat
@@ -205,37 +222,40 @@ def trained(table: DataFrame, base: Base) -> np.ndarray:
 def _averaged(models: DataFrame) -> DataFrame:
     def run(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, size = None, 0
-        for b in batches:
-            for n, w in zip(b.column("n").to_pylist(), b.column("w").to_pylist(), strict=True):
-                x = np.frombuffer(w, np.float32).astype(np.float64) * n
-                total, size = x if total is None else total + x, size + n
-        yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([(total / max(size, 1)).astype(np.float32).tobytes()], pa.binary()), pa.array([key[0].as_py() // FAN_IN], pa.int64())], names=["n", "w", "g"])
+        rows = sorted(((s, n, w) for b in batches for s, n, w in zip(*(b.column(c).to_pylist() for c in ("shard", "n", "w")), strict=True)), key=lambda r: r[0])
+        for _, n, w in rows:  # at most FAN_IN models
+            x = np.frombuffer(w, np.float32).astype(np.float64) * n
+            total, size = x if total is None else total + x, size + n
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([size], pa.int64()), pa.array([(total / max(size, 1)).astype(np.float32).tobytes()], pa.binary())], names=["shard", "n", "w"])
 
-    return models.groupBy("g").applyInArrow(run, "n long, w binary, g long")
+    return models.groupBy(F.floor(F.col("shard") / FAN_IN).cast("long").alias("g")).applyInArrow(run, "shard long, n long, w binary")
 
 
 def scored(table: DataFrame, base: Base, flat: np.ndarray) -> DataFrame:
-    """(uid, lp): natural log-probability of each row's symbols."""
+    """The rows of table without ids, and lp: the natural log-probability of their symbols."""
     layout, weights = base.layout(), table.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = gru.unpack(weights.value, layout)
-        uids, docs, size = [], [], 0
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(gru.score(p, layout, docs))], names=["uid", "lp"])
-
-        for b in batches:
-            for uid, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                uids.append(uid)
-                docs.append(np.frombuffer(data, "<u2").astype(np.int32))
-                size += len(docs[-1])
+        rest, docs, size = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            lp, at = gru.score(p, layout, docs), 0
+            for b in rest:
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lp[at : at + b.num_rows])], names=[*b.schema.names[1:], "lp"])
+                at += b.num_rows
+
+        for whole in batches:
+            for b in by_bytes(whole, 0, 2 * TOKENS):
+                rest.append(b)
+                docs += [np.frombuffer(data, "<u2").astype(np.int32) for data in b.column(0).to_pylist()]
+                size += sum(map(len, docs[-b.num_rows :]))
                 if size >= TOKENS:
-                    yield flush()
-                    uids, docs, size = [], [], 0
-        yield flush()
+                    yield from flush()
+                    rest, docs, size = [], [], 0
+        yield from flush()
 
-    return table.select("uid", "ids").mapInArrow(run, "uid long, lp double")
+    return table.select("ids", "uid", "doc_id", "held_out", "n", "known", "base", "inner").mapInArrow(run, "uid long, doc_id long, held_out boolean, n long, known long, base double, inner double, lp double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -258,7 +278,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     weights = trained(table, base)
     rare = table.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.w").alias("w"), F.col("r.m").alias("m"))
     found = rare.join(counts.filter(F.col("s") >= 0).select("w", "c"), "w", "left").groupBy("uid").agg(F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("log"), F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("seen"))
-    out = table.select("uid", "doc_id", "held_out", "n", "known", "base", "inner").join(scored(table, base, weights), "uid").join(found, "uid", "left")
+    out = scored(table, base, weights).join(found, "uid", "left")
     more = F.coalesce("log", F.lit(0.0))
     return out.select(
         "doc_id",
