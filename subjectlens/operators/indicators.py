@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -11,13 +12,14 @@ from pyspark.sql import functions as F
 from subjectlens.functions.text import entropy, luhn
 
 class Pattern(NamedTuple):
-    """contains: a text without this pattern of plain classes can't match, so the costly one is skipped."""
+    """A text can match only if it holds one of `literals` (if there are any) and matches the plain `hint` (if there is one)."""
 
     name: str
     regex: str
     kind: str
     risk: str
-    contains: str | None = None
+    hint: str | None = None
+    literals: tuple[str, ...] = ()
 
 
 # ---- fixed values: the patterns in order of precedence, in Java's dialect
@@ -55,22 +57,23 @@ def hex_run(n: int) -> str:
     return r"(?:[^a-fA-F\d]|\b)([a-fA-F\d]{" + str(n) + r"})(?:[^a-fA-F\d]|\b)"
 
 
+_HEX = r"[a-fA-F\d]{32}"
 PATTERNS = (
-    Pattern("GENERIC_URL", GENERIC_URL, "URL", "low", r"://|:\\\\|__"),
-    Pattern("BRACKET_URL", BRACKET_URL, "URL", "low", r"[(\[] ?\. ?[\])]"),
-    Pattern("BACKSLASH_URL", BACKSLASH_URL, "URL", "low", r"\\\."),
-    Pattern("HEXENCODED_URL", HEXENCODED_URL, "URL", "medium", r"(?i)3a2f2f"),
-    Pattern("URLENCODED_URL", URLENCODED_URL, "URL", "medium", r"(?i)%3A%2F%2F"),
+    Pattern("GENERIC_URL", GENERIC_URL, "URL", "low", literals=("://", ":\\\\", "__")),
+    Pattern("BRACKET_URL", BRACKET_URL, "URL", "low", r"[(\[] ?\. ?[\])]", (".]", ".)", ". ]", ". )")),
+    Pattern("BACKSLASH_URL", BACKSLASH_URL, "URL", "low", literals=("\\.",)),
+    Pattern("HEXENCODED_URL", HEXENCODED_URL, "URL", "medium", literals=("3a2f2f", "3A2F2F", "3a2F2F", "3a2f2F", "3a2F2f", "3A2f2f", "3A2F2f", "3A2f2F")),
+    Pattern("URLENCODED_URL", URLENCODED_URL, "URL", "medium", r"(?i)%3A%2F%2F", ("%",)),
     Pattern("B64ENCODED_URL", B64ENCODED_URL, "URL", "medium", r"6\s*L\s*y|i\s*8\s*v|o\s*v\s*L"),
     Pattern("IPV4", IPV4, "IP", "low", r"\d[\[\(\\]*\.[\]\)]*\d"),
-    Pattern("IPV6", IPV6, "IP", "low", r"(?i)[a-f0-9]*:[a-f0-9]*:"),
+    Pattern("IPV6", IPV6, "IP", "low", r"(?i)[a-f0-9]*:[a-f0-9]*:", (":",)),
     Pattern("EMAIL", EMAIL, "Email", "medium", r"(?i)@|\Wat\W"),
-    Pattern("MD5", hex_run(32), "Credential", "high", r"[a-fA-F\d]{32}"),
-    Pattern("SHA1", hex_run(40), "Credential", "high", r"[a-fA-F\d]{40}"),
-    Pattern("SHA256", hex_run(64), "Credential", "high", r"[a-fA-F\d]{64}"),
-    Pattern("SHA512", hex_run(128), "Credential", "high", r"[a-fA-F\d]{128}"),
+    Pattern("MD5", hex_run(32), "Credential", "high", _HEX),
+    Pattern("SHA1", hex_run(40), "Credential", "high", _HEX),
+    Pattern("SHA256", hex_run(64), "Credential", "high", _HEX),
+    Pattern("SHA512", hex_run(128), "Credential", "high", _HEX),
     Pattern("CREDIT_CARD", CREDIT_CARD, "CreditCard", "critical", r"[0-9]{4}"),
-    Pattern("YARA", YARA, "File", "low", r"condition\s*:"),
+    Pattern("YARA", YARA, "File", "low", r"condition\s*:", ("condition",)),
     Pattern("HIGH_ENTROPY", SECRET, "Credential", "high", r"[\w-]{23}"),
 )
 
@@ -84,16 +87,27 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def matches(text: Column, p: Pattern) -> Column:
-    """Trimmed matches of one pattern in order; validated where the pattern asks for it."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(p.regex), F.lit(1)), lambda v: F.trim(F.regexp_replace(v, r"^\s+|\s+$", "")))
-    found = F.filter(found, lambda v: v != "")
+def possible(text: Column, p: Pattern) -> Column:
+    """Whether a look at literals and a plain pattern leaves room for a match."""
+    out = F.lit(False) if p.literals else F.lit(True)
+    for x in p.literals:
+        out = out | F.contains(text, F.lit(x))
+    return out & text.rlike(p.hint) if p.hint else out
+
+
+def found_by(text: Column, p: Pattern) -> Column:
+    """Trimmed matches of one pattern in order, each once; validated where the pattern asks for it."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(p.regex), F.lit(1)), lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
+    found = F.array_distinct(F.filter(found, lambda v: v != ""))
     if p.name == "CREDIT_CARD":
         found = F.filter(found, luhn)
     if p.name == "HIGH_ENTROPY":
-        found = F.filter(F.array_distinct(found), lambda v: (F.length(v) >= 23) & (entropy(v) > 4.5))
-    nothing = F.array().cast("array<string>")
-    return F.when(text.rlike(p.contains), F.array_distinct(found)).otherwise(nothing) if p.contains else F.array_distinct(found)
+        found = F.filter(found, lambda v: (F.length(v) >= 23) & (entropy(v) > 4.5))
+    return found
+
+
+def matches(text: Column, p: Pattern) -> Column:
+    return F.when(possible(text, p), found_by(text, p)).otherwise(F.array().cast("array<string>"))
 
 
 def findings(docs: DataFrame, patterns: Sequence[Pattern] = PATTERNS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,7 +118,12 @@ def findings(docs: DataFrame, patterns: Sequence[Pattern] = PATTERNS, key: str =
     found once however often it is used.
     """
     tagged = lambda i: lambda v, k: F.struct(v.alias("value"), F.lit(i).alias("p"), k.alias("k"))
-    found = F.concat(*[F.transform(matches(F.col(text), p), tagged(i)) for i, p in enumerate(patterns)])
+    nothing, parts = F.array().cast("array<struct<value:string,p:int,k:int>>"), []
+    for _, group in itertools.groupby(enumerate(patterns), lambda ip: (ip[1].hint, ip[1].literals)):
+        alike = list(group)  # patterns that are looked for under one condition
+        every = F.concat(*[F.transform(found_by(F.col(text), p), tagged(i)) for i, p in alike])
+        parts.append(F.when(possible(F.col(text), alike[0][1]), every).otherwise(nothing))
+    found = F.concat(*parts)
     firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["value"] != x["value"]))
     placed = once(once(found, lambda x: F.array_sort(x)), lambda s: F.array_sort(F.transform(firsts(s), lambda x: F.struct(x["p"].alias("p"), x["k"].alias("k"), x["value"].alias("value")))))
     rows = docs.select(key, F.posexplode(placed).alias("position", "x"))
@@ -139,12 +158,12 @@ def masked(value: Column) -> Column:
 def risk_signals(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, count, confidence, source) for e-mails, IPs and sensitive terms of a text."""
     text, low = F.col("text"), F.lower("text")
-    count = lambda p: F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0))))
+    count = lambda p, hint: F.when(hint, F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0))))).otherwise(0)
     terms = F.filter(F.array(*map(F.lit, SENSITIVE)), lambda x: F.contains(low, x))
     row = lambda kind, n, confidence, source: F.struct(F.lit(kind).alias("kind"), n.alias("count"), F.lit(confidence).alias("confidence"), source.alias("source"))
     signals = F.array(
-        row("email", count(r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"), 0.9, F.lit("")),
-        row("ip", count(r"\b(?:\d{1,3}\.){3}\d{1,3}\b"), 0.85, F.lit("")),
+        row("email", count(r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", F.contains(text, F.lit("@"))), 0.9, F.lit("")),
+        row("ip", count(r"\b(?:\d{1,3}\.){3}\d{1,3}\b", text.rlike(r"\d\.\d")), 0.85, F.lit("")),
         row("sensitive_terms", F.size(terms), 0.7, F.array_join(terms, ", ")),
     )
     return docs.select("doc_id", F.explode(F.filter(signals, lambda s: s["count"] > 0)).alias("s")).select("doc_id", "s.*")
