@@ -28,15 +28,14 @@ DROP, KEEP, MIXED = 0, 1, 2
 class Maker:
     """Invented pages. Regions carry data-region="k" (main text) or "d" (anything else)."""
 
-    def __init__(self, rng: random.Random):
+    def __init__(self, rng: random.Random, vocabulary: int = 4000):
         self.r = rng
+        syllable = lambda: rng.choice("bcdfghklmnprstvz") + rng.choice("aeiouéöà") + rng.choice(["", "n", "r", "st"])
+        self.known = ["".join(syllable() for _ in range(rng.randint(1, 4))) for _ in range(vocabulary)]
+        self.known += [w + mark for w in self.known[: vocabulary // 3] for mark in (",", ".", "%%%")[: 1 + (len(w) > 3)]]
 
     def words(self, low: int, high: int, end: str = ".") -> str:
-        n, parts = self.r.randint(low, high), []
-        for _ in range(n):
-            w = "".join(self.r.choice("bcdfghklmnprstvz") + self.r.choice("aeiouéöà") + self.r.choice(["", "n", "r", "st"]) for _ in range(self.r.randint(1, 4)))
-            parts.append(w + self.r.choice([""] * 9 + [",", ".", "%%%"]))
-        out = " ".join(parts)
+        out = " ".join(self.r.choices(self.known, k=self.r.randint(low, high)))
         return out[:1].upper() + out[1:] + (end if self.r.random() < 0.8 else "")
 
     def pick(self, *options: str) -> str:
@@ -234,7 +233,8 @@ class Trees:
 @lru_cache(maxsize=1)
 def trained_trees() -> Trees:
     rng = random.Random(SEED)
-    pages = [read_page(Maker(rng).page(), labelled=True) for _ in range(TRAINING_PAGES)]
+    maker = Maker(rng)
+    pages = [read_page(maker.page(), labelled=True) for _ in range(TRAINING_PAGES)]
     X, _, _ = features(pages)
     return Trees().fit(X, np.concatenate([labels_of(p) for p in pages]))
 
