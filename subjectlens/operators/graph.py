@@ -138,12 +138,15 @@ def eigenvector_centrality(triples: DataFrame, rounds: int = 100, tolerance: flo
     both = written(e.union(e.select("v", "u")).distinct(), "eigen")
     x = both.select(F.col("u").alias("node")).distinct().withColumn("x", F.lit(1.0))
     n = x.count()
+
+    def step(x: DataFrame) -> DataFrame:
+        sent = both.join(x, F.col("v") == F.col("node")).select(F.col("u").alias("node"), "x")
+        return x.unionByName(sent).groupBy("node").agg(F.sum("x").alias("x"))
+
     for _ in range(0, rounds, together):
-        y = x.withColumn("y", F.col("x"))
-        for _ in range(together):
-            sent = both.join(y.select("node", F.col("y").alias("x")), F.col("v") == F.col("node")).groupBy("u").agg(F.sum("x").alias("got"))
-            y = y.join(sent, F.col("node") == F.col("u"), "left").select("node", F.col("y").alias("x"), (F.col("y") + F.coalesce("got", F.lit(0.0))).alias("y"))
-        y = written(y, "eigen")
+        for _ in range(together - 1):
+            x = step(x)
+        y = written(step(x).withColumnRenamed("x", "y").join(x, "node").select("node", "x", "y"), "eigen")
         norms = F.broadcast(y.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("a"), F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("b")))  # one row
         last = y.join(norms).agg(F.first("b").alias("norm"), F.sum(F.abs(F.col("y") / F.col("b") - F.col("x") / F.col("a"))).alias("off")).first()
         norm = last.norm or 1.0
