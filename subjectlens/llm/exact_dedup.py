@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjectlens.llm.shared import need, read, stash, text_of
+from subjectlens.llm.shared import need, read, salted_join, stash, text_of
 
 #: Bits of the map of repeated hashes: at most SLOTS / 64 rows of two longs (16 MB) are broadcast at any input size.
 SLOTS = 1 << 24
@@ -27,7 +27,7 @@ def exact_dedup(docs: DataFrame, hash128: Callable[[Column], Column] = content_h
     """One row per row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their normalised bytes are; null counts as empty. Hashes find the groups with partial
-    aggregation, so a group of any size is spread over tasks. Then the bytes of every repeated row are compared with
+    aggregation, and large groups are joined in pieces, so a group of any size is spread over tasks. Then the bytes of every repeated row are compared with
     those of the row that stays; rows that only share the hash form groups of their own. Text is moved for repeated
     rows only: a fixed-size bit map of repeated hashes is broadcast and filters the second scan.
 
@@ -37,8 +37,9 @@ def exact_dedup(docs: DataFrame, hash128: Callable[[Column], Column] = content_h
     docs = need(docs, "doc_id", "text")
     whole = docs.select("doc_id", normalised(text_of()).alias("body")).withColumn("h", hash128(F.col("body")))
     rows = stash(whole.groupBy("h", F.sha2("body", 256).alias("sha"), "doc_id").agg(F.count("*").alias("c")), "dedup-rows")
-    group = rows.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.sum("c").alias("n"))
-    repeated = stash(group.filter("n > 1").select("h", "keep_id"), "dedup-repeated")
+    group = rows.groupBy("h").agg(F.sum("c").alias("n"))
+    repeated = stash(group.filter("n > 1").select("h"), "dedup-repeated")
+    total = rows.agg(F.sum("c")).first()[0] or 0
 
     slot = F.pmod(F.xxhash64("h"), F.lit(SLOTS))
     one = F.lit(1).cast("long")
@@ -48,21 +49,25 @@ def exact_dedup(docs: DataFrame, hash128: Callable[[Column], Column] = content_h
         .join(F.broadcast(bits), F.shiftright("slot", 6) == F.col("word"))
         .filter(F.expr("shiftrightunsigned(bits, cast(slot & 63 as int))").bitwiseAND(one) == 1)
         .select("doc_id", "body", "h")
-        .join(repeated, "h")
     )
     suspects = stash(suspects, "dedup-suspects")
-    stays = suspects.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("body").alias("reference"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body")).alias("first")
+    stays = suspects.groupBy("h").agg(first, F.count("*").alias("n")).select("h", F.col("first.body").alias("reference"), "n")
     odd = (
-        suspects.join(stays, "h")
+        salted_join(suspects, stays, ["h"], ["doc_id"], "n", total)
         .filter(F.col("body") != F.col("reference"))
         .select("h", F.sha2("body", 256).alias("sha"))
         .distinct()
         .withColumn("variant", F.col("sha"))
     )
-    rows = rows.join(odd, ["h", "sha"], "left").withColumn("variant", F.coalesce("variant", F.lit("")))
-    final = rows.groupBy("h", "variant").agg(F.min("doc_id").alias("keep_id"), F.sum("c").alias("group_size"))
+    odd = stash(odd, "dedup-odd")
+    if odd.isEmpty():  # no two texts share a hash, as a rule: nothing to look up
+        rows = rows.withColumn("variant", F.lit(""))
+    else:
+        rows = rows.join(odd, ["h", "sha"], "left").withColumn("variant", F.coalesce("variant", F.lit("")))
+    final = rows.groupBy("h", "variant").agg(F.min("doc_id").alias("keep_id"), F.sum("c").alias("group_size"), F.count("*").alias("n"))
     return (
-        rows.join(final, ["h", "variant"])
+        salted_join(rows, final, ["h", "variant"], ["doc_id"], "n", total)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))))
         .select(
             "doc_id",
