@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from subjectlens.llm.shared import need, read, stash, text_of
+from subjectlens.llm.shared import need, read, salted_join, stash, text_of
 
 #: Control strings. All begin with "<|"; escaped text never holds "<|".
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -88,14 +88,16 @@ def chat_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     A node belongs to the smallest conversation with its prefix; the nodes of one conversation form a run, which goes
     straight down the tree. A run's sort key is the list of branchings above it, deepest branch first, which orders
     runs depth first. Attention intervals are runs' first parts, one for each branching, so they stay short. Nothing
-    but a sort, joins and aggregates with partial sums looks at a shared prefix, however many conversations share it.
+    but a sort, joins and aggregates with partial sums looks at a shared prefix, and one that very many conversations
+    share is joined in pieces.
 
     Null text or role counts as empty; a null conv_id is a conversation of its own; a null turn comes last; rows that
     repeat conversation and turn follow each other by role and text; an empty table gives empty tables.
     """
     turns = stash(turns_of(conversations), "chat-prefixes")
-    owner = turns.groupBy("p1", "p2", "k").agg(F.min("conv").alias("run"))
-    members = stash(turns.drop("piece", "lead", "learnt").join(owner, ["p1", "p2", "k"]).select("conv", "k", "run", "pos", "n"), "chat-members")
+    owner = turns.groupBy("p1", "p2", "k").agg(F.min("conv").alias("run"), F.count("*").alias("shared"))
+    placed = salted_join(turns.drop("piece", "lead", "learnt"), owner, ["p1", "p2", "k"], ["conv"], "shared", turns.count())
+    members = stash(placed.select("conv", "k", "run", "pos", "n"), "chat-members")
     segments = stash(members.groupBy("conv", "run").agg(F.min("k").alias("branch"), F.min("pos").alias("from"), F.sum("n").alias("size")), "chat-segments")
     own = segments.filter("conv = run").select("run", "from", "size")
     key = F.transform(F.array_sort(F.collect_list(F.struct("branch", "run"))), lambda s: F.struct((-s["branch"]).alias("b"), s["run"].alias("r")))
@@ -191,16 +193,3 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM n GROUP BY conv_id
 """
-
-
-def by_brute_force(rows: list[tuple]) -> list[tuple]:
-    """op8's columns but the last from (conv_id, turn, role, text): the check for small tables."""
-    by: dict = {}
-    for conv, turn, role, text in rows:
-        by.setdefault(conv, []).append((turn is None, turn or 0, role or "", text or ""))
-    out = []
-    for conv, turns in by.items():
-        turns.sort()
-        learnt = "".join(t[3] for t in turns if t[2] == LEARNT)
-        out.append((conv, len(turns), hashlib.sha256("".join(f"{t[2]}\n{t[3]}\n" for t in turns).encode()).hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest()))
-    return out
