@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -10,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjectlens.llm.shared import need, read, stash, text_of
+from subjectlens.llm.shared import by_bytes, need, read, stash, text_of
 
 #: Words in a window; an item of fewer words is one window.
 WINDOW = 10
 #: Bytes of item text in one block. A block's windows are broadcast; more items make more blocks, not larger ones.
 BLOCK_BYTES = 8 << 20
 
+#: Text bytes that are brought into Python at once.
+TEXT_BYTES = 8 << 20
+
 #: Lower-cases A-Z and turns every byte that is no ASCII digit, ASCII letter or part of a non-ASCII character into a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -85,7 +87,7 @@ def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
     """Items in blocks of bounded size, each brought to the driver by itself."""
-    sized = items.select("item_id", "text", F.octet_length("text").alias("n"))
+    sized = items.select("item_id", "text", F.octet_length("text").alias("n")).distinct()
     total = sized.agg(F.sum("n")).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     if n == 1:
@@ -103,7 +105,7 @@ def token_counts(docs: DataFrame, tokens: set[bytes]) -> dict[bytes, int]:
     def count(batches):
         total: Counter = Counter()
         keep = known.value
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 0, TEXT_BYTES)):
             for x in b.column(0).to_pylist():
                 total.update(w for w in words_of(x) if w in keep)
         yield pa.RecordBatch.from_pydict({"w": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
@@ -131,7 +133,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         index = spark.sparkContext.broadcast(WindowIndex([("null" if i is None else i, x) for i, x in block], token_counts(docs, tokens), window))
 
         def find(batches, index=index):
-            for b in batches:
+            for b in (part for whole in batches for part in by_bytes(whole, 2, TEXT_BYTES)):
                 ids, out = b.column(0), ([], [], [])
                 for x in b.column(2).to_pylist():
                     words = words_of(x)
@@ -180,7 +182,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> D
         index = docs.sparkSession.sparkContext.broadcast(WindowIndex([("null" if i is None else i, x) for i, x in block], token_counts(docs, tokens), window))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (part for whole in batches for part in by_bytes(whole, at, TEXT_BYTES)):
                 yield b.filter(pa.array([not index.value.hits(words_of(x or ""))[0] for x in b.column(at).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
@@ -214,18 +216,3 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
-
-
-def by_brute_force(docs: list[tuple[object, str | None]], items: list[tuple[object, str | None]], window: int = WINDOW) -> list[tuple]:
-    """The contract's columns, each document against each window: the check for small tables."""
-    out = []
-    for i, text in docs:
-        words, marked, owners = words_of(text or ""), set(), set()
-        for item, it in items:
-            for w in windows_of(words_of(it or ""), window):
-                for s in range(len(words) - len(w) + 1):
-                    if tuple(words[s : s + len(w)]) == w:
-                        marked.update(range(s, s + len(w)))
-                        owners.add(str(item))
-        out.append((i, len(words), len(marked), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), bool(marked)))
-    return out

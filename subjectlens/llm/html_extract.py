@@ -297,7 +297,8 @@ def extract(sources: list[str], trees: Trees) -> list[str]:
 def main_texts(pages: DataFrame) -> DataFrame:
     """Per row of pages(page_id, url, html): page_id, url, text (empty if there is none) and n_chars (its code points).
 
-    Null html counts as empty; rows that repeat an id are read one by one; an empty table gives an empty result.
+    Null html counts as empty; rows that repeat an id are read one by one; an empty table gives an empty result; further
+    columns are ignored. The text of elements nested deeper than html_dom.DEEPEST is read as the text of that depth.
     """
     pages = need(pages, "page_id", "url", "html")
     trees = pages.sparkSession.sparkContext.broadcast(trained_trees())

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjectlens.llm.components import components
-from subjectlens.llm.shared import need, read, stash, text_of
+from subjectlens.llm.shared import by_bytes, need, read, salted_join, stash, text_of
+from subjectlens.operators.graph import components
 
 SEED = 42
 #: Words in a shingle of op9.
@@ -21,9 +21,8 @@ SHINGLE = 4
 RADIUS = 4
 #: Reference fingerprints of the distance table.
 N_PIVOTS = 16
-#: 64 bits in six blocks: up to four differing bits leave two blocks or more untouched.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-KEYS = tuple(itertools.combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
+#: Text bytes that are brought into Python at once.
+TEXT_BYTES = 8 << 20
 #: A bucket with more fingerprints is cut into pieces of about half so many, and all pairs of pieces are compared.
 HOT_BUCKET = 1024
 
@@ -49,7 +48,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row; fp is the unsigned fingerprint's bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 1, TEXT_BYTES)):
             fp = np.array([fingerprint(x, shingle) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
@@ -149,27 +148,47 @@ def small_bucket_links(key: np.ndarray, fp: np.ndarray, reference: np.ndarray, r
     return np.concatenate(out, 1) if out else np.empty((2, 0), np.uint64)
 
 
-def _block(fp: Column, i: int) -> Column:
-    start, width = BLOCKS[i]
-    return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
-
+def blocks_of(n: int, radius: int = RADIUS) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """Blocks (start, width) of the 64 bits, and the groups of blocks that make keys, for n fingerprints.
 
-def bucket_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp): each fingerprint under every pair of its blocks."""
+    Of radius + k blocks, k or more are untouched by radius differing bits, so every group of k blocks makes a key. k is
+    the smallest number from 2 on whose keys are long enough for n random fingerprints to be about alone in a bucket.
+    """
+    for k in range(2, 64 - radius):
+        number = radius + k
+        width, wider = divmod(64, number)
+        if k * width >= max(1, n).bit_length() - 2 or number >= 16:
+            break
+    sizes = [width + (i < wider) for i in range(number)]
+    starts = list(itertools.accumulate(sizes, initial=0))
+    return list(zip(starts, sizes, strict=False)), list(itertools.combinations(range(number), k))
+
+
+def bucket_keys(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """(key, fp): each fingerprint under every group of its blocks; the key's number is mixed in where it fits, else hashed in."""
+    blocks, groups = blocks_of(n, radius)
     fp = F.col("fp")
-    keys = [F.lit(k << 22).bitwiseOR(F.shiftleft(_block(fp, a), 11)).bitwiseOR(_block(fp, b)).cast("long") for k, (a, b) in enumerate(KEYS)]
+    part = lambda i: F.shiftrightunsigned(fp, blocks[i][0]).bitwiseAND(F.lit((1 << blocks[i][1]) - 1))
+    keys = []
+    for number, group in enumerate(groups):
+        key, bits = F.lit(0).cast("long"), 0
+        for i in group:
+            key, bits = F.shiftleft(key, blocks[i][1]).bitwiseOR(part(i)), bits + blocks[i][1]
+        tagged = F.lit(number << bits).cast("long").bitwiseOR(key) if bits + len(groups).bit_length() < 63 else F.xxhash64(F.lit(number), key)
+        keys.append(tagged.cast("long"))
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): links between distinct fingerprints of fps(fp) that connect all those at most radius bits apart.
 
-    Where two blocks agree two fingerprints meet in a bucket; within a bucket the distances to the reference
+    Where enough blocks agree two fingerprints meet in a bucket; within a bucket the distances to the reference
     fingerprints discard pairs, the rest is verified. Only a spanning forest of each bucket is returned, not its pairs.
-    Buckets above HOT_BUCKET are dealt out as pairs of pieces to many tasks.
+    Buckets above HOT_BUCKET are dealt out as pairs of pieces to many tasks. Keys get longer with the number of
+    fingerprints, so that buckets do not grow with it.
     """
     reference = pivots()
-    keyed = bucket_keys(fps)
+    keyed = bucket_keys(fps, fps.count(), radius)
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_BUCKET)
     hot = stash(hot, "simhash-hot")
     typed = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -231,34 +250,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     docs = need(docs, "doc_id", "text")
     marked = stash(with_fingerprints(docs, shingle), "simhash-marks")
-    first = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-first")
+    first = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "simhash-first")
     links = stash(fingerprint_links(first.select("fp"), radius), "simhash-links")
     roots = components(links)
-    placed = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = placed.join(smallest, "root").select(F.col("fp").alias("f"), "component_id")
-    return marked.join(of_fp, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    of_fp = placed.join(smallest, "root").select("fp", "copies", "component_id")
+    return salted_join(marked, of_fp, ["fp"], ["doc_id"], "copies", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def by_brute_force(docs: list[tuple[int, str | None]], shingle: int = SHINGLE, radius: int = RADIUS) -> list[tuple]:
-    """op9's rows by comparing all pairs: the check for small tables."""
-    fps = []
-    for _, text in docs:
-        words = (text or "").encode().lower().split()
-        grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))] if words else []
-        hashes = [xxhash.xxh64_intdigest(g, SEED) for g in grams]
-        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
-    label = [i for i, _ in docs]
-    changed = True
-    while changed:
-        changed = False
-        for i, j in itertools.combinations(range(len(docs)), 2):
-            if (fps[i] ^ fps[j]).bit_count() <= radius and label[i] != label[j]:
-                label[i] = label[j] = min(label[i], label[j])
-                changed = True
-    return [(docs[i][0], f"{fps[i]:016x}", label[i]) for i in range(len(docs))]

