@@ -142,11 +142,12 @@ class Adam:
         self.rate, self.t = rate, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
 
-    def update(self, p: dict, g: dict) -> None:
+    def update(self, p: dict, g: dict, share: float = 1.0) -> None:
+        """One step; share: how much of a full step it is, for windows of few symbols."""
         self.t += 1
         norm = float(np.sqrt(sum((x**2).sum() for x in g.values())))
         scale = min(1.0, 5.0 / (norm + 1e-9))
-        fix = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        fix = share * self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
             x *= scale
             self.m[k] += 0.1 * (x - self.m[k])
@@ -166,7 +167,7 @@ def train(flat: np.ndarray, layout: Layout, docs: Iterator[np.ndarray], rate: fl
     x = np.full((STEPS + 1, LANES), -1, np.int32)
     while True:
         x[0], x[1:] = x[-1], -2
-        for k in range(LANES):
+        for k in range(len(left)):
             at = 1
             while at <= STEPS:
                 if not len(left[k]):
@@ -176,7 +177,10 @@ def train(flat: np.ndarray, layout: Layout, docs: Iterator[np.ndarray], rate: fl
                 part, left[k] = left[k][: STEPS + 1 - at], left[k][STEPS + 1 - at :]
                 x[at : at + len(part), k] = part
                 at += len(part)
-        n, h = _train_window(p, layout, x, h, best)
+        active = (x[1:] >= 0).any(0)  # no document is left for the other lanes
+        if not active.all():
+            x, h, left = x[:, active], h[active], [part for part, on in zip(left, active, strict=True) if on]
+        n, h = _train_window(p, layout, x, h, best) if len(left) else (0, h)
         if not n:
             return pack(p), seen
         seen += n
@@ -232,7 +236,7 @@ def _train_window(p: dict, layout: Layout, x: np.ndarray, h: np.ndarray, best: A
         g["P"][who[heads]] = np.add.reduceat(flat[order], heads)
     for v in g.values():
         v /= m
-    best.update(p, g)
+    best.update(p, g, min(1.0, 8 * m / (LANES * STEPS)))
     return m, h
 
 

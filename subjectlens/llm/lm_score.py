@@ -278,7 +278,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     weights = trained(table, base)
     rare = table.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.w").alias("w"), F.col("r.m").alias("m"))
     found = rare.join(counts.filter(F.col("s") >= 0).select("w", "c"), "w", "left").groupBy("uid").agg(F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("log"), F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("seen"))
-    out = scored(table, base, weights).join(found, "uid", "left")
+    out = stash(scored(table, base, weights), "lm-scores").join(found, "uid", "left")
     more = F.coalesce("log", F.lit(0.0))
     return out.select(
         "doc_id",

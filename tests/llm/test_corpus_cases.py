@@ -87,7 +87,7 @@ def test_gradients_by_difference():
     caught = {}
 
     class Keep:
-        def update(self, _, g):
+        def update(self, _, g, share):
             caught.update({k: v.copy() for k, v in g.items()})
 
     def loss(q):
