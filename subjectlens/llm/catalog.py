@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from subjectlens.llm import chat_tree, decontaminate, exact_dedup, html_extract, lm_score, mixing, simhash, token_files, toxicity, warc
+from subjectlens.llm import chat_tree, decontaminate, divergence, exact_dedup, html_extract, lm_score, mixing, periodic_runs, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_chat_tree": chat_tree.op8_chat_tree,
     "op9_simhash": simhash.op9_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 
 SQL = {
@@ -22,4 +24,5 @@ SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op8_chat_tree": chat_tree.OP8_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
