@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from subjectlens.llm import chat_tree, decontaminate, divergence, exact_dedup, html_extract, lm_score, mixing, periodic_runs, simhash, token_files, toxicity, warc
+from subjectlens.llm import best_fit, chat_tree, decontaminate, divergence, exact_dedup, html_extract, lm_score, mixing, periodic_runs, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_best_fit_packing": best_fit.op13_best_fit_packing,
 }
 
 SQL = {
