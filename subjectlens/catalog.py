@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from subjectlens.plans import answers, files, inference, knowledge, parsing, registry, requests, search, text  # noqa: F401  the modules register their queries
+from subjectlens.plans import answers, files, inference, knowledge, lateral, parsing, registry, requests, search, text  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict:

@@ -61,9 +61,14 @@ def _schema(value) -> dict:
     return {"type": kind}
 
 
+def rows_of_json(text: str | None) -> list[list[tuple[str, str | None]]] | None:
+    """D19 for one text: rows of (name, value); None if it isn't JSON."""
+    return None if (v := _parsed(text)) is None else [[(k, _shown(x)) for k, x in r.items()] for r in _rows(v)[:MOST_ROWS]]
+
+
 @F.pandas_udf(ArrayType(ArrayType(StructType().add("name", StringType()).add("value", StringType()))))
 def _json_fields(text: pd.Series) -> pd.Series:
-    return pd.Series([None if (v := _parsed(t)) is None else [[{"name": k, "value": _shown(x)} for k, x in r.items()] for r in _rows(v)[:MOST_ROWS]] for t in text])
+    return pd.Series([None if (rows := rows_of_json(t)) is None else [[{"name": k, "value": x} for k, x in r] for r in rows] for t in text])
 
 
 @F.pandas_udf(StringType())

@@ -170,15 +170,16 @@ def sentence_chunks(docs: DataFrame, size: int = 500, overlap: int = 50, most: i
     return _spans(docs, lambda text: sentence_spans(text, size, overlap, most))
 
 
-def line_chunks(docs: DataFrame, most: int = 3000) -> DataFrame:
-    """Lines packed into chunks of at most `most` characters."""
+def line_spans(text: str, most: int) -> list[tuple[int, int]]:
+    """T08 for one text."""
+    ends = list(itertools.accumulate(len(x) + 1 for x in text.split("\n")))
+    starts = [0, *ends]
+    return [(starts[a], ends[b - 1] - 1) for a, b in packed_lines([e - s - 1 for s, e in zip(starts, ends, strict=False)], most)]
 
-    def cut(text: str) -> list[tuple[int, int]]:
-        ends = list(itertools.accumulate(len(x) + 1 for x in text.split("\n")))
-        starts = [0, *ends]
-        return [(starts[a], ends[b - 1] - 1) for a, b in packed_lines([e - s - 1 for s, e in zip(starts, ends, strict=False)], most)]
 
-    return _spans(docs, cut)
+def line_chunks(docs: DataFrame, most: int = 3000) -> DataFrame:
+    """Lines packed into chunks of at most `most` characters."""
+    return _spans(docs, lambda text: line_spans(text, most))
 
 
 def token_chunks(docs: DataFrame, tokens: int = 400, overlap: int = 40, count: Callable[[Column], Column] | None = None) -> DataFrame:

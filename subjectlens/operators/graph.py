@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subjectlens.functions.text import short_predicate
+from subjectlens.operators.relational import batched
 from subjectlens.operators.tables import written
 
 
@@ -97,21 +98,47 @@ def similar_names(names: DataFrame, existing: DataFrame, least: float = 0.8) ->
     return pairs.join(known.union(known.select("o", "s")).distinct(), ["s", "o"], "left_anti")
 
 
+#: Links of a node that one piece of it holds, about; a node with more is dealt out in pieces.
+HUB_LINKS = 10_000
+
+
+def _reached(links: DataFrame, hubs: DataFrame, ends: DataFrame, depth: int, key: str, forward: bool) -> DataFrame:
+    """(key, at, hops, path): the nodes up to `depth` hops from ends(node), each at its first hop with the smallest path.
+
+    Forward paths lead from the end to the node, backward ones from the node to the end.
+    """
+    front = ends.select(F.col("node").alias(key), F.col("node").alias("at"), F.array("node").alias("path")).distinct()
+    seen = front.select(key, "at", F.lit(0).alias("hops"), "path")
+    for hop in range(1, depth + 1):
+        dealt = front.join(hubs, "at", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1)))
+        met = dealt.join(links, (F.col("at") == F.col("x")) & (F.col("piece") == F.col("part")))
+        step = met.select(key, F.col("y").alias("at"), (F.concat("path", F.array("y")) if forward else F.concat(F.array("y"), "path")).alias("path"))
+        front = step.groupBy(key, "at").agg(F.min("path").alias("path")).join(seen.select(key, "at"), [key, "at"], "left_anti")
+        front = written(front, "paths")
+        seen = seen.unionByName(front.withColumn("hops", F.lit(hop)))
+    return seen
+
+
 def paths(triples: DataFrame, starts: DataFrame, goals: DataFrame, most: int = 3) -> DataFrame:
     """(start, goal, hops, path): the first shortest undirected path of at most `most` hops from each start to each goal.
 
-    Level by level: the frontier keeps one path, the smallest, per start and node, and nodes seen before are left out.
+    Searched from both sides: half of the hops from the starts, half from the goals, and where the two meet the hops add
+    up; so with three hops neither side goes further than two. Frontiers keep one path, the smallest, for each end and
+    node. A node with very many links is cut into pieces, and frontiers that reach it are copied to each.
     """
     e = triples.select(F.lower("s").alias("x"), F.lower("o").alias("y"))
-    e = written(e.union(e.select("y", "x")).filter("x <> y").distinct(), "paths")
-    front = starts.select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path"))
-    seen = front.select("start", "at", F.lit(0).alias("hops"), "path")
-    for hop in range(1, most + 1):
-        step = front.join(e, F.col("at") == F.col("x")).select("start", F.col("y").alias("at"), F.concat("path", F.array("y")).alias("path"))
-        front = step.groupBy("start", "at").agg(F.min("path").alias("path")).join(seen.select("start", "at"), ["start", "at"], "left_anti")
-        front = written(front, "paths")
-        seen = seen.unionByName(front.withColumn("hops", F.lit(hop)))
-    return seen.filter("hops > 0").join(goals.select(F.col("node").alias("at")), "at").select("start", F.col("at").alias("goal"), "hops", "path")
+    e = e.union(e.select("y", "x")).filter("x <> y").distinct()
+    pieces = F.ceil(F.count("*") / HUB_LINKS).cast("int")
+    links = written(e, "paths")
+    hubs = written(links.groupBy(F.col("x").alias("at")).agg(pieces.alias("pieces")).filter("pieces > 1"), "paths")
+    number = hubs.select(F.col("at").alias("hub"), "pieces")
+    part = F.pmod(F.xxhash64("y"), F.coalesce(F.col("pieces"), F.lit(1))).cast("int").alias("part")
+    links = written(links.join(number, F.col("x") == F.col("hub"), "left").select("x", "y", part), "paths")
+    there = _reached(links, hubs, starts, most - most // 2, "start", True).withColumnRenamed("hops", "h1")
+    back = _reached(links, hubs, goals, most // 2, "goal", False).withColumnRenamed("hops", "h2").withColumnRenamed("path", "rest")
+    met = there.join(back, "at").select("start", "goal", (F.col("h1") + F.col("h2")).alias("hops"), F.concat("path", F.slice("rest", 2, F.size("rest"))).alias("path"))
+    best = F.min(F.struct("hops", "path")).alias("x")
+    return met.filter("hops > 0 and start <> goal").groupBy("start", "goal").agg(best).select("start", "goal", "x.hops", "x.path")
 
 
 def chain_edges(found: DataFrame, confidence: float = 0.8) -> DataFrame:
@@ -157,7 +184,7 @@ def eigenvector_centrality(triples: DataFrame, rounds: int = 100, tolerance: flo
 
 
 def label_propagation(triples: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community): each round a node takes the label with the largest total confidence around it, ties to the smaller."""
+    """(node, community), a quicker and coarser way than louvain: each round a node takes the label with the largest total confidence around it, ties to the smaller."""
     e = triples.select(F.lower("s").alias("u"), F.lower("o").alias("v"), "confidence").filter("u <> v")
     e = written(e.union(e.select("v", "u", "confidence")).groupBy("u", "v").agg(F.sum("confidence").alias("w")), "labels")
     label = e.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node"))
@@ -177,55 +204,9 @@ CENTRALITY_WEIGHTS = (0.4, 0.4, 0.2)
 # ---- end of fixed values
 
 
-def betweenness_centrality(triples: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node, centrality): the share of shortest paths between other nodes that run through a node, undirected.
-
-    Breadth-first levels from all nodes at once, each with its number of shortest paths, then the levels back: what a
-    node passes on is its share of the paths of the nodes after it. Every step is a join and a sum over (source, node)
-    pairs, so the work is spread over all pairs; no graph is gathered anywhere.
-    """
-    e = triples.select(F.lower("s").alias("u"), F.lower("o").alias("v"))
-    nodes = written(e.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "between")
-    e = e.filter("u <> v")
-    both = written(e.union(e.select("v", "u")).distinct(), "between")
-    levels = [written(nodes.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")), "between")]
-    seen = levels[0].select("source", "node")
-    for _ in range(rounds):
-        step = levels[-1].join(both, F.col("node") == F.col("u")).groupBy("source", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = written(step.join(seen, ["source", "node"], "left_anti"), "between")
-        if front.isEmpty():
-            break
-        levels.append(front)
-        seen = seen.unionByName(front.select("source", "node"))
-    passed = None
-    total = None
-    for depth in range(len(levels) - 1, 0, -1):
-        front = levels[depth]
-        own = front.withColumn("part", F.lit(0.0)) if passed is None else front.join(passed, ["source", "node"], "left").withColumn("part", F.coalesce("got", F.lit(0.0)))
-        own = written(own.select("source", "node", "paths", "part"), "between")
-        total = own.select("node", "part") if total is None else total.unionByName(own.select("node", "part"))
-        before = levels[depth - 1].select(F.col("source").alias("from"), F.col("node").alias("near"), F.col("paths").alias("less"))
-        back = own.join(both, F.col("node") == F.col("v")).join(before, (F.col("source") == F.col("from")) & (F.col("u") == F.col("near")))
-        passed = back.groupBy("source", F.col("u").alias("node")).agg(F.sum(F.col("less") / F.col("paths") * (1 + F.col("part"))).alias("got"))
-    n = nodes.count()
-    found = total.groupBy("node").agg(F.sum("part").alias("part")) if total is not None else nodes.limit(0).withColumn("part", F.lit(0.0))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return nodes.join(found, "node", "left").select("node", (F.coalesce("part", F.lit(0.0)) * scale).alias("centrality"))
-
-
-def combined_centrality(triples: DataFrame) -> DataFrame:
-    """(node, centrality) from degree, betweenness and eigenvector centrality."""
-    parts = degree_centrality(triples), betweenness_centrality(triples), eigenvector_centrality(triples)
-    out = parts[1].select("node", F.col("centrality").alias("c1"))
-    for k in (0, 2):
-        out = out.join(parts[k].select("node", F.col("centrality").alias(f"c{k}")), "node", "left")
-    weighted = sum((w * F.coalesce(f"c{k}", F.lit(0.0)) for k, w in enumerate(CENTRALITY_WEIGHTS)), F.lit(0.0))
-    return out.select("node", weighted.alias("centrality"))
-
-
 def colored(members: DataFrame) -> DataFrame:
     """members(node, community) with a color by the community's place in the order of communities."""
-    number = members.select("community").distinct().withColumn("number", F.dense_rank().over(W.orderBy("community")) - 1)
+    number = batched(members.select("community").distinct(), 1, F.col("community")).withColumnRenamed("batch", "number")
     color = F.element_at(F.array(*map(F.lit, COMMUNITY_COLORS)), (F.col("number") % len(COMMUNITY_COLORS) + 1).cast("int"))
     return members.join(number, "community").select("node", "community", color.alias("color"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from subjectlens.functions.text import label_of, risk_level, without_first
 from subjectlens.functions.values import merged_map
+from subjectlens.operators.patterns import best_in_texts, best_of_patterns, held_pairs
+from subjectlens.operators.tables import written
 
 
 def _aside(delta: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -194,46 +196,42 @@ def root_of(company: Column) -> Column:
     return F.substring_index(F.substring_index(without_first(host, "www."), "/", 1), ".", 1)
 
 
-def substrings(text: Column, least: int, most: Column) -> Column:
-    """All distinct substrings of at least `least` and at most `most` characters."""
-    cut = lambda i: F.transform(F.sequence(F.lit(least), F.greatest(F.lit(least), F.least(most, F.length(text) - i + 1))), lambda n: F.substring(text, i, n))
-    found = F.flatten(F.transform(F.sequence(F.lit(1), F.length(text) - least + 1), cut))
-    return F.when(F.length(text) >= least, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
-
-
 def matched_mail(mail: DataFrame, requests: DataFrame, least: int = 3) -> DataFrame:
     """(mail_id, request_id) of mail(id, sender) and requests(id, company, created_at).
 
     A sender's domain matches if it holds the company's root (at least three characters), or the root holds the
-    domain's first label, which an empty domain always does; of several requests the newest counts. Substrings make
-    this an equi join: those of the distinct domains meet the roots, those of the distinct roots meet the labels.
+    domain's first label, which an empty domain always does; of several requests the newest counts, then the smallest id.
+    Automata look for all roots in the distinct domains, and for all labels in the distinct roots; tasks keep the newest
+    request of each, so long addresses and short labels make no more rows.
     """
     domain = F.coalesce(F.substring_index(F.get(F.split("sender", "@"), F.lit(1)), ">", 1), F.lit(""))
     sent = mail.select("id", domain.alias("domain"))
-    domains = sent.select("domain", F.lower("domain").alias("low"), F.substring_index("domain", ".", 1).alias("label")).distinct()
-    newest = F.max_by(F.struct("created_at", (-F.col("id")).alias("back")), F.struct("created_at", (-F.col("id")).alias("back"))).alias("best")
-    roots = requests.select(root_of(F.col("company")).alias("root"), "id", "created_at").filter(F.length("root") >= least).groupBy("root").agg(newest)
-    longest = F.broadcast(roots.agg(F.max(F.length("root")).alias("longest")))  # one row
-    parts = domains.join(longest).select("domain", F.explode(substrings(F.col("low"), least, F.coalesce("longest", F.lit(least)))).alias("root"))
-    held = parts.join(roots, "root").select("domain", "best")
-    inner = roots.select("best", F.explode(substrings(F.col("root"), 1, F.length("root"))).alias("label"))
-    holding = domains.filter("label <> ''").select("domain", "label").join(inner, "label").select("domain", "best")
-    first = roots.agg(F.max("best").alias("best"))
-    empty = domains.filter("label = ''").select("domain").join(F.broadcast(first)).filter("best is not null").select("domain", "best")
-    best = held.unionByName(holding).unionByName(empty).groupBy("domain").agg(F.max("best").alias("best"))
-    return sent.join(best, "domain").select(F.col("id").alias("mail_id"), (-F.col("best.back")).alias("request_id"))
+    domains = written(sent.select("domain", F.lower("domain").alias("low"), F.substring_index("domain", ".", 1).alias("label")).distinct(), "mail")
+    at, back = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 62))), -F.col("id").cast("long")
+    ranked = requests.select(root_of(F.col("company")).alias("root"), at.alias("a"), back.alias("b")).filter(F.length("root") >= least)
+    roots = written(ranked.groupBy("root").agg(F.max(F.struct("a", "b")).alias("x")).select("root", "x.a", "x.b"), "mail")
+    held = best_in_texts(domains.select(F.col("low").alias("text")), roots.withColumnRenamed("root", "pattern"))
+    holding = best_of_patterns(roots.withColumnRenamed("root", "text"), domains.select(F.col("label").alias("pattern")))
+    newest = roots.agg(F.max(F.struct("a", "b")).alias("x")).filter("x is not null").select("x.a", "x.b")
+    every = (
+        domains.join(held, F.col("low") == F.col("text")).select("domain", "a", "b")
+        .unionByName(domains.join(holding, F.col("label") == F.col("pattern")).select("domain", "a", "b"))
+        .unionByName(domains.filter("label = ''").select("domain").join(F.broadcast(newest)))  # one row
+    )
+    best = every.groupBy("domain").agg(F.max(F.struct("a", "b")).alias("x"))
+    return sent.join(best, "domain").select(F.col("id").alias("mail_id"), (-F.col("x.b")).alias("request_id"))
 
 
 def with_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """requests(id, company_url) left joined to policies(domain, url, summary): one row for each policy of the domain or whose
     address holds the company's.
 
-    Addresses meet companies under their substrings, so this is an equi join; a policy that fits both ways counts once.
+    Automata look for all companies in the distinct addresses, so work follows the lengths of the addresses and the
+    matches; a policy that fits both ways counts once.
     """
-    companies = requests.select("company_url").filter("company_url <> ''").distinct()
-    ends = F.broadcast(companies.agg(F.min(F.length("company_url")).alias("low"), F.max(F.length("company_url")).alias("high")))  # one row
-    sized = policies.withColumn("__row", F.xxhash64("domain", "url", "summary")).join(ends)
-    parts = F.filter(substrings(F.col("url"), 1, F.coalesce("high", F.lit(0))), lambda x: F.length(x) >= F.col("low"))
-    keys = F.explode(F.array_distinct(F.concat(parts, F.array("domain")))).alias("company_url")
-    fits = sized.select("url", "domain", "summary", "__row", keys)
-    return requests.join(fits, "company_url", "left").select("id", "company_url", F.col("url").alias("policy_url"), "summary")
+    pairs = held_pairs(policies.select(F.col("url").alias("text")), requests.select(F.col("company_url").alias("pattern")))
+    rows = policies.select("url", "domain", "summary")
+    holds = rows.join(pairs.select(F.col("text").alias("url"), F.col("pattern").alias("company_url")), "url").select("url", "summary", "company_url")
+    inside = F.coalesce((F.col("domain") != "") & F.contains("url", "domain"), F.lit(False))
+    same = rows.filter(F.col("domain").isNotNull() & ~inside).select("url", "summary", F.col("domain").alias("company_url"))
+    return requests.join(holds.unionByName(same), "company_url", "left").select("id", "company_url", F.col("url").alias("policy_url"), "summary")

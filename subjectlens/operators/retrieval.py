@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,43 +23,6 @@ def vector_search(vectors: DataFrame, query: list[float], k: int = 10, least: fl
     return (out if least is None else out.filter(F.col("score") >= least)).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def nearest_of_each(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 256) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k vectors nearest to each query by cosine, ties by vec_id.
-
-    Queries(vec_id, embedding) are broadcast in blocks of fixed size; each batch of vectors keeps k rows of each query.
-    Null and zero vectors have no cosine and are left out. Scores are compared at nine digits.
-    """
-    schema = "query long, query_id long, vec_id long, score double"
-    ids = F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
-    spark, parts = vectors.sparkSession, vectors.sparkSession.createDataFrame([], schema)
-
-    def matrix(column: list) -> tuple[np.ndarray, np.ndarray]:
-        norms = np.array([np.linalg.norm(x) if x is not None and None not in x else 0.0 for x in column])
-        kept = np.flatnonzero(norms > 0)
-        return kept, np.array([column[i] for i in kept]) / norms[kept, None] if len(kept) else np.empty((0, 0))
-
-    rows, first = queries.select(*ids).toLocalIterator(), 0
-    while held := list(itertools.islice(rows, block)):
-        kept, q = matrix([r.embedding for r in held])
-        now = spark.sparkContext.broadcast((np.array([held[i].vec_id for i in kept], np.int64), q, first))
-
-        def run(batches, now=now):
-            names, q, start = now.value
-            for b in batches:
-                at, v = matrix(b.column(1).to_pylist())
-                if not len(at) or not len(names):
-                    continue
-                score, vec = np.round(q @ v.T, 9), b.column(0).to_numpy(zero_copy_only=False)[at]
-                best = np.stack([np.lexsort((vec, -s))[:k] for s in score])
-                n = best.shape[1]
-                columns = np.repeat(np.arange(len(names)) + start, n), np.repeat(names, n), vec[best.ravel()], np.take_along_axis(score, best, 1).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "query_id", "vec_id", "score"])
-
-        parts, first = parts.unionByName(vectors.filter("vec_id is not null").select(*ids).mapInArrow(run, schema)), first + len(held)
-    number = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    return parts.withColumn("rank", number).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
 def keyword_hit(words: list[str], columns: list[str]) -> Column:
     """Whether every word is in some of the columns, whatever its case."""
     hit = F.lit(True)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from subjectlens.functions import text as X
 from subjectlens.operators import merge as M
 from subjectlens.operators import retrieval, validation
+from subjectlens.operators import vector_cells as C
 from subjectlens.operators.tables import fresh_path
 from subjectlens.plans.cases import companies, edges, files, messages, requests
 from subjectlens.plans.registry import query
-from subjectlens.streaming import incremental
+from subjectlens.streaming import incremental, threads
 
 # ---------------------------------------------------------------- votes
 
@@ -71,25 +72,35 @@ def v05_item_status(t):
 # ---------------------------------------------------------------- retrieval
 
 
-@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
-  CAST(e AS DOUBLE[])) AS score FROM embeddings, q)
-SELECT vec_id, label, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 10""")
+_NEAREST_SQL = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL
+  AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+q AS (SELECT row_number() OVER () AS r, vec_id AS query_id, e FROM v WHERE vec_id % 100 = 0), s AS (SELECT r, query_id, v.vec_id, label, round(list_cosine_similarity(v.e,
+  q.e), 9) AS score FROM v, q)"""
+
+
+def _asked(t):
+    """The query vectors: every one whose id is divisible by 100."""
+    return t.embeddings.filter("vec_id % 100 = 0")
+
+
+@query(f"""WITH {_NEAREST_SQL} SELECT query_id, vec_id, label, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY r ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+FROM s QUALIFY rank <= 10""")
 def r01_vector_search(t):
-    """The ten nearest to one vector, which is a query's parameter."""
-    one = t.embeddings.filter("vec_id = 0").first()
-    found = t.embeddings.limit(0) if one is None else t.embeddings
-    return retrieval.vector_search(found, one["embedding"] if one else [0.0], 10).select("vec_id", "label", F.round("score", 6).alias("score"))
+    """The ten nearest to each query vector, with their labels and ranks."""
+    found = C.nearest_of_each(_asked(t), t.embeddings, 10).join(t.embeddings.select("vec_id", "label"), "vec_id")
+    return found.select("query_id", "vec_id", "label", F.round("score", 6).alias("score"), "rank")
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL
-  AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
-q AS (SELECT row_number() OVER () AS r, vec_id AS query_id, e FROM v WHERE vec_id % 100 = 0), s AS (SELECT r, query_id, v.vec_id, round(list_cosine_similarity(v.e,
-  q.e), 9) AS score FROM v, q)
-SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY s.score DESC, s.vec_id) <= 10""")
+@query(f"WITH {_NEAREST_SQL} SELECT query_id, vec_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY s.score DESC, s.vec_id) <= 10")
 def r02_vector_searches(t):
     """The ten nearest to every vector whose id is divisible by 100."""
-    found = retrieval.nearest_of_each(t.embeddings.filter("vec_id % 100 = 0"), t.embeddings, 10)
-    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return C.nearest_of_each(_asked(t), t.embeddings, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_NEAREST_SQL} SELECT query_id, vec_id, round(score, 6) AS score FROM s WHERE s.score >= 0.5 QUALIFY row_number() OVER (PARTITION BY r ORDER BY s.score DESC, s.vec_id) <= 8")
+def p15_vector_threshold(t):
+    """The hits of each query vector from a score on."""
+    return C.nearest_of_each(_asked(t), t.embeddings, 8, 0.5).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 _RESULTS_SQL = """results AS (SELECT 'nation ' || n_name AS content, 0.8::DOUBLE AS score, n_nationkey AS seq, 'graph' AS source FROM nation UNION ALL SELECT 'nation ' || n_name, 0.5::DOUBLE, 1000 + n_nationkey, 'vector' FROM nation
@@ -217,12 +228,12 @@ def st8_streamed_timeline(t):
 
 @query("SELECT request_id AS thread, arg_max(sender, (ts, id)) AS status, count(*) AS n FROM messages GROUP BY 1")
 def st9_streamed_threads(t):
-    """ST9: thread states kept up to date by a stream; each batch of events changes the states of its threads."""
+    """ST9: thread states kept by key while events stream in; each batch reads and writes its own threads only."""
     base = fresh_path(t.spark, "threads")
     stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
     events = stream.select(F.col("user_id").alias("thread"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("action"))
-    incremental.run_available(events, f"{base}-state", incremental.keep_states(t.spark, base))
-    return incremental.latest_states(t.spark, base).select("thread", "status", "n")
+    threads.keep_threads(events, f"{base}-state", base)
+    return threads.threads_now(t.spark.read.parquet(base)).select(F.col("thread").cast(t.events.schema["user_id"].dataType).alias("thread"), "status", "n")
 
 
 @query("""WITH l AS (SELECT lower(s) AS src, lower(o) AS dst FROM edges), a AS (SELECT DISTINCT lower(s_name) AS url FROM supplier), b AS (SELECT DISTINCT dst AS url

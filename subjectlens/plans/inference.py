@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from subjectlens.functions import replies as P
 from subjectlens.functions import text as X
+from subjectlens.operators import betweenness as B
+from subjectlens.operators import communities as L
 from subjectlens.operators import graph as G
 from subjectlens.operators import merge as M
 from subjectlens.operators import relational as R
@@ -127,24 +129,24 @@ def g14_probes(t):
     return G.probes(source, target, ["USES", "SELLS", "KEEPS", "MORE"]).select("pair", "source", "relation", "target", label.alias("veracity"), factual.alias("factual"), counter.alias("counterfactual"))
 
 
-def _small(t):
-    """Nations in regions and a ring of the nations: small enough for all shortest paths."""
-    ring = t.nation.select(F.col("n_name").alias("s"), F.lit("NEXT").alias("p"), F.concat(F.lit("NATION_"), (F.col("n_nationkey") + 1) % 25).alias("o"), F.lit(1.0).alias("confidence"), F.col("n_nationkey").cast("long").alias("seq"))
-    return edges(t).filter("p = 'PART_OF'").unionByName(ring)
-
-
-@query()
+#: On a forest a path is the only one between its ends, so all paths can be written out.
+@query("""
+WITH RECURSIVE b AS (SELECT lower(s) AS u, lower(o) AS v FROM edges WHERE lower(s) <> lower(o) UNION SELECT lower(o), lower(s) FROM edges WHERE lower(s) <> lower(o)),
+p AS (SELECT u AS x, [u] AS path FROM (SELECT DISTINCT u FROM b) UNION ALL SELECT b.v, list_append(path, b.v) FROM p JOIN b ON b.u = p.x WHERE NOT list_contains(path, b.v)),
+ends AS (SELECT path[1] AS a, path[-1] AS z, path FROM p WHERE len(path) > 2), short AS (SELECT * FROM ends QUALIFY len(path) = min(len(path)) OVER (PARTITION BY a, z)),
+part AS (SELECT unnest(path[2:-2]) AS node, 1.0 / count(*) OVER (PARTITION BY a, z) AS w FROM short), n AS (SELECT DISTINCT u AS node FROM b), t AS (SELECT count(*) AS n FROM n)
+SELECT n.node, round(coalesce((SELECT sum(w) FROM part WHERE part.node = n.node), 0) / ((t.n - 1) * (t.n - 2)), 8)::DOUBLE AS centrality FROM n, t""")
 def g19_betweenness(t):
-    """Tested against a plain count of shortest paths."""
-    return G.betweenness_centrality(_small(t)).withColumn("centrality", F.round("centrality", 8))
+    """Betweenness of all nodes."""
+    return B.betweenness_centrality(edges(t)).withColumn("centrality", F.round("centrality", 8))
 
 
 @query()
 def g21_weighted_nodes(t):
     """Combined centrality, sizes and colors of communities."""
-    small = _small(t)
-    sizes = G.node_sizes(G.combined_centrality(small).withColumn("centrality", F.round("centrality", 6)), "centrality")
-    return sizes.join(G.colored(G.label_propagation(small)), "node", "left").select("node", "centrality", "size", "community", "color")
+    e = edges(t)
+    sizes = G.node_sizes(B.combined_centrality(e).withColumn("centrality", F.round("centrality", 6)), "centrality")
+    return sizes.join(G.colored(L.louvain(e)), "node", "left").select("node", "centrality", "size", "community", "color")
 
 
 # ---------------------------------------------------------------- decisions

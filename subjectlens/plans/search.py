@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from subjectlens.functions.text import topic_articles
-from subjectlens.operators import chunking, retrieval
+from subjectlens.operators import chunking, retrieval, trigrams
 from subjectlens.operators import relational as R
 from subjectlens.plans.cases import companies, edges, files
 from subjectlens.plans.registry import query
@@ -115,17 +115,6 @@ def j14_company_relations(t):
     return R.top(rows, 20, F.col("s_suppkey")).select(F.col("n_name").alias("company"), F.lit("HELD_BY").alias("relationship"), F.col("s_name").alias("data"))
 
 
-@query("""
-WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
-  CAST(e AS DOUBLE[])) AS score FROM embeddings, q)
-SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0.5 ORDER BY s.score DESC, vec_id LIMIT 8""")
-def p15_vector_threshold(t):
-    """Hits from a score on."""
-    one = t.embeddings.filter("vec_id = 0").first()
-    found = t.embeddings.limit(0) if one is None else t.embeddings
-    return retrieval.vector_search(found, one["embedding"] if one else [0.0], 8, 0.5).select("vec_id", F.round("score", 6).alias("score"))
-
-
 @query("""
 WITH q AS (SELECT p_partkey, ['MATCH (n) RETURN n', 'match (n) set n.x = 1', 'MERGE (a)', 'MATCH (n) RETURN n.settings', ' optional match (x) detach delete x',
   'SHOW x'][1 + p_partkey % 6] AS q, CASE WHEN p_partkey % 4 = 0 THEN 'write' ELSE 'read' END AS mode FROM part)
@@ -299,3 +288,36 @@ def r15_gap_triples(t):
     grid = t.nation.select(F.col("n_nationkey").alias("gap_id"), F.col("n_name").alias("s"), F.explode(F.array(*map(F.lit, range(5)))).alias("place"))
     replies = grid.select("gap_id", "place", "s", F.when(F.col("place") != 1, "shares with").alias("p"), F.concat(F.lit("o"), "place").alias("o"), F.when(F.col("place") == 0, 0.9).alias("confidence"))
     return retrieval.gap_triples(gaps, replies)
+
+
+# ---------------------------------------------------------------- search by index
+
+
+@query("""
+WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), q AS (SELECT DISTINCT substr(text, 11, 8) AS needle FROM d WHERE doc_id % 100 = 0 UNION
+  SELECT DISTINCT substr(text, 1, 2) FROM d WHERE doc_id % 100 = 0)
+SELECT needle, doc_id FROM q JOIN d ON needle <> '' AND contains(lower(text), lower(needle))""")
+def p06_indexed_search(t):
+    """All documents that hold a piece of one of the query documents, eight letters of it and its first two."""
+    rows = t.documents.select(F.col("doc_id").alias("id"), "text")
+    asked = rows.filter("id % 100 = 0 and text is not null")
+    needles = asked.select(F.substring("text", 11, 8).alias("needle")).union(asked.select(F.substring("text", 1, 2)))
+    return trigrams.TrigramIndex(rows).search(needles).select("needle", F.col("id").alias("doc_id"))
+
+
+@query("""
+WITH n AS (SELECT s_suppkey AS id, s_name || chr(10) || n_name AS hay FROM supplier JOIN nation ON s_nationkey = n_nationkey), q AS (SELECT n_name AS w FROM nation UNION
+  SELECT right(s_name, 3) FROM supplier)
+SELECT w AS needle, id FROM q JOIN n ON contains(lower(hay), lower(w))""")
+def p05_indexed_properties(t):
+    """Nodes with a property that holds a word, for all names of nations and all ends of suppliers' names at once."""
+    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), F.concat_ws("\n", "s_name", "n_name").alias("text"))
+    needles = t.nation.select(F.col("n_name").alias("needle")).union(t.supplier.select(F.right("s_name", F.lit(3))))
+    return trigrams.TrigramIndex(rows).search(needles)
+
+
+@query("""SELECT doc_id FROM documents WHERE contains(lower(text), 'tion') AND contains(lower(text), 'al') AND contains(lower(text), 'ere')""")
+def r07_indexed_words(t):
+    """Documents whose text holds every word of a question, by the rarest pieces of the words."""
+    index = trigrams.TrigramIndex(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    return index.holding(["Tion", "al", "ere"]).select(F.col("id").alias("doc_id"))

@@ -360,8 +360,32 @@ def t03_sentences(t):
     return t.documents.select("doc_id", F.size(s).alias("n"), F.sha2(F.array_join(s, "|"), 256).alias("digest"))
 
 
-@query()
+#: A sentence ends at . ! or ? before white space and A-Z. From chunk to chunk: c has the words before each sentence, i and j are a chunk's ends.
+SENTENCE_CHUNKS_SQL = """
+WITH RECURSIVE q AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])(\\s+)([A-Z])', '\\1\x01\\2\x02\\3', 'g'), '\x01') AS p FROM documents WHERE text <> ''),
+u AS (SELECT doc_id, text, unnest(p) AS x, generate_subscripts(p, 1) AS i, len(p) AS m FROM q),
+w AS (SELECT *, substr(x, instr(x, '\x02') + 1) AS s, CAST(sum(len(x) - CAST(instr(x, '\x02') > 0 AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM u),
+v AS (SELECT *, len(regexp_extract_all(s, '\\S+')) AS n, CAST(sum(len(regexp_extract_all(s, '\\S+'))) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS total FROM w WHERE m > 2),
+d AS (SELECT doc_id, any_value(text) AS text, any_value(m) AS m, list(stop - len(s) ORDER BY i) AS a, list(stop ORDER BY i) AS e, list(n ORDER BY i) AS n,
+  list_prepend(0, list(total ORDER BY i)) AS c FROM v GROUP BY doc_id),
+r AS (
+  SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS i, len([t FOR t IN range(0, m) IF c[t + 1] < 120 AND (t = 0 OR c[t + 2] <= 200)])::BIGINT AS j FROM d
+  UNION ALL
+  SELECT doc_id, k + 1, i, i + len([t FOR t IN range(i, m) IF c[t + 1] - c[i + 1] < 120 AND (t = i OR c[t + 2] - c[i + 1] <= 200)]) FROM (
+    SELECT doc_id, k, m, c, greatest(i + 1, [t FOR t IN range(0, j + 1) IF c[j + 1] - c[t + 1] <= 20][1],
+      [t FOR t IN range(0, j + 1) IF t = j OR c[j + 1] - c[t + 1] + n[j + 1] <= 200][1]) AS i FROM r JOIN d USING (doc_id) WHERE j < m)
+), few AS (SELECT doc_id, text, regexp_extract_all(text, '\\s*\\S+') AS w FROM q WHERE len(p) <= 2), f AS (SELECT *, len(w) AS n FROM few WHERE len(w) > 0),
+g AS (SELECT *, unnest(CASE WHEN n <= 120 THEN [0] ELSE CAST(range(0, CAST(ceil((n - 120) / 100) AS INT) + 1) AS INT[]) END) AS k FROM f),
+h AS (SELECT doc_id, text, k, CASE WHEN n <= 120 THEN 0 ELSE len(array_to_string(w[1:k * 100], '')) + len(regexp_extract(w[k * 100 + 1], '^\\s*')) END AS a, CASE
+  WHEN n <= 120 THEN len(text) ELSE len(array_to_string(w[1:least(k * 100 + 120, n)], '')) END AS b FROM g),
+every AS (SELECT doc_id, text, k, a[i + 1] AS a, e[j] AS b FROM r JOIN d USING (doc_id) UNION ALL SELECT doc_id, text, k, a, b FROM h)
+SELECT doc_id, CAST(k AS INT) AS chunk_index, CAST(a AS INT) AS start_offset, CAST(b AS INT) AS end_offset, substr(text, a + 1, b - a) AS text,
+  CAST(len(regexp_extract_all(substr(text, a + 1, b - a), '\\S+')) AS INT) AS word_count FROM every"""
+
+
+@query(SENTENCE_CHUNKS_SQL)
 def t04_sentence_chunks(t):
+    """Sentences packed into chunks of about 120 words."""
     return chunking.sentence_chunks(t.documents, 120, 20, 200)
 
 
@@ -370,8 +394,23 @@ def t05_token_chunks(t):
     return chunking.token_chunks(t.documents, 200, 20)
 
 
-@query()
+#: p has the characters up to the end of each line with its break; a chunk begins with line i.
+LINE_CHUNKS_SQL = """
+WITH RECURSIVE u AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text <> ''),
+v AS (SELECT doc_id, text, i, CAST(sum(len(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS total FROM u),
+d AS (SELECT doc_id, any_value(text) AS text, list_prepend(0, list(total ORDER BY i)) AS p, count(*) AS m FROM v GROUP BY doc_id),
+r AS (
+  SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS i, greatest(1, len([t FOR t IN range(0, m) IF p[t + 2] <= 600]))::BIGINT AS j FROM d
+  UNION ALL
+  SELECT doc_id, k + 1, j, greatest(j + 1, j + len([t FOR t IN range(j, m) IF p[t + 2] - p[j + 1] <= 600])) FROM r JOIN d USING (doc_id) WHERE j < m
+), s AS (SELECT doc_id, k, p[i + 1] AS a, p[j + 1] - 1 AS b, text FROM r JOIN d USING (doc_id))
+SELECT doc_id, CAST(k AS INT) AS chunk_index, CAST(a AS INT) AS start_offset, CAST(b AS INT) AS end_offset, substr(text, a + 1, b - a) AS text,
+  CAST(len(regexp_extract_all(substr(text, a + 1, b - a), '\\S+')) AS INT) AS word_count FROM s"""
+
+
+@query(LINE_CHUNKS_SQL)
 def t08_line_chunks(t):
+    """Lines packed into chunks of 600 characters."""
     return chunking.line_chunks(t.documents, 600)
 
 

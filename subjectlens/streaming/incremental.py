@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from subjectlens.functions.values import status_of_class
-from subjectlens.operators.merge import matched_mail, thread_states
+from subjectlens.operators.merge import matched_mail
 from subjectlens.operators.tables import written
 
 
@@ -31,41 +31,12 @@ def daily_timeline(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "n")
 
 
-def merge_states(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """ST9: thread states of all events up to this batch: old states count as one event each."""
-    now = thread_states(batch)
-    if old is None:
-        return now
-    joined = old.select("thread", F.col("status").alias("s0"), F.col("n").alias("n0"), F.col("history").alias("h0")).join(now, "thread", "full_outer")
-    return joined.select("thread", F.coalesce("status", "s0").alias("status"), (F.coalesce("n", F.lit(0)) + F.coalesce("n0", F.lit(0))).cast("long").alias("n"), F.concat_ws(">", "h0", "history").alias("history"))
-
-
 def run_updates(stream: DataFrame, checkpoint: str, key: list[str], path: str) -> None:
     """Writes what each batch changes to path/batch=n; a batch that is run again replaces itself."""
     each = lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
     stream.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(each).start().awaitTermination()
 
 
-def keep_states(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
-    """ST9: a handler of batches that writes all states after batch n to path/version=n, from those of the batch before.
-
-    A batch that is run again starts from the same version and replaces its own.
-    """
-
-    def each(batch: DataFrame, n: int) -> None:
-        old = spark.read.parquet(f"{path}/version={n - 1}") if n else None
-        merge_states(old, batch).write.mode("overwrite").parquet(f"{path}/version={n}")
-
-    return each
-
-
-def latest_states(spark: SparkSession, path: str) -> DataFrame:
-    """The states of the last version."""
-    every = spark.read.parquet(path)
-    last = every.agg(F.max("version").alias("v"))
-    return every.join(F.broadcast(last), F.col("version") == F.col("v")).drop("version", "v")
-
-
 def inbox_updates(mail: DataFrame, requests: DataFrame) -> DataFrame:
     """ST2: (mail_id, request_id, status) of mail(id, sender, label): matched to requests, with the status its class leads to.
 

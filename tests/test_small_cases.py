@@ -30,41 +30,6 @@ def _value(spark, make, *values):
 # ---------------------------------------------------------------- graphs
 
 
-def _between(edges):
-    """Shares of shortest paths by enumeration."""
-    near = {}
-    for a, b in edges:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-    out, n = dict.fromkeys(near, 0.0), len(near)
-    for s in near:
-        far, count, order, todo = {s: 0}, {s: 1.0}, [], deque([s])
-        while todo:
-            v = todo.popleft()
-            order.append(v)
-            for w in near[v]:
-                if w not in far:
-                    far[w], count[w] = far[v] + 1, 0.0
-                    todo.append(w)
-                if far[w] == far[v] + 1:
-                    count[w] += count[v]
-        part = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in near[w]:
-                if far.get(v) == far[w] - 1:
-                    part[v] += count[v] / count[w] * (1 + part[w])
-            if w != s:
-                out[w] += part[w]
-    return {v: x / ((n - 1) * (n - 2)) for v, x in out.items()}
-
-
-def test_betweenness(spark):
-    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("e", "c"), ("d", "f"), ("x", "y")]
-    got = {r.node: r.centrality for r in graph.betweenness_centrality(_triples(spark, edges)).collect()}
-    want = _between(edges)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-
-
 def test_eigenvector(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
     names = "abcd"
@@ -205,18 +170,6 @@ def test_mail_without_requests_and_short_roots(spark):
     assert merge.matched_mail(mail, asked.limit(0)).count() == 0
 
 
-def test_streamed_states_equal_the_batch(spark):
-    base = tables.fresh_path(spark, "test-threads")
-    rows = [(i % 4, i, i, f"a{i}") for i in range(40)]
-    frame = lambda part: spark.createDataFrame(part, "thread long, ts long, seq long, action string")
-    each = incremental.keep_states(spark, base)
-    for n in range(4):
-        each(frame(rows[10 * n : 10 * n + 10]), n)
-    each(frame(rows[30:]), 3)  # a batch that is run again
-    got = {r.thread: (r.status, r.n, r.history) for r in incremental.latest_states(spark, base).collect()}
-    assert got == {r.thread: (r.status, r.n, r.history) for r in merge.thread_states(frame(rows)).collect()}
-
-
 def test_crawl_stops_at_its_page_limit(spark):
     links = spark.createDataFrame([("a", f"p{i}") for i in range(50)], "src string, dst string")
     seeds = spark.createDataFrame([("a",)], "url string")
