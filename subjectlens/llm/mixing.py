@@ -88,24 +88,27 @@ def targets(sizes: DataFrame, schedule=cycled_schedule) -> DataFrame:
     return out.select("source", "source_size", "weight", "segments", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
 
 
-def mix(docs: DataFrame, schedule=cycled_schedule) -> DataFrame:
+def mix(docs: DataFrame, schedule=cycled_schedule, row: str | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text, source): what the mix takes of it and when.
 
     doc_id, size (words), source_size, target, taken (words, repeats counted), position (training time in [0, 1] of its
     first use, null if unused), positions (of each use), sorted by position over range partitions.
 
-    A source's documents line up by md5 of their id and are used in turn, again and again, until its target is met;
+    A source's documents line up by a hash of their id and text and are used in turn, again and again, until its target is met;
     the last one used is cut there, so the source gives its rounded target exactly. The line is cut into buckets by a
     prefix of that hash: bucket sums are added up first, then documents inside each bucket, so a source of any size is
     spread over tasks. The n-th word demanded of a source is due at the time when its schedule's integral reaches
     n / target.
 
     A null source is a source of its own, after all others; null or empty text has size 0 and takes 0; rows that repeat
-    an id follow each other; an empty table gives an empty result. Reruns agree.
+    an id, or have none, stand in the line by their texts, each with uses of its own; an empty table gives an empty
+    result; further columns are ignored. Reruns agree. row: a column to hand on, such as a row's number.
     """
-    docs = need(docs, "doc_id", "text", "source")
+    kept = [F.col(f"`{row}`").alias("row")] if row else []
+    docs = docs.select(*need(docs, "doc_id", "text", "source").columns, *kept)
     digits = max(0, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16)))
-    sizes = stash(docs.select("doc_id", "source", word_count(text_of()).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("line")), "mix-sizes")
+    line = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_of())))
+    sizes = stash(docs.select("doc_id", "source", word_count(text_of()).alias("size"), line.alias("line"), *["row"] * bool(row)), "mix-sizes")
     sizes = sizes.withColumn("bucket", F.substring("line", 1, digits)).withColumn("key", F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source")))
     goal = targets(sizes, schedule).withColumn("key", F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))).drop("source")
     goal = goal.withColumn("words", F.floor(F.col("target") + 0.5).cast("long"))
@@ -131,7 +134,7 @@ def mix(docs: DataFrame, schedule=cycled_schedule) -> DataFrame:
         lambda j: F.round(_time_at(F.col("segments"), F.col("weight"), (j * F.col("source_size") + F.col("at")).cast("double") / F.col("words")), 9),
     )
     out = out.withColumn("positions", F.when(F.col("uses") > 0, due).otherwise(F.array().cast("array<double>"))).withColumn("position", F.get("positions", F.lit(0)))
-    out = out.select("doc_id", "size", "source_size", "target", "taken", "position", "positions")
+    out = out.select("doc_id", "size", "source_size", "target", "taken", "position", "positions", *["row"] * bool(row))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -139,13 +142,19 @@ def mixed_documents(docs: DataFrame, schedule=cycled_schedule) -> DataFrame:
     """The rows of docs as the mix uses them: one row per use, in training order, with all columns of docs.
 
     Documents that the mix leaves out go. A last use that stops inside a document counts if it holds half of it or more,
-    so texts stay whole. Rows that repeat an id share their uses.
+    so texts stay whole. Rows are numbered and written once, and joined to their uses by number: rows that repeat an id,
+    or have none, have uses of their own. Null and empty texts, which have no words, are never used. An empty table gives
+    an empty result; columns may have any names.
     """
-    plan = mix(docs, schedule).filter("taken > 0").withColumn("whole", F.expr("greatest(taken div size + cast((taken % size) * 2 >= size as int), 0)")).filter("whole > 0")
-    due = plan.groupBy("doc_id").agg(F.max(F.expr("slice(positions, 1, cast(whole as int))")).alias("__due"))
-    out = docs.join(due.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    out = out.select(*[docs[c] for c in docs.columns], F.explode("__due").alias("__at"))
-    return out.orderBy("__at", "doc_id").drop("__at")
+    own = "row"
+    while own in docs.columns:
+        own = f"_{own}"
+    rows = stash(docs.withColumn(own, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(rows, schedule, own).filter("taken > 0").withColumn("whole", F.expr("coalesce(taken div nullif(size, 0) + cast((taken % nullif(size, 0)) * 2 >= size as int), 0)")).filter("whole > 0")
+    uses = plan.select(F.col("row").alias("used_row"), F.expr("slice(positions, 1, cast(whole as int))").alias("due"))
+    met = rows.join(uses, rows[own] == uses["used_row"])
+    out = met.select(*[rows[f"`{c}`"] for c in docs.columns], F.explode(uses["due"]).alias(f"{own}_at"), rows[own])
+    return out.orderBy(f"{own}_at", own).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +164,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS line
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS line
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
