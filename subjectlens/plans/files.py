@@ -208,10 +208,10 @@ def s13_marked_texts(t):
 @query("""
 WITH c AS (SELECT conv_id, turn, text, 'conv' || conv_id AS source FROM conversations)
 SELECT source || '_' || turn AS id, source, CAST(turn AS INT) AS chunk_index, CAST(len(text) AS INT) AS end_offset, round(CAST(e.embedding[1] AS DOUBLE), 6) AS x
-FROM c JOIN embeddings e ON e.vec_id = c.conv_id WHERE turn < 2""")
+FROM c JOIN embeddings e ON e.vec_id = c.conv_id""")
 def s15_vector_points(t):
     """Chunks with their vectors as points of a vector store."""
-    chunks = t.conversations.join(t.embeddings.select("vec_id"), F.col("vec_id") == F.col("conv_id"), "left_semi").filter("turn < 2")
+    chunks = t.conversations.join(t.embeddings.select("vec_id"), F.col("vec_id") == F.col("conv_id"), "left_semi")
     chunks = chunks.select(F.concat(F.lit("conv"), "conv_id").alias("source"), F.col("turn").cast("int").alias("chunk_index"), "text", F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"), "conv_id")
     vectors = chunks.select("conv_id", "source", "chunk_index").join(t.embeddings, F.col("vec_id") == F.col("conv_id")).select("source", "chunk_index", "embedding")
     points = writers.vector_points(chunks.drop("conv_id"), vectors)

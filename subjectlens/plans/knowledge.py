@@ -146,14 +146,18 @@ _HREFS_SQL = ", ".join(f"('{h}', " + (f"'{u}', '{k}')" if u else "NULL, NULL)")
 
 
 @query(f"""
-WITH h(href, link, kind) AS (VALUES {_HREFS_SQL})
-SELECT n_nationkey AS page_id, link, kind, regexp_matches(lower(link), '\\.(pdf|docx?|xlsx?|zip|rar|tar|gz|jpe?g|png|gif|svg|mp[34]|avi|mov)$') AS downloadable,
-  count(*) * 1 AS n FROM nation, h WHERE link IS NOT NULL GROUP BY ALL""")
+WITH h(href, link, kind) AS (VALUES {_HREFS_SQL}), own AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:a|link)\\s[^>]*?href=["'']([^"''>]*)["'']', 1)) AS href FROM pages),
+l AS (
+  SELECT page_id, link, kind FROM pages, h WHERE link IS NOT NULL
+  UNION ALL SELECT page_id, 'https://www.shop.example' || regexp_replace(href, '#.*$', ''), 'internal' FROM own WHERE href LIKE '/%' AND href NOT LIKE '//%'
+  UNION ALL SELECT page_id, regexp_replace(href, '#.*$', ''), CASE WHEN href LIKE 'https://www.shop.example/%' THEN 'internal' ELSE 'external' END FROM own WHERE regexp_matches(href, '^https?://')
+)
+SELECT page_id, link, kind, regexp_matches(lower(link), '\\.(pdf|docx?|xlsx?|zip|rar|tar|gz|jpe?g|png|gif|svg|mp[34]|avi|mov)$') AS downloadable, count(*) AS n FROM l GROUP BY ALL""")
 def x25_links(t):
-    """Links of pages, resolved, without fragments, internal or external, and whether they are downloads."""
+    """Links of all pages and some of each form, resolved, without fragments, internal or external, and whether they are downloads."""
     tags = [f'<a class="x" href="{h}">go</a>' if i % 2 else f"<link rel=x href='{h}'>" for i, (h, _, _) in enumerate(_HREFS)]
-    pages = t.nation.select(F.col("n_nationkey").alias("page_id"), F.lit("https://www.shop.example/docs/index.html").alias("url"), F.lit("<html>" + "\n".join(tags) + "</html>").alias("html"))
-    return linked(pages)
+    html = F.concat_ws("\n", "html", F.lit("\n".join(tags)))
+    return linked(t.pages.select("page_id", F.lit("https://www.shop.example/docs/index.html").alias("url"), html.alias("html")))
 
 
 @query("""

@@ -64,7 +64,7 @@ def d29_draft_or_default(t):
 
 
 @query("""
-WITH r AS (SELECT id, request_type FROM requests WHERE id % 4 = 0)
+WITH r AS (SELECT id, request_type FROM requests)
 SELECT id, 'datapoint' AS type, 'CONTACT' AS category, 'mail ' || id AS value, 'HIGH' AS risk FROM r UNION ALL SELECT id, 'datapoint', 'CONTACT', 'phone', 'HIGH' FROM r
 UNION ALL SELECT id, 'datapoint', 'OTHER', request_type, 'MEDIUM' FROM r UNION ALL SELECT id, 'email', 'IDENTITY', 'x@y', 'MEDIUM' FROM r UNION ALL
   SELECT id, 'entity', 'UNKNOWN', '', 'low' FROM r""")
@@ -73,7 +73,7 @@ def d24_flattened_categories(t):
     entry = lambda values, risk: F.struct(F.array(*values).alias("examples"), F.lit(risk).cast("string").alias("riskLevel"))
     entity = lambda *v: F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("type", "category", "value", "riskLevel"), v, strict=True)])
     categories = F.create_map(F.lit("CONTACT"), entry([F.concat(F.lit("mail "), "id"), F.lit("phone")], "HIGH"), F.lit("OTHER"), entry([F.col("request_type")], None))
-    rows = requests(t).filter("id % 4 = 0").select("id", categories.alias("categories"), F.array(entity("email", "IDENTITY", "x@y", None), entity(None, None, None, "low")).alias("extracted"))
+    rows = requests(t).select("id", categories.alias("categories"), F.array(entity("email", "IDENTITY", "x@y", None), entity(None, None, None, "low")).alias("extracted"))
     return P.flattened(rows)
 
 
@@ -291,11 +291,11 @@ def c10_artifacts(t):
 
 @query("""
 WITH a AS (SELECT request_id, line, file_name, received_at, CASE line % 2 WHEN 0 THEN 'table' ELSE 'metric' END AS kind FROM files)
-SELECT request_id, string_agg(kind || ':' || line, ',' ORDER BY received_at, line, file_name) AS artifacts FROM a WHERE request_id % 5 = 0 GROUP BY request_id""")
+SELECT request_id, string_agg(kind || ':' || line, ',' ORDER BY received_at, line, file_name) AS artifacts FROM a GROUP BY request_id""")
 def c11_artifacts_of_request(t):
     """C11: the artifacts of a request in the order of their creation."""
     kind = F.when(F.col("line") % 2 == 0, "table").otherwise("metric")
-    rows = files(t).filter("request_id % 5 = 0").select("request_id", F.struct("received_at", "line", "file_name", F.concat_ws(":", kind, "line").alias("x")).alias("a"))
+    rows = files(t).select("request_id", F.struct("received_at", "line", "file_name", F.concat_ws(":", kind, "line").alias("x")).alias("a"))
     return rows.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("a")), lambda x: x["x"]), ",").alias("artifacts"))
 
 

@@ -95,14 +95,21 @@ def r07_document_search(t):
 
 
 @query(f"""
-WITH {_SEARCHED_SQL}, f AS (SELECT * FROM searched WHERE contains(file_name, 'doc-1') ORDER BY created_at DESC, id LIMIT 5)
-SELECT id, file_name, '### ' || file_name || chr(10) || CASE WHEN contains(lower(coalesce(ai_summary, '')),
-  'summary') THEN chr(10) || '**In AI Summary:**' || chr(10) || '> ...' || replace(ai_summary, 'summary', '**summary**') || '...' || chr(10) || chr(10)
-  ELSE 'No matches for "Summary" found in this document''s content.' END AS answer FROM f WHERE NOT contains(lower(extracted_text), 'summary')""")
+WITH RECURSIVE {_SEARCHED_SQL}, f AS (SELECT * FROM searched WHERE contains(file_name, 'doc-1') ORDER BY created_at DESC, id LIMIT 5),
+c AS (SELECT id, 1 AS o, 'Extracted Text' AS title, extracted_text AS text FROM f UNION ALL SELECT id, 2, 'AI Summary', ai_summary FROM f),
+p AS (
+  SELECT id, o, title, text, 0 AS k, instr(lower(text), 'tion') AS pos FROM c WHERE text IS NOT NULL
+  UNION ALL
+  SELECT id, o, title, text, k + 1, CASE WHEN instr(substr(lower(text), pos + 4), 'tion') = 0 THEN 0 ELSE pos + 3 + instr(substr(lower(text), pos + 4), 'tion') END FROM p WHERE pos > 0 AND k < 5
+), x AS (
+  SELECT id, o, title, k, substr(text, pos, 4) AS said, trim(substr(text, greatest(pos - 151, 0) + 1, pos + 153 - greatest(pos - 151, 0)), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS part
+  FROM p WHERE pos > 0 AND k < 5
+), q AS (SELECT id, o, title, string_agg('> ...' || regexp_replace(part, '(?i)tion', '**' || said || '**', 'g') || '...' || chr(10) || chr(10), '' ORDER BY k) AS quoted FROM x GROUP BY ALL),
+b AS (SELECT id, string_agg(chr(10) || '**In ' || title || ':**' || chr(10) || quoted, '' ORDER BY o) AS body FROM q GROUP BY id)
+SELECT f.id, file_name, '### ' || file_name || chr(10) || coalesce(body, 'No matches for "Tion" found in this document''s content.') AS answer FROM f LEFT JOIN b ON b.id = f.id""")
 def r11_found_in_documents(t):
-    """Where a term stands in the newest documents of a name. Those whose long text holds it are compared by f38 and left out here."""
-    found = retrieval.found_in_documents(_searched(t), "DOC-1", "Summary")
-    return found.filter(~F.contains("answer", F.lit("**In Extracted Text:**")))
+    """Where a term stands in the newest documents of a name, in their texts and their summaries."""
+    return retrieval.found_in_documents(_searched(t), "DOC-1", "Tion")
 
 
 @query("""SELECT n_name AS company, 'HELD_BY' AS relationship, s_name AS data FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(n_name, 'NATION_1')

@@ -185,14 +185,13 @@ _ORACLE_WORDS = "('" + "', '".join(X.ORACLE_STOPWORDS) + "')"
 
 
 @query(f"""
-WITH w AS (SELECT conv_id, turn, regexp_split_to_array(replace(lower(text), '?', ''), '[ \\t\\n\\r\\f\\v]+') AS w FROM conversations WHERE role = 'user')
+WITH w AS (SELECT conv_id, turn, regexp_split_to_array(replace(lower(text), '?', ''), '[ \\t\\n\\r\\f\\v]+') AS w FROM conversations)
 SELECT conv_id, turn, array_to_string([x FOR x IN w IF len(x) > 2 AND x NOT IN {_SEARCH_WORDS}], ' ') AS keywords,
   array_to_string([x FOR x IN w IF len(x) > 2 AND x NOT IN {_ORACLE_WORDS}], ' ') AS oracle_keywords FROM w""")
 def f36_keywords(t):
     """with the stop words of the hybrid search, and with those of the oracle."""
     text = F.col("text")
-    rows = t.conversations.filter("role = 'user'")
-    return rows.select("conv_id", "turn", F.array_join(X.keywords(text), " ").alias("keywords"), F.array_join(X.keywords(text, X.ORACLE_STOPWORDS), " ").alias("oracle_keywords"))
+    return t.conversations.select("conv_id", "turn", F.array_join(X.keywords(text), " ").alias("keywords"), F.array_join(X.keywords(text, X.ORACLE_STOPWORDS), " ").alias("oracle_keywords"))
 
 
 @query("""
