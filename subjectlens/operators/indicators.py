@@ -31,17 +31,16 @@ BRACKET_URL = r"\b([\.:\\/\w\[\]\(\)-]+(?:\x20?[\(\[]\x20?\.\x20?[\]\)]\x20?\S*?
 BACKSLASH_URL = r"\b([:\\/\w\[\]\(\)-]+(?:\x20?\\?\.\x20?\S*?)*?(?:\x20?\\\.\x20?\S*?)(?:\x20?\\?\.\x20?\S*?)*)" + _PUNCTUATION + r"(?=\s|$)"
 HEXENCODED_URL = r"(?i)([46][86](?:[57]4)?[57]4[57]0(?:[57]3)?3a2f2f(?:[2356def]|3[0-9adf]|[46][0-9a-f]|[57][0-9af])+)(?:[046]0|2[0-2489a-c]|3[bce]|[57][b-e]|[8-f][0-9a-f]|0a|0d|09|[\x5b-\x5d\x7b\x7d\x0a\x0d\x20]|$)"
 URLENCODED_URL = r"(?i)(s?[hf]t?tps?%3A%2F%2F\w[\w%-]*?)(?:[^\w%-]|$)"
-_B64_ANY, _B64_THIRD, _B64_LAST = r"[\x2b\x2f-\x39A-Za-z]\s*", r"[\x31\x35\x39BFJNRVZdhlptx]\s*", r"[\x2b\x2f\x38-\x39]\s*"
 B64ENCODED_URL = (
     r"((?:"
-    + _B64_ANY + _B64_ANY + _B64_THIRD + r"[Gm]\s*[Vd]\s*[FH]\s*[A]\s*\x36\s*L\s*y\s*" + _B64_LAST + r"|"
-    + _B64_ANY + _B64_ANY + _B64_THIRD + r"[Io]\s*[Vd]\s*[FH]\s*[R]\s*[Qw]\s*[O]\s*i\s*\x38\s*v\s*" + _B64_ANY + r"|"
-    + _B64_ANY + _B64_ANY + _B64_THIRD + r"[Io]\s*[Vd]\s*[FH]\s*[R]\s*[Qw]\s*[Uc]\s*[z]\s*o\s*v\s*L\s*[\x2b\x2f-\x39w-z]\s*|"
-    + r"[RZ]\s*[ln]\s*[R]\s*[Qw]\s*[O]\s*i\s*\x38\s*v\s*" + _B64_ANY + r"|"
-    + r"[Sa]\s*[FH]\s*[R]\s*[\x30U]\s*[Uc]\s*[D]\s*o\s*v\s*L\s*[\x2b\x2f-\x39w-z]\s*|"
-    + r"[Sa]\s*[FH]\s*[R]\s*[\x30U]\s*[Uc]\s*[FH]\s*[M]\s*\x36\s*L\s*y\s*" + _B64_LAST
-    + r")[A-Za-z0-9+/=\s]{1,357})(?=[^A-Za-z0-9+/=\s]|$)"
-)
+    r"[\x2b\x2f-\x39A-Za-z]\s*[\x2b\x2f-\x39A-Za-z]\s*[\x31\x35\x39BFJNRVZdhlptx]\s*[Gm]\s*[Vd]\s*[FH]\s*[A]\s*\x36\s*L\s*y\s*[\x2b\x2f\x38-\x39]\s*|"
+    r"[\x2b\x2f-\x39A-Za-z]\s*[\x2b\x2f-\x39A-Za-z]\s*[\x31\x35\x39BFJNRVZdhlptx]\s*[Io]\s*[Vd]\s*[FH]\s*[R]\s*[Qw]\s*[O]\s*i\s*\x38\s*v\s*[\x2b\x2f-\x39A-Za-z]\s*|"
+    r"[\x2b\x2f-\x39A-Za-z]\s*[\x2b\x2f-\x39A-Za-z]\s*[\x31\x35\x39BFJNRVZdhlptx]\s*[Io]\s*[Vd]\s*[FH]\s*[R]\s*[Qw]\s*[Uc]\s*[z]\s*o\s*v\s*L\s*[\x2b\x2f-\x39w-z]\s*|"
+    r"[RZ]\s*[ln]\s*[R]\s*[Qw]\s*[O]\s*i\s*\x38\s*v\s*[\x2b\x2f-\x39A-Za-z]\s*|"
+    r"[Sa]\s*[FH]\s*[R]\s*[\x30U]\s*[Uc]\s*[D]\s*o\s*v\s*L\s*[\x2b\x2f-\x39w-z]\s*|"
+    r"[Sa]\s*[FH]\s*[R]\s*[\x30U]\s*[Uc]\s*[FH]\s*[M]\s*\x36\s*L\s*y\s*[\x2b\x2f\x38-\x39]\s*"
+    r")[A-Za-z0-9+/=\s]{1,357})(?=[^A-Za-z0-9+/=\s]|$)"
+)
 IPV4 = r"(?:^|(?![^\d\.]))((?:(?:[1-9]?\d|1\d\d|2[0-4]\d|25[0-5])[\[\(\\]*?\.[\]\)]*?){3}(?:[1-9]?\d|1\d\d|2[0-4]\d|25[0-5]))(?:(?=[^\d\.])|$)"
 IPV6 = r"(?i)(\b(?:[a-f0-9]{1,4}:|:){2,7}(?:[a-f0-9]{1,4}|:)\b)"
 EMAIL = r"(?i)([a-z0-9_.+-]+[\(\[\{\x20]*(?:@|\Wat\W)[\)\]\}\x20]*[a-z0-9-]+(?:(?:(?:\x20*" + _DEFANG + r"\x20*)*\.(?:\x20*" + _DEFANG + r"\x20*)*|\W+dot\W+)[a-z0-9-]+?)+)" + _PUNCTUATION + r"(?=\s|$)"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subjectlens.functions.text import label_of, risk_level, without_first
@@ -86,9 +85,9 @@ def bulk_nodes(rows: DataFrame, most: int = 100) -> tuple[DataFrame, DataFrame]:
 
     Nodes are one for each label and source; a row without a label is an error of its own.
     """
-    number = F.count("*").over(W.partitionBy())
-    checked = rows.withColumn("__n", number).withColumn("seq", F.when(F.col("__n") > most, F.raise_error(F.lit(f"Maximum batch size is {most} nodes")).cast("long")).otherwise(F.col("seq"))).drop("__n")
-    good, bad = split_valid(checked, F.col("label") != "")
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"Maximum batch size is {most} nodes")
+    good, bad = split_valid(rows, F.col("label") != "")
     kind = label_of(F.coalesce("type", F.lit("Entity"))).alias("kind")
     made = good.select("seq", "label", kind, F.coalesce("source", F.lit("onsit")).alias("source"), risk_level(F.coalesce("risk", F.lit("low"))).alias("risk"))
     nodes = made.groupBy("label", "source", "kind").agg(F.min_by("risk", "seq").alias("risk"))

@@ -56,12 +56,17 @@ def progress_of(items: DataFrame, key: str, done: Column, *order: Column) -> Dat
 def frontier(links: DataFrame, seeds: DataFrame, depth: int = 2, most: int | None = None) -> DataFrame:
     """ST3, ST4: (url, depth) of what links(src, dst) reach from seeds(url) in at most `depth` steps, each at its first depth.
 
-    With `most`, the crawl stops after so many pages: the first ones by depth and address.
+    With `most`, the crawl stops after so many pages, first come, first served: a page comes where its earliest link
+    stands on the earliest page that links to it. `place`, where seeds and links have it, says where; else the address does. An
+    arrival is the list of places on the way, as long as the depth, so pages need no common count.
     """
-    seen = seeds.select("url", F.lit(0).alias("depth")).distinct()
+    placed = lambda df, c: df.select(*[x for x in df.columns if x in ("src", "dst", "url")], F.struct((F.col("place").cast("long") if "place" in df.columns else F.lit(0).cast("long")).alias("place"), F.col(c).alias("name")).alias("step"))
+    links = placed(links, "dst")
+    seen = placed(seeds, "url").groupBy("url").agg(F.array(F.min("step")).alias("came")).select("url", F.lit(0).alias("depth"), "came")
     front = seen
     for d in range(1, depth + 1):
-        step = links.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
-        front = written(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)), "frontier")
+        step = links.join(front.select(F.col("url").alias("src"), "came"), "src").select(F.col("dst").alias("url"), F.concat("came", F.array("step")).alias("came"))
+        first = step.groupBy("url").agg(F.min("came").alias("came")).join(seen.select("url"), "url", "left_anti")
+        front = written(first.select("url", F.lit(d).alias("depth"), "came"), "frontier")
         seen = seen.unionByName(front)
-    return seen if most is None else seen.orderBy("depth", "url").limit(most)
+    return (seen if most is None else seen.orderBy("depth", "came").limit(most)).select("url", "depth")

@@ -170,6 +170,23 @@ def test_mail_without_requests_and_short_roots(spark):
     assert merge.matched_mail(mail, asked.limit(0)).count() == 0
 
 
+def test_crawl_takes_pages_as_they_come(spark):
+    """As a queue would: pages by the place of their first link on the page that came first."""
+    pages = {"s2": ["z", "b"], "s1": ["b", "a", "z"], "z": ["q", "a"], "b": ["c", "q"], "a": ["d"]}
+    links = [(src, dst, k) for src, to in pages.items() for k, dst in enumerate(to)]
+    seeds = ["s2", "s1"]
+    queue, order = list(seeds), []
+    while queue:
+        page = queue.pop(0)
+        if page not in order:
+            order.append(page)
+            queue += pages.get(page, [])
+    frame = spark.createDataFrame(links, "src string, dst string, place int")
+    start = spark.createDataFrame([(u, k) for k, u in enumerate(seeds)], "url string, place int")
+    for most in range(1, len(order) + 1):
+        assert {r.url for r in incremental.frontier(frame, start, 3, most).collect()} == set(order[:most])
+
+
 def test_crawl_stops_at_its_page_limit(spark):
     links = spark.createDataFrame([("a", f"p{i}") for i in range(50)], "src string, dst string")
     seeds = spark.createDataFrame([("a",)], "url string")
