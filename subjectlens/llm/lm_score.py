@@ -220,7 +220,7 @@ def trained(table: DataFrame, base: Base) -> np.ndarray:
 
 
 def _averaged(models: DataFrame) -> DataFrame:
-    def run(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, size = None, 0
         rows = sorted(((s, n, w) for b in batches for s, n, w in zip(*(b.column(c).to_pylist() for c in ("shard", "n", "w")), strict=True)), key=lambda r: r[0])
         for _, n, w in rows:  # at most FAN_IN models
