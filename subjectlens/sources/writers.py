@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Findings that one export holds at most.
-EXPORT_ROWS = 10_000
 #: Colours (background, border) of marked classes.
 CLASS_COLORS = {
     "data_collection": ("#e3f2fd", "#1976d2"),
@@ -30,8 +28,8 @@ def csv_cell(value: Column) -> Column:
     return F.when(F.contains(v, F.lit(",")) | F.contains(v, F.lit('"')), quoted).otherwise(v)
 
 
-def export_rows(findings: DataFrame, discovery: str | None = None, since: str | None = None, until: str | None = None, most: int = EXPORT_ROWS) -> DataFrame:
-    """findings(id, type, value, source, riskLevel, discoveredAt, discovery) in the filters, the newest `most` of them."""
+def export_rows(findings: DataFrame, discovery: str | None = None, since: str | None = None, until: str | None = None, most: int | None = None) -> DataFrame:
+    """findings(id, type, value, source, riskLevel, discoveredAt, discovery) in the filters, newest first; with `most`, the newest so many."""
     out = findings
     if discovery is not None:
         out = out.filter(F.col("discovery") == discovery)
@@ -39,7 +37,8 @@ def export_rows(findings: DataFrame, discovery: str | None = None, since: str |
         out = out.filter(F.col("discoveredAt") >= since)
     if until is not None:
         out = out.filter(F.col("discoveredAt") <= until)
-    return out.orderBy(F.desc("discoveredAt"), "id").limit(most).select("id", "type", "value", "source", "riskLevel", "discoveredAt")
+    out = out.orderBy(F.desc("discoveredAt"), "id")
+    return (out if most is None else out.limit(most)).select("id", "type", "value", "source", "riskLevel", "discoveredAt")
 
 
 def csv_lines(rows: DataFrame) -> DataFrame:
