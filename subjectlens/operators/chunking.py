@@ -90,7 +90,7 @@ def offset_chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFr
 
 def sentences(text: Column) -> Column:
     """T03."""
-    return F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")  # F.trim itself would take the place for the letters to trim
 
 
 def packed(lengths: list[int], size: int, overlap: int, most: int) -> list[tuple[int, int]]:
