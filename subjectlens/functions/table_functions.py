@@ -121,4 +121,4 @@ FUNCTIONS = {"word_chunks": WordChunks, "sentence_chunks": SentenceChunks, "line
 def register(spark: SparkSession) -> None:
     """Makes the table functions known to the session's SQL by their names. Null texts have no rows."""
     for name, f in FUNCTIONS.items():
-        spark.udtf.register(name, udtf(f, useArrow=True))
+        spark.udtf.register(name, udtf(f, useArrow=False))  # rows pass one by one: with Arrow a batch of texts and all their rows are held, a frame for each text
