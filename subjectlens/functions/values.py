@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from subjectlens.functions.replies import once
+
 ISO_DATE = r"\b(\d{4}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}(?::\d{2})?(?:\.\d+)?Z?)?)\b"
 COMMON_DATE = r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b"
 
@@ -55,20 +57,20 @@ def noted(notes: Column, time: Column, text: Column) -> Column:
 
 def timeline(text: Column, most: int = 1000) -> Column:
     """(date, label) of the dates in a text, ISO dates first, each at its first place with what stands around it."""
-    most_before = F.lit(BEFORE_DATE)
-
-    def around(at: Column) -> Column:
-        first = F.greatest(at - most_before, F.lit(0))
-        return F.regexp_replace(F.substring(text, first + 1, at + AFTER_DATE - first), r"\s+", " ")
-
-    def found(pattern: str) -> Column:
-        values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.transform(F.split(text, pattern), F.length)
-        before = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n) + F.aggregate(F.slice(values, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-        return F.transform(values, lambda v, i: F.struct(v.alias("date"), around(before(i)).alias("label")))
-
-    both = F.concat(found(ISO_DATE), found(COMMON_DATE))
-    names = F.transform(both, lambda x: x["date"])
-    return F.slice(F.filter(both, lambda x, i: F.array_position(names, x["date"]) == i + 1), 1, most)
+    def around(x: Column, at: Column) -> Column:
+        first = F.greatest(at - F.lit(BEFORE_DATE), F.lit(0))
+        return F.regexp_replace(F.substring(x, first + 1, at + AFTER_DATE - first), r"\s+", " ")
+
+    def found(x: Column, pattern: str) -> Column:
+        read = F.struct(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)).alias("values"), F.transform(F.split(x, pattern), F.length).alias("gaps"))
+        sum_ = lambda n: F.aggregate(n, F.lit(0), lambda a, k: a + k)
+        before = lambda r, i: sum_(F.slice(r["gaps"], F.lit(1), i + 1)) + sum_(F.transform(F.slice(r["values"], F.lit(1), i), F.length))
+        return once(read, lambda r: F.transform(r["values"], lambda v, i: F.struct(v.alias("date"), before(r, i).alias("at"))))
+
+    # each name is bound, so that a text is read once for each pattern; only dates that stay get a label
+    both = lambda x: F.concat(found(x, ISO_DATE), found(x, COMMON_DATE))
+    firsts = lambda b: F.filter(b, lambda y, i: F.array_position(b["date"], y["date"]) == i + 1)
+    return once(text, lambda x: F.transform(F.slice(once(both(x), firsts), 1, most), lambda y: F.struct(y["date"].alias("date"), around(x, y["at"]).alias("label"))))
 
 
 def deadline(created: Column, days: int = 30) -> Column:
