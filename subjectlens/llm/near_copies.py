@@ -24,8 +24,8 @@ from subjectlens.operators.graph import components
 SEED, SHINGLE = 42, 5
 #: Texts are near copies from a Jaccard similarity of NUM / DEN.
 NUM, DEN = 4, 5
-#: The common shingles are found in about so many texts, those of at least LEAST texts, MOST of them. They only order the keys.
-SAMPLE, LEAST, MOST = 20_000, 4, 100_000
+#: The most common shingles of all texts, MOST of them, of at least LEAST texts each. They only order the keys: any order loses no link.
+LEAST, MOST = 4, 100_000
 #: Pieces in which the texts that are compared with one text come to it; bytes of text that are cut into shingles at once.
 PIECES, TEXT_BYTES = 64, 4 << 20
 
@@ -74,16 +74,15 @@ def _marked(rows: DataFrame) -> DataFrame:
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, sorted, with their counts in a sample of the texts."""
+    """Common shingles, sorted, with their counts in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(x).view(np.int64))], names=["key"])
+        for b in (part for whole in batches for part in by_bytes(whole, 0, TEXT_BYTES)):
+            keys, n = np.unique(np.concatenate([shingles(x) for x in b.column(0).to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    share = max(1, texts.count() // SAMPLE)
-    keys = texts.filter(F.pmod(F.xxhash64("sid"), F.lit(share)) == 0).select("text").mapInArrow(run, "key long")
-    table = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "key").limit(MOST).toArrow()
+    keys = texts.select("text").mapInArrow(run, "key long, n long")
+    table = keys.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "key").limit(MOST).toArrow()
     key, n = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(key)
     return key[order], n[order]
