@@ -92,7 +92,7 @@ def mix(docs: DataFrame, schedule=cycled_schedule, row: str | None = None) -> Da
     """One row per row of docs(doc_id, text, source): what the mix takes of it and when.
 
     doc_id, size (words), source_size, target, taken (words, repeats counted), position (training time in [0, 1] of its
-    first use, null if unused), positions (of each use), sorted by position over range partitions.
+    first use, null if unused), positions (of each use), sorted by position over range partitions unless `row` is given.
 
     A source's documents line up by a hash of their id and text and are used in turn, again and again, until its target is met;
     the last one used is cut there, so the source gives its rounded target exactly. The line is cut into buckets by a
@@ -135,11 +135,13 @@ def mix(docs: DataFrame, schedule=cycled_schedule, row: str | None = None) -> Da
     )
     out = out.withColumn("positions", F.when(F.col("uses") > 0, due).otherwise(F.array().cast("array<double>"))).withColumn("position", F.get("positions", F.lit(0)))
     out = out.select("doc_id", "size", "source_size", "target", "taken", "position", "positions", *["row"] * bool(row))
+    if row:  # for a join, which has no order
+        return out
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def mixed_documents(docs: DataFrame, schedule=cycled_schedule) -> DataFrame:
-    """The rows of docs as the mix uses them: one row per use, in training order, with all columns of docs.
+def mixed_documents(docs: DataFrame, schedule=cycled_schedule, ordered: bool = True) -> DataFrame:
+    """The rows of docs as the mix uses them: one row per use, with all columns of docs, in training order or, if not `ordered`, in any.
 
     Documents that the mix leaves out go. A last use that stops inside a document counts if it holds half of it or more,
     so texts stay whole. Rows are numbered and written once, and joined to their uses by number: rows that repeat an id,
@@ -154,6 +156,8 @@ def mixed_documents(docs: DataFrame, schedule=cycled_schedule) -> DataFrame:
     uses = plan.select(F.col("row").alias("used_row"), F.expr("slice(positions, 1, cast(whole as int))").alias("due"))
     met = rows.join(uses, rows[own] == uses["used_row"])
     out = met.select(*[rows[f"`{c}`"] for c in docs.columns], F.explode(uses["due"]).alias(f"{own}_at"), rows[own])
+    if not ordered:  # the texts move once, for the join
+        return out.select(*[f"`{c}`" for c in docs.columns])
     return out.orderBy(f"{own}_at", own).select(*[f"`{c}`" for c in docs.columns])
 
 

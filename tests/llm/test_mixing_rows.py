@@ -51,3 +51,10 @@ def test_rows_without_an_id_are_used_as_often_as_others(spark):
 
 def test_empty_table(spark):
     assert mixing.mixed_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_the_mix_in_any_order_moves_texts_once(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 5 + 1), "ab"[i % 2], "x") for i in range(40)], "doc_id long, text string, source string, more string")
+    free, sorted_ = mixing.mixed_documents(docs, ordered=False), mixing.mixed_documents(docs)
+    assert sorted(map(tuple, free.collect())) == sorted(map(tuple, sorted_.collect()))
+    assert "Sort [" not in free._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
