@@ -1,7 +1,12 @@
-"""Substring search with an index: postings of three-letter pieces, intersected by rarity, verified by the text itself."""
+"""Substring search with an index: postings of pieces of up to three letters, intersected by rarity, verified by the text itself."""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,83 +18,157 @@ GRAM = 3
 BUCKETS = 64
 #: Pieces of a needle that are looked up: its rarest.
 LOOKED_UP = 4
+#: Characters of the texts of a block, about, and the most rows that it has.
+BLOCK_CHARS, BLOCK_ROWS = 4_000_000, 1 << 14
+#: Keys that are numbered by a table of all that can be, not by sorting, and cells of bits that are held at once.
+TABLE, CELLS = 1 << 24, 1 << 26
 
 
 def pieces(characters: Column) -> Column:
-    """The distinct pieces of a text given as its characters; a shorter text is a piece by itself."""
+    """The distinct pieces of three letters of a needle given as its characters; a shorter one is a piece by itself."""
     whole = F.transform(F.slice(characters, 1, F.greatest(F.size(characters) - (GRAM - 1), F.lit(0))), lambda c, i: F.concat(c, *[F.get(characters, i + k) for k in range(1, GRAM)]))
     return F.when(F.size(characters) >= GRAM, F.array_distinct(whole)).otherwise(F.array(F.array_join(characters, "")))
 
 
-def _characters(text: Column) -> Column:
-    return F.split(F.lower(text), "")
-
-
 def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
+def _numbers(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys below `most`, and the place of each key among them."""
+    if most > TABLE:
+        return np.unique(keys, return_inverse=True)
+    there = np.zeros(most, bool)
+    there[keys] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[keys]
+
+
+def _pieces_of(places: np.ndarray, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(pieces, bits by piece and place) for the pieces of one, two and three letters of texts, in parts."""
+    lengths = np.array([len(x) for x in texts])
+    letters, codes = _numbers(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), 0x110000)
+    at = np.repeat(places, lengths)
+    for k in range(1, min(GRAM, len(codes)) + 1):
+        inside = at[: len(at) - k + 1] == at[k - 1 :]  # not where one text ends and the next begins
+        keys = np.zeros(len(inside), np.int64)
+        for i in range(k):
+            keys = keys * len(letters) + codes[i : len(inside) + i]
+        found, which = _numbers(keys[inside], len(letters) ** k)
+        if len(found) * (int(places[-1]) + 1) > CELLS and len(texts) > 1:
+            half = len(texts) // 2
+            for part in (slice(None, half), slice(half, None)):
+                yield from ((g, b) for g, b in _pieces_of(places[part], texts[part]) if len(g[0]) >= k)
+            return
+        bits = np.zeros((len(found), int(places[-1]) + 1), bool)
+        bits[which, at[: len(inside)][inside]] = True
+        if len(found):
+            spelt = np.stack([letters[found // len(letters) ** (k - 1 - i) % len(letters)] for i in range(k)], 1).astype("<u4").tobytes().decode("utf-32-le")
+            yield [spelt[i : i + k] for i in range(0, len(spelt), k)], bits
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, gram, n, places) from (block, place, low): a row for each piece of a block, or of a part of it."""
+    for batch in batches:
+        at = np.asarray(batch["block"])
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            for grams, bits in _pieces_of(np.asarray(batch["place"][a:b]), batch["low"][a:b].to_pylist()):
+                blocks, n = pa.array(np.full(len(grams), at[a]), pa.int64()), pa.array(bits.sum(1), pa.int32())
+                places = pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([blocks, pa.array(grams), n, places], ["block", "gram", "n", "places"])
+
+
+def _met(block: pa.Table, asked: pa.Table) -> pa.Table:
+    """(needle, ids) of a block: its postings and its texts in, and what is asked as (needle, words, keys)."""
+    at, low, gram, places = (block[c].to_pylist() for c in ("place", "low", "gram", "places"))
+    texts, size = {}, max((p for p in at if p is not None), default=-1) + 1
+    bits, rows = defaultdict(lambda: np.zeros(-(-size // 8), np.uint8)), np.full(size, -1)
+    for i, g in enumerate(gram):
+        if g is None:
+            texts[at[i]], rows[at[i]] = low[i], i
+        else:
+            part = np.frombuffer(places[i], np.uint8)
+            bits[g][: len(part)] |= part
+    needles, taken, ends = [], [], [0]
+    for needle, words, keys in zip(asked["needle"].to_pylist(), asked["words"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+        if not all(k in bits for k in keys):
+            continue
+        found = np.flatnonzero(np.unpackbits(np.bitwise_and.reduce([bits[k] for k in keys])))
+        if open_ := [w for w in words if w not in keys]:
+            found = np.array([p for p in found.tolist() if all(w in texts[p] for w in open_)], int)
+        if len(found):
+            needles.append(needle)
+            taken.append(rows[found])
+            ends.append(ends[-1] + len(found))
+    ids = block["id"].combine_chunks().take(pa.array(np.concatenate(taken) if taken else np.zeros(0, int)))
+    return pa.table({"needle": pa.array(needles, pa.string()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)})
+
+
 class TrigramIndex:
     """An index over rows(id, text) in the shared folder; ids are unique.
 
-    postings(bucket, gram, id) has a folder for each bucket and is sorted by piece, so given words read their buckets, and of
-    these the row groups that hold them; counts(gram, n) says how rare a piece is. Null texts are not indexed; texts and
-    needles are compared in lower case.
+    Rows are kept in blocks as they come, about BLOCK_CHARS characters each. postings(bucket, gram, block, n, places) says
+    which rows of a block hold a piece of one, two or three letters, as bits; it has a folder for each bucket and is sorted by
+    piece, so given words read their buckets, and of these the row groups that hold them; counts(gram, n) says how rare a
+    piece is. Null texts are not indexed; texts and needles are compared in lower case.
     """
 
     def __init__(self, rows: DataFrame):
-        self.rows = written(rows.select("id", "text").filter("text is not null"), "indexed")
-        spark = rows.sparkSession
-        chars = self.rows.select("id", _characters(F.col("text")).alias("c"))
-        flat = chars.select("id", F.explode(pieces(F.col("c"))).alias("gram")).withColumn("bucket", _bucket(F.col("gram")))
+        spark, whole = rows.sparkSession, rows.select("id", "text").filter("text is not null")
+        mean = whole.agg(F.avg(F.char_length("text"))).first()[0] or 1.0
+        size = 1 << (max(1, min(BLOCK_ROWS, int(BLOCK_CHARS / max(mean, 1.0)))).bit_length() - 1)
+        place = F.monotonically_increasing_id()  # counts the rows of a task; blocks are what is written here
+        numbered = whole.withColumn("at", place).select(F.floor(F.col("at") / size).cast("long").alias("block"), (F.col("at") % size).cast("int").alias("place"), "id", "text")
+        path = fresh_path(spark, "indexed")
+        numbered.write.option("maxRecordsPerFile", size).parquet(path)  # a block a file, so that tasks can share them
+        self.rows = spark.read.schema(numbered.schema).parquet(path)
+        flat = self.rows.select("block", "place", F.lower("text").alias("low")).mapInArrow(_posted, "block long, gram string, n int, places binary").withColumn("bucket", _bucket(F.col("gram")))
         path = fresh_path(spark, "postings")
-        # a piece of every text would be one task's: rows of a bucket are dealt out further by their ids
-        dealt = flat.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "gram", "id")
+        # a piece of every text would be one task's: rows of a bucket are dealt out further by their blocks
+        dealt = flat.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(8))).sortWithinPartitions("bucket", "gram", "block")
         dealt.write.partitionBy("bucket").parquet(path)
-        self.postings = spark.read.schema(dealt.select("gram", "id", "bucket").schema).parquet(path)
-        self.counts = written(self.postings.groupBy("gram").agg(F.count("*").alias("n")), "grams")
+        self.postings = spark.read.schema(dealt.select("gram", "block", "n", "places", "bucket").schema).parquet(path)
+        self.counts = written(self.postings.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+
+    def _found(self, asked: DataFrame, postings: DataFrame) -> DataFrame:
+        """(needle, id) for asked(needle, words, keys): the rows that have all the keys as pieces and hold all the words.
+
+        The postings and texts of a block meet all that is asked in one task, so neither postings nor candidates are
+        copied for each needle.
+        """
+        none = lambda name: F.lit(None).cast(self.rows.schema[name].dataType).alias(name)
+        lists = postings.select("block", none("place"), none("id"), F.lit(None).cast("string").alias("low"), "gram", "places")
+        texts = self.rows.select("block", "place", "id", F.lower("text").alias("low"), F.lit(None).cast("string").alias("gram"), F.lit(None).cast("binary").alias("places"))
+        every = asked.crossJoin(F.broadcast(self.rows.select("block").distinct()))  # a number for each block
+        kind = self.rows.schema["id"].dataType.simpleString()
+        met = lists.unionByName(texts).groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_met, f"needle string, ids array<{kind}>")
+        return met.select("needle", F.explode("ids").alias("id"))
 
     def search(self, needles: DataFrame) -> DataFrame:
         """(needle, id): the rows whose text holds the needle, for each distinct needle of needles(needle).
 
-        A needle's rarest pieces are looked up and their postings intersected, then the text decides. A needle of one or
-        two characters stands in some piece of every text that holds it, so it looks up all pieces that hold it. The empty
-        needle, which is in every text, and nulls find nothing.
+        A needle's rarest pieces are looked up and their postings intersected, then the text decides. A needle of up to
+        three characters is a piece itself, so its postings are the answer. The empty needle, which is in every text, and
+        nulls find nothing.
         """
         asked = written(needles.select(F.lower("needle").alias("low"), "needle").filter("needle <> ''").distinct(), "needles")
-        chars = asked.select("needle", _characters(F.col("needle")).alias("c"))
-        long_ = chars.filter(F.size("c") >= GRAM).select("needle", F.explode(pieces(F.col("c"))).alias("gram"))
-        counted = long_.join(self.counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        flat = asked.select("needle", "low", F.explode(pieces(F.split("low", ""))).alias("gram"))
+        counted = flat.join(self.counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         rare = counted.withColumn("r", F.row_number().over(W.partitionBy("needle").orderBy("n", "gram"))).filter(F.col("r") <= LOOKED_UP)
-        wanted = F.count("*").over(W.partitionBy("needle")).alias("wanted")
-        keys = rare.select("needle", "gram", wanted)
-        met = keys.join(self.postings, "gram").groupBy("needle", "id", "wanted").agg(F.count("*").alias("got")).filter("got = wanted").select("needle", "id")
-        short = asked.filter(F.char_length("low") < GRAM).select("needle", "low")
-        # few needles are that short: letters and pairs of letters; the pieces that hold one are found by its own pieces
-        parts = F.array_distinct(F.flatten(F.array(F.col("c"), F.transform(F.slice(F.col("c"), 1, F.greatest(F.size("c") - 1, F.lit(0))), lambda x, i: F.concat(x, F.get("c", i + 1))))))
-        inside = self.counts.select("gram", F.split("gram", "").alias("c")).select("gram", F.explode(parts).alias("low"))
-        brief = short.join(inside, "low").select("needle", "gram").join(self.postings, "gram").select("needle", "id").distinct()
-        candidates = met.unionByName(brief)
-        return candidates.join(self.rows, "id").filter(F.contains(F.lower("text"), F.lower("needle"))).select("needle", "id")
-
-    def holding(self, words: list[str]) -> DataFrame:
-        """(id): the rows whose text holds all the words. Only the buckets of the words' pieces are read; no words: no rows.
-
-        Words of one or two characters are left to the text itself where longer ones are there.
-        """
-        spark, low = self.rows.sparkSession, [w.lower() for w in words]
+        asked = written(rare.groupBy("needle", "low").agg(F.collect_list("gram").alias("keys")).select("needle", F.array("low").alias("words"), "keys"), "needles")
+        wanted = asked.select(F.explode("keys").alias("gram")).distinct()
+        return self._found(asked, self.postings.join(F.broadcast(wanted), "gram", "left_semi"))  # no more than there are pieces
+
+    def holding(self, words: Iterable[str]) -> DataFrame:
+        """(id): the rows whose text holds all the words. Only the buckets of the words' pieces are read; no words: no rows."""
+        spark, low = self.rows.sparkSession, sorted({w.lower() for w in words})
         if not low or "" in low:
             return self.rows.limit(0).select("id")
-        grams = sorted({w[i : i + GRAM] for w in low if len(w) >= GRAM for i in range(len(w) - GRAM + 1)})
-        holds = F.lit(True)
-        for w in low:
-            holds = holds & F.contains(F.lower("text"), F.lit(w))
-        if not grams:
-            found = self.search(spark.createDataFrame([(w,) for w in low[:1]], "needle string")).select("id")
-        else:
-            known = {r.gram: r.n for r in self.counts.filter(F.col("gram").isin(grams)).collect()}  # a row for each piece of the words
-            rare = sorted(grams, key=lambda g: (known.get(g, 0), g))[:LOOKED_UP]
-            buckets = spark.range(1).select(F.array(*[_bucket(F.lit(g)) for g in rare]).alias("b")).first().b
-            met = self.postings.filter(F.col("bucket").isin(buckets) & F.col("gram").isin(rare))
-            found = met.groupBy("id").agg(F.count("*").alias("got")).filter(F.col("got") == len(rare)).select("id")
-        return found.join(self.rows, "id").filter(holds).select("id")
+        grams = sorted({g for w in low for g in ({w} if len(w) < GRAM else (w[i : i + GRAM] for i in range(len(w) - GRAM + 1)))})
+        known = {r.gram: r.n for r in self.counts.filter(F.col("gram").isin(grams)).collect()}  # a row for each piece of the words
+        rare = sorted(grams, key=lambda g: (known.get(g, 0), g))[:LOOKED_UP]
+        buckets = spark.range(1).select(F.array(*[_bucket(F.lit(g)) for g in rare]).alias("b")).first().b
+        met = self.postings.filter(F.col("bucket").isin(buckets) & F.col("gram").isin(rare))
+        return self._found(spark.createDataFrame([("", low, rare)], "needle string, words array<string>, keys array<string>"), met).select("id")

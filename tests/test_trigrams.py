@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from subjectlens.operators import trigrams
 from subjectlens.operators.trigrams import TrigramIndex
 
 
@@ -44,3 +46,25 @@ def test_only_the_words_folders_are_read(index):
 def test_nothing(spark):
     empty = TrigramIndex(spark.createDataFrame([], "id long, text string"))
     assert empty.search(spark.createDataFrame([("abc",), ("a",)], "needle string")).collect() == [] and empty.holding(["abc"]).collect() == []
+
+
+@pytest.mark.parametrize("table, cells", [(1 << 24, 1 << 26), (10, 1 << 26), (1 << 24, 200), (10, 1)])
+def test_pieces_of_a_block(monkeypatch, texts, table, cells):
+    """By tables and by sorting, whole and in parts: the pieces of every text, none across two texts."""
+    monkeypatch.setattr(trigrams, "TABLE", table)
+    monkeypatch.setattr(trigrams, "CELLS", cells)
+    rows = [(i * 3, x.lower() + "\0" * (i % 2)) for i, x in texts.items() if x is not None]
+    got = []
+    for grams, bits in trigrams._pieces_of(np.array([i for i, _ in rows]), [x for _, x in rows]):
+        got += [(g, int(i)) for g, b in zip(grams, bits, strict=True) for i in np.flatnonzero(b)]
+    want = {(x[a : a + k], i) for i, x in rows for k in (1, 2, 3) for a in range(len(x) - k + 1)}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_postings_are_bits_of_blocks(spark, monkeypatch):
+    """Short needles are pieces themselves, and the index has a row for a piece and a block, not one for each text."""
+    monkeypatch.setattr(trigrams, "BLOCK_CHARS", 400)
+    index = TrigramIndex(spark.range(500).selectExpr("id", "'same text' as text").coalesce(1))
+    assert index.rows.select("block").distinct().count() == 16
+    assert index.postings.filter("gram = 'sam'").count() == 16 and index.counts.filter("gram = 'sa'").first().n == 500
+    assert index.search(spark.createDataFrame([("e t",), ("e",)], "needle string")).count() == 1000
