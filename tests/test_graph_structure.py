@@ -213,3 +213,13 @@ def test_paths(spark, monkeypatch, most, hub):
     frame = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
     got = graph.paths(_triples(spark, edges), frame(starts * 2), frame(goals), most).collect()
     assert {(r.start, r.goal): (r.hops, tuple(r.path)) for r in got} == want and len(got) == len(want)
+
+
+def test_rounds_are_few(monkeypatch):
+    """A random graph without communities: half of the wishes are met at once, so a level is a few dozen rounds."""
+    rng = random.Random(5)
+    links = _matrix([(f"s{rng.randrange(60)}", f"p{rng.randrange(1500)}") for _ in range(12_000)])
+    rounds, drawn = [], communities.hashlib.md5
+    monkeypatch.setattr(communities.hashlib, "md5", lambda x: (rounds.append(x.split()[0]), drawn(x))[1])
+    c = communities.local_level([(a, b, w) for (a, b), w in links.items()], float(sum(links.values())))
+    assert len(set(rounds)) < 80 and _modularity(links, c) > 0.05
