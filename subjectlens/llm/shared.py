@@ -34,10 +34,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps start from files that outlive any executor."""
     spark = df.sparkSession
-    df.write.parquet(path := fresh_path(spark, name))
+    df.write.parquet(path := fresh_path(spark, name), compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
