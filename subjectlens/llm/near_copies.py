@@ -24,7 +24,7 @@ from subjectlens.operators.graph import components
 SEED, SHINGLE = 42, 5
 #: Texts are near copies from a Jaccard similarity of NUM / DEN.
 NUM, DEN = 4, 5
-#: The most common shingles of all texts, MOST of them, of at least LEAST texts each. They only order the keys: any order loses no link.
+#: What _common gives: the MOST most common shingles of all texts, of at least LEAST texts each.
 LEAST, MOST = 4, 100_000
 #: Pieces in which the texts that are compared with one text come to it; bytes of text that are cut into shingles at once.
 PIECES, TEXT_BYTES = 64, 4 << 20
@@ -69,7 +69,7 @@ def _marked(rows: DataFrame) -> DataFrame:
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, sorted, with their counts in all texts."""
+    """Common shingles, sorted, with their counts in all texts. The stage itself counts by _repeated, which moves less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in by_bytes(whole, 0, TEXT_BYTES)):
@@ -316,6 +316,9 @@ def similar(keys: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     shared = led.select(F.col("sid").alias("y"), F.col("place").alias("q"), F.col("lead.sid").alias("x"), F.col("lead.place").alias("p"))
     best = _counted(shared.filter(_may_link("p", "q"))).groupBy("y").agg(F.max_by("x", F.struct("shared", -F.col("x"))).alias("x"))
     tried = stash(best.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(_by_fingerprint(sets)).distinct(), "copies-pairs")
+    ends = [tried.select(F.col(c).alias("sid")) for c in ("u", "v")]
+    named = stash(keys.select("sid").unionByName(ends[0]).unionByName(ends[1]).distinct(), "copies-named")
+    texts = stash(texts.join(named, "sid", "left_semi"), "copies-texts", "zstd")  # all that are ever compared
     links = stash(_verified(tried, texts), "copies-links")
     roots = stash(components(links), "copies-roots")
 
