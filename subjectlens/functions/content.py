@@ -9,8 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from subjectlens.functions.values import MOST_ROWS
-
 
 def _parsed(text: str | None):
     """The value of a text that begins like a JSON object or array, else None."""
@@ -62,8 +60,8 @@ def _schema(value) -> dict:
 
 
 def rows_of_json(text: str | None) -> list[list[tuple[str, str | None]]] | None:
-    """D19 for one text: rows of (name, value); None if it isn't JSON."""
-    return None if (v := _parsed(text)) is None else [[(k, _shown(x)) for k, x in r.items()] for r in _rows(v)[:MOST_ROWS]]
+    """D19 for one text: all its rows of (name, value); None if it isn't JSON."""
+    return None if (v := _parsed(text)) is None else [[(k, _shown(x)) for k, x in r.items()] for r in _rows(v)]
 
 
 @F.pandas_udf(ArrayType(ArrayType(StructType().add("name", StringType()).add("value", StringType()))))
@@ -77,7 +75,7 @@ def _json_schema(text: pd.Series) -> pd.Series:
 
 
 def json_rows(text: Column) -> Column:
-    """Up to 250 rows of a JSON text, each an array of (name, value) in the order of its fields; null where it isn't JSON.
+    """The rows of a JSON text, each an array of (name, value) in the order of its fields; null where it isn't JSON.
 
     Any shape of JSON is read, so this runs in batches in Python.
     """

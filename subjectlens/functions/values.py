@@ -25,7 +25,7 @@ STATUS_OF_CLASS = {
     "CLARIFICATION": "action_required",
     "COMPLETION": "completed",
 }
-#: Lists that a JSON value is cut to, and places around a date that make its context.
+#: Rows of a table that is shown, and places around a date that make its context.
 MOST_ROWS, BEFORE_DATE, AFTER_DATE = 250, 80, 140
 
 # ---- end of fixed values
