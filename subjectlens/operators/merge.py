@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -221,16 +222,34 @@ def matched_mail(mail: DataFrame, requests: DataFrame, least: int = 3) -> DataFr
     return sent.join(best, "domain").select(F.col("id").alias("mail_id"), (-F.col("x.b")).alias("request_id"))
 
 
+#: Rows of a company's requests and policies that are made in one piece, about.
+ROWS_A_PIECE = 8_000_000
+
+
 def with_policies(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """requests(id, company_url) left joined to policies(domain, url, summary): one row for each policy of the domain or whose
     address holds the company's.
 
     Automata look for all companies in the distinct addresses, so work follows the lengths of the addresses and the
-    matches; a policy that fits both ways counts once.
+    matches; a policy that fits both ways counts once. Where many requests meet many policies the rows are their product:
+    the policies of such a company are dealt out in pieces, and the rows come policy by policy, so that a column format
+    keeps an address and a summary once for all requests of the company.
     """
     pairs = held_pairs(policies.select(F.col("url").alias("text")), requests.select(F.col("company_url").alias("pattern")))
     rows = policies.select("url", "domain", "summary")
     holds = rows.join(pairs.select(F.col("text").alias("url"), F.col("pattern").alias("company_url")), "url").select("url", "summary", "company_url")
     inside = F.coalesce((F.col("domain") != "") & F.contains("url", "domain"), F.lit(False))
     same = rows.filter(F.col("domain").isNotNull() & ~inside).select("url", "summary", F.col("domain").alias("company_url"))
-    return requests.join(holds.unionByName(same), "company_url", "left").select("id", "company_url", F.col("url").alias("policy_url"), "summary")
+    asked = requests.groupBy("company_url").agg(F.count("*").cast("double").alias("r"))
+    held = written(holds.unionByName(same).join(asked, "company_url", "left_semi"), "policies")
+    offered = held.groupBy("company_url").agg(F.count("*").alias("n"))
+    sizes = written(asked.join(offered, "company_url").select("company_url", (F.col("r") * F.col("n")).alias("rows")), "policies")
+    parts = math.ceil((sizes.agg(F.sum("rows")).first()[0] or 0) / ROWS_A_PIECE) + int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = sizes.select("company_url", F.ceil(F.col("rows") / ROWS_A_PIECE).cast("int").alias("pieces")).filter("pieces > 1")
+    dealt = lambda df, piece: df.join(large, "company_url", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))).withColumn("piece", piece).drop("pieces")
+    policy = dealt(held, F.pmod(F.xxhash64("url", "summary"), F.col("pieces")).cast("int"))
+    request = dealt(requests.select("id", "company_url"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    by = ("company_url", "piece")
+    met = policy.repartition(parts, *by).join(request.repartition(parts, *by), list(by), "left")  # all are asked for; as a left join it takes policy by policy
+    none = requests.join(offered, "company_url", "left_anti").select("id", "company_url", *[F.lit(None).cast(held.schema[c].dataType).alias(c) for c in ("url", "summary")])
+    return met.select("id", "company_url", "url", "summary").unionByName(none).withColumnRenamed("url", "policy_url")
