@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +28,8 @@ def _meet(texts: DataFrame, patterns: DataFrame, run, schema: str) -> DataFrame:
     return left.cogroup(right).applyInPandas(run, schema)
 
 
-def _automaton(patterns: pd.Series):
+def automaton(patterns: Iterable[str]):
+    """Finds all patterns in one pass over a text: iter() gives (end, number of the pattern)."""
     import ahocorasick
 
     machine = ahocorasick.Automaton()
@@ -40,7 +42,7 @@ def _automaton(patterns: pd.Series):
 def _hits(texts: pd.DataFrame, patterns: pd.DataFrame):
     """(place of a text, places of the patterns that it holds)."""
     if len(texts) and len(patterns):
-        machine = _automaton(patterns["pattern"])
+        machine = automaton(patterns["pattern"])
         for i, text in enumerate(texts["text"]):
             if found := {k for _, k in machine.iter(text)}:
                 yield i, found

@@ -7,10 +7,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from subjectlens.operators.patterns import automaton
 from subjectlens.operators.tables import fresh_path, written
 
 GRAM = 3
@@ -22,6 +24,8 @@ LOOKED_UP = 4
 BLOCK_CHARS, BLOCK_ROWS = 4_000_000, 1 << 14
 #: Keys that are numbered by a table of all that can be, not by sorting, and cells of bits that are held at once.
 TABLE, CELLS = 1 << 24, 1 << 26
+#: Words of a text that are looked for one by one; more of them are found in one pass over the text.
+MOST_LOOKS = 16
 
 
 def pieces(characters: Column) -> Column:
@@ -40,30 +44,44 @@ def _numbers(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(keys, return_inverse=True)
     there = np.zeros(most, bool)
     there[keys] = True
-    return np.flatnonzero(there), (np.cumsum(there) - 1)[keys]
+    return np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[keys]
 
 
 def _pieces_of(places: np.ndarray, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """(pieces, bits by piece and place) for the pieces of one, two and three letters of texts, in parts."""
-    lengths = np.array([len(x) for x in texts])
+    """(pieces, bits by piece and place) for the pieces of one, two and three letters of texts, in parts.
+
+    A piece of three letters, the last of which may lie behind the text's end, is a number whose digits are the letters'
+    numbers and 0 behind the end. So shorter pieces are ranges of the longer ones, and their bits are unions.
+    """
+    lengths, size = np.array([len(x) for x in texts]), (int(places[-1]) // 8 + 1) * 8
     letters, codes = _numbers(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), 0x110000)
-    at = np.repeat(places, lengths)
-    for k in range(1, min(GRAM, len(codes)) + 1):
-        inside = at[: len(at) - k + 1] == at[k - 1 :]  # not where one text ends and the next begins
-        keys = np.zeros(len(inside), np.int64)
-        for i in range(k):
-            keys = keys * len(letters) + codes[i : len(inside) + i]
-        found, which = _numbers(keys[inside], len(letters) ** k)
-        if len(found) * (int(places[-1]) + 1) > CELLS and len(texts) > 1:
-            half = len(texts) // 2
-            for part in (slice(None, half), slice(half, None)):
-                yield from ((g, b) for g, b in _pieces_of(places[part], texts[part]) if len(g[0]) >= k)
-            return
-        bits = np.zeros((len(found), int(places[-1]) + 1), bool)
-        bits[which, at[: len(inside)][inside]] = True
-        if len(found):
-            spelt = np.stack([letters[found // len(letters) ** (k - 1 - i) % len(letters)] for i in range(k)], 1).astype("<u4").tobytes().decode("utf-32-le")
-            yield [spelt[i : i + k] for i in range(0, len(spelt), k)], bits
+    if not len(codes):
+        return
+    base = len(letters) + 1
+    kind = np.int32 if base**GRAM < 1 << 31 else np.int64
+    ended, at = np.zeros(len(codes) + (GRAM - 1) * len(texts), kind), np.repeat(np.arange(len(texts)), lengths)
+    own = np.arange(len(codes)) + (GRAM - 1) * at
+    ended[own] = codes + 1
+    keys = ended[: len(ended) - GRAM + 1].copy()
+    for i in range(1, GRAM):
+        keys *= base
+        keys += ended[i : len(keys) + i]
+    found, which = _numbers(keys[own], base**GRAM)
+    if len(found) * size > CELLS and len(texts) > 1:
+        half = len(texts) // 2
+        for part in (slice(None, half), slice(half, None)):
+            yield from _pieces_of(places[part], texts[part])
+        return
+    bits = np.zeros((len(found), size), np.uint8)
+    bits[which, places[at]] = 1
+    for k in range(GRAM, 0, -1):
+        full = found % base > 0
+        spelt = np.stack([letters[found[full] // base ** (k - 1 - i) % base - 1] for i in range(k)], 1).astype("<u4").tobytes().decode("utf-32-le")
+        if spelt:
+            yield [spelt[i : i + k] for i in range(0, len(spelt), k)], bits[full].view(bool)
+        found = found // base
+        first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+        found, bits = found[first], np.bitwise_or.reduceat(bits.view(np.uint64), first, axis=0).view(np.uint8)
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,30 +98,59 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([blocks, pa.array(grams), n, places], ["block", "gram", "n", "places"])
 
 
+def _holding(texts: dict[int, str], bits: np.ndarray, words: list[list[str]]) -> Iterator[np.ndarray]:
+    """For each row of bits(place) the places whose text holds all its words; those without words stand as they are.
+
+    Many words are looked for at once, in one pass over each text: a word's candidates can be most of the texts.
+    """
+    known, left = {}, np.array([bool(x) for x in words], bool)
+    near = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits[left], axis=0))) if left.any() else ()
+    if at_once := int(np.bitwise_count(bits[left]).sum()) > MOST_LOOKS * len(near):
+        number = {w: k for k, w in enumerate(dict.fromkeys(w for x in words for w in x))}
+        machine, known = automaton(number), defaultdict(list)
+        for p in near:
+            for k in {k for _, k in machine.iter(texts[int(p)])}:
+                known[k].append(p)
+    for row, own in zip(bits, words, strict=True):
+        if at_once and own:
+            first, *rest = (known[number[w]] for w in own)
+            yield np.array(sorted(set(first).intersection(*rest)) if rest else first, int)
+        else:
+            found = np.flatnonzero(np.unpackbits(row))
+            yield np.array([p for p in found.tolist() if all(w in texts[p] for w in own)], int) if own else found
+
+
 def _met(block: pa.Table, asked: pa.Table) -> pa.Table:
     """(needle, ids) of a block: its postings and its texts in, and what is asked as (needle, words, keys)."""
-    at, low, gram, places = (block[c].to_pylist() for c in ("place", "low", "gram", "places"))
-    texts, size = {}, max((p for p in at if p is not None), default=-1) + 1
-    bits, rows = defaultdict(lambda: np.zeros(-(-size // 8), np.uint8)), np.full(size, -1)
-    for i, g in enumerate(gram):
-        if g is None:
-            texts[at[i]], rows[at[i]] = low[i], i
-        else:
-            part = np.frombuffer(places[i], np.uint8)
-            bits[g][: len(part)] |= part
-    needles, taken, ends = [], [], [0]
-    for needle, words, keys in zip(asked["needle"].to_pylist(), asked["words"].to_pylist(), asked["keys"].to_pylist(), strict=True):
-        if not all(k in bits for k in keys):
-            continue
-        found = np.flatnonzero(np.unpackbits(np.bitwise_and.reduce([bits[k] for k in keys])))
-        if open_ := [w for w in words if w not in keys]:
-            found = np.array([p for p in found.tolist() if all(w in texts[p] for w in open_)], int)
-        if len(found):
-            needles.append(needle)
-            taken.append(rows[found])
-            ends.append(ends[-1] + len(found))
-    ids = block["id"].combine_chunks().take(pa.array(np.concatenate(taken) if taken else np.zeros(0, int)))
-    return pa.table({"needle": pa.array(needles, pa.string()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)})
+    text = pc.is_null(block["gram"])
+    rows, low = np.flatnonzero(np.asarray(text)), block["low"].filter(text).to_pylist()
+    at = np.asarray(block["place"].filter(text), dtype=int)
+    size = int(at.max(initial=-1)) + 1
+    texts, row_of = dict(zip(at.tolist(), low, strict=True)), np.full(-(-size // 8) * 8, -1)
+    row_of[at] = rows
+    posted = block.select(["gram", "places"]).filter(pc.invert(text))
+    grams = pc.unique(posted["gram"])
+    bits = np.zeros((len(grams) + 1, -(-size // 8)), np.uint8)  # the last one for pieces that the block doesn't have
+    for g, part in zip(pc.index_in(posted["gram"], value_set=grams).to_pylist(), posted["places"].to_pylist(), strict=True):
+        bits[g, : len(part)] |= np.frombuffer(part, np.uint8)
+    looked = pa.chunked_array(asked["keys"].chunks).combine_chunks()
+    keys = np.asarray(pc.fill_null(pc.index_in(looked.flatten(), value_set=grams), len(grams)))
+    starts = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(looked)))].astype(int)
+    ids, needles, ends = [], [], [0]
+    for a in range(0, len(asked), step := max(1, CELLS // 4 // max(8 * bits.shape[1], 1))):
+        part = asked.slice(a, step)
+        b = a + len(part)
+        both = np.bitwise_and.reduceat(bits[keys[starts[a] : starts[b]]], starts[a:b] - starts[a], axis=0)
+        some = np.flatnonzero(both.any(1))
+        both, part = both[some], part.take(pa.array(some))
+        open_ = [[w for w in words if w not in has] for words, has in zip(part["words"].to_pylist(), part["keys"].to_pylist(), strict=True)]
+        for needle, found in zip(part["needle"].to_pylist(), _holding(texts, both, open_), strict=True):
+            if len(found):
+                needles.append(needle)
+                ids.append(row_of[found])
+                ends.append(ends[-1] + len(found))
+    taken = block["id"].combine_chunks().take(pa.array(np.concatenate(ids) if ids else np.zeros(0, int)))
+    return pa.table({"needle": pa.array(needles, pa.string()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken)})
 
 
 class TrigramIndex:
